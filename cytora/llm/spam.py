@@ -51,6 +51,7 @@ _ANCHOR = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]+)[^<>]*>(.*?)</a\
 _TAGS = re.compile(r"</?[A-Za-z!][^<>]*>")
 _MARKDOWN_LINK = re.compile(r"\[([^\[\]]*)\]\(\s*([^()\s]+)[^()]*\)")
 _URL = re.compile(r"(?:https?://|www[.\-])\S+|(?:[\w\-]+\.)+(?:test|invalid|example|com|net|org|info|biz|shop|io|de|fr|es|co)\b(?:/\S*)?", re.I)
+_TLD = re.compile(r"\.(?:test|invalid|example|com|net|org|info|biz|shop|io|de|fr|es|co)\b|://|\bwww[.\-]", re.I)
 _CUT = re.compile(r"[\r\n]+|(?<=[.?!])[\"”')\]]*\s+(?=[\"“'(\[]*[^\W\d_a-z])|(?<=\w[.?!])\s+(?=\S)")
 _WORD = re.compile(r"[^\W_]+(?:[-'’.][^\W_]+)*")
 _SEPARATOR = re.compile(r"\s[-–—/>:]\s|[,;|·•»›→★✓]|\t")
@@ -83,7 +84,7 @@ def segments(text: str) -> list[str]:
         text = html.unescape(text)
     if "](" in text:
         text = _MARKDOWN_LINK.sub(lambda m: f"{_LINK_MARK}{m[1]} ", text)
-    if "." in text:
+    if _TLD.search(text):
         text = _URL.sub(_LINK_MARK, text)
     return [s for s in _CUT.split(text) if s and not s.isspace()]
 
@@ -124,7 +125,7 @@ def shape(segment: str, words: list[str], keywords: frozenset[str] | set[str]) -
 def page_shapes(text: str) -> tuple[Counter, int]:
     """Words that each shape holds in a page, and words of the page (a link counts as one)."""
     parts = segments(text)
-    split = [[w.lower() for w in _WORD.findall(s)] for s in parts]
+    split = [_WORD.findall(s.lower()) for s in parts]
     counts: Counter = Counter()
     for words in split:
         counts.update(words)
