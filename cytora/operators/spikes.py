@@ -208,7 +208,7 @@ def judge_series(series: DataFrame, limits: DataFrame) -> DataFrame:
     bins = bins.filter("series_id IS NOT NULL AND bin_idx IS NOT NULL").join(limits.select("sample_id", "channel_name", "maximum"), ["sample_id", "channel_name"], "left")
     ready = bins.select(
         "series_id", "bin_idx", "raw_median", "bin_time", "maximum", F.col("raw_median").isNotNull().alias("has_raw"), F.col("bin_time").isNotNull().alias("has_time"),
-        F.explode(F.sequence(F.floor((F.col("bin_idx") - HALO) / BLOCK), F.floor((F.col("bin_idx") + HALO) / BLOCK))).alias("block"),
+        F.explode(F.sequence(F.least(F.greatest(F.floor((F.col("bin_idx") - HALO) / BLOCK), F.lit(0)), F.floor(F.col("bin_idx") / BLOCK)), F.floor((F.col("bin_idx") + HALO) / BLOCK))).alias("block"),
     ).dropDuplicates(["series_id", "block", "bin_idx"])
     return ready.groupBy("series_id", "block").applyInPandas(_judge_block, _SCHEMA)
 
