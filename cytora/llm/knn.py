@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,7 +227,7 @@ def _top(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
 
 
 def _vectors(table: pa.Table, role: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    own = table.filter(pa.compute.equal(table.column("role"), role)) if table.num_rows else table
+    own = table.filter(pc.equal(table.column("role"), role)) if table.num_rows else table
     ids = own.column("vec_id").to_numpy()
     raw = b"".join(own.column("x").to_pylist())
     x = np.frombuffer(raw, dtype=np.float32).reshape(-1, dims)
