@@ -170,7 +170,8 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str =
         return pd.DataFrame(rows, columns=["chunk", "bin", "place", "doc_id", "copy", "piece", "first_token", "n_tokens"])
 
     dealt = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    packed = dealt.groupBy("chunk").applyInPandas(pack, _SCHEMA)
+    # a stated number of partitions, so that chunks of few bytes but much work aren't put into one task
+    packed = dealt.repartition(min(chunks, 10_000), "chunk").groupBy("chunk").applyInPandas(pack, _SCHEMA)
     number = F.col("bin").cast("long") * F.lit(chunks) + F.col("chunk")
     return packed.select(number.alias("container_id"), "place", "doc_id", "copy", "piece", "first_token", "n_tokens")
 
