@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from cytora.session import materialise
 
 #: Vectors the centroids are fitted on, vectors aimed at in a cell, and bounds of the number of cells.
-SAMPLE, CELL, MOST_CELLS = 40_000, 400, 4096
+SAMPLE, CELL, MOST_CELLS = 40_000, 800, 4096
 #: Bits of a code with a least similarity and without one (there bounds have to tell many near ones apart), bits of
 #: a query's components, and the width of the error bound in standard errors.
 BITS, MORE_BITS, PLANES, BOUND = 64, 256, 4, 3.0
