@@ -1 +1,220 @@
-"""More queries of the event-analysis operators."""
+"""Fits, neighbour graphs, integration and streaming counts."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cytora.functions import exprs as X
+from cytora.operators import graph, hist, linalg, stats
+from cytora.operators.fits import curves
+from cytora.operators.fits.curves import Curve
+from cytora.plans.adapters import items, timed
+from cytora.plans.reference import QUERIES, query
+from cytora.plans.reference_tables import survival, two_sample
+from cytora.session import table
+
+r6 = lambda c: F.round(c, 6)
+
+CURVES = {
+    "g1": Curve("normal", {"amplitude": 2.0, "mean": 10.0, "sigma": 3.0}),
+    "rise": Curve("linear", {"slope": 0.1, "intercept": 0.5}),
+    "grow": Curve("exponential", {"rate": 0.05, "intercept": 0.1, "offset": 0.2}),
+    "decay": Curve("gamma", {"shape": 2.5, "scale": 4.0, "amplitude": 3.0}),
+    "s": Curve("polynomial", {"minimum": 5.0, "maximum": 40.0}, (0.1, 2.0, -2.5)),
+    "fit": Curve("addition", {"intercept": 0.05}, (), (("g1", 1.0), ("s", 0.5))),
+}
+_T = "((q - 5.0) / 35.0)"
+_CURVE_SQL = {
+    "g1": "2.0 * exp(-0.5 * ((q - 10.0) / 3.0) * ((q - 10.0) / 3.0))",
+    "rise": "0.1 * q + 0.5",
+    "grow": "0.2 + exp(0.05 * q + 0.1)",
+    "decay": f"CASE WHEN q > 0 THEN 3.0 * exp(1.5 * ln(q / 4.0) - q / 4.0 - {math.lgamma(2.5)!r} - ln(4.0)) ELSE 0 END",
+    "s": f"CASE WHEN q >= 5 AND q <= 40 THEN greatest(0.1 + 2.0 * {_T} - 2.5 * {_T} * {_T}, 0) ELSE 0 END",
+}
+_CURVE_SQL["fit"] = f"0.05 + ({_CURVE_SQL['g1']}) + 0.5 * ({_CURVE_SQL['s']})"
+
+
+@query("WITH x AS (SELECT DISTINCT l_quantity AS q FROM lineitem) SELECT q AS x, " + ", ".join(f"round({sql}, 6) AS {name}" for name, sql in _CURVE_SQL.items()) + " FROM x")
+def curve_eval(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x")).distinct()
+    return x.select("x", *[r6(curves.curve_column(n, CURVES, F.col("x"))).alias(n) for n in CURVES])
+
+
+_NEAR = "WITH b AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE label = 0), p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE label = 1), r AS (SELECT p.vec_id AS vec_id, b.vec_id AS blank, row_number() OVER (PARTITION BY p.vec_id ORDER BY (p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y), b.vec_id) AS k FROM p, b) SELECT vec_id, blank, CAST(k AS INTEGER) AS k FROM r WHERE k <= 2"
+
+
+@query(_NEAR)
+def knn2_blank(spark, d):
+    """Two blank events nearest in scatter to each positive event; both sets hold 3 000 events at most by definition."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    blank = e.filter("label = 0").filter(X.fin(F.col("x")) & X.fin(F.col("y"))).orderBy("vec_id").limit(3000).toPandas()
+    side = spark.sparkContext.broadcast((blank["vec_id"].to_numpy(), blank[["x", "y"]].to_numpy()))
+
+    def near(batches):
+        ids, b = side.value
+        for pdf in batches:
+            p = pdf[["x", "y"]].to_numpy()
+            dist = ((p[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+            for i, v in enumerate(pdf["vec_id"]):
+                order = np.lexsort((ids, dist[i]))[:2]
+                yield pd.DataFrame({"vec_id": v, "blank": ids[order], "k": np.arange(1, len(order) + 1, dtype=np.int32)})
+
+    return e.filter("label = 1").select("vec_id", "x", "y").mapInPandas(near, "vec_id long, blank long, k int")
+
+
+@query("WITH n AS (SELECT vec_id, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings), r AS (SELECT a.vec_id, b.vec_id AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (a.norm * b.norm) DESC, b.vec_id) AS k FROM n a, n b WHERE a.vec_id <> b.vec_id) SELECT vec_id, other, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 14")
+def knn_graph(spark, d):
+    g = graph.knn_graph(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x")), 15)
+    return g.filter("rank > 0").select("vec_id", "other", F.col("rank").cast("int").alias("rank"))
+
+
+@query()
+def connectivities(spark, d):
+    g = graph.knn_graph(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x")), 15)
+    return graph.connectivities(g)
+
+
+@query()
+def clustering(spark, d):
+    """Communities of the neighbour graph by power iteration, a substitute."""
+    return graph.power_clusters(connectivities(spark, d), 4)
+
+
+@query()
+def pca_embedding(spark, d):
+    """Two principal components of the vectors, a substitute for a neighbour-preserving layout."""
+    return graph.principal_components(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x")), 64)
+
+
+@query()
+def cutoff_fit(spark, d):
+    """Index cutoff of every sample from its survival curve."""
+    s = survival(items(spark, d), "sample_id", "p")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("point")
+        found = curves.index_cutoff(pdf["x"].to_numpy(), pdf["share"].to_numpy())
+        return pd.DataFrame({"sample_id": [pdf["sample_id"].iloc[0]], "cutoff": [math.nan if found is None else found]})
+
+    return s.groupBy("sample_id").applyInPandas(fit, "sample_id string, cutoff double")
+
+
+def integrated(rows: DataFrame, batch: str, channels: list[str], probabilities: list[float]) -> DataFrame:
+    """Channels bent so that every batch's quantiles meet the mean quantiles; batches of fewer than 50 rows and single batches stay."""
+    q = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), *[stats.quantiles(F.col(c), probabilities).alias(c) for c in channels]).filter("n >= 50").toPandas()
+    bent: dict[tuple[str, str], curves.Spline] = {}
+    if len(q) > 1:
+        for c in channels:
+            goal = np.mean([np.asarray(v, float) for v in q[c]], axis=0)
+            for label, v in zip(q[batch], q[c]):
+                bent[label, c] = curves.Spline(np.asarray(v, float), goal)
+    shared = rows.sparkSession.sparkContext.broadcast(bent)  # quantiles per batch and channel
+
+    def bend(batches):
+        table_ = shared.value
+        for pdf in batches:
+            for c in channels:
+                value = pdf[c].to_numpy(float).copy()
+                for label in pdf[batch].unique():
+                    if (label, c) in table_:
+                        own = (pdf[batch] == label).to_numpy()
+                        value[own] = table_[label, c](value[own])
+                pdf[c] = value.astype(np.float32)
+            yield pdf
+
+    keep = [c for c in rows.columns if c not in channels]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", " + ", ".join(f"{c} float" for c in channels)
+    return rows.select(*keep, *channels).mapInPandas(bend, fields)
+
+
+@query()
+def cytonorm_apply(spark, d):
+    """Mean and spread of two channels after batch integration."""
+    rows = integrated(items(spark, d).select("batch", "q", "p"), "batch", ["q", "p"], [i / 100 for i in range(1, 100)])
+    return rows.groupBy("batch").agg(*[r6(f(F.col(c).cast("double"))).alias(f"{n}_{c}") for c in ("q", "p") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+
+
+@query()
+def unmix_fit(spark, d):
+    """Unmixing coefficients of every molecule, from the signatures of four labels."""
+    s = QUERIES["spectral_signature"](spark, d).filter("label < 4").toPandas()
+    wide = s.pivot(index="label", columns="detector", values="signature").sort_index()
+    m = linalg.unmixing_matrix(wide.to_numpy())
+    rows = [(int(label), int(j), float(m[i, j])) for i, label in enumerate(wide.index) for j in range(m.shape[1])]
+    return spark.createDataFrame(rows, "label int, detector int, coefficient double")
+
+
+def _histograms(spark, d, bins: int) -> DataFrame:
+    x = X.arcsinh(F.col("value") / 5.0)
+    rows = timed(spark, d).select("sample_id", x.alias("x"))
+    ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    lo, hi = ends["lo"], ends["hi"] if ends["hi"] > ends["lo"] else ends["lo"] + 1
+    counted = hist.counted(rows, ["sample_id"], F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int"))
+    return hist.dense(counted, ["sample_id"], bins).withColumn("x", F.lit(lo) + (F.col("bin") + 0.5) * ((hi - lo) / bins))
+
+
+@query()
+def cell_cycle(spark, d):
+    """Phases of every sample's histogram under both models."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        n = pdf["n"].sum()
+        rows = []
+        for model in ("watson", "dean") if n >= 20 else ():
+            y = curves.smooth(pdf["n"].to_numpy(float) / n, 2)
+            rows.append({"sample_id": pdf["sample_id"].iloc[0], "model": model, "events": int(n)} | curves.cell_cycle(pdf["x"].to_numpy(), y, model))
+        return pd.DataFrame(rows, columns=["sample_id", "model", "events", "g1", "s", "g2", "g1_mean", "g1_cv", "g2_mean", "g2_cv", "ratio"])
+
+    return _histograms(spark, d, 400).groupBy("sample_id").applyInPandas(fit, "sample_id string, model string, events long, g1 double, s double, g2 double, g1_mean double, g1_cv double, g2_mean double, g2_cv double, ratio double")
+
+
+@query()
+def proliferation(spark, d):
+    """Generations of every sample's histogram."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        n = pdf["n"].sum()
+        if n < 20:
+            return pd.DataFrame(columns=["sample_id", "generation", "fraction", "mean", "division", "proliferation", "replication"])
+        f = curves.proliferation(curves.smooth(pdf["n"].to_numpy(float) / n, 3))
+        k = np.flatnonzero(f["fractions"] >= 0.001)
+        return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "generation": k, "fraction": f["fractions"][k], "mean": f["means"][k], "division": f["division"], "proliferation": f["proliferation"], "replication": f["replication"]})
+
+    return _histograms(spark, d, 500).groupBy("sample_id").applyInPandas(fit, "sample_id string, generation int, fraction double, mean double, division double, proliferation double, replication double")
+
+
+@query()
+def intensity_tests(spark, d):
+    """Probabilities of the two-sample tests of every sample against sample A, from sums and rank counts."""
+    from cytora.operators.fits import special
+
+    rows = items(spark, d)
+    s = {r["sample_id"]: r for r in rows.groupBy("sample_id").agg(F.count("p").alias("n"), F.avg("p").alias("mean"), F.var_samp("p").alias("var"), F.skewness("p").alias("skew"), F.kurtosis("p").alias("kurt")).collect()}
+    base, out = s["A"], []
+    for name, r in sorted(s.items()):
+        normal = special.normality_p(r["n"], r["skew"], r["kurt"] + 3)
+        if name == "A":
+            out.append((name, normal, None, None, None))
+            continue
+        t = two_sample(rows, "sample_id", "p", name, "A").first()
+        z = (r["mean"] - base["mean"]) / math.sqrt(r["var"] / r["n"] + base["var"] / base["n"])
+        out.append((name, normal, 2 * special.normal_sf(abs(z)), special.mann_whitney_p(t["u"], t["n1"], t["n2"]), special.ks_sf(t["ks"], t["n1"], t["n2"])))
+    return spark.createDataFrame(out, "sample_id string, normality_p double, z_p double, mann_whitney_p double, ks_p double")
+
+
+@query("SELECT event_type AS sample_id, count(*) AS n_events, sum(CASE WHEN CAST(value AS FLOAT) >= 100 THEN 1 ELSE 0 END)::BIGINT AS n_high FROM events GROUP BY 1")
+def stream_counts(spark, d):
+    """Population counts over the event stream, run to its end; an extension."""
+    from cytora.streaming import counts
+
+    return counts.run_to_end(spark, d)
+
+
+
