@@ -39,6 +39,8 @@ _MARKS = {'"': '"', "'": "'", "“": "”", "«": "»", "`": "`"}
 _QUOTED = {a: re.compile(f"{a}((?:{b}{b}|[^{b}])*){b}") for a, b in _MARKS.items()}
 _BRACKETS = {"[": "]", "(": ")", "{": "}"}
 _NUMBER = re.compile(r"[-+]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][-+]?\d+)?|[-+]?(?:nan|inf(?:inity)?)|n/?a|-+", re.I)
+_POINT = re.compile(r"\d\.\d")
+_IN_QUOTES, _BETWEEN = re.compile(r'"[^"]*"|\'[^\']*\''), re.compile(r"(?<=\d),(?=\d)")
 _NO_NUMBER = re.compile(r"[^\d,;|]*")  # a damaged number; two numbers run together hold digits
 _DECIMAL_COMMA = re.compile(r"[-+]?\d+,\d+(?:[eE][-+]?\d+)?")
 
@@ -108,18 +110,21 @@ def _fits_matrix(values: list[str]) -> int:
 def parse_matrix(text: str) -> list[tuple[int, str, str | None]]:
     """Values of a matrix entry. The comma as separator and the comma as decimal sign are ordered alternatives.
 
-    The first whose values have the entry's shape is taken; of two lists cut short, the one that reads every
-    ``digits,digits`` as a number, as no list separated by commas holds so few.
+    Where commas stand between digits only and no number has a point, the decimal sign is tried first; else the
+    separator. The first alternative whose values have the entry's shape is taken; of two lists cut short, the one
+    that reads every ``digits,digits`` as a number, as no list separated by commas holds so few.
     """
     plain = parse(text)
     if not _DECIMAL_COMMA.search(text):
         return plain
     fit = _fits_matrix([v for _, v, _ in plain])
-    if fit == 2:
+    bare = _IN_QUOTES.sub("", text)
+    decimal_first = not _POINT.search(bare) and len(_BETWEEN.findall(bare)) == bare.count(",")
+    if fit == 2 and not decimal_first:
         return plain
     decimal = parse(text, decimal_comma=True)
     other = _fits_matrix([v for _, v, _ in decimal])
-    return decimal if other >= max(fit, 1) else plain
+    return decimal if other >= (1 if decimal_first else max(fit, 1)) else plain
 
 
 _RESULT = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("item", T.StringType()), T.StructField("error", T.StringType())]))

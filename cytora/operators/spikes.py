@@ -152,7 +152,7 @@ def disordered(t: np.ndarray) -> np.ndarray:
         if j == len(tails):
             tails.append(t[i])
             tail_at.append(k)
-        else:
+        elif t[i] < tails[j]:  # of equal times the first stays
             tails[j], tail_at[j] = t[i], k
     keep = np.zeros(len(at), dtype=bool)
     k = tail_at[-1]
