@@ -183,12 +183,12 @@ def judge(raw: np.ndarray, time: np.ndarray, has_raw: np.ndarray, has_time: np.n
 _SCHEMA = "series_id long, bin_idx int, score double, is_limit boolean, is_stuck boolean, is_spike boolean, is_clock boolean"
 
 
-def _judge_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _judge_block(key: tuple, pdf: pd.DataFrame, block: int) -> pd.DataFrame:
     pdf = pdf.sort_values("bin_idx", kind="stable")
     raw, time = pdf["raw_median"].to_numpy(float), pdf["bin_time"].to_numpy(float)
     maximum = pdf["maximum"].max()
     found = judge(raw, time, pdf["has_raw"].to_numpy(bool), pdf["has_time"].to_numpy(bool), maximum, seed=int(key[0]) & 0xFFFFFFFF)
-    own = (pdf["bin_idx"] // BLOCK == key[1]).to_numpy()
+    own = (pdf["bin_idx"] // block == key[1]).to_numpy()
     return pd.DataFrame({
         "series_id": pdf["series_id"].to_numpy()[own], "bin_idx": pdf["bin_idx"].to_numpy()[own], "score": found["score"][own],
         "is_limit": found["limit"][own], "is_stuck": found["stuck"][own], "is_spike": found["spike"][own], "is_clock": found["clock"][own],
@@ -202,15 +202,15 @@ def channel_limits(samples: DataFrame, channels: DataFrame) -> DataFrame:
     return own.join(top, "group_id").groupBy("sample_id", "channel_name").agg(F.max("maximum").alias("maximum"))
 
 
-def judge_series(series: DataFrame, limits: DataFrame) -> DataFrame:
+def judge_series(series: DataFrame, limits: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
     """Forest score and flags of every bin: (series_id, bin_idx, score, is_limit, is_stuck, is_spike, is_clock)."""
     bins = series.select("series_id", F.col("bin_idx").cast("int").alias("bin_idx"), "sample_id", "channel_name", F.col("raw_median").cast("double").alias("raw_median"), F.col("bin_time").cast("double").alias("bin_time"))
     bins = bins.filter("series_id IS NOT NULL AND bin_idx IS NOT NULL").join(limits.select("sample_id", "channel_name", "maximum"), ["sample_id", "channel_name"], "left")
     ready = bins.select(
         "series_id", "bin_idx", "raw_median", "bin_time", "maximum", F.col("raw_median").isNotNull().alias("has_raw"), F.col("bin_time").isNotNull().alias("has_time"),
-        F.explode(F.sequence(F.least(F.greatest(F.floor((F.col("bin_idx") - HALO) / BLOCK), F.lit(0)), F.floor(F.col("bin_idx") / BLOCK)), F.floor((F.col("bin_idx") + HALO) / BLOCK))).alias("block"),
+        F.explode(F.sequence(F.least(F.greatest(F.floor((F.col("bin_idx") - halo) / block), F.lit(0)), F.floor(F.col("bin_idx") / block)), F.floor((F.col("bin_idx") + halo) / block))).alias("block"),
     ).dropDuplicates(["series_id", "block", "bin_idx"])
-    return ready.groupBy("series_id", "block").applyInPandas(_judge_block, _SCHEMA)
+    return ready.groupBy("series_id", "block").applyInPandas(lambda key, pdf: _judge_block(key, pdf, block), _SCHEMA)
 
 
 def implausible_bins(series: DataFrame, samples: DataFrame, channels: DataFrame) -> DataFrame:

@@ -81,14 +81,13 @@ def test_table(spark):
     assert 50 in [r["bin_idx"] for r in spikes.implausible_bins(series_df, samples.limit(0), channels).collect()]
 
 
-def test_blocks_of_long_series(spark, monkeypatch):
-    monkeypatch.setattr(spikes, "BLOCK", 256)
+def test_blocks_of_long_series(spark):
     raw, t = series(1000)
     at = [255, 256, 257, 511, 700]
     for i in at:
         raw[i] += 900
     raw[600:610] = raw[600]
-    got = spikes.judge_series(tables(spark, _rows(raw, t))[0], spikes.channel_limits(*tables(spark, [_rows(raw, t)[0]])[1:]))
+    got = spikes.judge_series(tables(spark, _rows(raw, t))[0], spikes.channel_limits(*tables(spark, [_rows(raw, t)[0]])[1:]), block=256)
     rows = got.filter("is_spike OR is_stuck").select("bin_idx").collect()
     assert sorted(r[0] for r in rows) == sorted(at + list(range(600, 610)))
     assert got.count() == 1000
