@@ -91,11 +91,11 @@ def word_places(text: str) -> list[tuple[int, int]]:
     return [(starts[m.start()], ends[m.end() - 1]) for m in re.finditer(r"[a-z0-9]+", "".join(chars).lower())]
 
 
-def _reach(a: list[str], i: int, b: list[str], j: int, step: int, edits: int) -> list[int]:
-    """For 0, 1, ... edits: the most words of ``a`` from ``i`` on that align with ``b`` from ``j`` on and end in an equal word."""
+def _reach(a: list[str], i: int, b: list[str], j: int, step: int, edits: int) -> list[tuple[int, int]]:
+    """For 0, 1, ... edits: the most words of ``a`` from ``i`` on that align with ``b`` from ``j`` on and end in an equal word, with the words of ``b``."""
     na, nb = (len(a) - i, len(b) - j) if step > 0 else (i + 1, j + 1)
     front = {0: 0}
-    best: list[int] = []
+    best: list[tuple[int, int]] = []
     for e in range(edits + 1):
         if e:
             spread: dict[int, int] = {}
@@ -104,26 +104,27 @@ def _reach(a: list[str], i: int, b: list[str], j: int, step: int, edits: int) ->
                     if xx <= na and 0 <= xx - dd <= nb and spread.get(dd, -1) < xx:
                         spread[dd] = xx
             front = spread
-        top = best[-1] if best else 0
+        top = best[-1] if best else (0, 0)
         for d, x in front.items():
             y, x0 = x - d, x
             while x < na and y < nb and a[i + step * x] == b[j + step * y]:
                 x, y = x + 1, y + 1
             front[d] = x
-            if x > x0 and x > top:
-                top = x
+            if x > x0 and x > top[0]:
+                top = (x, y)
         best.append(top)
     return best
 
 
-def passage(a: list[str], i: int, b: list[str], j: int, least: int = MIN_WORDS, edits: int = EDITS) -> int:
-    """Words of item ``a`` in the longest passage through the hit at ``a[i]``, ``b[j]``; 0 if it is shorter than ``least``."""
+def passage(a: list[str], i: int, b: list[str], j: int, least: int = MIN_WORDS, edits: int = EDITS) -> tuple[int, int, int]:
+    """(words of item ``a``, first and last word of ``b``) of the longest passage through the hit at ``a[i]``, ``b[j]``; no words if it is shorter than ``least``."""
     after = _reach(a, i + SEED_WORDS, b, j + SEED_WORDS, 1, edits)
-    if SEED_WORDS + after[-1] + i < least:
-        return 0
+    if SEED_WORDS + after[-1][0] + i < least:
+        return 0, j, j
     before = _reach(a, i - 1, b, j - 1, -1, edits)
-    longest = max(SEED_WORDS + before[e] + after[edits - e] for e in range(edits + 1))
-    return longest if longest >= least else 0
+    e = max(range(edits + 1), key=lambda e: before[e][0] + after[edits - e][0])
+    longest = SEED_WORDS + before[e][0] + after[edits - e][0]
+    return (longest if longest >= least else 0), j - before[e][1], j + SEED_WORDS - 1 + after[edits - e][1]
 
 
 class ItemIndex:
@@ -157,7 +158,7 @@ class ItemIndex:
         if not hits:
             return []
         words = plain.split()
-        found: dict[int, tuple[int, int]] = {}
+        found: dict[int, tuple[int, int, int]] = {}
         tried: dict[int, set[int]] = {}
         counted, at = 0, 0
         for end, (length, places) in hits:
@@ -168,19 +169,15 @@ class ItemIndex:
                 seen = tried.setdefault(item, set())
                 if (j - i, j) in seen:
                     continue
-                n = passage(self.words[item], i, words, j)
+                n, first, last = passage(self.words[item], i, words, j)
                 if n:
                     seen.update((j - i, j + k) for k in range(1, MIN_WORDS))
-                    if n > found.get(item, (0, 0))[0]:
-                        found[item] = (n, j)
+                    if n > found.get(item, (0,))[0]:
+                        found[item] = (n, first, last)
         if not found:
             return []
         places_of = word_places(text)
-        out = []
-        for item, (n, j) in found.items():
-            first, last = max(0, j - n + SEED_WORDS), min(len(places_of) - 1, j + n - 1)
-            out.append((item, n, places_of[first][0], places_of[last][1]))
-        return out
+        return [(item, n, places_of[first][0], places_of[last][1]) for item, (n, first, last) in found.items()]
 
 
 _CACHE: dict[str, ItemIndex] = {}
