@@ -68,7 +68,8 @@ def python_statistic(df: DataFrame, group: str, channels: list[str], entry: Call
             value = float("nan")
         return pd.DataFrame({group: [pdf[group].iloc[0]], "value": [value]})
 
-    return df.select(group, *channels).groupBy(group).applyInPandas(run, f"{group} string, value double")
+    rows = df.select(group, *channels).groupBy(group).applyInPandas(run, f"{group} string, value double")
+    return rows.withColumn("value", F.coalesce("value", F.lit(float("nan"))))  # NaN turns into null on the way
 
 
 def implied_axis(low: Column, high: Column, kind: str, cap: float | None = None) -> tuple[Column, Column]:

@@ -197,9 +197,10 @@ _TEXT = "sample string, path string, text_map map<string,string>, cytometer stri
 
 class FcsReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
+        options = {k.lower(): v for k, v in options.items()}
         self.part = options.get("part", "events")
         self.files = _paths(options.get("path", ""))
-        self.bytes = int(options.get("taskBytes", TASK_BYTES))
+        self.bytes = int(options.get("taskbytes", TASK_BYTES))
 
     def partitions(self) -> list[InputPartition]:
         if self.part == "text":
