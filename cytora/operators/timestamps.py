@@ -217,4 +217,6 @@ def file_instants(texts: DataFrame, instruments: DataFrame) -> DataFrame:
     )
     rows = parsed.select("text_id", "_zone", "_mf", F.inline(entries)).filter("_dp IS NOT NULL AND _cp IS NOT NULL")
     done = instants(rows, "_dp", "_cp", "_mf", "_zone", "utc_ms")
-    return done.select("text_id", "keyword", "utc_ms").filter("utc_ms IS NOT NULL").distinct()
+    # missing results go within an array: a filter would be pushed down and repeat every expression above
+    kept = F.array_compact(F.array("utc_ms"))
+    return done.select("text_id", "keyword", F.explode(kept).alias("utc_ms")).distinct()

@@ -39,3 +39,12 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that Python does row by row.
+
+    A few large files would else leave cores idle; input that has enough partitions already isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
