@@ -112,11 +112,11 @@ def valleys(counts: np.ndarray) -> list[float]:
 
 def patterns(y: np.ndarray, cuts: list[list[float]]) -> np.ndarray:
     """Number of the cell between the cuts that each event lies in."""
-    code = np.zeros(len(y), dtype=np.int64)
+    code = np.zeros(len(y), dtype=np.uint64)
     for j, c in enumerate(cuts):
-        if c:
-            code = code * (len(c) + 1) + np.searchsorted(c, y[:, j])
-    return code
+        if c:  # an odd factor loses no channel when many of them overflow
+            code = code * np.uint64(0x9E3779B97F4A7C15) + np.searchsorted(c, y[:, j]).astype(np.uint64) + np.uint64(1)
+    return code.view(np.int64)
 
 
 def cells(y: np.ndarray, code: np.ndarray, least: int = 1) -> list[tuple[int, int, np.ndarray, np.ndarray]]:

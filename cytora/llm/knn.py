@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytora.session import materialise
+from cytora.session import materialise, spread
 
 #: Vectors the centroids are fitted on, vectors aimed at in a cell, and bounds of the number of cells.
 SAMPLE, CELL, MOST_CELLS = 40_000, 800, 4096
@@ -316,10 +316,10 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
                         yield pa.RecordBatch.from_arrays([pa.array(cells_.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(row), role, dtype=np.int8)), pa.array(pid[row]), data], schema=_ROWS)
 
     if all_query:
-        placed = searched.mapInArrow(lambda it: place(it, True, True), _ROWS_SQL)
+        placed = spread(searched).mapInArrow(lambda it: place(it, True, True), _ROWS_SQL)
     else:
         asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).cast("array<float>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
-        placed = searched.mapInArrow(lambda it: place(it, False, True), _ROWS_SQL).unionByName(asked.mapInArrow(lambda it: place(it, True, False), _ROWS_SQL))
+        placed = searched.mapInArrow(lambda it: place(it, False, True), _ROWS_SQL).unionByName(spread(asked).mapInArrow(lambda it: place(it, True, False), _ROWS_SQL))
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         c, turn = shared.value

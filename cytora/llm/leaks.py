@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytora.session import spread
+
 #: Words of a hit, words a leaked passage has at least, and edits allowed in so many words.
 SEED_WORDS, MIN_WORDS, EDITS = 5, 15, 2
 #: Items, and characters of them, that one automaton holds; more are scanned in further passes.
@@ -209,6 +211,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, text: str = "text", doc_i
         parts[-1].append(row)
         size += len(row[1])
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND text != ''")
+    docs = spread(docs)
     out: DataFrame | None = None
     for part in parts:
         shared = documents.sparkSession.sparkContext.broadcast(part)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytora.session import materialise
+from cytora.session import materialise, spread
 
 #: Tokens a container holds, containers of a chunk, and the vocabulary that measures texts.
 CAPACITY, CHUNK_BINS = 2048, 2000
@@ -54,7 +54,7 @@ def token_counts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) for t in pdf["text"]]})
 
-    return docs.mapInPandas(measure, "doc_id long, n_tokens long")
+    return spread(docs).mapInPandas(measure, "doc_id long, n_tokens long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytora.session import spread
+
 #: Share of a page's words in non-sentence shapes above which the page is spam.
 SPAM_SHARE = 0.5
 #: Share of a page's words that one content word has to hold to be a keyword of the page, and of keywords in a
@@ -171,7 +173,7 @@ def page_scores(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
                 rows.append((d, apart / total if total else 0.0, main, len(held)))
             yield pd.DataFrame(rows, columns=["doc_id", "share", "main_kind", "n_shapes"])
 
-    return docs.mapInPandas(score, _SCHEMA)
+    return spread(docs).mapInPandas(score, _SCHEMA)
 
 
 def spam_pages(documents: DataFrame, share: float = SPAM_SHARE) -> DataFrame:
