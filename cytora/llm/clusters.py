@@ -211,7 +211,8 @@ def moments(model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     x = y[:, model.used]
     resp, _, _ = expect(model, y)
     own = resp[:, :-1]
-    return resp.sum(axis=0), own.T @ x, np.einsum("nk,ni,nj->kij", own, x, x, optimize=True) if len(x) else np.zeros((own.shape[1], x.shape[1], x.shape[1]))
+    products = np.stack([(own[:, i, None] * x).T @ x for i in range(own.shape[1])])  # one component at a time: memory of one copy of x
+    return resp.sum(axis=0), own.T @ x, products
 
 
 def maximise(model: Model, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> Model:

@@ -9,8 +9,9 @@ estimate, widened by its bound, can still matter are compared exactly.
 Which cells a query looks into:
 
 * with a least similarity, every cell that could hold such a partner on one of the two sides: if two unit vectors
-  lie ``r`` apart, the one of them that is nearer to the border of their cells has a centroid margin of at most
-  ``r / 2`` times the distance of the centroids, so looking there from either side loses no pair;
+  lie ``r`` apart, the one of them that is nearer to the border of their cells is at most ``r / 2`` away from it, so
+  looking across borders that near from both sides loses no pair. Where vectors lie so densely that this means many
+  cells, each first finds the distance of its k-th neighbour in its own cell and then looks across borders nearer than that;
 * without one, a fixed number of nearest cells.
 
 Hot classes of equal vectors (more than ``HOT_COPIES``) are searched through their first members; the others have
@@ -153,22 +154,30 @@ def _list_array(column) -> pa.Array:
     return whole
 
 
-def probes(x: np.ndarray, c: np.ndarray, radius: float | None, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(own cell of each vector, row of each further look, its cell)."""
+#: Cells a vector may look into on average before its own nearest are found first, to bound where it looks.
+MANY_LOOKS = 32
+
+
+def probes(x: np.ndarray, c: np.ndarray, reach: float | np.ndarray | None, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own cell of each vector, row of each further look, its cell).
+
+    With ``reach``, cells whose border lies no further away than that (one number, or one per vector); else the ``nearest`` cells.
+    """
     score = x @ c.T - 0.5 * (c * c).sum(axis=1)
     own = score.argmax(axis=1)
     rows = np.arange(len(x))
-    if radius is None:
+    if reach is None:
         k = min(nearest, len(c))
         best = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < len(c) else np.broadcast_to(np.arange(len(c)), score.shape)
         at, cell = np.repeat(rows, best.shape[1]), best.ravel()
         other = cell != own[at]
         return own, at[other], cell[other]
+    limit = np.broadcast_to(np.asarray(reach, dtype=np.float32), (len(x),))
     lead = score[rows, own][:, None] - score
-    # |c_own - c| per pair from a table: few cells come near
-    at, cell = np.nonzero(lead <= 0.5 * radius * _WIDEST)
+    at, cell = np.nonzero(lead <= limit[:, None] * _WIDEST)
+    # the border between two cells is a plane; the lead over the distance of the centroids is the distance from it
     gap = np.linalg.norm(c[own[at]] - c[cell], axis=1)
-    near = (lead[at, cell] <= 0.5 * radius * gap + 1e-5) & (cell != own[at])
+    near = (lead[at, cell] <= limit[at] * gap + 1e-5) & (cell != own[at])
     return own, at[near], cell[near]
 
 
@@ -177,6 +186,8 @@ _WIDEST = 2.0
 
 _ROWS = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("role", pa.int8()), ("vec_id", pa.int64()), ("x", pa.binary())])
 _ROWS_SQL = "cell int, block int, role byte, vec_id long, x binary"
+_REACHED = pa.schema([("vec_id", pa.int64()), ("x", pa.binary()), ("reach", pa.float64())])
+_REACHED_SQL = "vec_id long, x binary, reach double"
 _PAIRS = pa.schema([("vec_id", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
 _PAIRS_SQL = "vec_id long, other long, similarity double"
 
@@ -265,7 +276,7 @@ def _split_hot(vectors: DataFrame, k: int, copies: int) -> tuple[DataFrame, Data
     return rest.unionByName(kept), pairs
 
 
-def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest: int = 24, queries: DataFrame | None = None, vec_id: str = "vec_id", values: str = "detector_values", copies: int = HOT_COPIES, cell: int = CELL) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest: int = 24, queries: DataFrame | None = None, vec_id: str = "vec_id", values: str = "detector_values", copies: int = HOT_COPIES, cell: int = CELL, many_looks: float = MANY_LOOKS) -> DataFrame:
     """(vec_id, other, similarity, rank): the k vectors most similar in cosine to every vector, or to every row of ``queries``.
 
     With ``least``, only partners of at least that cosine, and none of them is lost to the choice of cells. Without
@@ -287,16 +298,25 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
     turn = rotation(dims, max(dims, BITS if least is not None else MORE_BITS))
     shared = spark.sparkContext.broadcast((c, turn))  # at most MOST_CELLS * dims * 4 bytes
     radius = None if least is None else float(np.sqrt(max(0.0, 2 - 2 * least)))
+    half = None if radius is None else radius / 2
+    dense = radius is not None and queries is None and len(probes(sample[:5000], c, half, 0)[1]) > many_looks * min(5000, len(sample))
     blocks = max(1, round(total / (len(c) * BLOCK)))  # of every cell, so that tasks stay bounded as cells grow
     all_query = queries is None
 
-    def place(batches: Iterator[pa.RecordBatch], as_query: bool, as_member: bool) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch], as_query: bool, as_member: bool, reached: bool = False) -> Iterator[pa.RecordBatch]:
         c, _ = shared.value
         for batch in batches:
-            ids, x = unit_rows(batch.column("vec_id").to_numpy(), batch.column("x"), dims)
+            reach: float | np.ndarray | None = half
+            if reached:  # unit vectors already, each with its own reach
+                ids, x, reach = batch.column("vec_id").to_numpy(), np.frombuffer(b"".join(batch.column("x").to_pylist()), dtype=np.float32).reshape(-1, dims), batch.column("reach").to_numpy()
+            else:
+                ids, x = unit_rows(batch.column("vec_id").to_numpy(), batch.column("x"), dims)
             for a in range(0, len(ids), 2048):
                 pid, px = ids[a : a + 2048], x[a : a + 2048]
-                own, at, other = probes(px, c, radius, nearest) if as_query else (np.argmax(px @ c.T - 0.5 * (c * c).sum(axis=1), axis=1), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+                if as_query:
+                    own, at, other = probes(px, c, reach[a : a + 2048] if reached else reach, nearest)
+                else:
+                    own, at, other = np.argmax(px @ c.T - 0.5 * (c * c).sum(axis=1), axis=1), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
                 n = len(pid)
                 parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
                 if as_member:
@@ -306,7 +326,7 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
                     for b in range(blocks):
                         # a member is a query of its own block already
                         away = np.ones(len(row_of), dtype=bool)
-                        if as_member:
+                        if as_member or reached:
                             away[:n] = pid % blocks != b
                         parts.append((cell_of[away], np.full(int(away.sum()), b), row_of[away], 1))
                 for cells_, block, row, role in parts:
@@ -315,12 +335,6 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
                         data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.arange(len(row) + 1, dtype=np.int32) * dims * 4).tobytes()), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
                         yield pa.RecordBatch.from_arrays([pa.array(cells_.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(row), role, dtype=np.int8)), pa.array(pid[row]), data], schema=_ROWS)
 
-    if all_query:
-        placed = spread(searched).mapInArrow(lambda it: place(it, True, True), _ROWS_SQL)
-    else:
-        asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).cast("array<float>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
-        placed = searched.mapInArrow(lambda it: place(it, False, True), _ROWS_SQL).unionByName(spread(asked).mapInArrow(lambda it: place(it, True, False), _ROWS_SQL))
-
     def search(key: tuple, table: pa.Table) -> pa.Table:
         c, turn = shared.value
         ids, x = _vectors(table, 0, dims)
@@ -332,6 +346,30 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
         a, b, s = search_block(ids, x, qids, q, c[key[0].as_py()], turn, k, least, all_query)
         return pa.table({"vec_id": a, "other": b, "similarity": s}, schema=_PAIRS)
 
+    def measure(key: tuple, table: pa.Table) -> pa.Table:
+        """Members with the distance within which their k nearest must lie."""
+        c, turn = shared.value
+        ids, x = _vectors(table, 0, dims)
+        a, _, s = search_block(ids, x, ids, x, c[key[0].as_py()], turn, k, least, False)
+        reach = np.full(len(ids), radius, dtype=np.float64)
+        which, count = np.unique(a, return_counts=True)
+        full = np.isin(a, which[count == k])
+        if full.any():
+            order = np.argsort(a[full], kind="stable")
+            whose, start = np.unique(a[full][order], return_index=True)
+            worst = np.minimum.reduceat(s[full][order], start)
+            reach[np.searchsorted(ids, whose)] = np.minimum(radius, np.sqrt(np.maximum(2 - 2 * worst, 0)) + 1e-6)
+        return pa.table({"vec_id": ids, "x": pa.array([v.tobytes() for v in x], pa.binary()), "reach": reach}, schema=_REACHED)
+
+    if dense:
+        home = materialise(spread(searched).mapInArrow(lambda it: place(it, False, True), _ROWS_SQL))
+        reached = home.groupBy("cell", "block").applyInArrow(measure, _REACHED_SQL)
+        placed = home.unionByName(reached.mapInArrow(lambda it: place(it, True, False, True), _ROWS_SQL))
+    elif all_query:
+        placed = spread(searched).mapInArrow(lambda it: place(it, True, True), _ROWS_SQL)
+    else:
+        asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).cast("array<float>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
+        placed = searched.mapInArrow(lambda it: place(it, False, True), _ROWS_SQL).unionByName(spread(asked).mapInArrow(lambda it: place(it, True, False), _ROWS_SQL))
     pairs = placed.groupBy("cell", "block").applyInArrow(search, _PAIRS_SQL)
     if inside is not None:
         wanted = inside if all_query else inside.join(asked.select("vec_id"), "vec_id", "left_semi")

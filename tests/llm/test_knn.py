@@ -47,6 +47,23 @@ def test_small_cells_lose_nothing(data):
         assert np.allclose(sorted(s), sorted(v for _, v in want[i]), atol=1e-5)
 
 
+def test_dense_vectors_look_less_and_lose_nothing(data, spark):
+    df, u = data
+    sparse = {(r["vec_id"], r["other"]) for r in knn.neighbours(df, 5, 0.97, cell=40, many_looks=0).collect()}
+    plain = {(r["vec_id"], r["other"]) for r in knn.neighbours(df, 5, 0.97, cell=40).collect()}
+    assert sparse == plain
+    rng = np.random.default_rng(5)
+    ball = np.ones(12) + rng.normal(0, 0.004, (900, 12))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(ball, 1)]
+    f = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    f /= np.linalg.norm(f, axis=1, keepdims=True)
+    got = {}
+    for r in knn.neighbours(spark.createDataFrame(rows, "vec_id long, detector_values array<float>"), 5, 0.99, cell=30, many_looks=1).collect():
+        got.setdefault(r["vec_id"], []).append(r["similarity"])
+    for i, best in brute(f, 5).items():
+        assert np.allclose(sorted(got[i]), sorted(v for _, v in best), atol=1e-6)
+
+
 def test_recall_without_least(data):
     df, u = data
     q = df.filter("vec_id % 20 = 0")
