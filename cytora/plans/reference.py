@@ -23,4 +23,4 @@ def query(sql: str | None = None, name: str | None = None):
     return take
 
 
-from cytora.plans import reference_events, reference_models, reference_tables  # noqa: E402, F401
+from cytora.plans import reference_events, reference_models, reference_more, reference_tables  # noqa: E402, F401

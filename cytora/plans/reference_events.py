@@ -290,7 +290,7 @@ def cosine_similarity(spark, d):
 
 @query(f"WITH {ITEMS_SQL} " + " UNION ALL ".join(f"SELECT sample_id, '{a}' AS primary_channel, '{b}' AS detector, round(regr_slope({b}, {a}), 6) AS slope FROM ev WHERE q >= 10 GROUP BY sample_id" for a in "qpd" for b in "qpd" if a != b))
 def spillover_slopes(spark, d):
-    """Slope of every detector over every primary channel on the gated events of each control."""
+    """Slope of every detector over every primary channel on the events inside the gate of each control."""
     rows = items(spark, d).filter(X.at_least(F.col("q"), 10.0))
     pairs = [(a, b) for a in "qpd" for b in "qpd" if a != b]
     sums = rows.groupBy("sample_id").agg(*[F.regr_slope(b, a).alias(f"{a}_{b}") for a, b in pairs])

@@ -16,7 +16,7 @@ from cytora.operators.fits.curves import Curve
 from cytora.plans.adapters import items, timed
 from cytora.plans.reference import QUERIES, query
 from cytora.plans.reference_tables import survival, two_sample
-from cytora.session import table
+from cytora.session import spread, table
 
 r6 = lambda c: F.round(c, 6)
 
@@ -129,7 +129,7 @@ def integrated(rows: DataFrame, batch: str, channels: list[str], probabilities:
 
     keep = [c for c in rows.columns if c not in channels]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", " + ", ".join(f"{c} float" for c in channels)
-    return rows.select(*keep, *channels).mapInPandas(bend, fields)
+    return spread(rows.select(*keep, *channels)).mapInPandas(bend, fields)
 
 
 @query()

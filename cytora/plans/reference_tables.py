@@ -324,7 +324,7 @@ def bead_window(spark, d):
     return beads.isotope_window(items(spark, d), "sample_id", "p").select("sample_id", r4(F.col("low")).alias("low"), r4(F.col("high")).alias("high"))
 
 
-def _gated(spark, d) -> DataFrame:
+def _bead_rows(spark, d) -> DataFrame:
     window = beads.isotope_window(items(spark, d), "sample_id", "p")
     rows = keyed_items(spark, d).join(window, "sample_id")
     inside = X.at_least(F.col("p"), F.col("low")) & X.at_most(F.col("p"), F.col("high")) & X.below(F.col("d"), 0.08)
@@ -333,12 +333,12 @@ def _gated(spark, d) -> DataFrame:
 
 @query(f"WITH {ITEMS_SQL}, {_WINDOW} SELECT sample_id, CAST(sum(CASE WHEN p >= low AND p <= high AND d < 0.08 THEN 1 ELSE 0 END) AS BIGINT) AS beads, count(*) AS events FROM ev JOIN win USING (sample_id) GROUP BY 1")
 def bead_gate(spark, d):
-    return _gated(spark, d).groupBy("sample_id").agg(F.sum(F.col("is_bead").cast("long")).alias("beads"), F.count(F.lit(1)).alias("events"))
+    return _bead_rows(spark, d).groupBy("sample_id").agg(F.sum(F.col("is_bead").cast("long")).alias("beads"), F.count(F.lit(1)).alias("events"))
 
 
 @query(f"WITH {ITEMS_SQL}, {_WINDOW} SELECT sample_id, count(*) AS kept, round(sum(q), 2) AS total_q FROM ev JOIN win USING (sample_id) WHERE NOT p >= low GROUP BY 1")
 def bead_removal_anti(spark, d):
-    return _gated(spark, d).filter(~F.col("is_removed")).groupBy("sample_id").agg(F.count(F.lit(1)).alias("kept"), F.round(F.sum("q"), 2).alias("total_q"))
+    return _bead_rows(spark, d).filter(~F.col("is_removed")).groupBy("sample_id").agg(F.count(F.lit(1)).alias("kept"), F.round(F.sum("q"), 2).alias("total_q"))
 
 
 _BINS = f"""i AS (SELECT sample_id, time, value, row_number() OVER (PARTITION BY sample_id ORDER BY time, event_id) - 1 AS k, count(*) OVER (PARTITION BY sample_id) AS n FROM ev),
