@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytora.session import hashed
+
 BLOCK, HALO = 4096, 128
 #: Deviation from the level on both sides, in scatters, from which a short excursion is implausible: about ten,
 #: less what the estimate of the scatter from some hundred readings may be too large by.
@@ -184,7 +186,7 @@ _SCHEMA = "series_id long, bin_idx int, score double, is_limit boolean, is_stuck
 
 
 def _judge_block(key: tuple, pdf: pd.DataFrame, block: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("bin_idx", kind="stable")
+    pdf = pdf.drop_duplicates("bin_idx").sort_values("bin_idx")
     raw, time = pdf["raw_median"].to_numpy(float), pdf["bin_time"].to_numpy(float)
     maximum = pdf["maximum"].max()
     found = judge(raw, time, pdf["has_raw"].to_numpy(bool), pdf["has_time"].to_numpy(bool), maximum, seed=int(key[0]) & 0xFFFFFFFF)
@@ -209,8 +211,8 @@ def judge_series(series: DataFrame, limits: DataFrame, block: int = BLOCK, halo:
     ready = bins.select(
         "series_id", "bin_idx", "raw_median", "bin_time", "maximum", F.col("raw_median").isNotNull().alias("has_raw"), F.col("bin_time").isNotNull().alias("has_time"),
         F.explode(F.sequence(F.least(F.greatest(F.floor((F.col("bin_idx") - halo) / block), F.lit(0)), F.floor(F.col("bin_idx") / block)), F.floor((F.col("bin_idx") + halo) / block))).alias("block"),
-    ).dropDuplicates(["series_id", "block", "bin_idx"])
-    return ready.groupBy("series_id", "block").applyInPandas(lambda key, pdf: _judge_block(key, pdf, block), _SCHEMA)
+    )
+    return hashed(ready, "series_id", "block").groupBy("series_id", "block").applyInPandas(lambda key, pdf: _judge_block(key, pdf, block), _SCHEMA)
 
 
 def implausible_bins(series: DataFrame, samples: DataFrame, channels: DataFrame) -> DataFrame:

@@ -48,3 +48,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def hashed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys`` for work that Python does group by group.
+
+    The number of partitions is stated, as adaptive execution would put groups of few bytes but much work into one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
