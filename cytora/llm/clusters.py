@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-from cytora.session import materialise
+from cytora.session import hashed, materialise
 
 #: Events a population has at least, and rows of a group from which it is split into chunks of so many rows.
 MIN_EVENTS, HOT_ROWS = 20, 250_000
@@ -430,7 +430,7 @@ def populations(events: DataFrame, channels: DataFrame, hot_rows: int = HOT_ROWS
     hot = materialise(hot)  # few rows: at most one for every ``hot_rows`` events
     many = hot.count()
     cold = rows.join(hot.select("group_id"), "group_id", "left_anti") if many else rows
-    out = cold.groupBy("group_id").cogroup(cofactors.groupBy("group_id")).applyInArrow(_whole_group, _ASSIGNED)
+    out = hashed(cold, "group_id").groupBy("group_id").cogroup(hashed(cofactors, "group_id").groupBy("group_id")).applyInArrow(_whole_group, _ASSIGNED)
     return out.unionByName(_hot_clusters(rows, cofactors, hot)) if many else out
 
 

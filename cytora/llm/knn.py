@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytora.session import materialise, spread
+from cytora.session import hashed, materialise, spread
 
 #: Vectors the centroids are fitted on, vectors aimed at in a cell, and bounds of the number of cells.
 SAMPLE, CELL, MOST_CELLS = 40_000, 800, 4096
@@ -288,6 +288,7 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
     if not dims:
         return spark.createDataFrame([], "vec_id long, other long, similarity double, rank int")
     searched, inside = _split_hot(rows, k, copies)
+    wide = spread(searched) if inside is None else searched
     keep = min(1.0, 1.2 * SAMPLE / total)
     some = searched.filter(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000)) < int(keep * 1_000_000)).limit(SAMPLE)
     picked = some.toArrow()
@@ -362,15 +363,15 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
         return pa.table({"vec_id": ids, "x": pa.array([v.tobytes() for v in x], pa.binary()), "reach": reach}, schema=_REACHED)
 
     if dense:
-        home = materialise(spread(searched).mapInArrow(lambda it: place(it, False, True), _ROWS_SQL))
-        reached = home.groupBy("cell", "block").applyInArrow(measure, _REACHED_SQL)
+        home = materialise(wide.mapInArrow(lambda it: place(it, False, True), _ROWS_SQL))
+        reached = hashed(home, "cell", "block").groupBy("cell", "block").applyInArrow(measure, _REACHED_SQL)
         placed = home.unionByName(reached.mapInArrow(lambda it: place(it, True, False, True), _ROWS_SQL))
     elif all_query:
-        placed = spread(searched).mapInArrow(lambda it: place(it, True, True), _ROWS_SQL)
+        placed = wide.mapInArrow(lambda it: place(it, True, True), _ROWS_SQL)
     else:
         asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).cast("array<float>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
-        placed = searched.mapInArrow(lambda it: place(it, False, True), _ROWS_SQL).unionByName(spread(asked).mapInArrow(lambda it: place(it, True, False), _ROWS_SQL))
-    pairs = placed.groupBy("cell", "block").applyInArrow(search, _PAIRS_SQL)
+        placed = wide.mapInArrow(lambda it: place(it, False, True), _ROWS_SQL).unionByName(spread(asked).mapInArrow(lambda it: place(it, True, False), _ROWS_SQL))
+    pairs = hashed(placed, "cell", "block").groupBy("cell", "block").applyInArrow(search, _PAIRS_SQL)
     if inside is not None:
         wanted = inside if all_query else inside.join(asked.select("vec_id"), "vec_id", "left_semi")
         pairs = pairs.unionByName(wanted)
