@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytora.session import hashed, materialise, spread
@@ -257,13 +257,22 @@ def hot_classes(vectors: DataFrame, copies: int = HOT_COPIES) -> DataFrame:
     return hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > copies)
 
 
-def _split_hot(vectors: DataFrame, k: int, copies: int) -> tuple[DataFrame, DataFrame | None]:
-    """(vectors to search, pairs inside hot classes): of a hot class only the first k + 1 members are searched."""
+def usable(dims: int) -> Column:
+    """The rule of ``unit_rows`` on column ``x``: ``dims`` finite values, not all zero."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+    return (F.size("x") == dims) & F.forall("x", finite) & F.exists("x", lambda v: v != 0)
+
+
+def _split_hot(vectors: DataFrame, k: int, copies: int, dims: int) -> tuple[DataFrame, DataFrame | None]:
+    """(vectors to search, pairs inside hot classes): of a hot class only the first k + 1 members are searched.
+
+    Hot classes of arrays that are no vectors are left out whole.
+    """
     hot = materialise(hot_classes(vectors, copies))
     if hot.isEmpty():
         return vectors, None
     hashed = vectors.withColumns({"h1": F.xxhash64("x"), "h2": F.hash("x")})
-    members = materialise(hashed.join(hot, ["h1", "h2"]).select("h1", "h2", "n", "vec_id", "x"))
+    members = materialise(hashed.join(hot, ["h1", "h2"]).filter(usable(dims)).select("h1", "h2", "n", "vec_id", "x"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / 5000)))
     firsts = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
     part = salted.groupBy("h1", "h2", "salt").agg(firsts(F.collect_set("vec_id")).alias("v"))
@@ -287,7 +296,7 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
     dims, total = _dims(rows), rows.count()
     if not dims:
         return spark.createDataFrame([], "vec_id long, other long, similarity double, rank int")
-    searched, inside = _split_hot(rows, k, copies)
+    searched, inside = _split_hot(rows, k, copies, dims)
     wide = spread(searched) if inside is None else searched
     keep = min(1.0, 1.2 * SAMPLE / total)
     some = searched.filter(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000)) < int(keep * 1_000_000)).limit(SAMPLE)

@@ -96,6 +96,17 @@ def test_hot_copies(spark):
     assert any(1000 in p for p in split)
 
 
+def test_hot_copies_of_bad_vectors_are_left_out(spark):
+    rng = np.random.default_rng(4)
+    good = [(i, [float(v) for v in rng.lognormal(0, 1, 8)]) for i in range(1, 401)]
+    bad = [[0.0] * 8, [float("nan")] * 8, [1.0] * 7 + [float("inf")], [1.0] * 3]
+    rows = good + [(1000 * (b + 1) + i, x) for b, x in enumerate(bad) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, detector_values array<float>")
+    for q in (None, df):
+        got = knn.neighbours(df, 5, 0.9, copies=100, queries=q).collect()
+        assert got and max(max(r["vec_id"], r["other"]) for r in got) <= 400
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 24)).astype(np.float32)
