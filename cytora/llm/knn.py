@@ -12,7 +12,7 @@ Which cells a query looks into:
   lie ``r`` apart, the one of them that is nearer to the border of their cells is at most ``r / 2`` away from it, so
   looking across borders that near from both sides loses no pair. Where vectors lie so densely that this means many
   cells, each first finds the distance of its k-th neighbour in its own cell and then looks across borders nearer than that;
-* without one, a fixed number of nearest cells.
+* without one, the nearest cells: a fixed share of all of them, so that the search does not get sparser as cells multiply.
 
 Hot classes of equal vectors (more than ``HOT_COPIES``) are searched through their first members; the others have
 these as their nearest, as the similarity cannot be exceeded. Large cells are split into blocks.
@@ -40,6 +40,8 @@ SAMPLE, CELL, MOST_CELLS = 40_000, 800, 4096
 BITS, MORE_BITS, PLANES, BOUND = 64, 256, 4, 3.0
 #: Members of a cell that one task compares at once, and equal vectors from which a class is hot.
 BLOCK, HOT_COPIES = 4096, 2000
+#: Without a least similarity, share of all cells a query looks into, and the cells it looks into at least.
+SHARE, NEAREST = 1 / 8, 24
 _SEED = 20240607
 #: Queries whose bounds are computed together, so that the intermediate matrices stay in the cache.
 _AT_ONCE = 128
@@ -181,6 +183,11 @@ def probes(x: np.ndarray, c: np.ndarray, reach: float | np.ndarray | None, neare
     return own, at[near], cell[near]
 
 
+def looked_into(cells: int, nearest: int = NEAREST) -> int:
+    """Cells that a query without a least similarity looks into."""
+    return min(cells, max(nearest, int(np.ceil(SHARE * cells))))
+
+
 #: No two points of the unit ball lie further apart.
 _WIDEST = 2.0
 
@@ -285,11 +292,11 @@ def _split_hot(vectors: DataFrame, k: int, copies: int, dims: int) -> tuple[Data
     return rest.unionByName(kept), pairs
 
 
-def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest: int = 24, queries: DataFrame | None = None, vec_id: str = "vec_id", values: str = "detector_values", copies: int = HOT_COPIES, cell: int = CELL, many_looks: float = MANY_LOOKS) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest: int = NEAREST, queries: DataFrame | None = None, vec_id: str = "vec_id", values: str = "detector_values", copies: int = HOT_COPIES, cell: int = CELL, many_looks: float = MANY_LOOKS) -> DataFrame:
     """(vec_id, other, similarity, rank): the k vectors most similar in cosine to every vector, or to every row of ``queries``.
 
     With ``least``, only partners of at least that cosine, and none of them is lost to the choice of cells. Without
-    it the nearest cells are searched.
+    it the nearest cells are searched, ``nearest`` or a ``SHARE`` of all cells, whichever is more.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).cast("array<float>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
     spark = vectors.sparkSession
@@ -305,6 +312,7 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
     if not len(sample):
         return spark.createDataFrame([], "vec_id long, other long, similarity double, rank int")
     c = centroids(sample, int(max(1, min(MOST_CELLS, total / cell, len(sample) / 8))))
+    looks = looked_into(len(c), nearest)
     turn = rotation(dims, max(dims, BITS if least is not None else MORE_BITS))
     shared = spark.sparkContext.broadcast((c, turn))  # at most MOST_CELLS * dims * 4 bytes
     radius = None if least is None else float(np.sqrt(max(0.0, 2 - 2 * least)))
@@ -324,7 +332,7 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
             for a in range(0, len(ids), 2048):
                 pid, px = ids[a : a + 2048], x[a : a + 2048]
                 if as_query:
-                    own, at, other = probes(px, c, reach[a : a + 2048] if reached else reach, nearest)
+                    own, at, other = probes(px, c, reach[a : a + 2048] if reached else reach, looks)
                 else:
                     own, at, other = np.argmax(px @ c.T - 0.5 * (c * c).sum(axis=1), axis=1), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
                 n = len(pid)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from cytora.llm import knn
@@ -77,6 +78,21 @@ def test_recall_without_least(data):
     assert hits >= 0.9 * 5 * len(got)
 
 
+def test_recall_does_not_fall_with_the_number_of_cells():
+    t = pq.read_table("/root/testdata/sf0.1/spectral_events.parquet", columns=["vec_id", "detector_values"])
+    ids, x = knn.unit_rows(t.column("vec_id").to_numpy(), knn._list_array(t.column("detector_values")), 32)
+    x = x[np.random.default_rng(6).permutation(np.unique(ids, return_index=True)[1])]
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -2
+    near = np.argpartition(-s, 9, axis=1)[:, :10]
+    for cells in (500, 4096):
+        c = knn.centroids(x, cells)
+        own = np.concatenate([(part @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1) for part in np.array_split(x, 10)])
+        home, at, other = knn.probes(x[:200], c, None, knn.looked_into(len(c)))
+        seen = {*zip(range(200), home.tolist()), *zip(at.tolist(), other.tolist())}
+        assert np.mean([(i, own[j]) in seen for i in range(200) for j in near[i]]) >= 0.99
+
+
 def test_hot_copies(spark):
     rng = np.random.default_rng(1)
     one = [float(v) for v in rng.uniform(1, 2, 8)]
