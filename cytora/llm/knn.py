@@ -15,7 +15,8 @@ Which cells a query looks into:
 * without one, the nearest cells: a fixed share of all of them, so that the search does not get sparser as cells multiply.
 
 Hot classes of equal vectors (more than ``HOT_COPIES``) are searched through their first members; the others have
-these as their nearest, as the similarity cannot be exceeded. Large cells are split into blocks.
+these as their nearest, as the similarity cannot be exceeded. A cell is split into as many blocks of members as its own size asks for;
+queries pass a block in batches.
 
 Defined results: null, all-zero, non-finite and wrongly long vectors are left out; rows that repeat a vec_id are
 one vector; ties in similarity go to the smaller vec_id.
@@ -199,40 +200,81 @@ _PAIRS = pa.schema([("vec_id", pa.int64()), ("other", pa.int64()), ("similarity"
 _PAIRS_SQL = "vec_id long, other long, similarity double"
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, least: float | None, mutual: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, partner, similarity): for every query its k best members, and with ``mutual`` the k best queries of every member."""
-    codes = Codes(x, centre, turn)
-    queries: list[np.ndarray] = []
-    members: list[np.ndarray] = []
-    sims: list[np.ndarray] = []
-    for a in range(0, len(q), _AT_ONCE):
-        part, pids = q[a : a + _AT_ONCE], qids[a : a + _AT_ONCE]
-        under, over = codes.bounds(part, centre, turn, upper=least is None)
-        if least is not None:
+#: Pairs that a search gathers before it keeps the best of them only, and placed rows that are handed on together.
+GATHERED, HANDED = 200_000, 32_768
+_Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class Search:
+    """Queries against the members of one block. No more than the ``k`` best of a query or a member are kept beyond a batch of queries."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, least: float | None, mutual: bool):
+        self.ids, self.x, self.centre, self.turn = ids, x, centre, turn
+        self.k, self.least, self.mutual = k, least, mutual
+        self.codes = Codes(x, centre, turn)
+        self._back: list[_Found] = []
+
+    def _pairs(self, pids: np.ndarray, part: np.ndarray) -> _Found:
+        """(query, place of the member, similarity) of all pairs of a few queries that may matter."""
+        under, over = self.codes.bounds(part, self.centre, self.turn, upper=self.least is None)
+        if self.least is not None:
             # of unit vectors, the squared distance is 2 - 2 * similarity
-            possible = under <= 2 - 2 * least
+            possible = under <= 2 - 2 * self.least
         else:
-            kk = min(k + 1, len(ids)) - 1  # one place for the query itself
+            kk = min(self.k + 1, len(self.ids)) - 1  # one place for the query itself
             possible = under <= np.partition(over, kk, axis=1)[:, kk, None]
         i, j = np.nonzero(possible)
-        other = pids[i] != ids[j]
+        other = pids[i] != self.ids[j]
         i, j = i[other], j[other]
-        if not len(i):
-            continue
-        exact = np.einsum("nd,nd->n", part[i].astype(np.float64), x[j].astype(np.float64))
-        good = np.ones(len(i), dtype=bool) if least is None else exact >= least - 1e-9
-        queries.append(a + i[good])
-        members.append(j[good])
-        sims.append(exact[good])
-    if not queries:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, np.zeros(0)
-    i, j, s = np.concatenate(queries), np.concatenate(members), np.concatenate(sims)
-    mine = _top(qids[i], ids[j], s, k)
-    if not mutual:
-        return qids[i][mine], ids[j][mine], s[mine]
-    back = _top(ids[j], qids[i], s, k)
-    return np.concatenate([qids[i][mine], ids[j][back]]), np.concatenate([ids[j][mine], qids[i][back]]), np.concatenate([s[mine], s[back]])
+        if len(i) > possible.size // 8:  # most pairs: one product of matrices
+            exact = (part.astype(np.float64) @ self.x.T.astype(np.float64))[i, j]
+        else:
+            exact = np.einsum("nd,nd->n", part[i].astype(np.float64), self.x[j].astype(np.float64))
+        good = np.ones(len(i), dtype=bool) if self.least is None else exact >= self.least - 1e-9
+        return pids[i[good]], j[good], exact[good]
+
+    def run(self, qids: np.ndarray, q: np.ndarray) -> Iterator[_Found]:
+        """(query, partner, similarity): for every query its k best members."""
+        held: list[_Found] = []
+        for a in range(0, len(q), _AT_ONCE):
+            held.append(self._pairs(qids[a : a + _AT_ONCE], q[a : a + _AT_ONCE]))
+            if sum(len(h[0]) for h in held) > GATHERED:
+                yield self._reduce(held)
+                held = []
+        if held:
+            yield self._reduce(held)
+
+    def _reduce(self, held: list[_Found]) -> _Found:
+        i, j, s = (np.concatenate(v) for v in zip(*held))
+        mine = _top(i, self.ids[j], s, self.k)
+        if self.mutual:
+            best = _top(j, i, s, self.k)
+            self._back.append((i[best], j[best], s[best]))
+            if len(self._back) > 1 and sum(len(b[0]) for b in self._back) > GATHERED:
+                self._back = [self._merged()]
+        return i[mine], self.ids[j[mine]], s[mine]
+
+    def _merged(self) -> _Found:
+        i, j, s = (np.concatenate(v) for v in zip(*self._back))
+        order = np.lexsort((-s, i, j))  # a query that came twice counts once
+        first = np.r_[True, (np.diff(j[order]) != 0) | (np.diff(i[order]) != 0)][: len(order)]
+        i, j, s = i[order][first], j[order][first], s[order][first]
+        best = _top(j, i, s, self.k)
+        return i[best], j[best], s[best]
+
+    def back(self) -> _Found:
+        """With ``mutual``, (member, query, similarity): for every member the k best of all queries so far."""
+        if not self._back:
+            empty = np.zeros(0, dtype=np.int64)
+            return empty, empty, np.zeros(0)
+        i, j, s = self._merged()
+        return self.ids[j], i, s
+
+
+def own_blocks(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Block of each member among the ``blocks`` of its cell; ids are mixed, as they may all be multiples of one number."""
+    mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    return (mixed % blocks.astype(np.uint64)).astype(np.int64)
 
 
 def _top(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
@@ -318,9 +360,22 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
     radius = None if least is None else float(np.sqrt(max(0.0, 2 - 2 * least)))
     half = None if radius is None else radius / 2
     dense = radius is not None and queries is None and len(probes(sample[:5000], c, half, 0)[1]) > many_looks * min(5000, len(sample))
-    blocks = max(1, round(total / (len(c) * BLOCK)))  # of every cell, so that tasks stay bounded as cells grow
     all_query = queries is None
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, n = shared.value[0], np.zeros(len(shared.value[0]), dtype=np.int64)
+        for batch in batches:
+            _, x = unit_rows(batch.column("vec_id").to_numpy(), batch.column("x"), dims)
+            for a in range(0, len(x), 2048):
+                n += np.bincount(np.argmax(x[a : a + 2048] @ c.T - 0.5 * (c * c).sum(axis=1), axis=1), minlength=len(c))
+        full = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(n[full])], names=["cell", "n"])
+
+    counted = wide.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most MOST_CELLS rows
+    blocks = np.ones(len(c), dtype=np.int64)
+    for r in counted:
+        blocks[r["cell"]] = -(-r["n"] // BLOCK)  # every cell by its own size, so that no task holds more than a block of members
+
     def place(batches: Iterator[pa.RecordBatch], as_query: bool, as_member: bool, reached: bool = False) -> Iterator[pa.RecordBatch]:
         c, _ = shared.value
         for batch in batches:
@@ -338,37 +393,64 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
                 n = len(pid)
                 parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
                 if as_member:
-                    parts.append((own, pid % blocks, np.arange(n), 0))
+                    parts.append((own, own_blocks(pid, blocks[own]), np.arange(n), 0))
                 if as_query:
                     cell_of, row_of = np.concatenate([own, other]), np.concatenate([np.arange(n), at])
-                    for b in range(blocks):
-                        # a member is a query of its own block already
-                        away = np.ones(len(row_of), dtype=bool)
-                        if as_member or reached:
-                            away[:n] = pid % blocks != b
-                        parts.append((cell_of[away], np.full(int(away.sum()), b), row_of[away], 1))
-                for cells_, block, row, role in parts:
-                    if len(row):
-                        raw = px[row]
-                        data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.arange(len(row) + 1, dtype=np.int32) * dims * 4).tobytes()), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
-                        yield pa.RecordBatch.from_arrays([pa.array(cells_.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(row), role, dtype=np.int8)), pa.array(pid[row]), data], schema=_ROWS)
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
+                    times = blocks[cell_of]
+                    upto = np.cumsum(times)
+                    lo = 0
+                    while lo < len(times):  # a bounded number of rows at once, however many blocks there are
+                        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + HANDED, "right")))
+                        look = np.repeat(np.arange(lo, hi), times[lo:hi])
+                        b = np.arange(len(look)) - np.repeat(upto[lo:hi] - times[lo:hi] - (upto[lo - 1] if lo else 0), times[lo:hi])
+                        if as_member or reached:  # a member is a query of its own block already
+                            away = (look >= n) | (b != own_blocks(pid[row_of[look]], blocks[cell_of[look]]))
+                            look, b = look[away], b[away]
+                        parts.append((cell_of[look], b, row_of[look], 1))
+                        yield from handed(pid, px, parts)
+                        parts, lo = [], hi
+                yield from handed(pid, px, parts)
+
+    def handed(pid: np.ndarray, px: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+        for cells_, block_, row, role in parts:
+            if len(row):
+                data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.arange(len(row) + 1, dtype=np.int32) * dims * 4).tobytes()), pa.py_buffer(np.ascontiguousarray(px[row]).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(cells_.astype(np.int32)), pa.array(block_.astype(np.int32)), pa.array(np.full(len(row), role, dtype=np.int8)), pa.array(pid[row]), data], schema=_ROWS)
+
+    def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members come first, as rows are sorted by role; queries are then met batch by batch."""
         c, turn = shared.value
-        ids, x = _vectors(table, 0, dims)
-        qids, q = _vectors(table, 1, dims)
-        if all_query:
-            qids, q = np.concatenate([ids, qids]), np.concatenate([x, q])
-        if not len(ids) or not len(qids):
-            return _PAIRS.empty_table()
-        a, b, s = search_block(ids, x, qids, q, c[key[0].as_py()], turn, k, least, all_query)
-        return pa.table({"vec_id": a, "other": b, "similarity": s}, schema=_PAIRS)
+        members: list[pa.RecordBatch] = []
+        found: Search | None = None
+
+        def begin() -> Iterator[_Found]:
+            nonlocal found
+            ids, x = _vectors(pa.Table.from_batches(members, schema=members[0].schema), 0, dims)
+            found = Search(ids, x, c[key[0].as_py()], turn, k, least, all_query)
+            if all_query:
+                yield from found.run(ids, x)
+
+        out = lambda v: pa.RecordBatch.from_arrays([pa.array(v[0]), pa.array(v[1]), pa.array(v[2])], schema=_PAIRS)
+        for batch in batches:
+            role = batch.column("role").to_numpy()
+            if (role == 0).any():
+                assert found is None, "members come before queries"
+                members.append(batch.filter(pa.array(role == 0)))
+            if (role == 1).any() and members:
+                if found is None:
+                    yield from map(out, begin())
+                yield from map(out, found.run(*_vectors(pa.Table.from_batches([batch]), 1, dims)))
+        if found is None and members:
+            yield from map(out, begin())
+        if found is not None and all_query:
+            yield out(found.back())
 
     def measure(key: tuple, table: pa.Table) -> pa.Table:
         """Members with the distance within which their k nearest must lie."""
         c, turn = shared.value
         ids, x = _vectors(table, 0, dims)
-        a, _, s = search_block(ids, x, ids, x, c[key[0].as_py()], turn, k, least, False)
+        found = [*Search(ids, x, c[key[0].as_py()], turn, k, least, False).run(ids, x)]
+        a, _, s = (np.concatenate(v) for v in zip(*found))
         reach = np.full(len(ids), radius, dtype=np.float64)
         which, count = np.unique(a, return_counts=True)
         full = np.isin(a, which[count == k])
@@ -388,7 +470,7 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
     else:
         asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).cast("array<float>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
         placed = wide.mapInArrow(lambda it: place(it, False, True), _ROWS_SQL).unionByName(spread(asked).mapInArrow(lambda it: place(it, True, False), _ROWS_SQL))
-    pairs = hashed(placed, "cell", "block").groupBy("cell", "block").applyInArrow(search, _PAIRS_SQL)
+    pairs = hashed(placed, "cell", "block").sortWithinPartitions("cell", "block", "role").groupBy("cell", "block").applyInArrow(search, _PAIRS_SQL)
     if inside is not None:
         wanted = inside if all_query else inside.join(asked.select("vec_id"), "vec_id", "left_semi")
         pairs = pairs.unionByName(wanted)

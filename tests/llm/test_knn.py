@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -123,6 +125,46 @@ def test_hot_copies_of_bad_vectors_are_left_out(spark):
         assert got and max(max(r["vec_id"], r["other"]) for r in got) <= 400
 
 
+@pytest.mark.parametrize("noise", [0, 1e-6])
+def test_a_third_of_the_vectors_point_the_same_way(spark, monkeypatch, noise):
+    rng = np.random.default_rng(8)
+    one = rng.lognormal(0, 1, 16)
+    x = np.concatenate([rng.lognormal(0, 1, (1200, 16)), one * rng.normal(1, noise, (600, 16)) * 10.0 ** rng.uniform(-1, 3, (600, 1))]).astype(np.float32)
+    df = spark.createDataFrame([(10 * (i + 1), [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, detector_values array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    placed, hashed = [], knn.hashed
+    monkeypatch.setattr(knn, "BLOCK", 120)
+    monkeypatch.setattr(knn, "hashed", lambda d, *keys: (placed.append(d), hashed(d, *keys))[1])
+    for least, asked in ((0.9, None), (None, df.filter("vec_id % 70 = 0"))):
+        got = {}
+        for r in knn.neighbours(df, 5, least, queries=asked, cell=300).collect():
+            got.setdefault(r["vec_id"] // 10, []).append(r["similarity"])
+        want = {i: b for i, b in brute(u, 5, least).items() if b and (asked is None or i % 7 == 0)}
+        assert set(got) == set(want)
+        for i, b in want.items():
+            assert np.allclose(sorted(got[i]), sorted(v for _, v in b), atol=1e-5)
+        held = placed[-1].filter("role = 0").groupBy("cell", "block").count().toPandas()
+        assert held["count"].sum() == len(x) and held["count"].max() < 1.4 * 120
+
+
+def test_a_search_keeps_few_pairs():
+    rng = np.random.default_rng(9)
+    x = (np.ones(16) + rng.normal(0, 1e-4, (3000, 16))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(3000)
+    search = knn.Search(ids, x, x.mean(axis=0), knn.rotation(16, 64), 5, 0.99, True)
+    tracemalloc.start()
+    found = [*search.run(ids, x)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9_000_000 * 24 / 2  # of all pairs
+    exact = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(exact, -2)
+    want = np.sort(np.partition(exact, -5, axis=1)[:, -5:], axis=None)
+    for s in (np.concatenate([f[2] for f in found]), search.back()[2]):
+        assert np.allclose(np.sort(s), want, atol=1e-12)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 24)).astype(np.float32)
