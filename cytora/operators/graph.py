@@ -1,4 +1,4 @@
-"""Neighbour graphs: exact for small vector sets, through cells around pivots for large ones; weights and substitutes.
+"""Neighbour graphs, exact at any size (large vector sets are compared block against block); weights and substitutes.
 
 Community detection and layout of the kind that needs libraries not at hand are replaced by power iteration
 clustering and principal components, named as such.
@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors up to which every query is compared with all of them.
+from cytora.session import hashed, materialise
+
+#: Vectors up to which all of them are shared with every task; beyond that, vectors of a block.
 EXACT_ROWS = 8192
-_PIVOT_SEED = 17
 
 
 def _rows(pdf: pd.DataFrame, metric: str) -> np.ndarray:
@@ -42,12 +43,12 @@ def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
 _SCHEMA = "vec_id long, other long, distance double"
 
 
-def knn_graph(vectors: DataFrame, k: int = 15, metric: str = "cosine", exact_rows: int = EXACT_ROWS, probes: int = 8) -> DataFrame:
+def knn_graph(vectors: DataFrame, k: int = 15, metric: str = "cosine", exact_rows: int = EXACT_ROWS) -> DataFrame:
     """(vec_id, other, distance, rank) with rank 0 for the vector itself.
 
-    Up to ``exact_rows`` vectors, that bounded set is shared with all tasks and compared in blocks. Beyond, vectors are dealt to
-    cells around sampled pivots and each looks into its ``probes`` nearest cells: an approximation, as the size calls for one.
-    Null vectors are left out.
+    Every vector is compared with all: up to ``exact_rows`` vectors, that bounded set is shared with all tasks; beyond, each
+    block of queries meets each block of members in a task of its own and the k nearest of all blocks are kept, so the result
+    is the same. The cost grows with the square of the number of vectors. Null vectors are left out.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL").dropDuplicates(["vec_id"])
     total = rows.count()
@@ -63,27 +64,19 @@ def knn_graph(vectors: DataFrame, k: int = 15, metric: str = "cosine", exact_row
 
         pairs = rows.mapInPandas(all_of, _SCHEMA)
     else:
-        cells = int(min(4096, max(2, np.sqrt(total))))
-        picked = rows.orderBy(F.xxhash64(F.lit(_PIVOT_SEED), "vec_id")).limit(cells).toPandas()
-        pivots = rows.sparkSession.sparkContext.broadcast(_rows(picked, metric))
+        blocks = -(-total // exact_rows)
+        home = materialise(rows.withColumn("x", F.col("x").cast("array<double>")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")))
+        other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
-        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            p = pivots.value
-            for pdf in batches:
-                if len(pdf):
-                    x = _rows(pdf, metric)
-                    near = np.argsort((p**2).sum(1)[None, :] - 2 * x @ p.T, axis=1)[:, :probes]
-                    for r in range(near.shape[1]):
-                        yield pd.DataFrame({"cell": near[:, r], "member": r == 0, "vec_id": pdf["vec_id"], "x": list(x)})
-
-        def within(pdf: pd.DataFrame) -> pd.DataFrame:
-            own = pdf[pdf["member"]]
-            if own.empty:
+        def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+            queries, members = pdf[~pdf["member"]], pdf[pdf["member"]]
+            if queries.empty or members.empty:
                 return pd.DataFrame({"vec_id": [], "other": [], "distance": []})
-            return _nearest(_rows(pdf, "as is"), pdf["vec_id"].to_numpy(), _rows(own, "as is"), own["vec_id"].to_numpy(), k, metric)
+            return _nearest(_rows(queries, metric), queries["vec_id"].to_numpy(), _rows(members, metric), members["vec_id"].to_numpy(), k, metric)
 
-        placed = rows.mapInPandas(deal, "cell int, member boolean, vec_id long, x array<double>")
-        pairs = placed.groupBy("cell").applyInPandas(within, _SCHEMA).groupBy("vec_id", "other").agg(F.min("distance").alias("distance"))
+        asked = home.select("vec_id", "x", F.lit(False).alias("member"), F.col("block").alias("q"), other.alias("m"))
+        met = home.select("vec_id", "x", F.lit(True).alias("member"), other.alias("q"), F.col("block").alias("m"))
+        pairs = hashed(asked.unionByName(met), "q", "m").groupBy("q", "m").applyInPandas(meet, _SCHEMA)
     w = Window.partitionBy("vec_id").orderBy(F.when(F.col("vec_id") == F.col("other"), -1.0).otherwise(F.col("distance")), "other")
     return pairs.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 

@@ -299,6 +299,15 @@ def test_neighbours_beyond_the_exact_size(spark):
         assert len(exact) == 3600 and len(exact & near) > 0.85 * len(exact)
 
 
+def test_neighbours_do_not_depend_on_the_exact_size(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("embedding").alias("x")).filter("vec_id % 3 = 0")
+    whole = {(r["vec_id"], r["rank"]): (r["other"], r["distance"]) for r in graph.knn_graph(rows, 15).collect()}
+    split = {(r["vec_id"], r["rank"]): (r["other"], r["distance"]) for r in graph.knn_graph(rows, 15, exact_rows=200).collect()}
+    assert len(whole) > 9000 and whole.keys() == split.keys()
+    assert all(abs(split[at][1] - d) < 1e-9 for at, (_, d) in whole.items())
+    assert sum(split[at][0] == o for at, (o, _) in whole.items()) > 0.999 * len(whole)
+
+
 def test_facade(spark):
     df = spark.createDataFrame([("s", 10.0, 1.0), ("s", 200.0, 2.0), ("t", 300.0, 4.0)], "sample_id string, a float, b float")
     g = api.Workspace().add(api.Grouping("g", df, ["a", "b"]))
