@@ -35,8 +35,9 @@ from cytora.session import hashed, materialise
 MIN_EVENTS, HOT_ROWS = 20, 250_000
 #: Arcsinh cofactors by kind of channel: counts of a mass channel, light of the others.
 MASS_COFACTOR, LIGHT_COFACTOR = 5.0, 150.0
-#: Histogram grid, smoothing width and depth of a valley (both on the arcsinh scale and as a share of the lower peak).
-BIN, SMOOTH, VALLEY = 0.05, 0.2, 0.5
+#: Histogram grid, smoothing width and depth of a valley (both on the arcsinh scale and as a share of the lower peak),
+#: and the standard errors of its counts that a valley lies below the lower peak.
+BIN, SMOOTH, VALLEY, NOISE = 0.05, 0.2, 0.5, 3.5
 _LOW, _BINS = -12.0, 640
 #: Floor of a standard deviation on the arcsinh scale, steps over all events, and the tail beyond a component's reach.
 MIN_SD, STEPS, TAIL_SDS = 0.05, 2, 4.9
@@ -88,11 +89,11 @@ def histograms(y: np.ndarray) -> np.ndarray:
 
 def valleys(counts: np.ndarray) -> list[float]:
     """Cut points of one channel: the lowest places between two peaks of the smoothed density, if low enough."""
-    total = counts.sum()
     width = int(4 * SMOOTH / BIN)
     kernel = np.exp(-0.5 * (np.arange(-width, width + 1) * BIN / SMOOTH) ** 2)
     s = np.convolve(counts, kernel / kernel.sum(), "same")
-    least = max(MIN_EVENTS * 0.25, 0.001 * total) * BIN / SMOOTH / 2.5
+    least = MIN_EVENTS * 0.25 * BIN / SMOOTH / 2.5  # in events, so that a population counts in a group of any size
+    share = (kernel**2).sum() / kernel.sum() ** 2  # variance of a smoothed count over its mean
     inner = np.flatnonzero((s[1:-1] >= s[:-2]) & (s[1:-1] > s[2:]) & (s[1:-1] >= least)) + 1
     cuts: list[float] = []
     last = -1
@@ -101,7 +102,8 @@ def valleys(counts: np.ndarray) -> list[float]:
             last = p
             continue
         v = last + int(np.argmin(s[last : p + 1]))
-        if s[v] < VALLEY * min(s[last], s[p]):
+        lower = min(s[last], s[p])
+        if s[v] < VALLEY * lower and lower - s[v] > NOISE * np.sqrt(share * (lower + s[v])):
             flat = np.flatnonzero(s[last : p + 1] <= s[v] * 1.0001 + 1e-12) + last
             cuts.append(_LOW + (float(flat.mean()) + 0.5) * BIN)
             last = p

@@ -103,6 +103,25 @@ def test_kinds():
     assert k("Spectrum", "Time") == "Spectrum"
 
 
+def test_small_population_in_a_large_group():
+    rng = np.random.default_rng(11)
+    levels = np.array([[0.2, 0.2, 2.8, 2.8, 0.2, 2.8], [0.2, 2.8, 0.2, 2.8, 2.8, 0.2], [0.2, 2.8, 2.8, 0.2, 0.2, 0.2]])
+    rare = levels[0].copy()
+    rare[0] = 5.4  # a level that no other event has on this channel
+    y = np.concatenate([np.repeat(levels, 100_000, axis=0), np.repeat(rare[None], 40, axis=0)])
+    y += rng.normal(0, 0.3, y.shape)
+    part, _ = clusters.assign(clusters.fit_group(y), y)
+    assert len(set(part[-40:])) == 1 and part[-1] >= 0
+    assert (part[:-40] == part[-1]).sum() <= 2
+
+
+def test_noise_makes_no_level():
+    rng = np.random.default_rng(12)
+    for n in (20, 200, 2000):
+        x = np.concatenate([rng.normal(0, 0.3, 20_000), rng.uniform(-6, 8, n)])[:, None]
+        assert len(clusters.valleys(clusters.histograms(x)[0])) == 0
+
+
 def test_valleys():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 0.3, 500), rng.normal(3, 0.4, 60)])[:, None]
