@@ -18,7 +18,7 @@ Hot classes of equal vectors (more than ``HOT_COPIES``) are searched through the
 these as their nearest, as the similarity cannot be exceeded. A cell is split into as many blocks of members as its own size asks for;
 queries pass a block in batches.
 
-Defined results: null, all-zero, non-finite and wrongly long vectors are left out; rows that repeat a vec_id are
+Defined results: null, all-zero, non-finite and wrongly long vectors are left out (the most frequent length is right); rows that repeat a vec_id are
 one vector; ties in similarity go to the smaller vec_id.
 """
 
@@ -295,9 +295,11 @@ def _vectors(table: pa.Table, role: int, dims: int) -> tuple[np.ndarray, np.ndar
     return ids, x[first]
 
 
-def _dims(vectors: DataFrame) -> int:
-    row = vectors.filter("x IS NOT NULL AND size(x) > 0").select(F.size("x").alias("n")).first()
-    return row["n"] if row else 0
+def _dims(vectors: DataFrame) -> tuple[int, int]:
+    """(most frequent length of the non-empty arrays, 0 without any; number of rows)."""
+    lengths = vectors.groupBy(F.size("x").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    top = lengths.agg(F.max_by("size", F.when(F.col("size") > 0, F.struct("n", "size"))).alias("dims"), F.sum("n").alias("total")).first()
+    return top["dims"] or 0, top["total"] or 0
 
 
 def hot_classes(vectors: DataFrame, copies: int = HOT_COPIES) -> DataFrame:
@@ -342,7 +344,7 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).cast("array<float>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
     spark = vectors.sparkSession
-    dims, total = _dims(rows), rows.count()
+    dims, total = _dims(rows)
     if not dims:
         return spark.createDataFrame([], "vec_id long, other long, similarity double, rank int")
     searched, inside = _split_hot(rows, k, copies, dims)

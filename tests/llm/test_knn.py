@@ -179,6 +179,15 @@ def test_bounds_hold():
         assert abs(((low + high) / 2 - exact).mean()) < 0.05 * exact.mean()
 
 
+def test_a_truncated_array_comes_first(spark):
+    rng = np.random.default_rng(10)
+    x = rng.lognormal(0, 0.3, (60, 8))
+    rows = [(i, [1.0] * 3) for i in (1, 2)] + [(3, [])] * 200 + [(i, [float(v) for v in r]) for i, r in enumerate(x, 10)]
+    df = spark.createDataFrame(rows, "vec_id long, detector_values array<float>").coalesce(1)
+    got = knn.neighbours(df, 5).collect()
+    assert {r["vec_id"] for r in got} == set(range(10, 70)) and len(got) == 300
+
+
 def test_empty(data):
     df, _ = data
     assert knn.similar_pairs(df.limit(0)).count() == 0
