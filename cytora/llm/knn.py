@@ -12,9 +12,13 @@ Which cells a query looks into:
   lie ``r`` apart, the one of them that is nearer to the border of their cells is at most ``r / 2`` away from it, so
   looking across borders that near from both sides loses no pair. Where vectors lie so densely that this means many
   cells, each first finds the distance of its k-th neighbour in its own cell and then looks across borders nearer than that;
-* without one, the nearest cells: a fixed share of all of them, so that the search does not get sparser as cells multiply.
+* without one, each query first finds the distance of its k-th neighbour in its own cell and then looks across borders
+  nearer than ``SHORTER`` of it. The whole distance would lose nothing; the share loses what lies behind borders that
+  near neighbours rarely lie behind, at any number of cells alike.
 
-Hot classes of equal vectors (more than ``HOT_COPIES``) are searched through their first members; the others have
+Cells hold about ``CELL`` vectors in a table of any size: they form a tree of two levels (see ``Tree``) of up to
+``MOST_CELLS`` cells, and a table that needs more is first split into parts, each with the vectors just beyond its borders, that are searched
+one after the other. Hot classes of equal vectors (more than ``HOT_COPIES``) are searched through their first members; the others have
 these as their nearest, as the similarity cannot be exceeded. A cell is split into as many blocks of members as its own size asks for;
 queries pass a block in batches.
 
@@ -34,15 +38,17 @@ from pyspark.sql import functions as F
 
 from cytora.session import hashed, materialise, spread
 
-#: Vectors the centroids are fitted on, vectors aimed at in a cell, and bounds of the number of cells.
-SAMPLE, CELL, MOST_CELLS = 40_000, 800, 4096
+#: Vectors the upper centroids are fitted on, vectors that each leaf is fitted on, vectors aimed at in a cell.
+SAMPLE, PER_LEAF, CELL = 40_000, 24, 800
+#: Leaves of a node, and cells of one tree: at 32 dimensions, what every task is given takes 128 MB at most.
+FAN, MOST_CELLS = 512, 1 << 20
 #: Bits of a code with a least similarity and without one (there bounds have to tell many near ones apart), bits of
 #: a query's components, and the width of the error bound in standard errors.
 BITS, MORE_BITS, PLANES, BOUND = 64, 256, 4, 3.0
 #: Members of a cell that one task compares at once, and equal vectors from which a class is hot.
 BLOCK, HOT_COPIES = 4096, 2000
-#: Without a least similarity, share of all cells a query looks into, and the cells it looks into at least.
-SHARE, NEAREST = 1 / 8, 24
+#: Without a least similarity, share of the distance of the k-th neighbour in the own cell within which borders are looked across.
+SHORTER = 0.4
 _SEED = 20240607
 #: Queries whose bounds are computed together, so that the intermediate matrices stay in the cache.
 _AT_ONCE = 128
@@ -161,36 +167,74 @@ def _list_array(column) -> pa.Array:
 MANY_LOOKS = 32
 
 
-def probes(x: np.ndarray, c: np.ndarray, reach: float | np.ndarray | None, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(own cell of each vector, row of each further look, its cell).
+class Tree:
+    """Cells in two levels: a vector belongs to the nearest node, and among that node's leaves to the nearest one.
 
-    With ``reach``, cells whose border lies no further away than that (one number, or one per vector); else the ``nearest`` cells.
+    A table has about one leaf for every ``CELL`` vectors and one node for every ``FAN`` leaves, so that finding a
+    cell costs the square root of their number.
     """
-    score = x @ c.T - 0.5 * (c * c).sum(axis=1)
-    own = score.argmax(axis=1)
-    rows = np.arange(len(x))
-    if reach is None:
-        k = min(nearest, len(c))
-        best = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < len(c) else np.broadcast_to(np.arange(len(c)), score.shape)
-        at, cell = np.repeat(rows, best.shape[1]), best.ravel()
-        other = cell != own[at]
-        return own, at[other], cell[other]
-    limit = np.broadcast_to(np.asarray(reach, dtype=np.float32), (len(x),))
-    lead = score[rows, own][:, None] - score
-    at, cell = np.nonzero(lead <= limit[:, None] * _WIDEST)
-    # the border between two cells is a plane; the lead over the distance of the centroids is the distance from it
-    gap = np.linalg.norm(c[own[at]] - c[cell], axis=1)
-    near = (lead[at, cell] <= limit[at] * gap + 1e-5) & (cell != own[at])
-    return own, at[near], cell[near]
-
-
-def looked_into(cells: int, nearest: int = NEAREST) -> int:
-    """Cells that a query without a least similarity looks into."""
-    return min(cells, max(nearest, int(np.ceil(SHARE * cells))))
-
-
-#: No two points of the unit ball lie further apart.
-_WIDEST = 2.0
+
+    def __init__(self, nodes: np.ndarray, leaves: list[np.ndarray]):
+        self.nodes, self.leaves = nodes, leaves
+        self.first = np.concatenate([[0], np.cumsum([len(v) for v in leaves])])
+        self.centres = np.concatenate(leaves)
+
+    def __len__(self) -> int:
+        return len(self.centres)
+
+    def node_scores(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.nodes.T - 0.5 * (self.nodes * self.nodes).sum(axis=1)
+
+    def _by_node(self, x: np.ndarray, row: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(node, places in ``row``, scores of its leaves) for all pairs of a row and a node, a bounded number at a time."""
+        order = np.argsort(node, kind="stable")
+        key, start = np.unique(node[order], return_index=True)
+        for t, a, b in zip(key, start, np.r_[start[1:], len(order)]):
+            c = self.leaves[t]
+            half = 0.5 * (c * c).sum(axis=1)
+            for lo in range(a, b, _SCORED):
+                at = order[lo : min(b, lo + _SCORED)]
+                yield int(t), at, x[row[at]] @ c.T - half
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(node, cell) of each vector."""
+        node = self.node_scores(x).argmax(axis=1) if len(self.nodes) > 1 else np.zeros(len(x), dtype=np.int64)
+        cell = np.zeros(len(x), dtype=np.int64)
+        rows = np.arange(len(x))
+        for t, at, score in self._by_node(x, rows, node):
+            cell[at] = self.first[t] + score.argmax(axis=1)
+        return node, cell
+
+    def looks(self, x: np.ndarray, node: np.ndarray, cell: np.ndarray, reach: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the further cells whose border lies within ``reach``; ``across`` holds inside other nodes.
+
+        The border of two centres is a plane; the lead of one score over the other, over the distance of the centres,
+        is the distance from it.
+        """
+        row, of = np.arange(len(x)), node
+        if len(self.nodes) > 1:
+            score = self.node_scores(x)
+            lead = score[row, node][:, None] - score
+            at, t = np.nonzero(lead <= reach[:, None] * _WIDEST)
+            gap = np.linalg.norm(self.nodes[node[at]] - self.nodes[t], axis=1)
+            near = (lead[at, t] <= reach[at] * gap + 1e-5) & (t != node[at])
+            row, of = np.concatenate([row, at[near]]), np.concatenate([node, t[near]])
+        rows, cells = [], []
+        for t, at, score in self._by_node(x, row, of):
+            own = node[row[at]] == t
+            best = np.where(own, cell[row[at]] - self.first[t], score.argmax(axis=1))
+            limit = np.where(own, reach[row[at]], across[row[at]])
+            lead = score[np.arange(len(at)), best][:, None] - score
+            i, c = np.nonzero(lead <= limit[:, None] * _WIDEST)
+            gap = np.linalg.norm(self.leaves[t][best[i]] - self.leaves[t][c], axis=1)
+            near = (lead[i, c] <= limit[i] * gap + 1e-5) & ~(own[i] & (c == best[i]))
+            rows.append(row[at][i[near]])
+            cells.append(self.first[t] + c[near])
+        return np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64), np.concatenate(cells) if cells else np.zeros(0, dtype=np.int64)
+
+
+#: No two points of the unit ball lie further apart; vectors whose leaves are scored at once.
+_WIDEST, _SCORED = 2.0, 2048
 
 _ROWS = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("role", pa.int8()), ("vec_id", pa.int64()), ("x", pa.binary())])
 _ROWS_SQL = "cell int, block int, role byte, vec_id long, x binary"
@@ -336,103 +380,216 @@ def _split_hot(vectors: DataFrame, k: int, copies: int, dims: int) -> tuple[Data
     return rest.unionByName(kept), pairs
 
 
-def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest: int = NEAREST, queries: DataFrame | None = None, vec_id: str = "vec_id", values: str = "detector_values", copies: int = HOT_COPIES, cell: int = CELL, many_looks: float = MANY_LOOKS) -> DataFrame:
+def fit_tree(searched: DataFrame, sample: np.ndarray, total: int, dims: int, cell: int = CELL, fan: int = FAN) -> Tree:
+    """Cells for ``total`` vectors. One node's leaves are fitted on the sample; more nodes are, and their leaves on ``PER_LEAF`` vectors each."""
+    cells = int(max(1, round(total / cell)))
+    if cells <= fan:
+        return Tree(np.zeros((1, dims), dtype=np.float32), [centroids(sample, int(max(1, min(cells, len(sample) / 8))))])
+    nodes = centroids(sample, int(min(-(-cells // fan), max(1, len(sample) // 8))))
+    shared = searched.sparkSession.sparkContext.broadcast(nodes)
+    keep = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, PER_LEAF * cells / total) * 1_000_000)
+
+    def node_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            ids, x = unit_rows(batch.column("vec_id").to_numpy(), batch.column("x"), dims)
+            node = (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int32)), pa.array([v.tobytes() for v in x], pa.binary())], names=["node", "x"])
+
+    def leaves_of(key: tuple, group: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(group.column("x").to_pylist()), dtype=np.float32).reshape(-1, dims)
+        c = centroids(x, max(1, round(len(x) / PER_LEAF)))
+        return pa.table({"node": pa.array([key[0].as_py()], pa.int32()), "leaves": pa.array([c.tobytes()], pa.binary())})
+
+    picked = searched.filter(keep).mapInArrow(node_of, "node int, x binary")
+    rows = hashed(picked, "node", size=PER_LEAF * cells * dims * 4).groupBy("node").applyInArrow(leaves_of, "node int, leaves binary").toArrow()  # the centroids only
+    fitted = {n: np.frombuffer(v, dtype=np.float32).reshape(-1, dims) for n, v in zip(rows.column("node").to_pylist(), rows.column("leaves").to_pylist())}
+    return Tree(nodes, [fitted.get(i, nodes[i : i + 1]) for i in range(len(nodes))])
+
+
+def _sampled(searched: DataFrame, total: int, dims: int) -> np.ndarray:
+    keep = min(1.0, 1.2 * SAMPLE / total)
+    picked = searched.filter(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000)) < int(keep * 1_000_000)).limit(SAMPLE).toArrow()
+    return unit_rows(picked.column("vec_id").to_numpy(), _list_array(picked.column("x")), dims)[1]
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * x.shape[1] * 4).tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def _read(batch: pa.RecordBatch, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("x").to_pylist()), dtype=np.float32).reshape(-1, dims)
+
+
+_NOTHING = "vec_id long, other long, similarity double, rank int"
+
+
+def neighbours(vectors: DataFrame, k: int, least: float | None = None, queries: DataFrame | None = None, vec_id: str = "vec_id", values: str = "detector_values", copies: int = HOT_COPIES, cell: int = CELL, fan: int = FAN, many_looks: float = MANY_LOOKS, most_cells: int = MOST_CELLS, shorter: float = SHORTER) -> DataFrame:
     """(vec_id, other, similarity, rank): the k vectors most similar in cosine to every vector, or to every row of ``queries``.
 
-    With ``least``, only partners of at least that cosine, and none of them is lost to the choice of cells. Without
-    it the nearest cells are searched, ``nearest`` or a ``SHARE`` of all cells, whichever is more.
+    With ``least``, only partners of at least that cosine, and none of them is lost to the choice of cells.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).cast("array<float>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
     spark = vectors.sparkSession
+    plain = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).cast("array<float>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
+    rows, asked = plain(vectors), None if queries is None else plain(queries)
     dims, total = _dims(rows)
     if not dims:
-        return spark.createDataFrame([], "vec_id long, other long, similarity double, rank int")
+        return spark.createDataFrame([], _NOTHING)
     searched, inside = _split_hot(rows, k, copies, dims)
-    wide = spread(searched) if inside is None else searched
-    keep = min(1.0, 1.2 * SAMPLE / total)
-    some = searched.filter(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000)) < int(keep * 1_000_000)).limit(SAMPLE)
-    picked = some.toArrow()
-    _, sample = unit_rows(picked.column("vec_id").to_numpy(), _list_array(picked.column("x")), dims)
+    sample = _sampled(searched, total, dims)
     if not len(sample):
-        return spark.createDataFrame([], "vec_id long, other long, similarity double, rank int")
-    c = centroids(sample, int(max(1, min(MOST_CELLS, total / cell, len(sample) / 8))))
-    looks = looked_into(len(c), nearest)
+        return spark.createDataFrame([], _NOTHING)
+    settings = {"k": k, "least": least, "cell": cell, "fan": fan, "many_looks": many_looks, "shorter": shorter}
+    if total / cell > most_cells:
+        pairs = _in_parts(searched, asked, sample, total, dims, most_cells, settings)
+    else:
+        pairs = _search(searched, asked, sample, total, dims, **settings)
+    if inside is not None:
+        pairs = pairs.unionByName(inside if asked is None else inside.join(asked.select("vec_id"), "vec_id", "left_semi"))
+    best = pairs.groupBy("vec_id", "other").agg(F.max("similarity").alias("similarity"))
+    order = F.struct((-F.col("similarity")).alias("d"), "other")
+    listed = best.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("top"))
+    flat = listed.select("vec_id", F.posexplode("top").alias("rank", "t"))
+    return flat.select("vec_id", F.col("t.other").alias("other"), (-F.col("t.d")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+
+
+def _in_parts(searched: DataFrame, asked: DataFrame | None, sample: np.ndarray, total: int, dims: int, most_cells: int, settings: dict) -> DataFrame:
+    """Pairs of a table too large for one tree: parts around centroids, each with the vectors as near beyond its borders as a partner can lie.
+
+    Without a least similarity that is the share ``shorter`` of the distance of the k-th neighbours within the sample,
+    which lie further apart than those of the whole table.
+    """
+    spark = searched.sparkSession
+    k, least = settings["k"], settings["least"]
+    c = centroids(sample, max(2, int(np.ceil(2 * total / settings["cell"] / most_cells))))
+    if least is None:
+        few = sample[:256]
+        near = np.partition(few @ sample.T, -min(k + 1, len(sample)), axis=1)[:, -min(k + 1, len(sample))]
+        reach = settings["shorter"] * float(np.sqrt(np.maximum(2 - 2 * near, 0)).max())
+    else:
+        reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    shared = spark.sparkContext.broadcast(Tree(np.zeros((1, dims), dtype=np.float32), [c]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        for batch in batches:
+            ids, x = unit_rows(batch.column("vec_id").to_numpy(), batch.column("x"), dims)
+            node, own = tree.home(x)
+            limit = np.full(len(x), reach, dtype=np.float32)
+            at, other = tree.looks(x, node, own, limit, limit)
+            row, part, home = np.concatenate([np.arange(len(x)), at]), np.concatenate([own, other]), np.r_[np.ones(len(x), dtype=bool), np.zeros(len(at), dtype=bool)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * dims), pa.array(x[row].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), lists, pa.array(home), pa.array(part.astype(np.int32))], names=["vec_id", "x", "home", "part"])
+
+    dealt = materialise(searched.mapInArrow(deal, "vec_id long, x array<float>, home boolean, part int"), ["part"])
+    found = None
+    for part in range(len(c)):
+        own = dealt.filter(F.col("part") == part).select("vec_id", "x", "home")
+        wanted = own.filter("home").select("vec_id", "x")
+        wanted = wanted if asked is None else wanted.join(asked.select("vec_id").distinct(), "vec_id", "left_semi")
+        size = own.count()
+        picked = _sampled(own.select("vec_id", "x"), max(size, 1), dims)
+        if len(picked):
+            pairs = materialise(_search(own.select("vec_id", "x"), wanted, picked, size, dims, **settings))
+            found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def _search(searched: DataFrame, asked: DataFrame | None, sample: np.ndarray, total: int, dims: int, k: int, least: float | None, cell: int, fan: int, many_looks: float, shorter: float) -> DataFrame:
+    """(vec_id, other, similarity): pairs among which the k best of every query are."""
+    spark = searched.sparkSession
+    wide = spread(searched)
+    tree = fit_tree(searched, sample, total, dims, cell, fan)
     turn = rotation(dims, max(dims, BITS if least is not None else MORE_BITS))
-    shared = spark.sparkContext.broadcast((c, turn))  # at most MOST_CELLS * dims * 4 bytes
-    radius = None if least is None else float(np.sqrt(max(0.0, 2 - 2 * least)))
-    half = None if radius is None else radius / 2
-    dense = radius is not None and queries is None and len(probes(sample[:5000], c, half, 0)[1]) > many_looks * min(5000, len(sample))
-    all_query = queries is None
+    planted = spark.sparkContext.broadcast(tree)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, n = shared.value[0], np.zeros(len(shared.value[0]), dtype=np.int64)
+        t = planted.value
+        n = np.zeros(len(t), dtype=np.int64)
         for batch in batches:
             _, x = unit_rows(batch.column("vec_id").to_numpy(), batch.column("x"), dims)
-            for a in range(0, len(x), 2048):
-                n += np.bincount(np.argmax(x[a : a + 2048] @ c.T - 0.5 * (c * c).sum(axis=1), axis=1), minlength=len(c))
+            n += np.bincount(t.home(x)[1], minlength=len(t))
         full = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(n[full])], names=["cell", "n"])
 
-    counted = wide.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most MOST_CELLS rows
-    blocks = np.ones(len(c), dtype=np.int64)
-    for r in counted:
-        blocks[r["cell"]] = -(-r["n"] // BLOCK)  # every cell by its own size, so that no task holds more than a block of members
-
-    def place(batches: Iterator[pa.RecordBatch], as_query: bool, as_member: bool, reached: bool = False) -> Iterator[pa.RecordBatch]:
-        c, _ = shared.value
+    counted = wide.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most MOST_CELLS rows of 12 bytes
+    held = np.zeros(len(tree), dtype=np.int64)
+    held[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    # every cell by its own size, so that no task holds more than a block of members
+    shared = spark.sparkContext.broadcast((tree, turn, held, np.maximum(-(-held // BLOCK), 1)))
+    radius = None if least is None else float(np.sqrt(max(0.0, 2 - 2 * least)))
+    all_query = asked is None
+    some = sample[:5000]
+    full = lambda v: np.full(len(some), v, dtype=np.float32)
+    measured = not all_query or radius is None or len(tree.looks(some, *tree.home(some), full(radius / 2), full(radius))[0]) > many_looks * len(some)
+
+    def rows(cells_: np.ndarray, block: np.ndarray, role: int, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(ids), HANDED):
+            b = slice(a, a + HANDED)
+            n = len(ids[b])
+            yield pa.RecordBatch.from_arrays([pa.array(cells_[b].astype(np.int32)), pa.array(block[b].astype(np.int32)), pa.array(np.full(n, role, dtype=np.int8)), pa.array(ids[b]), _binary(x[b])], schema=_ROWS)
+
+    def at_home(batches: Iterator[pa.RecordBatch], role: int) -> Iterator[pa.RecordBatch]:
+        """Each vector in its own block of its own cell."""
+        t, _, _, blocks = shared.value
         for batch in batches:
-            reach: float | np.ndarray | None = half
-            if reached:  # unit vectors already, each with its own reach
-                ids, x, reach = batch.column("vec_id").to_numpy(), np.frombuffer(b"".join(batch.column("x").to_pylist()), dtype=np.float32).reshape(-1, dims), batch.column("reach").to_numpy()
-            else:
-                ids, x = unit_rows(batch.column("vec_id").to_numpy(), batch.column("x"), dims)
-            for a in range(0, len(ids), 2048):
-                pid, px = ids[a : a + 2048], x[a : a + 2048]
-                if as_query:
-                    own, at, other = probes(px, c, reach[a : a + 2048] if reached else reach, looks)
-                else:
-                    own, at, other = np.argmax(px @ c.T - 0.5 * (c * c).sum(axis=1), axis=1), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-                n = len(pid)
-                parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
-                if as_member:
-                    parts.append((own, own_blocks(pid, blocks[own]), np.arange(n), 0))
-                if as_query:
-                    cell_of, row_of = np.concatenate([own, other]), np.concatenate([np.arange(n), at])
-                    times = blocks[cell_of]
-                    upto = np.cumsum(times)
-                    lo = 0
-                    while lo < len(times):  # a bounded number of rows at once, however many blocks there are
-                        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + HANDED, "right")))
-                        look = np.repeat(np.arange(lo, hi), times[lo:hi])
-                        b = np.arange(len(look)) - np.repeat(upto[lo:hi] - times[lo:hi] - (upto[lo - 1] if lo else 0), times[lo:hi])
-                        if as_member or reached:  # a member is a query of its own block already
-                            away = (look >= n) | (b != own_blocks(pid[row_of[look]], blocks[cell_of[look]]))
-                            look, b = look[away], b[away]
-                        parts.append((cell_of[look], b, row_of[look], 1))
-                        yield from handed(pid, px, parts)
-                        parts, lo = [], hi
-                yield from handed(pid, px, parts)
-
-    def handed(pid: np.ndarray, px: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-        for cells_, block_, row, role in parts:
-            if len(row):
-                data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.arange(len(row) + 1, dtype=np.int32) * dims * 4).tobytes()), pa.py_buffer(np.ascontiguousarray(px[row]).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(cells_.astype(np.int32)), pa.array(block_.astype(np.int32)), pa.array(np.full(len(row), role, dtype=np.int8)), pa.array(pid[row]), data], schema=_ROWS)
-
-    def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members come first, as rows are sorted by role; queries are then met batch by batch."""
-        c, turn = shared.value
+            ids, x = unit_rows(batch.column("vec_id").to_numpy(), batch.column("x"), dims)
+            own = t.home(x)[1]
+            yield from rows(own, own_blocks(ids, blocks[own]), role, ids, x)
+
+    def looking(ids: np.ndarray, x: np.ndarray, reach: np.ndarray, across: np.ndarray, home: tuple[np.ndarray, np.ndarray], with_own: bool) -> Iterator[pa.RecordBatch]:
+        """Queries in the blocks of their own cell and of those they look into; a member is a query of its own block already."""
+        t, _, _, blocks = shared.value
+        node, own = home
+        at, other = t.looks(x, node, own, reach, across)
+        cell_of, row_of = np.concatenate([own, other]), np.concatenate([np.arange(len(ids)), at])
+        times = blocks[cell_of]
+        upto = np.cumsum(times)
+        lo = 0
+        while lo < len(times):  # a bounded number of rows at once, however many blocks there are
+            before = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, before + HANDED, "right")))
+            look = np.repeat(np.arange(lo, hi), times[lo:hi])
+            b = np.arange(len(look)) - np.repeat(upto[lo:hi] - times[lo:hi] - before, times[lo:hi])
+            if not with_own:
+                away = (look >= len(ids)) | (b != own_blocks(ids[row_of[look]], blocks[cell_of[look]]))
+                look, b = look[away], b[away]
+            yield from rows(cell_of[look], b, 1, ids[row_of[look]], x[row_of[look]])
+            lo = hi
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members that look from both sides of every border."""
+        t, _, _, blocks = shared.value
+        for batch in batches:
+            ids, x = unit_rows(batch.column("vec_id").to_numpy(), batch.column("x"), dims)
+            home = t.home(x)
+            yield from rows(home[1], own_blocks(ids, blocks[home[1]]), 0, ids, x)
+            limit = np.full(len(x), radius, dtype=np.float32)
+            yield from looking(ids, x, limit / 2, limit, home, False)
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries that know how far they have to look; NaN where the own cell holds too few vectors to tell."""
+        t, _, held, _ = shared.value
+        for batch in batches:
+            ids, x, reach = batch.column("vec_id").to_numpy(), _read(batch, dims), batch.column("reach").to_numpy(zero_copy_only=False).astype(np.float32)
+            node, own = t.home(x)
+            for i in np.flatnonzero(np.isnan(reach)):  # as far as the centres of enough vectors
+                far = np.linalg.norm(t.leaves[node[i]] - x[i], axis=1)
+                order = np.argsort(far)
+                enough = np.searchsorted(np.cumsum(held[t.first[node[i]] + order]), k + 1)
+                reach[i] = far[order[enough]] if enough < len(order) else _WIDEST
+            yield from looking(ids, x, reach, reach, (node, own), not all_query)
+
+    def split(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Search, pa.RecordBatch | None]]:
+        """The search in a block with each batch of queries that visits it; members come first, as rows are sorted by role."""
+        t, turn, _, _ = shared.value
         members: list[pa.RecordBatch] = []
         found: Search | None = None
 
-        def begin() -> Iterator[_Found]:
-            nonlocal found
+        def begin() -> Search:
             ids, x = _vectors(pa.Table.from_batches(members, schema=members[0].schema), 0, dims)
-            found = Search(ids, x, c[key[0].as_py()], turn, k, least, all_query)
-            if all_query:
-                yield from found.run(ids, x)
+            return Search(ids, x, t.centres[key[0].as_py()], turn, k, least, all_query)
 
-        out = lambda v: pa.RecordBatch.from_arrays([pa.array(v[0]), pa.array(v[1]), pa.array(v[2])], schema=_PAIRS)
         for batch in batches:
             role = batch.column("role").to_numpy()
             if (role == 0).any():
@@ -440,47 +597,57 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, nearest:
                 members.append(batch.filter(pa.array(role == 0)))
             if (role == 1).any() and members:
                 if found is None:
-                    yield from map(out, begin())
-                yield from map(out, found.run(*_vectors(pa.Table.from_batches([batch]), 1, dims)))
+                    found = begin()
+                    yield found, None
+                yield found, batch
         if found is None and members:
-            yield from map(out, begin())
+            yield begin(), None
+
+    def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda v: pa.RecordBatch.from_arrays([pa.array(v[0]), pa.array(v[1]), pa.array(v[2])], schema=_PAIRS)
+        found: Search | None = None
+        for found, batch in split(key, batches):
+            if batch is not None:
+                yield from map(out, found.run(*_vectors(pa.Table.from_batches([batch]), 1, dims)))
+            elif all_query:
+                yield from map(out, found.run(found.ids, found.x))
         if found is not None and all_query:
             yield out(found.back())
 
-    def measure(key: tuple, table: pa.Table) -> pa.Table:
-        """Members with the distance within which their k nearest must lie."""
-        c, turn = shared.value
-        ids, x = _vectors(table, 0, dims)
-        found = [*Search(ids, x, c[key[0].as_py()], turn, k, least, False).run(ids, x)]
-        a, _, s = (np.concatenate(v) for v in zip(*found))
-        reach = np.full(len(ids), radius, dtype=np.float64)
-        which, count = np.unique(a, return_counts=True)
-        full = np.isin(a, which[count == k])
-        if full.any():
-            order = np.argsort(a[full], kind="stable")
-            whose, start = np.unique(a[full][order], return_index=True)
-            worst = np.minimum.reduceat(s[full][order], start)
-            reach[np.searchsorted(ids, whose)] = np.minimum(radius, np.sqrt(np.maximum(2 - 2 * worst, 0)) + 1e-6)
-        return pa.table({"vec_id": ids, "x": pa.array([v.tobytes() for v in x], pa.binary()), "reach": reach}, schema=_REACHED)
-
-    if dense:
-        home = materialise(wide.mapInArrow(lambda it: place(it, False, True), _ROWS_SQL))
-        reached = hashed(home, "cell", "block").groupBy("cell", "block").applyInArrow(measure, _REACHED_SQL)
-        placed = home.unionByName(reached.mapInArrow(lambda it: place(it, True, False, True), _ROWS_SQL))
+    def measure(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with the distance to look within, from the k nearest in their own block."""
+        for found, batch in split(key, batches):
+            if batch is not None:
+                yield _reached(found, *_vectors(pa.Table.from_batches([batch]), 1, dims), k, radius, shorter)
+            elif all_query:
+                found.mutual = False
+                yield _reached(found, found.ids, found.x, k, radius, shorter)
+
+    by_block = lambda df, rows_: hashed(df, "cell", "block", size=rows_ * (dims * 4 + 24)).sortWithinPartitions("cell", "block", "role").groupBy("cell", "block")
+    if not measured:
+        placed = wide.mapInArrow(both, _ROWS_SQL)
     elif all_query:
-        placed = wide.mapInArrow(lambda it: place(it, True, True), _ROWS_SQL)
+        home = materialise(wide.mapInArrow(lambda it: at_home(it, 0), _ROWS_SQL))
+        limits = by_block(home, total).applyInArrow(measure, _REACHED_SQL)
+        placed = home.unionByName(limits.mapInArrow(reached, _ROWS_SQL))
     else:
-        asked = queries.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(values).cast("array<float>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
-        placed = wide.mapInArrow(lambda it: place(it, False, True), _ROWS_SQL).unionByName(spread(asked).mapInArrow(lambda it: place(it, True, False), _ROWS_SQL))
-    pairs = hashed(placed, "cell", "block").sortWithinPartitions("cell", "block", "role").groupBy("cell", "block").applyInArrow(search, _PAIRS_SQL)
-    if inside is not None:
-        wanted = inside if all_query else inside.join(asked.select("vec_id"), "vec_id", "left_semi")
-        pairs = pairs.unionByName(wanted)
-    best = pairs.groupBy("vec_id", "other").agg(F.max("similarity").alias("similarity"))
-    order = F.struct((-F.col("similarity")).alias("d"), "other")
-    listed = best.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("top"))
-    flat = listed.select("vec_id", F.posexplode("top").alias("rank", "t"))
-    return flat.select("vec_id", F.col("t.other").alias("other"), (-F.col("t.d")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+        home = materialise(wide.mapInArrow(lambda it: at_home(it, 0), _ROWS_SQL))
+        limits = by_block(home.unionByName(spread(asked).mapInArrow(lambda it: at_home(it, 1), _ROWS_SQL)), total).applyInArrow(measure, _REACHED_SQL)
+        placed = home.unionByName(limits.mapInArrow(reached, _ROWS_SQL))
+    return by_block(placed, 6 * total).applyInArrow(search, _PAIRS_SQL)
+
+
+def _reached(found: Search, ids: np.ndarray, x: np.ndarray, k: int, radius: float | None, shorter: float) -> pa.RecordBatch:
+    a, _, s = (np.concatenate(v) for v in zip(*found.run(ids, x)))
+    reach = np.full(len(ids), np.nan if radius is None else radius, dtype=np.float64)
+    which, count = np.unique(a, return_counts=True)
+    full = np.isin(a, which[count == k])
+    if full.any():
+        order = np.argsort(a[full], kind="stable")
+        whose, start = np.unique(a[full][order], return_index=True)
+        far = np.sqrt(np.maximum(2 - 2 * np.minimum.reduceat(s[full][order], start), 0))
+        reach[np.searchsorted(ids, whose)] = shorter * far if radius is None else np.minimum(radius, far + 1e-6)
+    return pa.RecordBatch.from_arrays([pa.array(ids), _binary(x), pa.array(reach)], schema=_REACHED)
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.99) -> DataFrame:

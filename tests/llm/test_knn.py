@@ -70,7 +70,7 @@ def test_dense_vectors_look_less_and_lose_nothing(data, spark):
 def test_recall_without_least(data):
     df, u = data
     q = df.filter("vec_id % 20 = 0")
-    rows = knn.neighbours(df, 5, queries=q, cell=50, nearest=16).collect()
+    rows = knn.neighbours(df, 5, queries=q, cell=50).collect()
     want = brute(u, 5)
     got = {}
     for r in rows:
@@ -80,6 +80,27 @@ def test_recall_without_least(data):
     assert hits >= 0.9 * 5 * len(got)
 
 
+@pytest.mark.parametrize("settings", [{"fan": 4}, {"fan": 4, "many_looks": 0}, {"most_cells": 6}, {"most_cells": 6, "fan": 2, "many_looks": 0}])
+def test_trees_and_parts_lose_nothing(data, settings):
+    df, u = data
+    for asked in (None, df.filter("vec_id % 3 = 0")):
+        got = {}
+        for r in knn.neighbours(df, 5, 0.97, queries=asked, cell=60, **settings).collect():
+            got.setdefault(r["vec_id"], []).append(r["similarity"])
+        want = {i: b for i, b in brute(u, 5, 0.97).items() if b and (asked is None or i % 3 == 0)}
+        assert set(got) == set(want)
+        for i, b in want.items():
+            assert np.allclose(sorted(got[i]), sorted(v for _, v in b), atol=1e-5)
+
+
+@pytest.mark.parametrize("settings", [{"fan": 8}, {"most_cells": 10}])
+def test_recall_of_trees_and_parts(data, settings):
+    df, u = data
+    got = {(r["vec_id"], r["other"]) for r in knn.neighbours(df, 5, queries=df.filter("vec_id % 10 = 0"), cell=60, **settings).collect()}
+    want = {(i, j) for i, b in brute(u, 5).items() if i % 10 == 0 for j, _ in b}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_recall_does_not_fall_with_the_number_of_cells():
     t = pq.read_table("/root/testdata/sf0.1/spectral_events.parquet", columns=["vec_id", "detector_values"])
     ids, x = knn.unit_rows(t.column("vec_id").to_numpy(), knn._list_array(t.column("detector_values")), 32)
@@ -87,12 +108,22 @@ def test_recall_does_not_fall_with_the_number_of_cells():
     s = x[:200] @ x.T
     s[np.arange(200), np.arange(200)] = -2
     near = np.argpartition(-s, 9, axis=1)[:, :10]
-    for cells in (500, 4096):
-        c = knn.centroids(x, cells)
-        own = np.concatenate([(part @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1) for part in np.array_split(x, 10)])
-        home, at, other = knn.probes(x[:200], c, None, knn.looked_into(len(c)))
-        seen = {*zip(range(200), home.tolist()), *zip(at.tolist(), other.tolist())}
-        assert np.mean([(i, own[j]) in seen for i in range(200) for j in near[i]]) >= 0.99
+    for cells, nodes in ((50, 1), (500, 8), (2000, 40)):
+        if nodes == 1:
+            tree = knn.Tree(np.zeros((1, 32), dtype=np.float32), [knn.centroids(x, cells)])
+        else:
+            top = knn.centroids(x, nodes)
+            node = (x @ top.T - 0.5 * (top * top).sum(axis=1)).argmax(axis=1)
+            tree = knn.Tree(top, [knn.centroids(x[node == n], max(1, round((node == n).mean() * cells))) for n in range(nodes)])
+        own = np.concatenate([tree.home(part)[1] for part in np.array_split(x, 10)])
+        home = tree.home(x[:200])
+        reach = np.empty(200, dtype=np.float32)
+        for i in range(200):
+            best = np.sort(s[i, own == home[1][i]])[::-1][:10]
+            reach[i] = knn.SHORTER * np.sqrt(2 - 2 * best[-1])
+        at, other = tree.looks(x[:200], *home, reach, reach)
+        seen = {*zip(range(200), home[1].tolist()), *zip(at.tolist(), other.tolist())}
+        assert np.mean([(i, own[j]) in seen for i in range(200) for j in near[i]]) >= 0.96
 
 
 def test_hot_copies(spark):
@@ -134,10 +165,10 @@ def test_a_third_of_the_vectors_point_the_same_way(spark, monkeypatch, noise):
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     placed, hashed = [], knn.hashed
     monkeypatch.setattr(knn, "BLOCK", 120)
-    monkeypatch.setattr(knn, "hashed", lambda d, *keys: (placed.append(d), hashed(d, *keys))[1])
+    monkeypatch.setattr(knn, "hashed", lambda d, *keys, **kw: (placed.append(d), hashed(d, *keys, **kw))[1])
     for least, asked in ((0.9, None), (None, df.filter("vec_id % 70 = 0"))):
         got = {}
-        for r in knn.neighbours(df, 5, least, queries=asked, cell=300).collect():
+        for r in knn.neighbours(df, 5, least, queries=asked, cell=300, shorter=1.0).collect():
             got.setdefault(r["vec_id"] // 10, []).append(r["similarity"])
         want = {i: b for i, b in brute(u, 5, least).items() if b and (asked is None or i % 7 == 0)}
         assert set(got) == set(want)
