@@ -40,4 +40,45 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, main_kind string, share double")
     assert sorted(r[0] for r in spam.spam_pages(df).collect()) == [*range(len(SPAM)), 103]
     assert spam.spam_pages(df.limit(0)).count() == 0
-    assert {r["doc_id"]: r["main_kind"] for r in spam.page_scores(df).collect()}[3] == "links"
+    scores = {r["doc_id"]: r for r in spam.page_scores(df).collect()}
+    assert scores[3]["n_shapes"] <= 3 and scores[3]["share"] > 0.9 and 101 not in scores
+
+
+LANGUAGES = [
+    "Próbki zostały umyte dwukrotnie w buforze przed barwieniem przeciwciałami. Następnie komórki zostały zawieszone w roztworze i przeniesione do czystych probówek. Wyniki pokazują, że sygnał był słabszy niż w poprzednim tygodniu, dlatego powtórzyliśmy pomiar po wymianie lasera.",
+    "Образцы были дважды промыты буфером перед окрашиванием антителами. После этого клетки перенесли в чистые пробирки и оставили на льду до измерения. Результаты показывают, что сигнал оказался слабее, чем на прошлой неделе, поэтому мы повторили измерение после замены лазера.",
+    "Näytteet pestiin kahdesti puskurilla ennen värjäystä. Sen jälkeen solut siirrettiin puhtaisiin putkiin ja jätettiin jäihin mittaukseen asti. Tulokset osoittavat, että signaali oli heikompi kuin viime viikolla, joten toistimme mittauksen laserin vaihdon jälkeen.",
+    "Örnekler boyamadan önce tamponla iki kez yıkandı. Daha sonra hücreler temiz tüplere aktarıldı ve ölçüme kadar buz üzerinde bekletildi. Sonuçlar sinyalin geçen haftaya göre daha zayıf olduğunu gösteriyor.",
+    "A mintákat festés előtt kétszer mostuk pufferrel. Ezután a sejteket tiszta csövekbe tettük, és a mérésig jégen tartottuk. Az eredmények azt mutatják, hogy a jel gyengébb volt, mint a múlt héten.",
+    "I campioni sono stati lavati due volte con il tampone prima della colorazione. Poi le cellule sono state trasferite in provette pulite e lasciate in ghiaccio fino alla misura.",
+    "Proverna tvättades två gånger med buffert före färgningen. Därefter flyttades cellerna till rena rör och låg på is fram till mätningen.",
+    "De monsters werden twee keer gewassen met buffer voor de kleuring. Daarna werden de cellen naar schone buizen overgebracht en tot de meting op ijs bewaard.",
+    "我们用缓冲液洗涤样品两次，然后进行染色。之后将细胞转移到干净的试管中，并在冰上保存至测量。结果显示信号比上周弱。",
+    "Τα δείγματα πλύθηκαν δύο φορές με ρυθμιστικό διάλυμα πριν από τη χρώση. Στη συνέχεια τα κύτταρα μεταφέρθηκαν σε καθαρούς σωλήνες και έμειναν στον πάγο μέχρι τη μέτρηση.",
+]
+
+
+@pytest.mark.parametrize("text", LANGUAGES)
+def test_prose_of_other_languages(text):
+    assert spam.spam_share(text) <= 0.5
+    assert spam.spam_share(text.replace(". ", ".\n")) <= 0.5
+    assert spam.spam_share(text.upper()) <= 0.5
+
+
+def test_lists_of_single_keywords_in_any_layout():
+    words = [f"{a} {b}{c}" for a in ("cheap", "used", "best", "flow", "mass") for b in ("cytometer", "antibody", "laser", "beads", "reagent", "software", "sorter", "repair") for c in (" online", " shop", "", " sale", " kit")]
+    words = [words[(37 * i) % 200] for i in range(200)]
+    for text in (". ".join(w.capitalize() for w in words) + ".", "\n".join(words), ", ".join(words), " ".join(words), " | ".join(words)):
+        assert spam.spam_share(text) > 0.5
+
+
+def test_the_crawl_tells_where_a_page_holds_little(spark):
+    line = "Remember: spectral unmixing comes before embedding"
+    prose = [(i, f"It was not so on day {i} of the run, and we had to go on as before\nwith all of it in the end") for i in range(50)]
+    share = lambda rows: {r["doc_id"]: r["share"] for r in spam.page_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert share([(1000, line)])[1000] > 0.5  # of its own shape the crawl knows nothing but this line
+    similar = [(i, "It was so on day 3") for i in range(50)]
+    lists = [(i, "Cell sorter kits parts 7 beads") for i in range(50)]
+    text = "Cell sorter parts lab 7 kits"
+    assert share([(1000, text), *similar])[1000] < 0.5 < share([(1000, text), *lists])[1000]
+    assert max(share(prose).values()) <= 0.5
