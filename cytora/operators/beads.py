@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytora.functions.exprs import arcsinh, fin
-from cytora.operators import ordered
+from cytora.operators import ordered, stats
 
 #: Name of a mass channel: element and mass in either order, with an optional suffix.
 MASS_NAME = r"(?i)^(?:([A-Za-z]{1,2})(\d{2,3})|(\d{2,3})([A-Za-z]{1,2}))(?:D[id])?$"
@@ -36,8 +36,9 @@ def isotope_window(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, low, high): the upper end of a channel mirrored around the median of its upper half."""
     good = df.filter(fin(F.col(value))).select(group, value)
     top = good.groupBy(group).agg(F.max(value).alias("high"))
-    upper = good.join(top, group).filter(F.col(value) >= F.col("high") / 2).groupBy(group, "high").agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    return upper.select(group, (2 * F.col("_m") - F.col("high")).alias("low"), "high")
+    upper = good.join(top, group).filter(F.col(value) >= F.col("high") / 2)
+    median = stats.exact_quantiles(upper, [group, "high"], [value], [0.5])
+    return median.select(group, (2 * F.col("q")[0] - F.col("high")).alias("low"), "high")
 
 
 def widest_gap(df: DataFrame, group: str, value: str, cofactor: float = 5.0) -> DataFrame:
@@ -47,11 +48,12 @@ def widest_gap(df: DataFrame, group: str, value: str, cofactor: float = 5.0) ->
     """
     x = arcsinh(F.col(value).cast("double") / cofactor)
     grouped = df.filter(fin(F.col(value))).select(F.col(group), x.alias("_x")).groupBy(group, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    rows = ordered.previous(ordered.running_sums(grouped, [group, "_x"], {"_n": "_upto"}), ["_x"], "_x", "_before", group)
-    ends = rows.groupBy(group).agg(F.sum("_n").alias("_all"), F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.percentile("_x", F.lit(0.25), F.col("_n")).alias("_q"))
-    gap = rows.join(ends, group).withColumns({"_below": F.col("_upto") - F.col("_n") - F.col("_start"), "_gap": F.col("_x") - F.col("_before")})
+    rows = ordered.scan(grouped, ["_x"], {"_n": "_upto"}, {"_x": "_before"}, group)
+    ends = rows.groupBy(group).agg(F.max("_upto").alias("_all"))
+    quarter = stats.exact_quantiles(rows, [group], ["_x"], [0.25], "_n").select(group, F.col("q")[0].alias("_q"))
+    gap = rows.join(ends, group).withColumns({"_below": F.col("_upto") - F.col("_n"), "_gap": F.col("_x") - F.col("_before")})
     held = (F.col("_below") >= F.greatest(F.lit(2), F.ceil(F.col("_all") * 0.05))) & (F.col("_all") - F.col("_below") >= F.greatest(F.lit(1), F.ceil(F.col("_all") * 0.01)))
-    best = gap.groupBy(group, "_q").agg(F.max_by(F.struct(F.col("_gap").alias("g"), ((F.col("_x") + F.col("_before")) / 2).alias("m")), F.when(held & (F.col("_gap") > 0), F.struct(F.col("_gap"), -F.col("_x")))).alias("b"))
+    best = gap.groupBy(group).agg(F.max_by(F.struct(F.col("_gap").alias("g"), ((F.col("_x") + F.col("_before")) / 2).alias("m")), F.when(held & (F.col("_gap") > 0), F.struct(F.col("_gap"), -F.col("_x")))).alias("b")).join(quarter, group)
     return best.select(group, (F.lit(cofactor) * F.sinh(F.coalesce(F.col("b.m"), F.col("_q")))).alias("boundary"))
 
 
@@ -64,13 +66,14 @@ def bead_bins(total: Column, per_bin: int = 50) -> Column:
 
 def time_bins(df: DataFrame, sample: str, time: str, values: list[str], order: list[str]) -> DataFrame:
     """(sample, bin, n, time, values...): medians of equally filled time bins; a last bin of fewer than 25 joins the one before."""
-    indexed = ordered.row_index(df.filter(fin(F.col(time))), [time, *order], "_i", sample)
-    total = indexed.groupBy(sample).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 20").withColumn("_size", bead_bins(F.col("_n")))
-    rows = indexed.join(total, sample).withColumn("bin", F.floor(F.col("_i") / F.col("_size")))
+    needed = list(dict.fromkeys([sample, time, *values, *order]))
+    indexed = ordered.row_index(df.filter(fin(F.col(time))).select(*needed), [time, *order], "_i", sample, "_n")
+    rows = indexed.filter("_n >= 20").withColumn("_size", bead_bins(F.col("_n"))).withColumn("bin", F.floor(F.col("_i") / F.col("_size")))
     last = F.floor((F.col("_n") - 1) / F.col("_size"))
     short = (F.col("_n") - last * F.col("_size") < 25) & (last > 0)
     merged = rows.withColumn("bin", F.when(short & (F.col("bin") == last), last - 1).otherwise(F.col("bin")).cast("int"))
-    return merged.groupBy(sample, "bin").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(c, F.lit(0.5)).alias(c) for c in (time, *values)])
+    sizes = merged.groupBy(sample, "bin").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(stats.exact_medians(merged, [sample, "bin"], [time, *values]), [sample, "bin"])
 
 
 def interpolated(knots: list[tuple[float, float]], x: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Fits to histograms and curves: cell cycle, proliferation, index cutoffs, quantile splines; curves as columns."""
+"""Component curves as columns, and what fits to histograms share."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cytora.operators.fits.least_squares import least_squares
-from cytora.operators.fits.special import normal_cdf
-
 # --- curves ----------------------------------------------------------------------------------------------------
 
 
@@ -67,227 +64,3 @@ def smooth(y: np.ndarray, half: int) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(y)])
     a, b = np.maximum(np.arange(len(y)) - half, 0), np.minimum(np.arange(len(y)) + half + 1, len(y))
     return (total[b] - total[a]) / (b - a)
-
-
-# --- cell cycle ------------------------------------------------------------------------------------------------
-
-
-def _peaks(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
-    """Places of the first and the second phase peak."""
-    one = int(y.argmax())
-    span = x[-1] - x[0]
-    from_ = int(np.searchsorted(x, max(1.75 * x[one], x[one] + 0.2 * span)))
-    fallback = min(len(y) - 1, one + max(5, len(y) // 4))
-    from_ = fallback if from_ >= len(y) - 5 else from_
-    two = from_ + int(y[from_:].argmax())
-    return one, two if two > one else fallback
-
-
-def _spread(x: np.ndarray, y: np.ndarray, at: int, side: int, share: float = 0.6) -> float:
-    """Sigma that the distance to where a peak has fallen to ``share`` stands for."""
-    level, k = share * y[at], at
-    while 0 <= k + side < len(y):
-        if (y[k] - level) * (y[k + side] - level) <= 0 and y[k] != y[k + side]:
-            cross = x[k] + (level - y[k]) / (y[k + side] - y[k]) * (x[k + side] - x[k])
-            return max(abs(cross - x[at]) / math.sqrt(-2 * math.log(share)), 1e-6)
-        k += side
-    return max((x[-1] - x[0]) / 20, 1e-6)
-
-
-def _flank(x: np.ndarray, y: np.ndarray, at: int, side: int) -> np.ndarray:
-    """(amplitude, mean, sigma) of a peak from its outer flank."""
-    s = _spread(x, y, at, side)
-    out = (x - x[at]) * side / s
-    use = (out >= -1) & (out <= 3)
-    use = use if use.sum() >= 6 else np.ones(len(x), dtype=bool)
-    top, bin_ = max(float(y[at]), 1e-9), x[1] - x[0]
-    p, _ = least_squares(
-        lambda p: gaussian(x[use], p[0], p[1], math.exp(p[2])) - y[use],
-        np.array([top, x[at], math.log(s)]),
-        np.array([0.0, x[0], math.log(max(0.25 * bin_, 1e-9))]),
-        np.array([max(5 * top, 1.0), x[-1], math.log(max(x[-1] - x[0], 1e-6))]),
-    )
-    return np.array([p[0], p[1], math.exp(p[2])])
-
-
-def cell_cycle(x: np.ndarray, y: np.ndarray, model: str = "watson") -> dict[str, float]:
-    """Phase percentages and peak parameters of a normalised DNA histogram; ``model`` is watson or dean."""
-    one, two = _peaks(x, y)
-    if model == "watson":
-        a, b = _flank(x, y, one, -1), _flank(x, y, two, 1)
-        if b[1] <= a[1]:
-            b[1] = min(x[-1], 2 * a[1])
-        g1, g2 = gaussian(x, *a), gaussian(x, *b)
-        chance = normal_cdf((x - a[1]) / max(a[2], 1e-9)) * normal_cdf((b[1] - x) / max(b[2], 1e-9))
-        s = np.maximum(y - g1 - g2, 0) * np.where((x >= a[1]) & (x <= b[1]), chance, 0)
-    else:
-        bin_, width = x[1] - x[0], max(x[-1] - x[0], 1e-6)
-        small = math.log(max(0.25 * bin_, 1e-9))
-
-        def parts(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            t = (x - p[1]) / max(p[4] - p[1], 1e-6)
-            between = (t >= 0) & (t <= 1) & (p[4] > p[1])
-            level = np.maximum(p[6] + p[7] * t + p[8] * t * t, 0) + gaussian(t, p[9], p[10], math.exp(p[11]))
-            return gaussian(x, p[0], p[1], math.exp(p[2])), np.where(between, level, 0), gaussian(x, p[3], p[4], math.exp(p[5]))
-
-        weight = 1 / np.sqrt(np.maximum(y, 1 / len(y)))
-        start = [max(y[one], 1e-9), x[one], math.log(_spread(x, y, one, -1)), max(y[two], 1e-9), x[two], math.log(_spread(x, y, two, 1)), max(float(np.median(y)), 1e-9), 0, 0, max(0.25 * float(y.max()), 1e-9), 0.5, math.log(0.18)]
-        lower = [0, x[0], small, 0, x[0], small, 0, -1, -1, 0, 0, math.log(0.02)]
-        upper = [1, x[-1], math.log(width), 1, x[-1], math.log(width), 1, 1, 1, 1, 1, 0]
-        p, _ = least_squares(lambda p: (sum(parts(p)) - y) * weight, np.array(start, float), np.array(lower, float), np.array(upper, float), 3000)
-        g1, s, g2 = parts(p)
-        a, b = np.array([p[0], p[1], math.exp(p[2])]), np.array([p[3], p[4], math.exp(p[5])])
-    total = max(g1.sum() + s.sum() + g2.sum(), 1e-300)
-    return {
-        "g1": 100 * g1.sum() / total, "s": 100 * s.sum() / total, "g2": 100 * g2.sum() / total, "g1_mean": a[1], "g1_cv": 100 * a[2] / max(abs(a[1]), 1e-9),
-        "g2_mean": b[1], "g2_cv": 100 * b[2] / max(abs(b[1]), 1e-9), "ratio": b[1] / max(a[1], 1e-9),
-    }
-
-
-# --- proliferation ---------------------------------------------------------------------------------------------
-
-
-def find_peaks(y: np.ndarray, prominence: float, distance: int) -> np.ndarray:
-    """Local maxima at least ``distance`` apart (the higher one stays) that stand out by ``prominence``."""
-    inner = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:])) + 1
-    keep: list[int] = []
-    for k in sorted(inner, key=lambda k: -y[k]):
-        if all(abs(k - j) >= distance for j in keep):
-            keep.append(int(k))
-    out = []
-    for k in sorted(keep):
-        base = []
-        for side in (y[k::-1], y[k:]):
-            higher = np.flatnonzero(side > y[k])
-            base.append(side[: higher[0] + 1].min() if len(higher) else side.min())
-        if y[k] - max(base) >= prominence:
-            out.append(k)
-    return np.array(out, dtype=int)
-
-
-#: Generations a fit has at most, how far a spacing may deviate, and the widest peak against the spacing.
-MOST_PEAKS, DISTORTION, WIDEST = 33, 0.1, 0.48
-
-
-def proliferation(y: np.ndarray, generations: int = 8, prominence: float = 0.03) -> dict[str, np.ndarray | float]:
-    """Fractions and means of generations in a normalised dye histogram, in units of its bins, and the division indices."""
-    bins = len(y)
-    x = np.arange(bins) + 0.5
-    top = max(float(y.max()), 1e-9)
-    peaks = find_peaks(y, max(prominence * top, 1e-9), max(2, bins // max(4 * generations, 8)))
-    peaks = peaks if len(peaks) else np.array([int(y.argmax())])
-    clear = peaks[y[peaks] >= max(top * prominence, 0.1 * top)]
-    clear = clear if len(clear) else peaks
-    gap = bins * math.log10(2) / max(math.log10(max(bins, 10)), 1.0)
-    spacing = np.diff(np.sort(x[clear]))
-    spacing = spacing[spacing > 2]
-    gap = float(np.median(spacing)) if len(spacing) else gap
-    parent = float(x[clear].max())
-    near = np.abs(x - parent) <= max(0.45 * gap, 1.0)
-    weight = y[near]
-    size = max(0.18 * gap, 1.0)
-    if near.sum() >= 4 and weight.sum() > 0:
-        centre = (x[near] * weight).sum() / weight.sum()
-        size = max(math.sqrt(((x[near] - centre) ** 2 * weight).sum() / weight.sum()), 1.0)
-    n = max(1, min(math.ceil(max(parent, gap) / max(gap, 1.0)), generations + 1, MOST_PEAKS))
-    heights = np.sqrt(np.maximum(np.interp(parent - gap * np.arange(n), x, y, left=0, right=0), 0.01 * top))
-    ratio = min(max(min(max(size, 0.5), gap * WIDEST) / gap, 0.01), WIDEST)
-
-    def unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-        step = math.exp(p[n + 1])
-        means = p[n] - step * np.concatenate([[0.0], np.cumsum(np.exp(p[n + 3 :]))])
-        return p[:n] ** 2, means, max(0.5, step * math.exp(p[n + 2])), step
-
-    def parts(p: np.ndarray) -> np.ndarray:
-        area, means, width, _ = unpack(p)
-        return area[:, None] * np.exp(-((x[None, :] - means[:, None]) ** 2) / (2 * width * width))
-
-    emphasis = 0.25 + 0.75 * np.sqrt(np.maximum(y, 0) / top)
-    start = np.concatenate([heights, [parent, math.log(gap), math.log(ratio)], np.zeros(n - 1)])
-    high = max(10 * math.sqrt(top), 1.0)
-    lower = np.concatenate([np.full(n, -high), [max(0.0, parent - 0.6 * gap), math.log(max(2.0, 0.65 * gap)), math.log(0.01)], np.full(n - 1, math.log(1 - DISTORTION))])
-    upper = np.concatenate([np.full(n, high), [min(bins, parent + 0.6 * gap), math.log(max(min(bins, 1.35 * gap), 2.0, 0.65 * gap)), math.log(WIDEST)], np.full(n - 1, math.log(1 + DISTORTION))])
-    p, _ = least_squares(lambda p: np.concatenate([(parts(p).sum(axis=0) - y) * emphasis, (np.exp(p[n + 3 :]) - 1) * top * 0.5]), start, lower, upper, 20_000)
-    areas = np.maximum(np.trapezoid(parts(p), x, axis=1) / bins, 0)
-    fractions = areas / areas.sum() if areas.sum() > 0 else areas
-    k = np.arange(n)
-    _, means, width, step = unpack(p)
-    return {
-        "fractions": fractions, "means": means, "width": width, "step": step, "division": float((k * fractions).sum()),
-        "proliferation": float((k[1:] * areas[1:]).sum() / max(areas[1:].sum(), 1e-12)), "replication": float(areas.sum() / max((areas / 2.0**k).sum(), 1e-12)),
-    }
-
-
-# --- index cutoffs ---------------------------------------------------------------------------------------------
-
-
-def index_cutoff(x: np.ndarray, share: np.ndarray, cofactor: float = 5.0) -> float | None:
-    """Cutoff of an index channel from its survival curve at 101 points: a line and a log-logistic curve, each weighted by the other's error."""
-    t = np.arcsinh(np.asarray(x, float) / cofactor)
-    y, top = np.asarray(share, float), float(t[-1])
-    inside = lambda v: v if v is not None and np.isfinite(v) and 0 <= v <= top else None
-    var = ((t - t.mean()) ** 2).sum()
-    slope = float(((t - t.mean()) * (y - y.mean())).sum() / var) if var > 0 else 0.0
-    cut = y.mean() - slope * t.mean()
-    line_error = float(((y - slope * t - cut) ** 2).sum())
-    line = inside(-cut / (2 * slope)) if slope < -1e-12 else None
-
-    u, v = t[1:], y[1:]
-    curve = lambda p: math.exp(p[1]) / (1 + np.exp(np.clip(math.exp(p[0]) * (np.log(u) - p[2]), -60, 60)))
-    high = max(1e-6, float(y.max()))
-    middle = math.log(u[int(np.abs(v - high / 2).argmin())])
-    fits = [least_squares(lambda p: curve(p) - v, np.array([math.log(s), math.log(high), middle]), np.full(3, -30.0), np.full(3, 30.0), 800) for s in (1, 2, 5, 10, 20)]
-    fits = [f for f in fits if np.isfinite(f[1]) and math.exp(f[0][2]) <= 2 * top]
-    bend = None
-    if fits:
-        p, bend_error = min(fits, key=lambda f: f[1])
-        k = math.exp(p[0])
-        z = np.exp(np.clip(k * (np.log(u) - p[2]), -700, 700))
-        steep = np.flatnonzero(k * z / (u * (1 + z)) > 0.1)
-        bend = float(u[steep[0]]) if len(steep) else None
-    if line is not None and bend is not None:
-        w = bend_error / (line_error + bend_error) if line_error + bend_error > 1e-20 else 0.5
-        found = inside(w * line + (1 - w) * bend)
-    else:
-        found = line if line is not None else bend
-    return None if found is None else float(cofactor * np.sinh(found))
-
-
-# --- quantile splines ------------------------------------------------------------------------------------------
-
-
-class Spline:
-    """Monotone cubic between quantiles, straight beyond them; identity where there is nothing to bend."""
-
-    def __init__(self, source: np.ndarray, goal: np.ndarray):
-        s, g = np.asarray(source, float), np.asarray(goal, float)
-        good = ~(np.isnan(s) | np.isnan(g))
-        self.x, place = np.unique(s[good], return_inverse=True)
-        n = np.bincount(place, minlength=len(self.x))
-        self.y = np.bincount(place, weights=g[good], minlength=len(self.x)) / np.maximum(n, 1)
-        self.identity = len(self.x) < 2 or np.all(self.y == self.y[:1])
-        if self.identity:
-            return
-        d = np.diff(self.y) / np.diff(self.x)
-        m = np.concatenate([d[:1], (d[1:] + d[:-1]) / 2, d[-1:]])
-        for i, slope in enumerate(d):  # in order: a change of one tangent is seen by the next interval
-            if slope == 0:
-                m[i] = m[i + 1] = 0
-                continue
-            a, b = m[i] / slope, m[i + 1] / slope
-            over, under = 2 * a + b - 3, a + 2 * b - 3
-            if over > 0 and under > 0 and a * (over + under) < over * over:
-                m[i], m[i + 1] = 3 * slope * np.array([a, b]) / math.hypot(a, b)
-        self.m = m
-
-    def __call__(self, v: np.ndarray) -> np.ndarray:
-        v = np.asarray(v, float)
-        if self.identity:
-            return v
-        x, y, m = self.x, self.y, self.m
-        i = np.clip(np.searchsorted(x, v, side="right") - 1, 0, len(x) - 2)
-        h = x[i + 1] - x[i]
-        t = (v - x[i]) / h
-        value = y[i] + h * m[i] * t + t * t * (3 * (y[i + 1] - y[i]) - h * (2 * m[i] + m[i + 1])) + t**3 * (2 * (y[i] - y[i + 1]) + h * (m[i] + m[i + 1]))
-        value = np.where(v <= x[0], y[0] + m[0] * (v - x[0]), value)
-        return np.where(v >= x[-1], y[-1] + m[-1] * (v - x[-1]), value)

@@ -84,7 +84,7 @@ def knn_graph(vectors: DataFrame, k: int = 15, metric: str = "cosine", exact_row
 def connectivities(graph: DataFrame) -> DataFrame:
     """(a, b, weight), a < b: Gaussian weights with each vector's own width (median of squared distances), both directions averaged."""
     edges = graph.filter("vec_id != other").select("vec_id", "other", (F.col("distance") * F.col("distance")).alias("d2"))
-    width = edges.groupBy("vec_id").agg(F.percentile("d2", F.lit(0.5)).alias("s"))
+    width = edges.groupBy("vec_id").agg(F.percentile("d2", F.lit(0.5)).alias("s"))  # k values at most
     one = edges.join(width, "vec_id").withColumnRenamed("s", "s1")
     both = one.join(width.select(F.col("vec_id").alias("other"), F.col("s").alias("s2")), "other")
     total = F.greatest(F.col("s1") + F.col("s2"), F.lit(1e-300))

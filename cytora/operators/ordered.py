@@ -1,67 +1,128 @@
 """Order-dependent operators without a single-task sort.
 
-Rows are range-partitioned and sorted within partitions; what crosses a border (row offsets, running totals, the
-last value) is one row per partition and is joined back. A hot group spreads over many partitions.
+Rows are range-partitioned and sorted within partitions, once; what crosses a border (row offsets, running totals, the
+last value) is one row per partition and group and is joined back. A hot group spreads over many partitions. Callers
+hand over the columns they need only, as sorted rows are written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cytora.session import materialise
 
 
 def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` in global order, with the partition ``_pid`` and the place ``_pos`` in it of each row, written once."""
+    """``df`` in global order, with the partition ``_pid`` and the place ``_pos`` in it of each row; not written yet."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialise(placed.withColumns({"_pid": F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    return placed.withColumns({"_pid": F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+
 
+def _borders(rows: DataFrame, group: Column, extra: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """One row per partition and group: first place, rows, rows before in the group, and what is carried over."""
+    each = rows.groupBy(group.alias("_g"), F.col("_pid").alias("_p")).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in extra.items()])
+    w = Window.partitionBy("_g").orderBy("_p")  # partitions that a group lies in
+    return each.withColumns({"_before": F.sum("_rows").over(w) - F.col("_rows"), "_total": F.sum("_rows").over(Window.partitionBy("_g"))} | carried)
 
-def _per_partition(totals: DataFrame) -> Window:
-    return Window.partitionBy(F.lit(0)).orderBy("_pid")  # one row per partition
 
+def _joined(rows: DataFrame, borders: DataFrame, group: Column) -> DataFrame:
+    return rows.join(borders, (F.col("_pid") == F.col("_p")) & group.eqNullSafe(F.col("_g")))
 
-def row_index(df: DataFrame, order: list[str], out: str = "event_idx", within: str | None = None) -> DataFrame:
-    """Adds the 0-based place of each row in the order, or in the order of its group ``within``.
+
+def row_index(df: DataFrame, order: list[str], out: str = "event_idx", within: str | None = None, total: str | None = None) -> DataFrame:
+    """Adds the 0-based place of each row in the order, or in the order of its group ``within``; ``total`` names a column for the rows of the group.
 
     ``order`` has to be unique for the result to be; ties take any order among themselves.
     """
-    keys = ([within] if within else []) + order
-    rows = _sorted(df, keys)
-    sizes = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_pid", (F.sum("_n").over(_per_partition(sizes)) - F.col("_n")).alias("_from"))
-    whole = rows.join(starts, "_pid").withColumn(out, F.col("_from") + F.col("_pos")).drop("_pid", "_pos", "_from")
-    if within is None:
-        return whole
-    first = whole.groupBy(within).agg(F.min(out).alias("_first"))
-    keyed = whole.join(first.withColumnRenamed(within, "_within"), F.col(within).eqNullSafe(F.col("_within")))
-    return keyed.withColumn(out, F.col(out) - F.col("_first")).drop("_first", "_within")
-
-
-def running_sums(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    rows = materialise(_sorted(df, ([within] if within else []) + order))
+    group = F.col(within) if within else F.lit(0)
+    whole = _joined(rows, _borders(rows, group, {}, {}), group)
+    added = {out: F.col("_pos") - F.col("_start") + F.col("_before")} | ({total: F.col("_total")} if total else {})
+    return whole.withColumns(added).select(*df.columns, *added)
+
+
+def scan(df: DataFrame, order: list[str], sums: dict[str, str] | None = None, previous: dict[str, str] | None = None, within: str | None = None) -> DataFrame:
+    """Adds the running totals ``sums[column]`` (own row included) and the values ``previous[column]`` of the row before, both in one pass.
+
+    They begin anew with every group ``within``; the first row has no value before. Nulls count as 0 in totals.
+    """
+    sums, previous = sums or {}, previous or {}
+    rows = _sorted(df, ([within] if within else []) + order)
+    fields = {f.name: f for f in df.schema}
+    whole = {c: isinstance(fields[c].dataType, T.IntegralType) for c in sums}
+    local = {o: T.LongType() if whole[c] else T.DoubleType() for c, o in sums.items()} | {o: fields[c].dataType for c, o in previous.items()}
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(f"_l{i}", t) for i, t in enumerate(local.values())]])
+    names = [f.name for f in schema]
+
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[float] = [0] * len(sums)
+        last: list[pa.Array | None] = [None] * len(previous)
+        group: object = _NONE
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            starts = np.zeros(n, dtype=bool)
+            if within is not None:
+                code = batch.column(within).dictionary_encode(null_encoding="encode")
+                index = code.indices.to_numpy()
+                first = batch.column(within)[0].as_py()
+                starts[1:] = index[1:] != index[:-1]
+                starts[0] = group is _NONE or first != group
+                group = batch.column(within)[n - 1].as_py()
+            else:
+                starts[0] = group is _NONE
+                group = None
+            at = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+            fresh = np.maximum.accumulate(starts)  # a group that began in this batch
+            out = []
+            for k, c in enumerate(sums):
+                v = batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64 if whole[c] else np.float64)
+                run = np.cumsum(v)
+                base = np.where(fresh, (run - v)[at], -held[k])
+                run = run - base
+                held[k] = run[-1]
+                out.append(pa.array(run))
+            for k, c in enumerate(previous):
+                column = batch.column(c)
+                before = pa.concat_arrays([last[k] if last[k] is not None else pa.nulls(1, column.type), column.slice(0, n - 1)])
+                last[k] = column.slice(n - 1, 1)
+                out.append(pc.if_else(pa.array(starts), pa.scalar(None, column.type), before))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=names)
+
+    rows = materialise(rows.mapInArrow(pass_on, schema))
+    group = F.col(within) if within else F.lit(0)
+    extra: dict[str, Column] = {}
+    carried: dict[str, Column] = {}
+    w = Window.partitionBy("_g").orderBy("_p")
+    for i, c in enumerate(sums):
+        extra[f"_t{i}"] = F.coalesce(F.sum(c), F.lit(0))
+        carried[f"_b{i}"] = F.sum(f"_t{i}").over(w) - F.col(f"_t{i}")
+    for i, c in enumerate(previous):
+        extra[f"_v{i}"] = F.max_by(F.struct(F.col(c).alias("v")), "_pos")
+        carried[f"_e{i}"] = F.lag(f"_v{i}").over(w)
+    joined = _joined(rows, _borders(rows, group, extra, carried), group)
+    added: dict[str, Column] = {o: F.col(f"_l{i}") + F.col(f"_b{i}") for i, o in enumerate(sums.values())}
+    for i, o in enumerate(previous.values()):
+        added[o] = F.when(F.col("_pos") == F.col("_start"), F.col(f"_e{i}.v")).otherwise(F.col(f"_l{len(sums) + i}"))
+    return joined.withColumns(added).select(*df.columns, *added)
+
+
+_NONE = object()
+
+
+def running_sums(df: DataFrame, order: list[str], values: dict[str, str], within: str | None = None) -> DataFrame:
     """Adds ``values[column]``: the running total of each column in the order, the own row included."""
-    rows = _sorted(df, order)
-    totals = rows.groupBy("_pid").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(values)])
-    w = _per_partition(totals)
-    before = totals.select("_pid", *[(F.sum(f"_t{i}").over(w) - F.col(f"_t{i}")).alias(f"_b{i}") for i in range(len(values))])
-    own = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(before, "_pid")
-    added: dict[str, Column] = {out: F.sum(c).over(own) + F.col(f"_b{i}") for i, (c, out) in enumerate(values.items())}
-    return joined.withColumns(added).drop("_pid", "_pos", *[f"_b{i}" for i in range(len(values))])
+    return scan(df, order, sums=values, within=within)
 
 
 def previous(df: DataFrame, order: list[str], value: str, out: str, group: str | None = None) -> DataFrame:
     """Adds ``out``: the value of the row before in the order, null at the start of the data or of a ``group``."""
-    keys = ([group] if group else []) + order
-    rows = _sorted(df, keys)
-    g = F.col(group) if group else F.lit(None).cast("string")
-    last = rows.groupBy("_pid").agg(F.max_by(F.struct(F.col(value).alias("v"), g.alias("g")), "_pos").alias("_last"))
-    w = _per_partition(last)
-    edge = last.select("_pid", F.lag("_last").over(w).alias("_edge"))
-    own = Window.partitionBy("_pid").orderBy("_pos")
-    first = F.row_number().over(own) == 1
-    inner = F.lag(F.struct(F.col(value).alias("v"), g.alias("g"))).over(own)
-    joined = rows.join(edge, "_pid").withColumn("_prev", F.when(first, F.col("_edge")).otherwise(inner))
-    same = F.col("_prev.g").eqNullSafe(g)
-    return joined.withColumn(out, F.when(F.col("_prev").isNotNull() & same, F.col("_prev.v"))).drop("_pid", "_pos", "_edge", "_prev")
+    return scan(df, order, previous={value: out}, within=group)

@@ -51,6 +51,72 @@ def quantiles(c: Column, probabilities: list[float]) -> Column:
     return F.percentile(kept(c), F.array(*[F.lit(float(p)) for p in probabilities]))
 
 
+#: Buckets per unit of the natural logarithm in the first pass of exact quantiles, and their number for the zero bucket's sake.
+RESOLUTION, MIDDLE = 256, 1 << 20
+
+
+def _bucket(v: Column) -> Column:
+    """A number that never falls as the value grows: the rounded logarithm of its size, with its sign."""
+    size = F.floor(F.ln(F.abs(v)) * RESOLUTION) + MIDDLE
+    return F.when(v == 0, 0).when(v > 0, size).otherwise(-size).cast("int")
+
+
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return on
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probabilities: list[float], weight: str | None = None) -> DataFrame:
+    """(keys..., channel, n, q): linearly interpolated quantiles of the finite values of each column, exact for groups of any size.
+
+    Values are counted in logarithmic buckets first; a rank lies in one bucket, and only the values of such buckets are counted one by one.
+    No task holds the values of a group: ordered are the buckets of a group (some thousand) and the distinct values of a bucket.
+    ``weight`` counts a row several times. Columns without a finite value have no row; null keys are a group of their own.
+    """
+    if any(not 0 <= p <= 1 for p in probabilities):
+        raise ValueError("a probability lies outside [0, 1]")
+    own = [f"_k{i}" for i in range(len(keys))]
+    every = [*own, "_c"]
+    times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    named = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in values]
+    rows = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], times.alias("_w"), F.inline(F.array(*named)) if len(values) > 1 else F.col(values[0]).cast("double").alias("_v"))
+    if len(values) == 1:
+        rows = rows.withColumn("_c", F.lit(values[0]))
+    rows = rows.filter(fin(F.col("_v"))).select(*every, "_w", F.when(F.col("_v") == 0, 0.0).otherwise(F.col("_v")).alias("_v")).withColumn("_b", _bucket(F.col("_v")))
+    counted = rows.groupBy(*every, "_b").agg(F.sum("_w").alias("_w"))
+    upto = F.sum("_w").over(Window.partitionBy(*every).orderBy("_b"))
+    total = F.sum("_w").over(Window.partitionBy(*every))
+    placed = counted.select(*every, "_b", (upto - F.col("_w")).alias("_from"), upto.alias("_to"), total.alias("_n"))
+    positions = F.array(*[F.lit(float(p)) for p in probabilities])
+    at = lambda n: F.transform(positions, lambda p: p * (n - 1))
+    within = lambda h, lo, hi: ((F.floor(h) >= lo) & (F.floor(h) < hi)) | ((F.ceil(h) >= lo) & (F.ceil(h) < hi))
+    chosen = placed.filter(F.exists(at(F.col("_n")), lambda h: within(h, F.col("_from"), F.col("_to"))))
+    single = rows.alias("r").join(chosen.alias("s"), _same("r", "s", [*every, "_b"])).select(*[F.col(f"r.{c}").alias(c) for c in [*every, "_b", "_w", "_v"]], "_from", "_n")
+    distinct = single.groupBy(*every, "_b", "_from", "_n", "_v").agg(F.sum("_w").alias("_w"))
+    inside = F.col("_from") + F.sum("_w").over(Window.partitionBy(*every, "_b").orderBy("_v"))
+    ranked = distinct.select(*every, "_n", "_v", (inside - F.col("_w")).alias("_lo"), inside.alias("_hi"))
+    needed = ranked.filter(F.exists(at(F.col("_n")), lambda h: within(h, F.col("_lo"), F.col("_hi"))))
+    listed = needed.groupBy(*every, "_n").agg(F.collect_list(F.struct("_lo", "_hi", "_v")).alias("_l"))  # at most two for each probability
+    value = lambda r: F.filter("_l", lambda s: (s["_lo"] <= r) & (r < s["_hi"]))[0]["_v"]
+    between = lambda h: (1 - (h - F.floor(h))) * value(F.floor(h)) + (h - F.floor(h)) * value(F.ceil(h))
+    return listed.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], F.col("_c").alias("channel"), F.col("_n").alias("n"), F.transform(at(F.col("_n")), between).alias("q"))
+
+
+def exact_medians(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys..., values...): exact medians of several columns, one row a group; null for a column without finite values."""
+    q = exact_quantiles(df, keys, values, [0.5])
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("channel") == c, F.col("q")[0])).alias(c) for c in values])
+
+
+def scaled_mad(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, mad): 1.4826 times the median distance from the median."""
+    middle = exact_medians(df, [group], [value]).withColumnRenamed(value, "_m").withColumnRenamed(group, "_mg")
+    away = df.join(middle, F.col(group).eqNullSafe(F.col("_mg"))).select(group, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    return exact_quantiles(away, [group], ["_d"], [0.5]).select(group, (1.4826 * F.col("q")[0]).alias("mad"))
+
+
 def robust_maximum(df: DataFrame, group: str, value: str, skip: int = 50) -> DataFrame:
     """(group, robust_max): the largest value after leaving out the ``skip`` largest, or the largest of few."""
     w = Window.partitionBy(group).orderBy(F.col(value).desc())

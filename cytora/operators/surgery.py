@@ -27,7 +27,7 @@ def half_away(value: float) -> int:
 
 def time_steps(df: DataFrame, sample: str, time: str, cap: float = 1.0) -> DataFrame:
     """(sample, step): the smallest positive difference of successive times, at most ``cap``."""
-    before = ordered.previous(df.select(sample, time).filter(F.col(time).isNotNull() & ~F.isnan(time)), [time], time, "_before", sample)
+    before = ordered.previous(df.select(sample, time).filter(F.col(time).isNotNull() & ~F.isnan(time)).distinct(), [time], time, "_before", sample)
     gap = F.col(time) - F.col("_before")
     return before.groupBy(sample).agg(F.least(F.coalesce(F.min(F.when(gap > 0, gap)), F.lit(float(cap))), F.lit(float(cap))).alias("step"))
 
@@ -49,8 +49,24 @@ def stride(df: DataFrame, index: str, total: Column, keep: int) -> DataFrame:
 
 
 def reservoir(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
-    """A uniform sample of at most ``size`` rows that depends on keys and seed only (a bounded top-k, no full sort)."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key).limit(size).drop("_h")
+    """A uniform sample of at most ``size`` rows that depends on keys and seed only.
+
+    Rows are the ones of the smallest hashes, ties by key; the hash and the key of the last one are found as an exact
+    order statistic, so that keeping rows is a filter, whatever the size. Rows that repeat a key are kept or left together as far as size allows.
+    """
+    if size <= 0:
+        return df.limit(0)
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    top = F.shiftright(F.col("_h"), 44).cast("int")  # 2^20 counts at most
+    counted = hashed.groupBy(top.alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = counted.withColumn("_upto", F.sum("_n").over(Window.orderBy("_t")))
+    border = upto.filter(F.col("_upto") >= size).orderBy("_t").limit(1).collect()
+    if not border:
+        return df
+    at, before = border[0]["_t"], border[0]["_upto"] - border[0]["_n"]
+    w = Window.orderBy("_h", key)  # the rows of one of 2^20 counts
+    last = hashed.filter(top == at).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= size - before).drop("_r")
+    return hashed.filter(top < at).unionByName(last).drop("_h")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

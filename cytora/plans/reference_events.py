@@ -157,6 +157,10 @@ for _key, _stat, _sql in (
 ):
 
     def _run(spark, d, stat=_stat):
+        if stat == "Median":
+            medians = stats.exact_medians(_pop(spark, d).filter("_in"), ["sample_id"], ["p"])
+            everyone = items(spark, d).select("sample_id").distinct()  # an empty population has a median of 0
+            return everyone.join(medians, "sample_id", "left").select("sample_id", r4(F.coalesce("p", F.lit(0.0))).alias("value"))
         value = stats.kept(F.col("p"), F.col("_in"))
         return _pop(spark, d).groupBy("sample_id").agg(r4(stats.NATIVE[stat](value)).alias("value"))
 

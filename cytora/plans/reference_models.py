@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytora.functions import exprs as X
-from cytora.operators import graph, hist, linalg, stats
-from cytora.operators.fits import curves
+from cytora.operators import graph, hist, integrate, linalg
+from cytora.operators.fits import curves, cutoffs, mixtures
 from cytora.operators.fits.curves import Curve
 from cytora.plans.adapters import items, timed
 from cytora.plans.reference import QUERIES, query
@@ -98,44 +98,16 @@ def cutoff_fit(spark, d):
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point")
-        found = curves.index_cutoff(pdf["x"].to_numpy(), pdf["share"].to_numpy())
+        found = cutoffs.index_cutoff(pdf["x"].to_numpy(), pdf["share"].to_numpy())
         return pd.DataFrame({"sample_id": [pdf["sample_id"].iloc[0]], "cutoff": [math.nan if found is None else found]})
 
     return s.groupBy("sample_id").applyInPandas(fit, "sample_id string, cutoff double")
 
 
-def integrated(rows: DataFrame, batch: str, channels: list[str], probabilities: list[float]) -> DataFrame:
-    """Channels bent so that every batch's quantiles meet the mean quantiles; batches of fewer than 50 rows and single batches stay."""
-    q = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), *[stats.quantiles(F.col(c), probabilities).alias(c) for c in channels]).filter("n >= 50").toPandas()
-    bent: dict[tuple[str, str], curves.Spline] = {}
-    if len(q) > 1:
-        for c in channels:
-            goal = np.mean([np.asarray(v, float) for v in q[c]], axis=0)
-            for label, v in zip(q[batch], q[c]):
-                bent[label, c] = curves.Spline(np.asarray(v, float), goal)
-    shared = rows.sparkSession.sparkContext.broadcast(bent)  # quantiles per batch and channel
-
-    def bend(batches):
-        table_ = shared.value
-        for pdf in batches:
-            for c in channels:
-                value = pdf[c].to_numpy(float).copy()
-                for label in pdf[batch].unique():
-                    if (label, c) in table_:
-                        own = (pdf[batch] == label).to_numpy()
-                        value[own] = table_[label, c](value[own])
-                pdf[c] = value.astype(np.float32)
-            yield pdf
-
-    keep = [c for c in rows.columns if c not in channels]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", " + ", ".join(f"{c} float" for c in channels)
-    return spread(rows.select(*keep, *channels)).mapInPandas(bend, fields)
-
-
 @query()
 def cytonorm_apply(spark, d):
     """Mean and spread of two channels after batch integration."""
-    rows = integrated(items(spark, d).select("batch", "q", "p"), "batch", ["q", "p"], [i / 100 for i in range(1, 100)])
+    rows = integrate.integrated(items(spark, d).select("batch", "q", "p"), "batch", ["q", "p"])
     return rows.groupBy("batch").agg(*[r6(f(F.col(c).cast("double"))).alias(f"{n}_{c}") for c in ("q", "p") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
 
 
@@ -168,7 +140,7 @@ def cell_cycle(spark, d):
         rows = []
         for model in ("watson", "dean") if n >= 20 else ():
             y = curves.smooth(pdf["n"].to_numpy(float) / n, 2)
-            rows.append({"sample_id": pdf["sample_id"].iloc[0], "model": model, "events": int(n)} | curves.cell_cycle(pdf["x"].to_numpy(), y, model))
+            rows.append({"sample_id": pdf["sample_id"].iloc[0], "model": model, "events": int(n)} | mixtures.cell_cycle(pdf["x"].to_numpy(), y, model))
         return pd.DataFrame(rows, columns=["sample_id", "model", "events", "g1", "s", "g2", "g1_mean", "g1_cv", "g2_mean", "g2_cv", "ratio"])
 
     return _histograms(spark, d, 400).groupBy("sample_id").applyInPandas(fit, "sample_id string, model string, events long, g1 double, s double, g2 double, g1_mean double, g1_cv double, g2_mean double, g2_cv double, ratio double")
@@ -183,7 +155,7 @@ def proliferation(spark, d):
         n = pdf["n"].sum()
         if n < 20:
             return pd.DataFrame(columns=["sample_id", "generation", "fraction", "mean", "division", "proliferation", "replication"])
-        f = curves.proliferation(curves.smooth(pdf["n"].to_numpy(float) / n, 3))
+        f = mixtures.proliferation(curves.smooth(pdf["n"].to_numpy(float) / n, 3))
         k = np.flatnonzero(f["fractions"] >= 0.001)
         return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "generation": k, "fraction": f["fractions"][k], "mean": f["means"][k], "division": f["division"], "proliferation": f["proliferation"], "replication": f["replication"]})
 

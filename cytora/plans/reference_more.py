@@ -30,7 +30,8 @@ def preview_hist(spark, d):
 @query("WITH m AS (SELECT label, i, quantile_cont(CAST(embedding[i] AS DOUBLE), 0.5) AS v FROM embeddings, range(1, 65) t(i) GROUP BY label, i), k AS (SELECT label, arg_max(i, (abs(v), -i)) AS peak, max(abs(v)) AS top FROM m GROUP BY label) SELECT label, CAST(i - 1 AS INTEGER) AS detector, round(CASE WHEN i = peak THEN 1.0 ELSE v / top END, 6) AS level FROM m JOIN k USING (label)")
 def fingerprint(spark, d):
     """Medians of every detector over that of the peak detector, whose level is 1."""
-    m = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("detector", "v")).groupBy("label", "detector").agg(F.percentile(F.col("v").cast("double"), F.lit(0.5)).alias("v"))
+    m = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("detector", "v"))
+    m = stats.exact_medians(m, ["label", "detector"], ["v"])
     peak = m.groupBy("label").agg(F.max_by("detector", F.struct(F.abs("v"), -F.col("detector"))).alias("peak"), F.max(F.abs("v")).alias("top"))
     level = F.when(F.col("detector") == F.col("peak"), 1.0).otherwise(F.col("v") / F.col("top"))
     return m.join(peak, "label").select("label", "detector", r6(level).alias("level"))
@@ -47,9 +48,8 @@ def spectral_density(spark, d):
 @query(f"WITH {ITEMS_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {KEY_SQL}) - 1 AS idx, count(*) OVER (PARTITION BY sample_id) AS n FROM ev), k AS (SELECT *, ceil(idx * 5000.0 / n) AS i FROM i) SELECT sample_id, round(avg(q), 6) AS mean_q, round(avg(d), 9) AS mean_d, CASE WHEN avg(q) >= avg(d) THEN 'q' ELSE 'd' END AS brightest FROM k WHERE n <= 5000 OR (i < 5000 AND floor(i * n / 5000.0) = idx) GROUP BY sample_id")
 def stratified_mean(spark, d):
     """Means over at most 5 000 evenly spaced events, and the channel with the largest."""
-    rows = ordered.row_index(keyed_items(spark, d), ITEM_KEY, "idx", "sample_id")
-    total = rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    thin = surgery.stride(rows.join(total, "sample_id"), "idx", F.col("n"), 5000)
+    rows = ordered.row_index(keyed_items(spark, d).select(*ITEM_KEY, "sample_id", "q", "d"), ITEM_KEY, "idx", "sample_id", "n")
+    thin = surgery.stride(rows, "idx", F.col("n"), 5000)
     mq, md = F.avg(stats.kept(F.col("q"))), F.avg(stats.kept(F.col("d")))
     return thin.groupBy("sample_id").agg(r6(mq).alias("mean_q"), F.round(md, 9).alias("mean_d"), F.when(mq >= md, "q").otherwise("d").alias("brightest"))
 
@@ -57,9 +57,8 @@ def stratified_mean(spark, d):
 @query(f"WITH {ITEMS_SQL}, i AS (SELECT sample_id, q, row_number() OVER (PARTITION BY sample_id ORDER BY {KEY_SQL}) - 1 AS idx, count(*) OVER (PARTITION BY sample_id) AS n FROM ev) SELECT sample_id, CAST(idx AS BIGINT) AS event_idx, q FROM i WHERE idx % greatest(1, n // 2500) = 0")
 def step_sample(spark, d):
     """Every k-th event, k so that about 2 500 remain."""
-    rows = ordered.row_index(keyed_items(spark, d), ITEM_KEY, "event_idx", "sample_id")
-    total = rows.groupBy("sample_id").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 2500)).alias("k"))
-    return rows.join(total, "sample_id").filter(F.col("event_idx") % F.col("k") == 0).select("sample_id", F.col("event_idx").cast("long").alias("event_idx"), "q")
+    rows = ordered.row_index(keyed_items(spark, d).select(*ITEM_KEY, "sample_id", "q"), ITEM_KEY, "event_idx", "sample_id", "n")
+    return rows.filter(F.col("event_idx") % F.greatest(F.lit(1), F.floor(F.col("n") / 2500)) == 0).select("sample_id", F.col("event_idx").cast("long").alias("event_idx"), "q")
 
 
 @query(f"WITH {TIMED_SQL}, r AS (SELECT min(time) AS lo, max(time) AS hi FROM ev) SELECT sample_id, CAST(least(floor((time - lo) / (hi - lo) * 120), 119) AS INTEGER) AS pixel, round(avg(value), 6) AS mean_value, count(*) AS n FROM ev, r GROUP BY ALL")
@@ -73,7 +72,7 @@ def time_strip(spark, d):
 
 @query(f"WITH {ITEMS_SQL} SELECT sample_id, round(quantile_cont(p, 0.0001), 4) AS low, round(quantile_cont(p, 0.999), 4) AS high FROM ev GROUP BY sample_id")
 def display_bounds(spark, d):
-    q = items(spark, d).groupBy("sample_id").agg(stats.quantiles(F.col("p"), [0.0001, 0.999]).alias("q"))
+    q = stats.exact_quantiles(items(spark, d), ["sample_id"], ["p"], [0.0001, 0.999])
     return q.select("sample_id", F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high"))
 
 
@@ -91,7 +90,7 @@ def control_medians(spark, d):
     """Medians of every channel over the events of a control's positive range (either order of the ends)."""
     lo, hi = sorted((40.0, 10.0))
     inside = X.at_least(F.col("q"), lo) & X.at_most(F.col("q"), hi)
-    return items(spark, d).filter(inside).groupBy("sample_id").agg(*[r6(F.percentile(stats.kept(F.col(c)), F.lit(0.5))).alias(c) for c in "qpdt"])
+    return stats.exact_medians(items(spark, d).filter(inside), ["sample_id"], list("qpdt")).select("sample_id", *[r6(F.col(c)).alias(c) for c in "qpdt"])
 
 
 @query(f"WITH {ITEMS_SQL} SELECT sample_id, count(*) AS shown FROM ev WHERE {norm_sql('q', Q)} BETWEEN 0 AND 1 AND {norm_sql('p', P)} BETWEEN 0 AND 0.5 GROUP BY 1")

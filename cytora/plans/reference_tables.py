@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cytora.functions import exprs as X
 
-from cytora.operators import beads, ordered, stats, surgery
+from cytora.operators import beads, integrate, ordered, stats, surgery
 from cytora.plans.adapters import ITEM_KEY, ITEMS_SQL, KEY_SQL, TIMED_SQL, items, keyed_items, timed
 from cytora.plans.reference import query
 from cytora.session import table
@@ -27,7 +27,7 @@ def _exploded(aggregated: DataFrame, keys: list[str], column: str, probs: list[f
 
 @query(f"WITH {ITEMS_SQL}, q AS (SELECT sample_id, unnest({PROBS}) AS p, unnest(quantile_cont(p, {PROBS})) AS value FROM ev GROUP BY sample_id) SELECT sample_id, CAST(p AS DOUBLE) AS p, round(value, 4) AS value FROM q")
 def quantiles_type7(spark, d):
-    q = items(spark, d).groupBy("sample_id").agg(stats.quantiles(F.col("p"), PROBS).alias("q"))
+    q = stats.exact_quantiles(items(spark, d), ["sample_id"], ["p"], PROBS)
     return _exploded(q, ["sample_id"], "q", PROBS).select("sample_id", "p", r4(F.col("value")).alias("value"))
 
 
@@ -35,9 +35,8 @@ _BATCH = " UNION ALL ".join(f"SELECT batch, '{c}' AS channel, unnest({TENTHS}) A
 
 
 def _batch_quantiles(spark, d) -> DataFrame:
-    q = items(spark, d).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), *[stats.quantiles(F.col(c), TENTHS).alias(c) for c in "qpd"]).filter("n >= 50")
-    one = q.select("batch", F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("q")) for c in "qpd"])))
-    return _exploded(one, ["batch", "channel"], "q", TENTHS)
+    q = integrate.batch_quantiles(items(spark, d), "batch", list("qpd"), TENTHS)
+    return _exploded(q, ["batch", "channel"], "q", TENTHS)
 
 
 @query(f"WITH {ITEMS_SQL}, b AS ({_BATCH}) SELECT batch, channel, CAST(p AS DOUBLE) AS p, round(value, 4) AS value FROM b")
@@ -47,14 +46,29 @@ def batch_quantiles(spark, d):
 
 @query(f"WITH {ITEMS_SQL}, b AS ({_BATCH}) SELECT channel, CAST(p AS DOUBLE) AS p, round(avg(value), 4) AS goal FROM b GROUP BY ALL")
 def goal_quantiles(spark, d):
-    return _batch_quantiles(spark, d).groupBy("channel", "p").agg(r4(F.avg("value")).alias("goal"))
+    q = integrate.batch_quantiles(items(spark, d), "batch", list("qpd"), TENTHS)
+    return _exploded(integrate.goal_quantiles(q), ["channel"], "goal", TENTHS).select("channel", "p", r4(F.col("value")).alias("goal"))
+
+
+@query(f"WITH {ITEMS_SQL}, b AS ({_BATCH}) SELECT channel, CAST(p AS DOUBLE) AS p, round(quantile_cont(value, 0.5), 4) AS goal FROM b GROUP BY ALL")
+def goal_medians(spark, d):
+    """Medians over batches of their quantiles."""
+    q = integrate.batch_quantiles(items(spark, d), "batch", list("qpd"), TENTHS)
+    return _exploded(integrate.goal_quantiles(q, "median"), ["channel"], "goal", TENTHS).select("channel", "p", r4(F.col("value")).alias("goal"))
+
+
+@query(f"WITH {ITEMS_SQL}, c AS (SELECT batch, CAST(floor(d * 100) AS INTEGER) AS cluster, unnest({TENTHS}) AS pr, unnest(quantile_cont(p, {TENTHS})) AS value FROM ev GROUP BY batch, 2 HAVING count(*) >= 50) SELECT batch, cluster, CAST(pr AS DOUBLE) AS p, round(value, 4) AS value FROM c")
+def cluster_quantiles(spark, d):
+    """Quantiles of a channel in every cluster of every batch."""
+    rows = items(spark, d).withColumn("cluster", F.floor(F.col("d") * 100).cast("int"))
+    q = integrate.batch_quantiles(rows, "batch", ["p"], TENTHS, "cluster")
+    return _exploded(q, ["batch", "cluster"], "q", TENTHS).select("batch", "cluster", "p", r4(F.col("value")).alias("value"))
 
 
 @query(f"WITH {ITEMS_SQL}, m AS (SELECT sample_id, quantile_cont(p, 0.5) AS md FROM ev GROUP BY sample_id) SELECT sample_id, round(1.4826 * quantile_cont(abs(p - md), 0.5), 4) AS mad FROM ev JOIN m USING (sample_id) GROUP BY sample_id")
 def mad_by_group(spark, d):
     rows = items(spark, d)
-    m = rows.groupBy("sample_id").agg(F.percentile("p", F.lit(0.5)).alias("md"))
-    return rows.join(m, "sample_id").groupBy("sample_id").agg(r4(1.4826 * F.percentile(F.abs(F.col("p") - F.col("md")), F.lit(0.5))).alias("mad"))
+    return stats.scaled_mad(rows, "sample_id", "p").select("sample_id", r4(F.col("mad")).alias("mad"))
 
 
 def _distances(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -149,9 +163,8 @@ def concat_join_time(spark, d):
 
 @query(f"WITH {ITEMS_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {KEY_SQL}) - 1 AS idx, count(*) OVER (PARTITION BY sample_id) AS n FROM ev), k AS (SELECT *, ceil(idx * 500.0 / n) AS i FROM i) SELECT sample_id, CAST(idx AS BIGINT) AS event_idx, q, p FROM k WHERE n <= 500 OR (i < 500 AND floor(i * n / 500.0) = idx)")
 def stride_sample(spark, d):
-    rows = ordered.row_index(keyed_items(spark, d), ITEM_KEY, "event_idx", "sample_id")
-    total = rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    return surgery.stride(rows.join(total, "sample_id"), "event_idx", F.col("n"), 500).select("sample_id", F.col("event_idx").cast("long").alias("event_idx"), "q", "p")
+    rows = ordered.row_index(keyed_items(spark, d).select(*ITEM_KEY, "sample_id", "q", "p"), ITEM_KEY, "event_idx", "sample_id", "n")
+    return surgery.stride(rows, "event_idx", F.col("n"), 500).select("sample_id", F.col("event_idx").cast("long").alias("event_idx"), "q", "p")
 
 
 @query(f"WITH {ITEMS_SQL}, s AS (SELECT sample_id, q, p, batch, 0 AS source_id FROM ev WHERE q >= 40 UNION ALL SELECT sample_id, q, p, batch, 1 FROM ev WHERE q < 10), b AS (SELECT batch, dense_rank() OVER (ORDER BY batch) - 1 AS batch_id FROM (SELECT DISTINCT batch FROM s)) SELECT sample_id, CAST(source_id AS INTEGER) AS source_id, CAST(batch_id AS INTEGER) AS batch_id, count(*) AS n, round(sum(p), 2) AS total FROM s JOIN b USING (batch) GROUP BY ALL")
@@ -406,8 +419,8 @@ _E = f"ev AS (SELECT vec_id, label, CAST(embedding[{_PEAK + 1}] AS DOUBLE) AS v,
 
 def _spectra(spark, d) -> tuple[DataFrame, float]:
     rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[_PEAK].cast("double").alias("v"), "embedding")
-    cut = rows.filter("label = 0").agg(F.percentile("v", F.lit(0.99)).alias("c")).first()["c"]
-    return rows, cut
+    cut = stats.exact_quantiles(rows.filter("label = 0"), [], ["v"], [0.99]).first()
+    return rows, cut["q"][0] if cut else float("inf")
 
 
 @query(f"WITH {_E} SELECT label, count(*) AS n FROM ev, cut WHERE label <> 0 AND v > c GROUP BY label")
@@ -439,7 +452,8 @@ def spectral_peak(spark, d):
 
 @query("WITH m AS (SELECT label, i, greatest(0, quantile_cont(CAST(embedding[i] AS DOUBLE), 0.5)) AS v FROM embeddings, range(1, 65) t(i) GROUP BY label, i) SELECT label, CAST(i - 1 AS INTEGER) AS detector, round(v / max(v) OVER (PARTITION BY label), 6) AS signature FROM m")
 def spectral_signature(spark, d):
-    m = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("detector", "v")).groupBy("label", "detector").agg(F.greatest(F.lit(0.0), F.percentile(F.col("v").cast("double"), F.lit(0.5))).alias("v"))
+    m = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("detector", "v"))
+    m = stats.exact_medians(m, ["label", "detector"], ["v"]).withColumn("v", F.greatest(F.lit(0.0), F.col("v")))
     return m.select("label", "detector", r6(F.col("v") / F.max("v").over(Window.partitionBy("label"))).alias("signature"))
 
 
@@ -450,7 +464,8 @@ def spectral_signature(spark, d):
 def intensity_table(spark, d):
     """Means, folds over a reference sample and the z statistic of their difference."""
     v = stats.kept(F.col("p"))
-    s = items(spark, d).groupBy("sample_id").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), stats.geometric_mean(v).alias("geomean"), F.var_samp(v).alias("var"))
+    s = items(spark, d).groupBy("sample_id").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), stats.geometric_mean(v).alias("geomean"), F.var_samp(v).alias("var"))
+    s = s.join(stats.exact_medians(items(spark, d), ["sample_id"], ["p"]).withColumnRenamed("p", "median"), "sample_id")
     r = s.filter("sample_id = 'A'").first()
     z = (F.col("mean") - F.lit(r["mean"])) / F.sqrt(F.col("var") / F.col("n") + F.lit(r["var"] / r["n"]))
     return s.select("sample_id", F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), F.round("geomean", 3).alias("geomean"), r6(F.col("mean") / r["mean"]).alias("mean_fold"), r6(F.col("median") / r["median"]).alias("median_fold"), F.round(F.when(F.col("sample_id") != "A", z), 5).alias("z"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cytora import api
 from cytora.functions import exprs as X
 from cytora.operators import beads, graph, hist, linalg, ordered, stats, surgery
-from cytora.operators.fits import curves, special
+from cytora.operators.fits import curves, cutoffs, mixtures, special, splines
 from cytora.operators.fits.least_squares import least_squares
 from cytora.plans import gates as G
 from cytora.plans import reference, training
@@ -247,26 +247,84 @@ def test_fits():
     y = curves.gaussian(x, 0.02, 30, 2) + curves.gaussian(x, 0.008, 60, 3) + np.where((x > 30) & (x < 60), 0.001, 0)
     y /= y.sum()
     for model in ("watson", "dean"):
-        f = curves.cell_cycle(x, y, model)
+        f = mixtures.cell_cycle(x, y, model)
         assert abs(f["g1_mean"] - 30) < 1 and abs(f["g2_mean"] - 60) < 1.5 and abs(f["g1"] + f["s"] + f["g2"] - 100) < 1e-6
         assert 50 < f["g1"] < 68 and 25 < f["g2"] < 42
     b = np.arange(500) + 0.5
     p = sum(a * np.exp(-((b - 400 + 60 * k) ** 2) / (2 * 12**2)) for k, a in enumerate((0.4, 0.3, 0.2, 0.1)))
-    f = curves.proliferation(p / p.sum())
+    f = mixtures.proliferation(p / p.sum())
     assert np.allclose(f["fractions"][:4], [0.4, 0.3, 0.2, 0.1], atol=0.03) and abs(f["division"] - 1.0) < 0.1
     xs = 5 * np.sinh(np.linspace(0, np.arcsinh(2000 / 5), 101))
     share = 0.6 / (1 + (np.arcsinh(xs / 5) / 3.5) ** 12) + 0.02
-    assert 10 < curves.index_cutoff(xs, share) < 400
+    assert 10 < cutoffs.index_cutoff(xs, share) < 400
 
 
-def test_spline():
+def test_spline(spark):
     s, g = np.linspace(0, 10, 12), np.sort(np.random.default_rng(0).uniform(0, 20, 12))
-    f = curves.Spline(s, g)
-    assert np.allclose(f(s), g)
-    v = f(np.linspace(-5, 15, 500))
-    assert (np.diff(v) >= -1e-9).all()
-    assert np.allclose(curves.Spline([1, 1], [2, 3])(np.array([7.0])), 7)
-    assert np.allclose(curves.Spline([1, 1, 2], [2, 4, 5])(np.array([1.0])), 3)
+    k = splines.knots(s, g)
+    assert np.allclose(splines.evaluate(*k, s), g)
+    v = np.linspace(-5, 15, 500)
+    assert (np.diff(splines.evaluate(*k, v)) >= -1e-9).all()
+    assert np.allclose(splines.evaluate(*splines.knots([1, 1], [2, 3]), np.array([7.0])), 7)
+    assert np.allclose(splines.evaluate(*splines.knots([1, 1, 2], [2, 4, 5]), np.array([1.0])), 3)
+    arrays = [F.array(*[F.lit(float(x)) for x in a]) for a in k]
+    df = spark.createDataFrame([(float(x),) for x in [*v, *s]], "v double").select("v", splines.column(*arrays, F.col("v"), 12).alias("w"))
+    rows = df.collect()
+    assert np.allclose([r["w"] for r in rows], splines.evaluate(*k, np.array([r["v"] for r in rows])))
+    odd = spark.createDataFrame([(NAN,), (None,)], "v double").select(splines.column(*arrays, F.col("v"), 12).alias("w")).collect()
+    assert math.isnan(odd[0]["w"]) and odd[1]["w"] is None
+
+
+def test_planted_phases_and_cutoffs():
+    rng = np.random.default_rng(3)
+    x = np.linspace(0, 100, 400)
+    for shares in ((0.6, 0.2, 0.2), (0.35, 0.45, 0.2), (0.8, 0.05, 0.15)):
+        n = rng.multinomial(40_000, shares)
+        values = np.concatenate([rng.normal(30, 1.5, n[0]), rng.uniform(30, 60, n[1]), rng.normal(60, 2.5, n[2])])
+        y = np.histogram(values, bins=400, range=(0, 100))[0] / len(values)
+        for model, slack in (("dean", 4), ("watson", 17 if shares[1] > 0.4 else 8)):  # what the peaks leave is too little where much lies beneath them
+            f = mixtures.cell_cycle(x, curves.smooth(y, 2), model)
+            assert np.allclose([f["g1"], f["s"], f["g2"]], 100 * np.array(shares), atol=slack)
+    for generations in ((0.5, 0.3, 0.2), (0.1, 0.2, 0.4, 0.2, 0.1)):
+        n = rng.multinomial(30_000, generations)
+        values = np.concatenate([rng.normal(420 - 70 * k, 14, m) for k, m in enumerate(n)])
+        f = mixtures.proliferation(np.histogram(values, bins=500, range=(0, 500))[0] / len(values))
+        assert np.allclose(f["fractions"][: len(generations)], generations, atol=0.02) and abs(f["step"] - 70) < 3
+    t = np.linspace(0, np.arcsinh(400), 101)
+    height, steepness, middle, error = cutoffs.log_logistic(t[1:], 0.7 / (1 + (t[1:] / 3.0) ** 9))
+    assert np.allclose([height, steepness, middle], [0.7, 9, 3], rtol=1e-3) and error < 1e-9
+    line = np.maximum(0.8 - 0.1 * t, 0)
+    assert abs(cutoffs.line_cutoff(t, line)[0] - 4) < 0.2
+    assert mixtures.cell_cycle(x, np.zeros(400))["g1"] == 0
+    assert cutoffs.index_cutoff(np.zeros(5), np.ones(5)) is None
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", float(v), float(-v)) for v in np.round(rng.lognormal(0, 3, 700), 2)] + [("b", v, v) for v in (0.0, -0.0, 1.0, NAN, INF, None)] + [(None, 5.0, None), ("c", None, NAN)]
+    rows += [("d", 7.25, -1e300)] * 50
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    probs = [0.0, 0.013, 0.5, 0.75, 0.999, 1.0]
+    got = {(r["g"], r["channel"]): (r["n"], r["q"]) for r in stats.exact_quantiles(df, ["g"], ["x", "y"], probs).collect()}
+    for c, k in (("x", 1), ("y", 2)):
+        for g in ("a", "b", None, "c", "d"):
+            own = [r[k] for r in rows if r[0] == g and r[k] is not None and math.isfinite(r[k])]
+            if own:
+                assert got[g, c][0] == len(own) and np.allclose(got[g, c][1], np.quantile(own, probs), rtol=1e-12)
+            else:
+                assert (g, c) not in got
+    weighted = spark.createDataFrame([(1.0, 3), (2.0, 1), (9.0, 4)], "x double, n int")
+    assert np.allclose(stats.exact_quantiles(weighted, [], ["x"], [0.25, 0.5, 0.6], "n").first()["q"], np.quantile([1, 1, 1, 2, 9, 9, 9, 9], [0.25, 0.5, 0.6]))
+    assert stats.exact_quantiles(df.limit(0), ["g"], ["x"], [0.5]).count() == 0
+
+
+def test_reservoir(spark):
+    df = spark.range(5000).withColumnRenamed("id", "key").withColumn("size", F.lit("clash"))
+    for size in (0, 1, 700, 4999, 5000, 9000):
+        got = [r["key"] for r in surgery.reservoir(df, "key", size, 3).collect()]
+        assert len(got) == len(set(got)) == min(size, 5000)
+    kept = np.array([r["key"] for r in surgery.reservoir(df, "key", 1000, 5).collect()])
+    assert abs(kept.mean() - 2500) < 200 and set(r["key"] for r in surgery.reservoir(df, "key", 500, 5).collect()) < set(kept.tolist())
 
 
 def test_special():
