@@ -50,10 +50,12 @@ def widest_gap(df: DataFrame, group: str, value: str, cofactor: float = 5.0) ->
     grouped = df.filter(fin(F.col(value))).select(F.col(group), x.alias("_x")).groupBy(group, "_x").agg(F.count(F.lit(1)).alias("_n"))
     rows = ordered.scan(grouped, ["_x"], {"_n": "_upto"}, {"_x": "_before"}, group)
     ends = rows.groupBy(group).agg(F.max("_upto").alias("_all"))
-    quarter = stats.exact_quantiles(rows, [group], ["_x"], [0.25], "_n").select(group, F.col("q")[0].alias("_q"))
-    gap = rows.join(ends, group).withColumns({"_below": F.col("_upto") - F.col("_n"), "_gap": F.col("_x") - F.col("_before")})
+    gap = rows.join(ends, group).withColumns({"_below": F.col("_upto") - F.col("_n"), "_gap": F.col("_x") - F.col("_before"), "_h": 0.25 * (F.col("_all") - 1)})
+    at = lambda r: F.max(F.when((F.col("_below") <= r(F.col("_h"))) & (r(F.col("_h")) < F.col("_upto")), F.col("_x")))  # noqa: E731  the value of a rank
+    part = F.max(F.col("_h") - F.floor(F.col("_h")))
+    quarter = ((1 - part) * at(F.floor) + part * at(F.ceil)).alias("_q")
     held = (F.col("_below") >= F.greatest(F.lit(2), F.ceil(F.col("_all") * 0.05))) & (F.col("_all") - F.col("_below") >= F.greatest(F.lit(1), F.ceil(F.col("_all") * 0.01)))
-    best = gap.groupBy(group).agg(F.max_by(F.struct(F.col("_gap").alias("g"), ((F.col("_x") + F.col("_before")) / 2).alias("m")), F.when(held & (F.col("_gap") > 0), F.struct(F.col("_gap"), -F.col("_x")))).alias("b")).join(quarter, group)
+    best = gap.groupBy(group).agg(F.max_by(F.struct(F.col("_gap").alias("g"), ((F.col("_x") + F.col("_before")) / 2).alias("m")), F.when(held & (F.col("_gap") > 0), F.struct(F.col("_gap"), -F.col("_x")))).alias("b"), quarter)
     return best.select(group, (F.lit(cofactor) * F.sinh(F.coalesce(F.col("b.m"), F.col("_q")))).alias("boundary"))
 
 

@@ -1,9 +1,9 @@
-"""Monotone cubics between quantiles (Fritsch and Carlson, 1980), in numpy and as Spark columns."""
+"""Monotone cubics between quantiles (Fritsch and Carlson, 1980), in numpy and as Spark expressions."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,20 +56,33 @@ def evaluate(x: np.ndarray, y: np.ndarray, slopes: np.ndarray, v: np.ndarray) ->
     return bent + np.where(v < x[0], slopes[0], slopes[-1]) * (v - inner)
 
 
-def column(x: Column, y: Column, slopes: Column, v: Column, most: int) -> Column:
-    """The same for a row that carries its knots as arrays (null: the value stays); ``most`` knots at most. JVM expressions only."""
-    n = F.size(x)
-    at = lambda a, i: F.element_at(a, i + 1)  # noqa: E731  places from 0
-    inner = F.least(F.greatest(v, at(x, F.lit(0))), F.element_at(x, -1))
-    jumps = [1 << b for b in reversed(range((max(most, 2) - 1).bit_length()))]
-    ahead = lambda p, j: (p + j <= n - 2) & (inner >= at(x, F.least(p + j, n - 1)))
-    # bisection; the result stands in an array of one, so that it is found once
-    place = F.aggregate(F.array(*[F.lit(j) for j in jumps]), F.lit(0), lambda p, j: F.when(ahead(p, j), p + j).otherwise(p))
+def bent(df: DataFrame, channels: dict[str, tuple[str, str, str]], most: int) -> DataFrame:
+    """``df`` with each channel replaced by its cubic, whose knots stand in the three array columns named (null: the value stays).
 
-    def bend(i: Column) -> Column:
-        h = at(x, i + 1) - at(x, i)
-        t = (inner - at(x, i)) / h
-        bent = (1 - t) * (1 - t) * ((1 + 2 * t) * at(y, i) + t * h * at(slopes, i)) + t * t * ((3 - 2 * t) * at(y, i + 1) - (1 - t) * h * at(slopes, i + 1))
-        return bent + F.when(v < inner, at(slopes, F.lit(0))).otherwise(F.element_at(slopes, -1)) * (v - inner)
-
-    return F.when(x.isNull() | (n < 2) | v.isNull() | F.isnan(v), v).otherwise(F.element_at(F.transform(F.array(place), bend), 1))
+    A knot is found by bisection, one column a step, so that code is generated for all of it; ``most`` knots at most.
+    """
+    at = F.get  # places from 0, null beyond the end
+    sound = lambda c, x: F.col(x).isNotNull() & (F.size(x) > 1) & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    value = {c: F.col(c).cast("double") for c in channels}
+    out = df.withColumns({f"_p_{c}": F.when(sound(c, x), F.lit(0)) for c, (x, _, _) in channels.items()} | {f"_v_{c}": F.least(F.greatest(value[c], at(F.col(x), F.lit(0))), at(F.col(x), F.size(x) - 1)) for c, (x, _, _) in channels.items()})
+    jump = 1 << ((max(most, 2) - 1).bit_length() - 1)
+    while jump:
+        step = {}
+        for c, (x, _, _) in channels.items():
+            ahead = F.col(f"_p_{c}") + jump
+            step[f"_p_{c}"] = F.when((ahead <= F.size(x) - 2) & (F.col(f"_v_{c}") >= at(F.col(x), F.least(ahead, F.size(x) - 1))), ahead).otherwise(F.col(f"_p_{c}"))
+        out = out.withColumns(step)
+        jump >>= 1
+    ends = {}
+    for c, arrays in channels.items():
+        p = F.col(f"_p_{c}")
+        ends |= {f"_{n}{k}_{c}": at(F.col(a), p + k) for n, a in zip("xym", arrays) for k in (0, 1)}
+    out = out.withColumns(ends)
+    out = out.withColumns({f"_t_{c}": (F.col(f"_v_{c}") - F.col(f"_x0_{c}")) / (F.col(f"_x1_{c}") - F.col(f"_x0_{c}")) for c in channels})
+    final = {}
+    for c, (x, _, m) in channels.items():
+        t, h, y0, y1, m0, m1 = F.col(f"_t_{c}"), F.col(f"_x1_{c}") - F.col(f"_x0_{c}"), F.col(f"_y0_{c}"), F.col(f"_y1_{c}"), F.col(f"_m0_{c}"), F.col(f"_m1_{c}")
+        inside = (1 - t) * (1 - t) * ((1 + 2 * t) * y0 + t * h * m0) + t * t * ((3 - 2 * t) * y1 - (1 - t) * h * m1)
+        beyond = F.when(value[c] < F.col(f"_v_{c}"), at(F.col(m), F.lit(0))).otherwise(at(F.col(m), F.size(m) - 1)) * (value[c] - F.col(f"_v_{c}"))
+        final[c] = F.when(F.col(f"_p_{c}").isNull(), value[c]).otherwise(inside + beyond)
+    return out.withColumns(final).select(*df.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cytora.operators import stats
 from cytora.operators.fits import splines
+from cytora.session import materialise
 
 # Events a batch has at least to be integrated, and the quantiles compared.
 LEAST_EVENTS = 50
@@ -67,11 +68,12 @@ def integrated(rows: DataFrame, batch: str, channels: list[str], probabilities:
     expressions. Batches of fewer than 50 events, single batches, null batches, NaN and null values stay as they are.
     """
     q = batch_quantiles(rows, batch, channels, probabilities)
-    per = batch_splines(q, goal_quantiles(q, goal, batch, label), batch)
-    wide = per.groupBy("batch_").agg(*[F.max(F.when(F.col("channel_") == c, F.struct("x", "y", "m"))).alias(f"_s{i}") for i, c in enumerate(channels)])
+    q = materialise(q)  # read by the goal and by the splines
+    per = materialise(batch_splines(q, goal_quantiles(q, goal, batch, label), batch))
+    arrays = {(c, n): f"_{n}_{i}" for i, c in enumerate(channels) for n in "xym"}
+    wide = per.groupBy("batch_").agg(*[F.max(F.when(F.col("channel_") == c, F.col(n))).alias(name) for (c, n), name in arrays.items()])
     several = per.select("batch_").distinct().agg((F.count(F.lit(1)) > 1).alias("_several"))
     wide = wide.join(F.broadcast(several)).filter("_several").drop("_several")  # one row
-    bent = rows.join(wide, F.col(batch).cast("string") == F.col("batch_"), "left")
-    most = len(probabilities)
-    out = {c: splines.column(F.col(f"_s{i}.x"), F.col(f"_s{i}.y"), F.col(f"_s{i}.m"), F.col(c).cast("double"), most).cast("float") for i, c in enumerate(channels)}
-    return bent.withColumns(out).select(*rows.columns)
+    joined = rows.join(wide, F.col(batch).cast("string") == F.col("batch_"), "left")
+    bent = splines.bent(joined, {c: tuple(arrays[c, n] for n in "xym") for c in channels}, len(probabilities))
+    return bent.select(*[F.col(c).cast("float").alias(c) if c in channels else F.col(c) for c in rows.columns])

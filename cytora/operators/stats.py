@@ -91,13 +91,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probabili
     placed = counted.select(*every, "_b", (upto - F.col("_w")).alias("_from"), upto.alias("_to"), total.alias("_n"))
     positions = F.array(*[F.lit(float(p)) for p in probabilities])
     at = lambda n: F.transform(positions, lambda p: p * (n - 1))
-    within = lambda h, lo, hi: ((F.floor(h) >= lo) & (F.floor(h) < hi)) | ((F.ceil(h) >= lo) & (F.ceil(h) < hi))
-    chosen = placed.filter(F.exists(at(F.col("_n")), lambda h: within(h, F.col("_from"), F.col("_to"))))
-    single = rows.alias("r").join(chosen.alias("s"), _same("r", "s", [*every, "_b"])).select(*[F.col(f"r.{c}").alias(c) for c in [*every, "_b", "_w", "_v"]], "_from", "_n")
-    distinct = single.groupBy(*every, "_b", "_from", "_n", "_v").agg(F.sum("_w").alias("_w"))
-    inside = F.col("_from") + F.sum("_w").over(Window.partitionBy(*every, "_b").orderBy("_v"))
-    ranked = distinct.select(*every, "_n", "_v", (inside - F.col("_w")).alias("_lo"), inside.alias("_hi"))
-    needed = ranked.filter(F.exists(at(F.col("_n")), lambda h: within(h, F.col("_lo"), F.col("_hi"))))
+    ranks = F.array_distinct(F.flatten(F.transform(at(F.col("_n")), lambda h: F.array(F.floor(h), F.ceil(h)))))
+    chosen = placed.withColumn("_need", F.filter(ranks, lambda r: (r >= F.col("_from")) & (r < F.col("_to")))).filter(F.size("_need") > 0)
+    home = [*every, "_b"]
+    single = rows.alias("r").join(chosen.alias("s"), _same("r", "s", home), "left_semi")
+    distinct = single.groupBy(*home, "_v").agg(F.sum("_w").alias("_w"))
+    inside = F.sum("_w").over(Window.partitionBy(*home).orderBy("_v"))
+    ranked = distinct.withColumn("_hi", inside).alias("r").join(chosen.alias("s"), _same("r", "s", home))
+    ranked = ranked.select(*[F.col(f"r.{c}").alias(c) for c in [*every, "_v"]], "_n", "_need", (F.col("_from") + F.col("_hi") - F.col("_w")).alias("_lo"), (F.col("_from") + F.col("_hi")).alias("_hi"))
+    needed = ranked.filter(F.exists("_need", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi")))).drop("_need")
     listed = needed.groupBy(*every, "_n").agg(F.collect_list(F.struct("_lo", "_hi", "_v")).alias("_l"))  # at most two for each probability
     value = lambda r: F.filter("_l", lambda s: (s["_lo"] <= r) & (r < s["_hi"]))[0]["_v"]
     between = lambda h: (1 - (h - F.floor(h))) * value(F.floor(h)) + (h - F.floor(h)) * value(F.ceil(h))

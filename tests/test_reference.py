@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cytora import api
 from cytora.functions import exprs as X
-from cytora.operators import beads, graph, hist, linalg, ordered, stats, surgery
+from cytora.operators import beads, graph, hist, integrate, linalg, ordered, stats, surgery
 from cytora.operators.fits import curves, cutoffs, mixtures, special, splines
 from cytora.operators.fits.least_squares import least_squares
 from cytora.plans import gates as G
@@ -267,12 +267,28 @@ def test_spline(spark):
     assert (np.diff(splines.evaluate(*k, v)) >= -1e-9).all()
     assert np.allclose(splines.evaluate(*splines.knots([1, 1], [2, 3]), np.array([7.0])), 7)
     assert np.allclose(splines.evaluate(*splines.knots([1, 1, 2], [2, 4, 5]), np.array([1.0])), 3)
-    arrays = [F.array(*[F.lit(float(x)) for x in a]) for a in k]
-    df = spark.createDataFrame([(float(x),) for x in [*v, *s]], "v double").select("v", splines.column(*arrays, F.col("v"), 12).alias("w"))
-    rows = df.collect()
-    assert np.allclose([r["w"] for r in rows], splines.evaluate(*k, np.array([r["v"] for r in rows])))
-    odd = spark.createDataFrame([(NAN,), (None,)], "v double").select(splines.column(*arrays, F.col("v"), 12).alias("w")).collect()
-    assert math.isnan(odd[0]["w"]) and odd[1]["w"] is None
+    lists = [[float(x) for x in a] for a in k]
+    schema = "v double, w float, x array<double>, y array<double>, m array<double>"
+    df = spark.createDataFrame([(float(x), float(x), *lists) for x in [*v, *s]] + [(NAN, 1.0, *lists), (None, 1.0, *lists), (3.0, 1.0, None, None, None), (4.0, 1.0, [], [], [])], schema)
+    rows = splines.bent(df, {"v": ("x", "y", "m"), "w": ("x", "y", "m")}, 12).collect()
+    n = len(v) + len(s)
+    assert np.allclose([r["v"] for r in rows[:n]], splines.evaluate(*k, np.array([*v, *s])))
+    assert math.isnan(rows[n]["v"]) and rows[n + 1]["v"] is None and rows[n + 2]["v"] == 3 and rows[n + 3]["v"] == 4
+
+
+def test_integration(spark):
+    rng = np.random.default_rng(5)
+    rows = [(b, float(v * f + o), i) for b, f, o, n in (("a", 1, 0, 400), ("b", 1.5, 3, 300), ("few", 9, 9, 49)) for i, v in enumerate(rng.normal(10, 2, n))] + [(None, 5.0, 0), ("a", NAN, 0)]
+    df = spark.createDataFrame(rows, "batch string, v double, x int")
+    got = integrate.integrated(df, "batch", ["v"]).toPandas()
+    assert list(got.columns) == ["batch", "v", "x"] and len(got) == len(rows)
+    m = got.dropna().groupby("batch").v.median()
+    assert abs(m["a"] - m["b"]) < 0.2 and abs(m["few"] - np.median([r[1] for r in rows if r[0] == "few"])) < 1e-4
+    assert got[got.batch.isna()].v.tolist() == [5.0]
+    to_a = integrate.integrated(df, "batch", ["v"], goal="batch", label="a").toPandas().dropna().groupby("batch").v.median()
+    assert abs(to_a["b"] - np.median([r[1] for r in rows if r[0] == "a" and r[1] == r[1]])) < 0.2
+    alone = integrate.integrated(df.filter("batch = 'b'"), "batch", ["v"]).toPandas()
+    assert np.allclose(alone.v, [r[1] for r in rows if r[0] == "b"], atol=1e-5)
 
 
 def test_planted_phases_and_cutoffs():
