@@ -2,8 +2,8 @@
 
 A text that alone exceeds the capacity is cut into full pieces and a rest; no other text is cut. Texts are dealt
 by a hash into chunks of about ``CHUNK_BINS`` containers, and each chunk is filled by itself: best fit, largest
-first, then a local search on the underfull containers that moves a piece, exchanges one for one or two for one,
-whenever the sum of squared fills grows, until containers run empty. A chunk leaves at most about one
+first, then a local search that moves a piece, exchanges one for one, two for one or one for two among all underfull
+containers, whenever the sum of squared fills grows, until containers run empty. A chunk leaves at most about one
 container's space unused, so the loss of working in chunks is below one in ``CHUNK_BINS``.
 
 Defined results: every doc_id with a text has at least one row; a text without tokens takes a place of size 0;
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +27,8 @@ CAPACITY, CHUNK_BINS = 2048, 2000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's tokenizer splits text into words.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Rounds of the local search over the underfull containers of a chunk.
-ROUNDS = 12
-#: Containers that one container's items are tried in per round, and items of it that are tried in pairs.
-REACH, PAIRS = 48, 16
+#: Sweeps over all underfull containers at most; the search ends earlier once a sweep finds no step.
+SWEEPS = 30
 
 _ENCODINGS: dict[str, object] = {}
 
@@ -83,58 +82,117 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int
     return bins, free
 
 
-def improve(bins: list[list[int]], free: list[int], sizes: list[int], capacity: int, rounds: int = ROUNDS) -> None:
-    """Local search in place: empties the least filled containers into the space of others.
-
-    For the least filled container, an item moves into another container, or changes place with one smaller item
-    of it, or two items change place with one; each step makes the other container fuller, so the sum of squared
-    fills grows and the search ends.
-    """
-    for _ in range(rounds):
-        roomy = sorted((b for b in range(len(bins)) if bins[b] and free[b] > 0), key=lambda b: (-free[b], b))
-        changed = False
-        for at, source in enumerate(roomy):
-            for target in roomy[at + 1 : at + 1 + REACH]:
-                if not bins[source]:
+class Packing:
+    """Containers under local search: the container of every item, and the space each has left."""
+
+    def __init__(self, bins: list[list[int]], free: list[int], sizes: list[int], capacity: int):
+        self.bins, self.capacity = bins, capacity
+        self.size, self.gap = np.asarray(sizes, dtype=np.int64), np.asarray(free, dtype=np.int64)
+        self.owner = np.zeros(len(sizes), dtype=np.int64)
+        for b, own in enumerate(bins):
+            self.owner[own] = b
+        self.least = -(-int(self.size.sum()) // capacity)
+
+    def used(self) -> int:
+        return int((self.gap < self.capacity).sum())
+
+    def shift(self, items: list[int], source: int, target: int) -> None:
+        for i in items:
+            self.bins[source].remove(i)
+            self.bins[target].append(i)
+            self.owner[i] = target
+            self.gap[source] += self.size[i]
+            self.gap[target] -= self.size[i]
+
+    def fill_from_emptier(self, target: int) -> int:
+        """One step that takes a larger item, or two, from a container with more space, for none, one or two of ``target``; the space it fills."""
+        room = int(self.gap[target])
+        giver = self.gap[self.owner]
+        may = np.flatnonzero((giver >= room) & (self.owner != target) & (self.size > 0))
+        if not room or not len(may):
+            return 0
+        size, giver = self.size[may], giver[may]
+        mine = self.bins[target]
+        offers = [((), 0)] + [((j,), int(self.size[j])) for j in {int(self.size[j]): j for j in mine if self.size[j]}.values()]
+        best: tuple[int, int, int, tuple[int, ...]] = (0, 0, -1, ())
+        for out, value in offers:
+            best = max(best, self._gain(size, giver, value, room, out))
+            if best[0] == room:
+                break
+        if best[0] < room:  # two of the target's for one
+            pairs = {int(self.size[a] + self.size[b]): (a, b) for k, a in enumerate(mine) for b in mine[:k] if self.size[a] and self.size[b]}
+            for value, out in pairs.items():
+                best = max(best, self._gain(size, giver, value, room, out))
+                if best[0] == room:
                     break
-                if free[target] <= 0 or free[source] < free[target]:
-                    continue
-                step = _best_step(bins[source], bins[target], free[target], sizes)
-                if step is None:
-                    continue
-                gain, out, back = step
-                for i in out:
-                    bins[source].remove(i)
-                    bins[target].append(i)
-                if back is not None:
-                    bins[target].remove(back)
-                    bins[source].append(back)
-                free[source] += gain
-                free[target] -= gain
-                changed = True
-        if not changed:
-            return
-
-
-def _best_step(mine: list[int], theirs: list[int], gap: int, sizes: list[int]) -> tuple[int, tuple[int, ...], int | None] | None:
-    """The move, one-for-one or two-for-one exchange that fills ``gap`` most: (tokens gained, items out, item back)."""
-    best: tuple[int, tuple[int, ...], int | None] | None = None
-    alone = [((i,), sizes[i]) for i in mine]
-    for out, size in alone:
-        if 0 < size <= gap and (best is None or size > best[0]):
-            best = (size, out, None)
-    if best is not None:
-        return best
-    backs = {sizes[j]: j for j in theirs}
-    pairs = [((mine[x], mine[y]), sizes[mine[x]] + sizes[mine[y]]) for x in range(min(len(mine), PAIRS)) for y in range(x + 1, min(len(mine), PAIRS))]
-    for out, size in alone + pairs:
-        for s, j in backs.items():
-            gain = size - s
-            if 0 < gain <= gap and (best is None or gain > best[0]):
-                best = (gain, out, j)
-        if best is not None and best[0] == gap:
-            return best
-    return best
+        if best[0] <= 0:
+            return 0
+        item = int(may[best[2]])
+        source = int(self.owner[item])
+        self.shift([item], source, target) if not best[3] else self._exchange(item, list(best[3]), source, target)
+        return best[0]
+
+    @staticmethod
+    def _gain(size: np.ndarray, giver: np.ndarray, value: int, room: int, out: tuple[int, ...]) -> tuple[int, int, int, tuple[int, ...]]:
+        """(space filled, space of the giver, place of the item, items out) of the fullest exchange; givers with more space first."""
+        score = np.where((size > value) & (size <= value + room), (size - value) * (1 << 20) + giver, -1)
+        at = int(np.argmax(score))
+        return (int(size[at] - value), int(giver[at]), at, out) if score[at] > 0 else (0, 0, -1, ())
+
+    def _exchange(self, item: int, out: list[int], source: int, target: int) -> None:
+        self.shift([item], source, target)
+        self.shift(out, target, source)
+
+    def empty(self, source: int) -> bool:
+        """Move every item of ``source`` to where least space remains; nothing moves unless all find a place."""
+        left = self.gap.copy()
+        left[source] = -1
+        left[[b for b in range(len(self.bins)) if not self.bins[b]]] = -1
+        plan = []
+        for i in sorted(self.bins[source], key=lambda i: -self.size[i]):
+            fits = np.flatnonzero(left >= self.size[i])
+            if not len(fits):
+                return False
+            b = int(fits[np.argmin(left[fits])])
+            left[b] -= self.size[i]
+            plan.append((i, b))
+        for i, b in plan:
+            self.shift([i], source, b)
+        return True
+
+
+def improve(bins: list[list[int]], free: list[int], sizes: list[int], capacity: int, sweeps: int = SWEEPS) -> int:
+    """Local search in place, the number of steps taken.
+
+    Every underfull container, the fullest first, takes what fills it most from containers with more space: an item, or an
+    item for one or two of its own. Each step makes a fuller container fuller, so the sum of squared fills grows and space gathers
+    in few containers, whose items then find places elsewhere. The search ends where the sizes leave no container to save.
+    """
+    p = Packing(bins, free, sizes, capacity)
+    steps = 0
+
+    def try_to_empty() -> None:
+        for source in np.argsort(-p.gap, kind="stable").tolist():
+            if p.used() <= p.least or p.gap[source] >= capacity:
+                if p.used() <= p.least:
+                    return
+                continue
+            if not p.empty(source):
+                return
+
+    try_to_empty()
+    for _ in range(sweeps):
+        if p.used() <= p.least:
+            break
+        before = int((p.gap * p.gap).sum())
+        for target in [b for b in np.argsort(p.gap, kind="stable").tolist() if 0 < p.gap[b] < capacity]:
+            while 0 < p.gap[target] < capacity and p.fill_from_emptier(target):
+                steps += 1
+        try_to_empty()
+        if int((p.gap * p.gap).sum()) <= before:
+            break
+    free[:] = p.gap.tolist()
+    return steps
 
 
 def fill(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:

@@ -59,3 +59,23 @@ def test_empty(docs):
     df, _ = docs
     assert packing.containers(df.limit(0)).count() == 0
     assert packing.containers(df.filter("doc_id = 501")).count() == 1
+
+
+def test_local_search_closes_a_gap_that_best_fit_leaves():
+    import numpy as np
+
+    saved = 0
+    for seed in (1, 5):
+        sizes = np.clip(np.random.default_rng(seed).lognormal(6.5, 0.6, 3000).astype(int) + 1, 1, 2048).tolist()
+        plain, free = packing.best_fit(sizes, 2048)
+        before = sum(map(bool, plain))
+        assert before > -(-sum(sizes) // 2048)
+        packing.improve(plain, free, sizes, 2048)
+        assert sorted(i for b in plain for i in b) == list(range(3000))
+        assert [2048 - sum(sizes[i] for i in b) for b in plain] == free and min(free) >= 0
+        saved += before - sum(map(bool, plain))
+    assert saved >= 3
+    pairs = [7, 7, 7, 6, 6, 6, 5, 5, 5, 5, 4, 4, 3, 3, 2, 2]  # of ten, as full as can be
+    plain, free = packing.best_fit(pairs, 10)
+    packing.improve(plain, free, pairs, 10)
+    assert sum(map(bool, plain)) == -(-sum(pairs) // 10)
