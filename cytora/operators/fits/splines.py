@@ -56,33 +56,30 @@ def evaluate(x: np.ndarray, y: np.ndarray, slopes: np.ndarray, v: np.ndarray) ->
     return bent + np.where(v < x[0], slopes[0], slopes[-1]) * (v - inner)
 
 
-def bent(df: DataFrame, channels: dict[str, tuple[str, str, str]], most: int) -> DataFrame:
-    """``df`` with each channel replaced by its cubic, whose knots stand in the three array columns named (null: the value stays).
+def padded(x: np.ndarray, most: int) -> np.ndarray:
+    """Knots in a row of a power of two places, at least one more than ``most``, filled up with infinity."""
+    return np.concatenate([x, np.full((1 << int(most).bit_length()) - len(x), np.inf)])
 
-    A knot is found by bisection, one column a step, so that code is generated for all of it; ``most`` knots at most.
+
+def bent(df: DataFrame, channels: dict[str, tuple[str, str]], most: int) -> DataFrame:
+    """``df`` with each channel replaced by its cubic; the two columns named hold the ``padded`` places of ``most`` knots at most, and the knots as structs (null: the value stays).
+
+    A knot is found by bisection, one column a step, so that code is generated for all of it.
     """
-    at = F.get  # places from 0, null beyond the end
-    sound = lambda c, x: F.col(x).isNotNull() & (F.size(x) > 1) & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     value = {c: F.col(c).cast("double") for c in channels}
-    out = df.withColumns({f"_p_{c}": F.when(sound(c, x), F.lit(0)) for c, (x, _, _) in channels.items()} | {f"_v_{c}": F.least(F.greatest(value[c], at(F.col(x), F.lit(0))), at(F.col(x), F.size(x) - 1)) for c, (x, _, _) in channels.items()})
-    jump = 1 << ((max(most, 2) - 1).bit_length() - 1)
+    sound = {c: F.col(x).isNotNull() & value[c].isNotNull() & ~F.isnan(value[c]) for c, (x, _) in channels.items()}
+    out = df.withColumns({f"_p_{c}": F.lit(0) for c in channels} | {f"_v_{c}": F.coalesce(value[c], F.lit(0.0)) for c in channels})
+    jump = 1 << (int(most).bit_length() - 1)
     while jump:
-        step = {}
-        for c, (x, _, _) in channels.items():
-            ahead = F.col(f"_p_{c}") + jump
-            step[f"_p_{c}"] = F.when((ahead <= F.size(x) - 2) & (F.col(f"_v_{c}") >= at(F.col(x), F.least(ahead, F.size(x) - 1))), ahead).otherwise(F.col(f"_p_{c}"))
-        out = out.withColumns(step)
+        out = out.withColumns({f"_p_{c}": F.col(f"_p_{c}") + F.when(F.col(f"_v_{c}") >= F.get(x, F.col(f"_p_{c}") + jump), jump).otherwise(0) for c, (x, _) in channels.items()})
         jump >>= 1
-    ends = {}
-    for c, arrays in channels.items():
-        p = F.col(f"_p_{c}")
-        ends |= {f"_{n}{k}_{c}": at(F.col(a), p + k) for n, a in zip("xym", arrays) for k in (0, 1)}
-    out = out.withColumns(ends)
-    out = out.withColumns({f"_t_{c}": (F.col(f"_v_{c}") - F.col(f"_x0_{c}")) / (F.col(f"_x1_{c}") - F.col(f"_x0_{c}")) for c in channels})
+    out = out.withColumns({f"_p_{c}": F.least(F.col(f"_p_{c}"), F.size(k) - 2) for c, (_, k) in channels.items()})
+    out = out.withColumns({f"_a_{c}": F.get(k, F.col(f"_p_{c}")) for c, (_, k) in channels.items()} | {f"_b_{c}": F.get(k, F.col(f"_p_{c}") + 1) for c, (_, k) in channels.items()})
+    out = out.withColumns({f"_h_{c}": F.col(f"_b_{c}.x") - F.col(f"_a_{c}.x") for c in channels} | {f"_i_{c}": F.least(F.greatest(F.col(f"_v_{c}"), F.col(f"_a_{c}.x")), F.col(f"_b_{c}.x")) for c in channels})
+    out = out.withColumns({f"_t_{c}": (F.col(f"_i_{c}") - F.col(f"_a_{c}.x")) / F.col(f"_h_{c}") for c in channels})
     final = {}
-    for c, (x, _, m) in channels.items():
-        t, h, y0, y1, m0, m1 = F.col(f"_t_{c}"), F.col(f"_x1_{c}") - F.col(f"_x0_{c}"), F.col(f"_y0_{c}"), F.col(f"_y1_{c}"), F.col(f"_m0_{c}"), F.col(f"_m1_{c}")
+    for c in channels:
+        t, h, (y0, y1), (m0, m1), i, v = F.col(f"_t_{c}"), F.col(f"_h_{c}"), (F.col(f"_{n}_{c}.y") for n in "ab"), (F.col(f"_{n}_{c}.m") for n in "ab"), F.col(f"_i_{c}"), F.col(f"_v_{c}")
         inside = (1 - t) * (1 - t) * ((1 + 2 * t) * y0 + t * h * m0) + t * t * ((3 - 2 * t) * y1 - (1 - t) * h * m1)
-        beyond = F.when(value[c] < F.col(f"_v_{c}"), at(F.col(m), F.lit(0))).otherwise(at(F.col(m), F.size(m) - 1)) * (value[c] - F.col(f"_v_{c}"))
-        final[c] = F.when(F.col(f"_p_{c}").isNull(), value[c]).otherwise(inside + beyond)
+        final[c] = F.when(sound[c], inside + F.when(v < i, m0).otherwise(m1) * (v - i)).otherwise(value[c])
     return out.withColumns(final).select(*df.columns)

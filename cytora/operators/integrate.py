@@ -46,17 +46,18 @@ def _medians(each: DataFrame, keys: list[str]) -> DataFrame:
     return q.withColumnRenamed("_channel", "channel")
 
 
-_KNOTS = "batch_ string, channel_ string, x array<double>, y array<double>, m array<double>"
+_KNOTS = "batch_ string, channel_ string, x array<double>, k array<struct<x:double,y:double,m:double>>"
 
 
-def batch_splines(quantiles: DataFrame, goal: DataFrame, batch: str) -> DataFrame:
-    """(batch, channel, x, y, m): knots of the cubic that takes each batch's quantiles to the goal."""
+def batch_splines(quantiles: DataFrame, goal: DataFrame, batch: str, most: int) -> DataFrame:
+    """(batch_, channel_, x, k): knots of the cubic that takes each batch's quantiles to the goal, null where there is nothing to bend."""
     pairs = quantiles.join(goal, "channel").select(F.col(batch).cast("string").alias("batch_"), F.col("channel").alias("channel_"), "q", "goal")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [splines.knots(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(pdf["q"], pdf["goal"])]
-            yield pd.DataFrame({"batch_": pdf["batch_"], "channel_": pdf["channel_"], "x": [f[0] for f in found], "y": [f[1] for f in found], "m": [f[2] for f in found]})
+            structs = [[{"x": x, "y": y, "m": m} for x, y, m in zip(*f)] if len(f[0]) else None for f in found]
+            yield pd.DataFrame({"batch_": pdf["batch_"], "channel_": pdf["channel_"], "x": [splines.padded(f[0], most) if len(f[0]) else None for f in found], "k": structs})
 
     return pairs.mapInPandas(fit, _KNOTS)
 
@@ -69,11 +70,18 @@ def integrated(rows: DataFrame, batch: str, channels: list[str], probabilities:
     """
     q = batch_quantiles(rows, batch, channels, probabilities)
     q = materialise(q)  # read by the goal and by the splines
-    per = materialise(batch_splines(q, goal_quantiles(q, goal, batch, label), batch))
-    arrays = {(c, n): f"_{n}_{i}" for i, c in enumerate(channels) for n in "xym"}
-    wide = per.groupBy("batch_").agg(*[F.max(F.when(F.col("channel_") == c, F.col(n))).alias(name) for (c, n), name in arrays.items()])
+    most = len(probabilities)
+    per = materialise(batch_splines(q, goal_quantiles(q, goal, batch, label), batch, most))
     several = per.select("batch_").distinct().agg((F.count(F.lit(1)) > 1).alias("_several"))
-    wide = wide.join(F.broadcast(several)).filter("_several").drop("_several")  # one row
-    joined = rows.join(wide, F.col(batch).cast("string") == F.col("batch_"), "left")
-    bent = splines.bent(joined, {c: tuple(arrays[c, n] for n in "xym") for c in channels}, len(probabilities))
-    return bent.select(*[F.col(c).cast("float").alias(c) if c in channels else F.col(c) for c in rows.columns])
+    per = per.join(F.broadcast(several)).filter("_several")  # one row
+    out = rows
+    for c in channels:
+        own = per.filter(F.col("channel_") == c).select("batch_", F.col("x").alias("_x"), F.col("k").alias("_k"))
+        joined = out.join(own, F.col(batch).cast("string") == F.col("batch_"), "left")
+        # one channel a piece of generated code: that of several is too long for the JVM to compile; no rows move here
+        out = splines.bent(joined, {c: ("_x", "_k")}, most).select(*rows.columns).withColumn(c, F.col(c).cast("float")).coalesce(_AS_MANY)
+    return out
+
+
+#: More partitions than any input has, so that nothing is put together.
+_AS_MANY = 1 << 24

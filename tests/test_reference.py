@@ -267,13 +267,13 @@ def test_spline(spark):
     assert (np.diff(splines.evaluate(*k, v)) >= -1e-9).all()
     assert np.allclose(splines.evaluate(*splines.knots([1, 1], [2, 3]), np.array([7.0])), 7)
     assert np.allclose(splines.evaluate(*splines.knots([1, 1, 2], [2, 4, 5]), np.array([1.0])), 3)
-    lists = [[float(x) for x in a] for a in k]
-    schema = "v double, w float, x array<double>, y array<double>, m array<double>"
-    df = spark.createDataFrame([(float(x), float(x), *lists) for x in [*v, *s]] + [(NAN, 1.0, *lists), (None, 1.0, *lists), (3.0, 1.0, None, None, None), (4.0, 1.0, [], [], [])], schema)
-    rows = splines.bent(df, {"v": ("x", "y", "m"), "w": ("x", "y", "m")}, 12).collect()
+    places, structs = [float(x) for x in splines.padded(k[0], 12)], [tuple(float(x) for x in r) for r in zip(*k)]
+    schema = "v double, w float, x array<double>, k array<struct<x:double,y:double,m:double>>"
+    df = spark.createDataFrame([(float(x), float(x), places, structs) for x in [*v, *s]] + [(NAN, 1.0, places, structs), (None, 1.0, places, structs), (3.0, 1.0, None, None), (INF, 1.0, places, structs)], schema)
+    rows = splines.bent(df, {"v": ("x", "k"), "w": ("x", "k")}, 12).collect()
     n = len(v) + len(s)
     assert np.allclose([r["v"] for r in rows[:n]], splines.evaluate(*k, np.array([*v, *s])))
-    assert math.isnan(rows[n]["v"]) and rows[n + 1]["v"] is None and rows[n + 2]["v"] == 3 and rows[n + 3]["v"] == 4
+    assert math.isnan(rows[n]["v"]) and rows[n + 1]["v"] is None and rows[n + 2]["v"] == 3 and rows[n + 3]["v"] == INF
 
 
 def test_integration(spark):
