@@ -42,9 +42,9 @@ def test_forest_puts_outliers_first():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 4))
     x[7] = 12
-    s = spikes.isolation_scores(x, np.random.default_rng(1))
+    s = spikes.isolation_scores(x, 1)
     assert s.argmax() == 7 and ((0 < s) & (s < 1)).all()
-    assert (spikes.isolation_scores(np.ones((50, 3)), np.random.default_rng(1)) > 0).all()
+    assert (spikes.isolation_scores(np.ones((50, 3)), 1) > 0).all()
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 5])
@@ -81,13 +81,55 @@ def test_table(spark):
     assert 50 in [r["bin_idx"] for r in spikes.implausible_bins(series_df, samples.limit(0), channels).collect()]
 
 
+def test_the_forest_decides(monkeypatch):
+    raw, t = series(400, 5)
+    raw[[50, 51, 200]] += 700
+    f = judge(raw, t)
+    assert list(np.flatnonzero(f["spike"])) == [50, 51, 200]
+    assert (f["score"] < spikes.SUSPECT).mean() > 0.9  # few readings are looked at more closely
+    monkeypatch.setattr(spikes, "score", lambda x, s, f: np.full(len(x), 0.4))
+    assert not judge(raw, t)["spike"].any()
+
+
+def test_series_together_as_alone():
+    parts = [series(n, n) for n in (5, 40, 120, 300)]
+    for raw, _ in parts:
+        raw[len(raw) // 2] *= 3
+    sid = np.concatenate([np.full(len(r), 10 + i) for i, (r, _) in enumerate(parts)])
+    raw, t = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    one = np.ones(len(raw), bool)
+    bins = np.concatenate([np.arange(len(p[0])) for p in parts])
+    both = spikes.judge_all(sid, bins, raw, t, one, one, np.full(len(raw), 8192.0))
+    at = 0
+    for i, (r, u) in enumerate(parts):
+        o = np.ones(len(r), bool)
+        alone = spikes.judge(r, u, o, o, 8192.0, 10 + i)
+        for k, v in alone.items():
+            assert np.array_equal(v, both[k][at : at + len(r)], equal_nan=v.dtype == float), k
+        at += len(r)
+
+
 def test_blocks_of_long_series(spark):
     raw, t = series(1000)
     at = [255, 256, 257, 511, 700]
     for i in at:
         raw[i] += 900
     raw[600:610] = raw[600]
-    got = spikes.judge_series(tables(spark, _rows(raw, t))[0], spikes.channel_limits(*tables(spark, [_rows(raw, t)[0]])[1:]), block=256)
-    rows = got.filter("is_spike OR is_stuck").select("bin_idx").collect()
-    assert sorted(r[0] for r in rows) == sorted(at + list(range(600, 610)))
-    assert got.count() == 1000
+    quiet, t2 = series(1200, 8, sd=10)
+    quiet[600:] += np.random.default_rng(9).normal(0, 120, 600)  # a noisy second half, so that the whole has a large scatter
+    quiet[100] += 200  # far for its block, not for its series
+    noise = np.random.default_rng(10)
+    season, t3 = 1000 + 200 * np.sin(np.arange(900) * 2 * np.pi / 12) + noise.normal(0, 10, 900), np.cumsum(noise.uniform(800, 1200, 900))
+    rows = _rows(raw, t) + _rows(quiet, t2, 2) + _rows(season, t3, 3) + _rows(*series(30, 4), 4)
+    rows += rows[:3]
+    df, samples, channels = tables(spark, rows)
+    limits = spikes.channel_limits(samples, channels)
+    whole = {(r["series_id"], r["bin_idx"]): r for r in spikes.judge_series(df, limits).collect()}
+    cut = {(r["series_id"], r["bin_idx"]): r for r in spikes.judge_series(df, limits, whole=100, block=256).collect()}
+    assert set(whole) == set(cut) and len(cut) == 1000 + 1200 + 900 + 30
+    assert sorted(b for (s, b), r in cut.items() if s == 1 and (r["is_spike"] or r["is_stuck"])) == sorted(at + list(range(600, 610)))
+    for k, r in whole.items():
+        assert [r[f] for f in ("is_limit", "is_stuck", "is_spike", "is_clock")] == [cut[k][f] for f in ("is_limit", "is_stuck", "is_spike", "is_clock")]
+        # levels at the very border of a block's halo aside, scores are those of the whole series
+        assert abs(r["score"] - cut[k]["score"]) < 0.05
+    assert not cut[2, 100]["is_spike"]
