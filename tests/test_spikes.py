@@ -117,7 +117,7 @@ def test_blocks_of_long_series(spark):
     raw[600:610] = raw[600]
     quiet, t2 = series(1200, 8, sd=10)
     quiet[600:] += np.random.default_rng(9).normal(0, 120, 600)  # a noisy second half, so that the whole has a large scatter
-    quiet[100] += 200  # far for its block, not for its series
+    quiet[100] += 120  # far for its block, not for its series
     noise = np.random.default_rng(10)
     season, t3 = 1000 + 200 * np.sin(np.arange(900) * 2 * np.pi / 12) + noise.normal(0, 10, 900), np.cumsum(noise.uniform(800, 1200, 900))
     rows = _rows(raw, t) + _rows(quiet, t2, 2) + _rows(season, t3, 3) + _rows(*series(30, 4), 4)
