@@ -1,15 +1,17 @@
 """Populations of mutually similar events within each group.
 
-Marker channels are brought to an arcsinh scale, channels on which a group shows one level only are left out,
-and the rest is standardised. A Gaussian mixture with regularised full covariances and a uniform background is
-fitted by expectation-maximisation: it starts from the cells between the density valleys of the channels, the
-number of components falls by merging as long as the Bayesian information criterion improves, and further
-steps run over every event. An event belongs to the component that explains it best, unless it lies outside
+Marker channels are brought to an arcsinh scale and standardised by the group's mean and spread on each. Features are
+reduced to the channels that tell events apart: those with several density levels, and those along which a component
+turns out to be two. A Gaussian mixture with regularised full covariances and a uniform background is fitted by
+expectation-maximisation over every event until its likelihood settles. The Bayesian information criterion chooses the
+number of components both ways: the fit starts from the cells between the density valleys of the channels, components
+are merged as long as the criterion improves, and a component that shows a valley along one of its own principal directions
+is split if the criterion improves. An event belongs to the component that explains it best, unless it lies outside
 that component's reach or the background explains it better.
 
-A group up to ``HOT_ROWS`` rows is one task. A larger one is split into chunks by a hash of event_id; the same
-steps then run on summed histograms, cell moments and component moments of the chunks, so that no task holds
-more than a chunk and the result is that of the undivided group.
+A fit is a sequence of passes, each of which adds up sums over events (histograms, cells, moments). A group up to
+``HOT_ROWS`` rows is one task that makes all passes; of larger ones, many tasks add up the sums of their shares of
+the events, which are written once and stay where they are, so that no task holds a group, and the result is that of the undivided group.
 
 Defined results: events with a null array, a wrong number of values or a value that is not finite belong to no
 population; an event_id delivered twice counts once; groups without channel rows give nothing; a null group_id
@@ -18,14 +20,17 @@ or event_id is left out.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,8 +44,16 @@ MASS_COFACTOR, LIGHT_COFACTOR = 5.0, 150.0
 #: and the standard errors of its counts that a valley lies below the lower peak.
 BIN, SMOOTH, VALLEY, NOISE = 0.05, 0.2, 0.5, 3.5
 _LOW, _BINS = -12.0, 640
-#: Floor of a standard deviation on the arcsinh scale, steps over all events, and the tail beyond a component's reach.
-MIN_SD, STEPS, TAIL_SDS = 0.05, 2, 4.9
+#: Floor of a standard deviation on the arcsinh scale and the tail beyond a component's reach.
+MIN_SD, TAIL_SDS = 0.05, 4.9
+#: Change of the mean log likelihood of an event below which a fit has settled, and limits that keep a fit from going on for ever.
+SETTLED, MOST_STEPS, MOST_ROUNDS = 1e-4, 60, 12
+#: Grid, smoothing and noise of the search for valleys along principal directions, in standard deviations of a component there;
+#: loading from which a channel takes part in a split.
+ALONG_BIN, ALONG_SMOOTH, ALONG_NOISE, LOADS = 0.04, 0.15, 5.0, 0.3
+_ALONG = 400
+#: Groups whose hot fits run together; what every task is given holds a model for each.
+WAVE = 256
 
 MARKER_KINDS = ("Optical", "Spectrum", "Mass")
 _MASS_NAME = re.compile(r"(?:[A-Z][a-z]?\d{2,3}|\d{2,3}[A-Z][a-z]?)(?:d[id])?", re.I)
@@ -65,8 +78,10 @@ def channel_kind(kind: str | None, name: str | None) -> str:
 
 
 class Model(NamedTuple):
-    """A mixture over the used channels: weights, means, covariances, and the background's weight and density."""
+    """A mixture over the used channels of standardised events: weights, means, covariances, and the background's weight and density."""
 
+    centre: np.ndarray
+    scale: np.ndarray
     used: np.ndarray
     weights: np.ndarray
     means: np.ndarray
@@ -87,12 +102,12 @@ def histograms(y: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(at[:, j], minlength=_BINS) for j in range(y.shape[1])]) if y.shape[1] else np.zeros((0, _BINS), dtype=np.int64)
 
 
-def valleys(counts: np.ndarray) -> list[float]:
-    """Cut points of one channel: the lowest places between two peaks of the smoothed density, if low enough."""
-    width = int(4 * SMOOTH / BIN)
-    kernel = np.exp(-0.5 * (np.arange(-width, width + 1) * BIN / SMOOTH) ** 2)
+def valleys(counts: np.ndarray, low: float = _LOW, bin_: float = BIN, smooth: float = SMOOTH, noise: float = NOISE) -> list[float]:
+    """Cut points of one histogram: the lowest places between two peaks of the smoothed density, if low enough."""
+    width = int(4 * smooth / bin_)
+    kernel = np.exp(-0.5 * (np.arange(-width, width + 1) * bin_ / smooth) ** 2)
     s = np.convolve(counts, kernel / kernel.sum(), "same")
-    least = MIN_EVENTS * 0.25 * BIN / SMOOTH / 2.5  # in events, so that a population counts in a group of any size
+    least = MIN_EVENTS * 0.25 * bin_ / smooth / 2.5  # in events, so that a population counts in a group of any size
     share = (kernel**2).sum() / kernel.sum() ** 2  # variance of a smoothed count over its mean
     inner = np.flatnonzero((s[1:-1] >= s[:-2]) & (s[1:-1] > s[2:]) & (s[1:-1] >= least)) + 1
     cuts: list[float] = []
@@ -103,9 +118,9 @@ def valleys(counts: np.ndarray) -> list[float]:
             continue
         v = last + int(np.argmin(s[last : p + 1]))
         lower = min(s[last], s[p])
-        if s[v] < VALLEY * lower and lower - s[v] > NOISE * np.sqrt(share * (lower + s[v])):
+        if s[v] < VALLEY * lower and lower - s[v] > noise * np.sqrt(share * (lower + s[v])):
             flat = np.flatnonzero(s[last : p + 1] <= s[v] * 1.0001 + 1e-12) + last
-            cuts.append(_LOW + (float(flat.mean()) + 0.5) * BIN)
+            cuts.append(low + (float(flat.mean()) + 0.5) * bin_)
             last = p
         elif s[p] > s[last]:
             last = p
@@ -121,18 +136,6 @@ def patterns(y: np.ndarray, cuts: list[list[float]]) -> np.ndarray:
     return code.view(np.int64)
 
 
-def cells(y: np.ndarray, code: np.ndarray, least: int = 1) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(cell, events, sum, sum of outer products) of the cells of at least ``least`` events."""
-    order = np.argsort(code, kind="stable")
-    key, start, n = np.unique(code[order], return_index=True, return_counts=True)
-    out = []
-    for k, a, m in zip(key, start, n):
-        if m >= least:
-            part = y[order[a : a + m]]
-            out.append((int(k), int(m), part.sum(axis=0), part.T @ part))
-    return out
-
-
 def _log_density(y: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log density and squared distance under one component."""
     low = np.linalg.cholesky(cov)
@@ -141,29 +144,32 @@ def _log_density(y: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.n
     return -0.5 * (distance + len(mean) * np.log(2 * np.pi)) - np.log(np.diag(low)).sum(), distance
 
 
-def _regular(n: float, cov: np.ndarray, pooled: np.ndarray) -> np.ndarray:
-    """Covariance drawn towards the pooled variances as far as a component has few events, with a floor."""
-    d = len(cov)
-    prior = d + 2.0
+def _regular(n: float, cov: np.ndarray, pooled: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Covariance drawn towards the pooled variances as far as a component has few events, with a floor on each channel."""
+    prior = len(cov) + 2.0
     out = (n * cov + prior * np.diag(np.diag(pooled))) / (n + prior)
-    return out + np.eye(d) * MIN_SD**2
-
-
-def first_model(found: list[tuple[int, int, np.ndarray, np.ndarray]], total: int, counts: np.ndarray) -> Model | None:
-    """Mixture from the moments of the cells; components are merged while the information criterion improves."""
-    used = np.array([len(valleys(c)) > 0 for c in counts], dtype=bool)
-    if not used.any():
-        used[:] = True
-    big = [(n, s[used], q[np.ix_(used, used)]) for _, n, s, q in found if n >= MIN_EVENTS // 2]
-    if not big:
-        return None
-    d = int(used.sum())
-    n = np.array([b[0] for b in big], dtype=float)
-    mean = np.array([b[1] / b[0] for b in big])
-    cov = np.array([b[2] / b[0] - np.outer(m, m) for b, m in zip(big, mean)])
-    pooled = np.tensordot(n, cov, axes=1) / n.sum() + np.eye(d) * MIN_SD**2
-    price = 0.5 * (d + d * (d + 1) / 2 + 1) * np.log(max(total, 2))
-    score = lambda k, c: -0.5 * k * np.linalg.slogdet(_regular(k, c, pooled))[1] + k * np.log(k / total)
+    return out + np.diag(floor**2)
+
+
+def _price(d: int, total: int) -> float:
+    """What the information criterion asks for a component: half the logarithm of the events for each of its parameters."""
+    return 0.5 * (d + d * (d + 1) / 2 + 1) * float(np.log(max(total, 2)))
+
+
+def _worth(n: float, cov: np.ndarray, total: float) -> float:
+    """Log likelihood of a component's own events, up to what all components share."""
+    return -0.5 * n * float(np.linalg.slogdet(cov)[1]) + n * float(np.log(n / total))
+
+
+def merged(n: np.ndarray, s: np.ndarray, q: np.ndarray, floor: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(events, means, covariances) of components made of cells given by their moments, merged while the information criterion improves."""
+    d = s.shape[1]
+    n = n.astype(float)
+    mean = s / n[:, None]
+    cov = q / n[:, None, None] - np.einsum("ki,kj->kij", mean, mean)
+    pooled = np.tensordot(n, cov, axes=1) / n.sum() + np.diag(floor**2)
+    price = _price(d, total)
+    score = lambda k, c: _worth(k, _regular(k, c, pooled, floor), total)
     own = np.array([score(k, c) for k, c in zip(n, cov)])
     near = np.linalg.inv(pooled)
     while len(n) > 1:
@@ -187,15 +193,12 @@ def first_model(found: list[tuple[int, int, np.ndarray, np.ndarray]], total: int
         n[i], cov[i], own[i] = k, both, score(k, both)
         keep = np.arange(len(n)) != j
         n, mean, cov, own = n[keep], mean[keep], cov[keep], own[keep]
-    covs = np.array([_regular(k, c, pooled) for k, c in zip(n, cov)])
-    span = np.array([np.ptp(np.flatnonzero(c)) * BIN + 2 * SMOOTH for c, u in zip(counts, used) if u])
-    rest = max(total - n.sum(), 1.0)
-    return Model(used, n / (n.sum() + rest), mean, covs, rest / (n.sum() + rest), -float(np.log(span).sum()))
+    return n, mean, np.array([_regular(k, c, pooled, floor) for k, c in zip(n, cov)])
 
 
-def expect(model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Responsibilities (background last), log densities under the own components, and squared distances."""
-    x = y[:, model.used]
+def expect(model: Model, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of standardised events: responsibilities (background last), log densities under the components, squared distances, log likelihoods."""
+    x = z[:, model.used]
     k = len(model.weights)
     logs, distance = np.empty((len(x), k + 1)), np.empty((len(x), k))
     for i in range(k):
@@ -204,17 +207,9 @@ def expect(model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     logs[:, k] = model.log_uniform + np.log(max(model.background, 1e-12))
     top = logs.max(axis=1, keepdims=True)
     resp = np.exp(logs - top)
-    resp /= resp.sum(axis=1, keepdims=True)
-    return resp, logs[:, :k], distance
-
-
-def moments(model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums that the maximisation step needs; those of separate chunks add up."""
-    x = y[:, model.used]
-    resp, _, _ = expect(model, y)
-    own = resp[:, :-1]
-    products = np.stack([(own[:, i, None] * x).T @ x for i in range(own.shape[1])])  # one component at a time: memory of one copy of x
-    return resp.sum(axis=0), own.T @ x, products
+    total = resp.sum(axis=1, keepdims=True)
+    resp /= total
+    return resp, logs[:, :k], distance, (top + np.log(total))[:, 0]
 
 
 def maximise(model: Model, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> Model:
@@ -223,11 +218,12 @@ def maximise(model: Model, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> Model
     keep = n[:-1] >= MIN_EVENTS / 2
     if not keep.any():
         return model
+    floor = MIN_SD / model.scale[model.used]
     k = n[:-1][keep]
     means = s[keep] / k[:, None]
     raw = q[keep] / k[:, None, None] - np.einsum("ki,kj->kij", means, means)
-    pooled = np.tensordot(k, raw, axes=1) / k.sum() + np.eye(raw.shape[1]) * MIN_SD**2
-    covs = np.array([_regular(a, c, pooled) for a, c in zip(k, raw)])
+    pooled = np.tensordot(k, raw, axes=1) / k.sum() + np.diag(floor**2)
+    covs = np.array([_regular(a, c, pooled, floor) for a, c in zip(k, raw)])
     return model._replace(weights=k / total, means=means, covs=covs, background=max(float(n[-1] / total), 1e-9))
 
 
@@ -237,8 +233,8 @@ def _reach(d: int) -> float:
 
 
 def assign(model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Component of each event, -1 for none, and its log density there."""
-    resp, logs, distance = expect(model, y)
+    """Component of each event (on the arcsinh scale), -1 for none, and its log density there."""
+    resp, logs, distance, _ = expect(model, (y - model.centre) / model.scale)
     best = resp.argmax(axis=1)
     none = best == len(model.weights)
     best = np.where(none, 0, best)
@@ -247,14 +243,180 @@ def assign(model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(none, -1, best), logs[at, best] - np.log(model.weights[best])
 
 
+# --- the fit as a sequence of passes ---------------------------------------------------------------------------
+
+
+@dataclass
+class Fit:
+    """Where the fit of one group stands: the pass it needs next, and what earlier ones found."""
+
+    stage: str = "levels"
+    total: int = 0
+    counts: np.ndarray | None = None
+    cuts: list[list[float]] = field(default_factory=list)
+    codes: np.ndarray | None = None
+    centre: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    model: Model | None = None
+    likelihood: float = -np.inf
+    steps: int = 0
+    rounds: int = 0
+    held: dict[str, np.ndarray] = field(default_factory=dict)
+    directions: np.ndarray | None = None
+    splits: list[tuple[int, np.ndarray, float]] = field(default_factory=list)
+
+
+Sums = dict[str, np.ndarray]
+
+
+def gather(fit: Fit, y: np.ndarray) -> Sums:
+    """What the next pass needs of some events (on the arcsinh scale); sums over shares of the events add up (see ``add``)."""
+    if fit.stage == "levels":
+        return {"n": np.array([len(y)]), "counts": histograms(y)}
+    if fit.stage == "codes":
+        key, count = np.unique(patterns(y, fit.cuts), return_counts=True)
+        return {"key": key, "count": count}
+    z = (y - fit.centre) / fit.scale
+    if fit.stage == "cells":
+        code = patterns(y, fit.cuts)
+        at = np.minimum(np.searchsorted(fit.codes, code), len(fit.codes) - 1)
+        return _moments(np.where(fit.codes[at] == code, at, -1), z, len(fit.codes))
+    model = fit.model
+    if fit.stage == "step":
+        resp, _, _, likelihood = expect(model, z)
+        x, own = z[:, model.used], resp[:, :-1]
+        products = np.stack([(own[:, i, None] * x).T @ x for i in range(own.shape[1])])  # one component at a time: memory of one copy of x
+        return {"n": resp.sum(axis=0), "s": own.T @ x, "q": products, "likelihood": np.array([likelihood.sum()])}
+    part, _ = assign(model, y)
+    k = len(model.weights)
+    if fit.stage == "spread":
+        return _moments(part, z, k)
+    if fit.stage == "along":
+        out = np.zeros((k, z.shape[1], _ALONG), dtype=np.int64)
+        for i in np.unique(part[part >= 0]):
+            v = (z[part == i] - fit.held["mean"][i]) @ fit.directions[i].T
+            at = np.clip((v / ALONG_BIN).astype(np.int64) + _ALONG // 2, 0, _ALONG - 1)
+            out[i] = np.stack([np.bincount(at[:, j], minlength=_ALONG) for j in range(z.shape[1])])
+        return {"counts": out}
+    side = np.full(len(z), -1)
+    for m, (i, direction, cut) in enumerate(fit.splits):
+        own = part == i
+        side[own] = 2 * m + ((z[own] - fit.held["mean"][i]) @ direction > cut)
+    return _moments(side, z, 2 * len(fit.splits))
+
+
+def _moments(part: np.ndarray, z: np.ndarray, k: int) -> Sums:
+    """Count, sum and sum of outer products of the events of each part; -1 is none."""
+    n, s, q = np.zeros(k), np.zeros((k, z.shape[1])), np.zeros((k, z.shape[1], z.shape[1]))
+    order = np.argsort(part, kind="stable")
+    own = part[order]
+    for i, a, m in zip(*np.unique(own, return_index=True, return_counts=True)):
+        if i >= 0:
+            x = z[order[a : a + m]]
+            n[i], s[i], q[i] = m, x.sum(axis=0), x.T @ x
+    return {"n": n, "s": s, "q": q}
+
+
+def add(parts: list[Sums]) -> Sums:
+    """Sums of the shares of a group."""
+    if "key" in parts[0]:
+        key, place = np.unique(np.concatenate([p["key"] for p in parts]), return_inverse=True)
+        return {"key": key, "count": np.bincount(place, weights=np.concatenate([p["count"] for p in parts]), minlength=len(key)).astype(np.int64)}
+    return {c: np.sum([p[c] for p in parts], axis=0) for c in parts[0]}
+
+
+def advance(fit: Fit, sums: Sums) -> Fit:
+    """The fit after a pass, with the stage it needs next: ``done`` at the end, with a model unless no component was found."""
+    done = lambda: replace(fit, stage="done", held={}, counts=None, codes=None, directions=None, splits=[])
+    if fit.stage == "levels":
+        counts, total = sums["counts"], int(sums["n"][0])
+        if total < MIN_EVENTS or not len(counts):
+            return replace(fit, stage="done")
+        middle = _LOW + (np.arange(_BINS) + 0.5) * BIN
+        n = np.maximum(counts.sum(axis=1), 1)
+        centre = counts @ middle / n
+        scale = np.sqrt(np.maximum(counts @ middle**2 / n - centre**2, MIN_SD**2))
+        return replace(fit, stage="codes", total=total, counts=counts, cuts=[valleys(c) for c in counts], centre=centre, scale=scale)
+    if fit.stage == "codes":
+        codes = sums["key"][sums["count"] >= MIN_EVENTS // 2]
+        return replace(fit, stage="cells", codes=codes) if len(codes) else done()
+    if fit.stage == "cells":
+        used = np.array([len(c) > 0 for c in fit.cuts])
+        used = used if used.any() else np.ones(len(used), dtype=bool)
+        n, mean, cov = merged(sums["n"], sums["s"][:, used], sums["q"][:, used][:, :, used], MIN_SD / fit.scale[used], fit.total)
+        return replace(fit, stage="step", model=_model(fit, used, n, mean, cov), codes=None)
+    if fit.stage == "step":
+        mean = float(sums["likelihood"][0]) / fit.total
+        if fit.steps and (mean - fit.likelihood < SETTLED or fit.steps >= MOST_STEPS):
+            return replace(fit, stage="spread") if fit.rounds < MOST_ROUNDS else done()
+        return replace(fit, model=maximise(fit.model, sums["n"], sums["s"], sums["q"]), likelihood=mean, steps=fit.steps + 1)
+    if fit.stage == "spread":
+        n = sums["n"]
+        mean = sums["s"] / np.maximum(n, 1)[:, None]
+        cov = sums["q"] / np.maximum(n, 1)[:, None, None] - np.einsum("ki,kj->kij", mean, mean)
+        directions = np.zeros_like(cov)
+        for i in np.flatnonzero(n >= 2 * MIN_EVENTS):
+            values, axes = np.linalg.eigh(cov[i])
+            directions[i] = (axes / np.sqrt(np.maximum(values, 1e-9))).T
+        return replace(fit, stage="along", held={**sums, "mean": mean, "cov": cov}, directions=directions)
+    if fit.stage == "along":
+        splits = []
+        for i in np.flatnonzero(fit.held["n"] >= 2 * MIN_EVENTS):
+            best: tuple[float, int, float] | None = None
+            for j, c in enumerate(sums["counts"][i]):
+                for cut in valleys(c, -ALONG_BIN * _ALONG / 2, ALONG_BIN, ALONG_SMOOTH, ALONG_NOISE):
+                    left = c[: int((cut + ALONG_BIN * _ALONG / 2) / ALONG_BIN)].sum()
+                    even = min(left, c.sum() - left)
+                    if even >= MIN_EVENTS and (best is None or even > best[0]):
+                        best = (even, j, cut)
+            if best is not None:
+                splits.append((int(i), fit.directions[i][best[1]], best[2]))
+        return replace(fit, stage="sides", splits=splits, directions=None) if splits else done()
+    return _split(fit, sums, done)
+
+
+def _split(fit: Fit, sums: Sums, done) -> Fit:
+    """Components that are two by the information criterion become two; channels along which they part join the features."""
+    n, s, q = fit.held["n"], fit.held["s"], fit.held["q"]
+    used, parted = fit.model.used.copy(), []
+    for m, (i, direction, _) in enumerate(fit.splits):
+        weight = np.abs(direction) * np.sqrt(np.maximum(np.diag(fit.held["cov"][i]), 1e-12))
+        own = fit.model.used | (weight >= LOADS * weight.max())
+        floor = MIN_SD / fit.scale[own]
+        cov = lambda k, a, b: b[np.ix_(own, own)] / k - np.outer(a[own], a[own]) / k**2 + np.diag(floor**2)
+        halves = [(sums["n"][h], sums["s"][h], sums["q"][h]) for h in (2 * m, 2 * m + 1)]
+        if min(h[0] for h in halves) < MIN_EVENTS:
+            continue
+        gain = sum(_worth(k, cov(k, a, b), fit.total) for k, a, b in halves) - _worth(n[i], cov(n[i], s[i], q[i]), fit.total)
+        if gain > _price(int(own.sum()), fit.total):
+            parted.append((i, halves))
+            used |= own
+    if not parted:
+        return done()
+    gone = {i for i, _ in parted}
+    rows = [(n[i], s[i], q[i]) for i in range(len(n)) if i not in gone and n[i] >= MIN_EVENTS / 2] + [h for _, halves in parted for h in halves]
+    k = np.array([r[0] for r in rows])
+    floor = MIN_SD / fit.scale[used]
+    mean = np.array([r[1][used] / r[0] for r in rows])
+    raw = np.array([r[2][np.ix_(used, used)] / r[0] for r in rows]) - np.einsum("ki,kj->kij", mean, mean)
+    pooled = np.tensordot(k, raw, axes=1) / k.sum() + np.diag(floor**2)
+    covs = np.array([_regular(a, c, pooled, floor) for a, c in zip(k, raw)])
+    return replace(fit, stage="step", model=_model(fit, used, k, mean, covs), likelihood=-np.inf, steps=0, rounds=fit.rounds + 1, held={}, splits=[])
+
+
+def _model(fit: Fit, used: np.ndarray, n: np.ndarray, means: np.ndarray, covs: np.ndarray) -> Model:
+    """A mixture whose background takes the events that no component holds, spread evenly over what the group spans."""
+    rest = max(fit.total - float(n.sum()), 1.0)
+    span = np.array([(np.ptp(np.flatnonzero(c)) * BIN + 2 * SMOOTH) / s for c, s, u in zip(fit.counts, fit.scale, used) if u])
+    return Model(fit.centre, fit.scale, used, n / (n.sum() + rest), means, covs, rest / (n.sum() + rest), -float(np.log(span).sum()))
+
+
 def fit_group(y: np.ndarray) -> Model | None:
     """The model of a whole group that fits one task."""
-    counts = histograms(y)
-    cuts = [valleys(c) for c in counts]
-    model = first_model(cells(y, patterns(y, cuts), MIN_EVENTS // 2), len(y), counts)
-    for _ in range(STEPS if model is not None else 0):
-        model = maximise(model, *moments(model, y))
-    return model
+    fit = Fit()
+    while fit.stage != "done":
+        fit = advance(fit, gather(fit, y))
+    return fit.model
 
 
 def _matrix(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -325,102 +487,95 @@ def channel_cofactors(channels: DataFrame) -> DataFrame:
     return flat.groupBy("group_id").agg(F.transform(listed, lambda c: c["cofactor"]).alias("cofactors"))
 
 
-def _chunk(hot: DataFrame, events: DataFrame) -> DataFrame:
-    """Rows of hot groups with the chunk they belong to."""
-    return events.join(hot, "group_id").withColumn("chunk", F.pmod(F.xxhash64("event_id"), F.col("chunks")).cast("int"))
-
-
-def _bytes(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
-
-
-def _pack(model: Model) -> dict[str, bytes | float]:
-    return {"used": _bytes(model.used), "weights": _bytes(model.weights), "means": _bytes(model.means), "covs": _bytes(model.covs), "background": model.background, "log_uniform": model.log_uniform}
-
-
-def _unpack(row: dict) -> Model:
-    used, weights = np.frombuffer(row["used"], dtype=bool), np.frombuffer(row["weights"])
-    k, d = len(weights), int(used.sum())
-    return Model(used, weights, np.frombuffer(row["means"]).reshape(k, d), np.frombuffer(row["covs"]).reshape(k, d, d), row["background"], row["log_uniform"])
-
-
-_MODEL = "group_id string, used binary, weights binary, means binary, covs binary, background double, log_uniform double"
+def _each_group(batches: Iterator[pa.RecordBatch], cofactors: dict[str, np.ndarray]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(group, event ids, events on the arcsinh scale) of the rows of a task, in pieces."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        names = table.column("group_id").to_pylist()
+        for g in dict.fromkeys(names):
+            if g in cofactors:
+                ids, x = _matrix(table.filter(pc.equal(table.column("group_id"), g)), len(cofactors[g]))
+                if len(ids):
+                    yield g, ids, transform(x, cofactors[g])
 
 
 def _hot_clusters(events: DataFrame, cofactors: DataFrame, hot: DataFrame) -> DataFrame:
-    """Populations of groups of more than ``HOT_ROWS`` rows, by the same steps on sums over their chunks."""
-    rows = materialise(_chunk(hot, events).select("group_id", "chunk", "event_id", "event_values"))
-    spread = hot.withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))).select("group_id", "chunk")
-
-    def each(side: DataFrame, f, schema: str) -> DataFrame:
-        keyed = spread.join(side, "group_id")
-        return rows.groupBy("group_id", "chunk").cogroup(keyed.groupBy("group_id", "chunk")).applyInArrow(f, schema)
-
-    def count(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, y = _group_table(left, right)
-        return pa.table({"group_id": [key[0].as_py()], "n": [len(ids)], "width": [y.shape[1]], "counts": [_bytes(histograms(y))]}) if len(ids) else pa.table({"group_id": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "width": pa.array([], pa.int64()), "counts": pa.array([], pa.binary())})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = sum(np.frombuffer(b, dtype=np.int64) for b in pdf["counts"])
-        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]], "n": [pdf["n"].sum()], "width": [pdf["width"].iloc[0]], "counts": [_bytes(counts)]})
-
-    shape = "group_id string, n long, width long, counts binary"
-    summed = materialise(each(cofactors, count, shape).groupBy("group_id").applyInPandas(add, shape))
-
-    def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, y = _group_table(left, right)
-        out = []
-        if len(ids):
-            counts = np.frombuffer(right.column("counts")[0].as_py(), dtype=np.int64).reshape(-1, _BINS)
-            out = cells(y, patterns(y, [valleys(c) for c in counts]))
-        return pa.table({"group_id": pa.array([key[0].as_py()] * len(out), pa.string()), "cell": pa.array([c[0] for c in out], pa.int64()), "n": pa.array([c[1] for c in out], pa.int64()), "s": pa.array([_bytes(c[2]) for c in out], pa.binary()), "q": pa.array([_bytes(c[3]) for c in out], pa.binary())})
-
-    parts = materialise(each(cofactors.join(summed, "group_id"), cut, "group_id string, cell long, n long, s binary, q binary"))
-    big = parts.groupBy("group_id", "cell").agg(F.sum("n").alias("events")).filter(F.col("events") >= MIN_EVENTS // 2)
-
-    def begin(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["group_id", "used", "weights", "means", "covs", "background", "log_uniform"])
-        found = []
-        for c, own in left.groupby("cell"):
-            s = sum(np.frombuffer(b) for b in own["s"])
-            q = sum(np.frombuffer(b) for b in own["q"]).reshape(len(s), len(s))
-            found.append((int(c), int(own["n"].sum()), s, q))
-        counts = np.frombuffer(right["counts"].iloc[0], dtype=np.int64).reshape(-1, _BINS)
-        model = first_model(found, int(right["n"].iloc[0]), counts)
-        return pd.DataFrame([{"group_id": key[0]} | _pack(model)] if model else [], columns=["group_id", "used", "weights", "means", "covs", "background", "log_uniform"])
-
-    kept = parts.join(big.select("group_id", "cell"), ["group_id", "cell"])
-    models = materialise(kept.groupBy("group_id").cogroup(summed.groupBy("group_id")).applyInPandas(begin, _MODEL))
-
-    def step(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, y = _group_table(left, right)
-        if not len(ids):
-            return pa.table({"group_id": pa.array([], pa.string()), "n": pa.array([], pa.binary()), "s": pa.array([], pa.binary()), "q": pa.array([], pa.binary())})
-        n, s, q = moments(_unpack(right.slice(0, 1).to_pylist()[0]), y)
-        return pa.table({"group_id": [key[0].as_py()], "n": [_bytes(n)], "s": [_bytes(s)], "q": [_bytes(q)]})
-
-    def update(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        old = _unpack(right.iloc[0].to_dict())
-        k, d = len(old.weights), int(old.used.sum())
-        n, s, q = (sum(np.frombuffer(b) for b in left[c]) for c in ("n", "s", "q"))
-        return pd.DataFrame([{"group_id": key[0]} | _pack(maximise(old, n, s.reshape(k, d), q.reshape(k, d, d)))])
-
-    for _ in range(STEPS):
-        sums = each(cofactors.join(models, "group_id"), step, "group_id string, n binary, s binary, q binary")
-        models = materialise(sums.groupBy("group_id").cogroup(models.groupBy("group_id")).applyInPandas(update, _MODEL))
-
-    def place(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, y = _group_table(left, right)
-        if not len(ids):
-            return pa.table({"group_id": pa.array([], pa.string()), "event_id": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "log_density": pa.array([], pa.float64())})
-        part, density = assign(_unpack(right.slice(0, 1).to_pylist()[0]), y)
-        own = part >= 0
-        return pa.table({"group_id": pa.array([key[0].as_py()] * int(own.sum()), pa.string()), "event_id": ids[own], "part": part[own].astype(np.int32), "log_density": density[own]})
-
-    placed = materialise(each(cofactors.join(models, "group_id"), place, "group_id string, event_id long, part int, log_density double"))
-    named = placed.groupBy("group_id", "part").agg(F.min("event_id").alias("cluster_id"), F.count(F.lit(1)).alias("events")).filter(F.col("events") >= MIN_EVENTS)
-    return placed.join(named.select("group_id", "part", "cluster_id"), ["group_id", "part"]).select("event_id", "cluster_id", "log_density")
+    """Populations of groups of more than ``HOT_ROWS`` rows, by the same passes over shares of their events.
+
+    Events are written once, each event_id in one place, and read where they lie by every pass; groups go in waves, so that what
+    tasks are given stays small.
+    """
+    spark = events.sparkSession
+    waves = hot.withColumn("wave", F.floor((F.row_number().over(Window.orderBy("group_id")) - 1) / WAVE).cast("int"))  # one row for every HOT_ROWS events at most
+    per_task = F.pmod(F.xxhash64("event_id"), F.col("chunks")).cast("int").alias("chunk")
+    keyed = events.join(waves, "group_id").select("wave", "group_id", per_task, "event_id", "event_values")
+    total = hot.agg(F.sum("chunks")).first()[0]
+    placed = keyed.repartition(max(int(total), spark.sparkContext.defaultParallelism), "group_id", "chunk").sortWithinPartitions("group_id", "event_id")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose event_id differs from the one before: an id delivered twice stands twice in one task."""
+        last: tuple[object, object] | None = None
+        for batch in batches:
+            if batch.num_rows:
+                ids, groups = batch.column("event_id").to_numpy(), batch.column("group_id")
+                same = np.r_[last is not None and (groups[0].as_py(), ids[0]) == last, ids[1:] == ids[:-1]]
+                last = (groups[len(ids) - 1].as_py(), ids[-1])
+                yield batch.filter(pa.array(~same))
+
+    rows = materialise(placed.drop("chunk").mapInArrow(once, "wave int, group_id string, event_id long, event_values array<float>"), ["wave"])
+    results = None
+    for wave in range(int(waves.agg(F.max("wave")).first()[0]) + 1):
+        own = rows.filter(F.col("wave") == wave).drop("wave")
+        known = {r["group_id"]: np.array(r["cofactors"], dtype=float) for r in cofactors.join(waves.filter(F.col("wave") == wave), "group_id").collect()}
+        known = {g: c for g, c in known.items() if (c > 0).any()}
+        fits = {g: Fit() for g in known}
+        while open_ := {g: f for g, f in fits.items() if f.stage != "done"}:
+            for g, sums in _pass(own, open_, known).items():
+                fits[g] = advance(fits[g], sums)
+            for g in open_:
+                if fits[g] is open_[g]:  # a group without usable events
+                    fits[g] = replace(fits[g], stage="done")
+        models = {g: f.model for g, f in fits.items() if f.model is not None}
+        shared = spark.sparkContext.broadcast((models, known))
+
+        def place(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            models, known = shared.value
+            for g, ids, y in _each_group(batches, {g: known[g] for g in models}):
+                part, density = assign(models[g], y)
+                in_one = part >= 0
+                yield pa.RecordBatch.from_arrays([pa.array([g] * int(in_one.sum()), pa.string()), pa.array(ids[in_one]), pa.array(part[in_one].astype(np.int32)), pa.array(density[in_one])], names=["group_id", "event_id", "part", "log_density"])
+
+        found = own.mapInArrow(place, "group_id string, event_id long, part int, log_density double")
+        results = found if results is None else results.unionByName(found)
+    placed_ = materialise(results)
+    named = placed_.groupBy("group_id", "part").agg(F.min("event_id").alias("cluster_id"), F.count(F.lit(1)).alias("events")).filter(F.col("events") >= MIN_EVENTS)
+    return placed_.join(named.select("group_id", "part", "cluster_id"), ["group_id", "part"]).select("event_id", "cluster_id", "log_density")
+
+
+def _pass(rows: DataFrame, fits: dict[str, Fit], cofactors: dict[str, np.ndarray]) -> dict[str, Sums]:
+    """The sums of one pass of every group, added up by tasks before they reach the driver: one per group."""
+    shared = rows.sparkSession.sparkContext.broadcast((fits, {g: cofactors[g] for g in fits}))
+
+    def collect_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fits, known = shared.value
+        held: dict[str, Sums] = {}
+        for g, _, y in _each_group(batches, known):
+            new = gather(fits[g], y)
+            held[g] = add([held[g], new]) if g in held else new
+        for g, sums in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([pickle.dumps(sums)], pa.binary())], names=["group_id", "sums"])
+
+    def together(key: tuple, table: pa.Table) -> pa.Table:
+        total: Sums | None = None
+        for raw in table.column("sums").to_pylist():
+            new = pickle.loads(raw)
+            total = new if total is None else add([total, new])
+        return pa.table({"group_id": pa.array([key[0].as_py()], pa.string()), "sums": pa.array([pickle.dumps(total)], pa.binary())})
+
+    parts = rows.mapInArrow(collect_sums, "group_id string, sums binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    first = parts.groupBy("group_id", "salt").applyInArrow(together, "group_id string, sums binary")
+    whole = first.groupBy("group_id").applyInArrow(together, "group_id string, sums binary")
+    return {r["group_id"]: pickle.loads(r["sums"]) for r in whole.collect()}
 
 
 def populations(events: DataFrame, channels: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -444,12 +599,31 @@ def found(events: DataFrame, channels: DataFrame) -> DataFrame:
 def describe(assigned: DataFrame, typical: int = 5) -> DataFrame:
     """(cluster_id, events, typical): size of each population and its members of highest density, ties by event_id.
 
-    The members are found with a bounded heap per partition (``min_by`` style top-k), never by sorting a population.
+    Every task keeps the best ``typical`` members of each population it meets, so that no list grows with a population.
     """
-    order: Column = F.struct((-F.col("log_density")).alias("d"), "event_id")
-    local = assigned.withColumn("salt", F.spark_partition_id())
-    best = local.groupBy("cluster_id", "salt").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(order)), 1, typical).alias("top"))
-    whole = best.groupBy("cluster_id").agg(F.sum("n").alias("events"), F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, typical).alias("top"))
-    return whole.select("cluster_id", "events", F.transform("top", lambda t: t["event_id"]).alias("typical"))
-
 
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[int, int] = {}
+        ids = np.zeros(0, dtype=np.int64)
+        cluster = np.zeros(0, dtype=np.int64)
+        density = np.zeros(0)
+        for batch in batches:
+            own = batch.column("cluster_id").to_numpy()
+            for c, n in zip(*np.unique(own, return_counts=True)):
+                sizes[int(c)] = sizes.get(int(c), 0) + int(n)
+            ids, cluster, density = np.concatenate([ids, batch.column("event_id").to_numpy()]), np.concatenate([cluster, own]), np.concatenate([density, batch.column("log_density").to_numpy()])
+            order = np.lexsort((ids, -density, cluster))
+            ids, cluster, density = ids[order], cluster[order], density[order]
+            start = np.r_[True, cluster[1:] != cluster[:-1]]
+            rank = np.arange(len(cluster)) - np.maximum.accumulate(np.where(start, np.arange(len(cluster)), 0))
+            best = rank < typical
+            ids, cluster, density = ids[best], cluster[best], density[best]
+        first = np.r_[True, cluster[1:] != cluster[:-1]][: len(cluster)]
+        n = np.where(first, [sizes[int(c)] for c in cluster], 0).astype(np.int64)  # the size on one of a population's rows
+        yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(ids), pa.array(density), pa.array(n)], names=["cluster_id", "event_id", "log_density", "n"])
+
+    best = assigned.select("cluster_id", "event_id", "log_density").mapInArrow(local, "cluster_id long, event_id long, log_density double, n long")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("log_density").desc(), "event_id")))
+    chosen = F.when(F.col("rank") <= typical, F.struct("rank", "event_id"))
+    whole = ranked.groupBy("cluster_id").agg(F.sum("n").alias("events"), F.array_sort(F.collect_list(chosen)).alias("top"))
+    return whole.select("cluster_id", "events", F.transform("top", lambda t: t["event_id"]).alias("typical"))

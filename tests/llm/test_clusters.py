@@ -128,3 +128,41 @@ def test_valleys():
     (cut,) = clusters.valleys(clusters.histograms(x)[0])
     assert 0.9 < cut < 2.2
     assert clusters.valleys(clusters.histograms(rng.normal(0, 0.3, (500, 1)))[0]) == []
+
+
+def test_components_are_split():
+    """Two stripes side by side: on each channel they overlap, across them they are six standard deviations apart."""
+    rng = np.random.default_rng(13)
+    along, across = rng.normal(0, 2.0, 4000), rng.normal(0, 0.25, 4000) + np.repeat([-0.75, 0.75], 2000)
+    stripes = 3 + np.column_stack([along + across, along - across]) / np.sqrt(2)
+    for extra in (0, 3):  # alone, and with other channels, one of which has levels
+        y = np.column_stack([stripes, rng.normal(2, 0.3, (4000, extra))])
+        if extra:
+            y[:, 2] += rng.integers(0, 2, 4000) * 3
+        assert not any(len(clusters.valleys(c)) for c in clusters.histograms(y[:, :2]))
+        model = clusters.fit_group(y)
+        part, _ = clusters.assign(model, y)
+        assert len(model.weights) == (4 if extra else 2)
+        truth = np.repeat([0, 1], 2000)
+        for k in np.unique(part[part >= 0]):
+            assert max(np.bincount(truth[part == k])) >= 0.98 * (part == k).sum()
+        assert (part >= 0).mean() > 0.99
+
+
+def test_a_round_component_stays_whole():
+    rng = np.random.default_rng(14)
+    for n in (60, 600, 20_000):
+        y = rng.normal(3, 0.4, (n, 5)) @ np.linalg.qr(rng.normal(size=(5, 5)))[0]
+        assert len(clusters.fit_group(y).weights) == 1
+
+
+def test_shares_of_a_group_add_up():
+    x, _ = group(5, [400, 200, 90])
+    y = np.arcsinh(x / 150)
+    fit, parts = clusters.Fit(), np.array_split(y, 7)
+    while fit.stage != "done":
+        whole = clusters.gather(fit, y)
+        added = clusters.add([clusters.gather(fit, p) for p in parts])
+        assert all(np.allclose(whole[k], added[k]) for k in whole)
+        fit = clusters.advance(fit, added)
+    assert len(fit.model.weights) == 3
