@@ -73,7 +73,8 @@ def time_bins(df: DataFrame, sample: str, time: str, values: list[str], order: l
     rows = indexed.filter("_n >= 20").withColumn("_size", bead_bins(F.col("_n"))).withColumn("bin", F.floor(F.col("_i") / F.col("_size")))
     last = F.floor((F.col("_n") - 1) / F.col("_size"))
     short = (F.col("_n") - last * F.col("_size") < 25) & (last > 0)
-    merged = rows.withColumn("bin", F.when(short & (F.col("bin") == last), last - 1).otherwise(F.col("bin")).cast("int"))
+    halves = F.when(F.col("_i") >= F.floor(F.col("_n") / 2), 1).otherwise(0)  # where only one bin would be left
+    merged = rows.withColumn("bin", F.when(short & (last == 1), halves).when(short & (F.col("bin") == last), last - 1).otherwise(F.col("bin")).cast("int"))
     sizes = merged.groupBy(sample, "bin").agg(F.count(F.lit(1)).alias("n"))
     return sizes.join(stats.exact_medians(merged, [sample, "bin"], [time, *values]), [sample, "bin"])
 

@@ -22,18 +22,18 @@ from cytora.session import materialise
 def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` in global order, with the partition ``_pid`` and the place ``_pos`` in it of each row; not written yet."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return placed.withColumns({"_pid": F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    return placed.withColumns({"_ord_pid": F.spark_partition_id(), "_ord_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
 
 
 def _borders(rows: DataFrame, group: Column, extra: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
     """One row per partition and group: first place, rows, rows before in the group, and what is carried over."""
-    each = rows.groupBy(group.alias("_g"), F.col("_pid").alias("_p")).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in extra.items()])
-    w = Window.partitionBy("_g").orderBy("_p")  # partitions that a group lies in
-    return each.withColumns({"_before": F.sum("_rows").over(w) - F.col("_rows"), "_total": F.sum("_rows").over(Window.partitionBy("_g"))} | carried)
+    each = rows.groupBy(group.alias("_ord_g"), F.col("_ord_pid").alias("_ord_p")).agg(F.min("_ord_pos").alias("_ord_start"), F.count(F.lit(1)).alias("_ord_rows"), *[c.alias(n) for n, c in extra.items()])
+    w = Window.partitionBy("_ord_g").orderBy("_ord_p")  # partitions that a group lies in
+    return each.withColumns({"_ord_before": F.sum("_ord_rows").over(w) - F.col("_ord_rows"), "_ord_total": F.sum("_ord_rows").over(Window.partitionBy("_ord_g"))} | carried)
 
 
 def _joined(rows: DataFrame, borders: DataFrame, group: Column) -> DataFrame:
-    return rows.join(borders, (F.col("_pid") == F.col("_p")) & group.eqNullSafe(F.col("_g")))
+    return rows.join(borders, (F.col("_ord_pid") == F.col("_ord_p")) & group.eqNullSafe(F.col("_ord_g")))
 
 
 def row_index(df: DataFrame, order: list[str], out: str = "event_idx", within: str | None = None, total: str | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def row_index(df: DataFrame, order: list[str], out: str = "event_idx", within: s
     rows = materialise(_sorted(df, ([within] if within else []) + order))
     group = F.col(within) if within else F.lit(0)
     whole = _joined(rows, _borders(rows, group, {}, {}), group)
-    added = {out: F.col("_pos") - F.col("_start") + F.col("_before")} | ({total: F.col("_total")} if total else {})
+    added = {out: F.col("_ord_pos") - F.col("_ord_start") + F.col("_ord_before")} | ({total: F.col("_ord_total")} if total else {})
     return whole.withColumns(added).select(*df.columns, *added)
 
 
@@ -58,7 +58,7 @@ def scan(df: DataFrame, order: list[str], sums: dict[str, str] | None = None, pr
     fields = {f.name: f for f in df.schema}
     whole = {c: isinstance(fields[c].dataType, T.IntegralType) for c in sums}
     local = {o: T.LongType() if whole[c] else T.DoubleType() for c, o in sums.items()} | {o: fields[c].dataType for c, o in previous.items()}
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(f"_l{i}", t) for i, t in enumerate(local.values())]])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(f"_ord_l{i}", t) for i, t in enumerate(local.values())]])
     names = [f.name for f in schema]
 
     def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +101,17 @@ def scan(df: DataFrame, order: list[str], sums: dict[str, str] | None = None, pr
     group = F.col(within) if within else F.lit(0)
     extra: dict[str, Column] = {}
     carried: dict[str, Column] = {}
-    w = Window.partitionBy("_g").orderBy("_p")
+    w = Window.partitionBy("_ord_g").orderBy("_ord_p")
     for i, c in enumerate(sums):
-        extra[f"_t{i}"] = F.coalesce(F.sum(c), F.lit(0))
-        carried[f"_b{i}"] = F.sum(f"_t{i}").over(w) - F.col(f"_t{i}")
+        extra[f"_ord_t{i}"] = F.coalesce(F.sum(c), F.lit(0))
+        carried[f"_ord_b{i}"] = F.sum(f"_ord_t{i}").over(w) - F.col(f"_ord_t{i}")
     for i, c in enumerate(previous):
-        extra[f"_v{i}"] = F.max_by(F.struct(F.col(c).alias("v")), "_pos")
-        carried[f"_e{i}"] = F.lag(f"_v{i}").over(w)
+        extra[f"_ord_v{i}"] = F.max_by(F.struct(F.col(c).alias("v")), "_ord_pos")
+        carried[f"_ord_e{i}"] = F.lag(f"_ord_v{i}").over(w)
     joined = _joined(rows, _borders(rows, group, extra, carried), group)
-    added: dict[str, Column] = {o: F.col(f"_l{i}") + F.col(f"_b{i}") for i, o in enumerate(sums.values())}
+    added: dict[str, Column] = {o: F.col(f"_ord_l{i}") + F.col(f"_ord_b{i}") for i, o in enumerate(sums.values())}
     for i, o in enumerate(previous.values()):
-        added[o] = F.when(F.col("_pos") == F.col("_start"), F.col(f"_e{i}.v")).otherwise(F.col(f"_l{len(sums) + i}"))
+        added[o] = F.when(F.col("_ord_pos") == F.col("_ord_start"), F.col(f"_ord_e{i}.v")).otherwise(F.col(f"_ord_l{len(sums) + i}"))
     return joined.withColumns(added).select(*df.columns, *added)
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytora.functions import exprs as X
-from cytora.operators import graph, hist, integrate, linalg
+from cytora.operators import compare, graph, hist, integrate, linalg, spectra
 from cytora.operators.fits import curves, cutoffs, mixtures
 from cytora.operators.fits.curves import Curve
 from cytora.plans.adapters import items, timed
 from cytora.plans.reference import QUERIES, query
-from cytora.plans.reference_tables import survival, two_sample
-from cytora.session import spread, table
+from cytora.plans.reference_tables import survival
+from cytora.session import table
 
 r6 = lambda c: F.round(c, 6)
 
@@ -50,21 +50,10 @@ _NEAR = "WITH b AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embed
 
 @query(_NEAR)
 def knn2_blank(spark, d):
-    """Two blank events nearest in scatter to each positive event; both sets hold 3 000 events at most by definition."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    blank = e.filter("label = 0").filter(X.fin(F.col("x")) & X.fin(F.col("y"))).orderBy("vec_id").limit(3000).toPandas()
-    side = spark.sparkContext.broadcast((blank["vec_id"].to_numpy(), blank[["x", "y"]].to_numpy()))
-
-    def near(batches):
-        ids, b = side.value
-        for pdf in batches:
-            p = pdf[["x", "y"]].to_numpy()
-            dist = ((p[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-            for i, v in enumerate(pdf["vec_id"]):
-                order = np.lexsort((ids, dist[i]))[:2]
-                yield pd.DataFrame({"vec_id": v, "blank": ids[order], "k": np.arange(1, len(order) + 1, dtype=np.int32)})
-
-    return e.filter("label = 1").select("vec_id", "x", "y").mapInPandas(near, "vec_id long, blank long, k int")
+    """Two blank events nearest in scatter to each positive event."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 2).alias("scatter"))
+    near = spectra.nearest_blanks(e.filter("label = 1"), e.filter("label = 0"), "vec_id", "scatter", ["vec_id"])
+    return near.select("vec_id", "blank", F.col("rank").alias("k"))
 
 
 @query("WITH n AS (SELECT vec_id, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings), r AS (SELECT a.vec_id, b.vec_id AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (a.norm * b.norm) DESC, b.vec_id) AS k FROM n a, n b WHERE a.vec_id <> b.vec_id) SELECT vec_id, other, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 14")
@@ -113,8 +102,8 @@ def cytonorm_apply(spark, d):
 
 @query()
 def unmix_fit(spark, d):
-    """Unmixing coefficients of every molecule, from the signatures of four labels."""
-    s = QUERIES["spectral_signature"](spark, d).filter("label < 4").toPandas()
+    """Unmixing coefficients of every molecule, from the signatures of all labels."""
+    s = QUERIES["spectral_signature"](spark, d).toPandas()
     wide = s.pivot(index="label", columns="detector", values="signature").sort_index()
     m = linalg.unmixing_matrix(wide.to_numpy())
     rows = [(int(label), int(j), float(m[i, j])) for i, label in enumerate(wide.index) for j in range(m.shape[1])]
@@ -164,21 +153,8 @@ def proliferation(spark, d):
 
 @query()
 def intensity_tests(spark, d):
-    """Probabilities of the two-sample tests of every sample against sample A, from sums and rank counts."""
-    from cytora.operators.fits import special
-
-    rows = items(spark, d)
-    s = {r["sample_id"]: r for r in rows.groupBy("sample_id").agg(F.count("p").alias("n"), F.avg("p").alias("mean"), F.var_samp("p").alias("var"), F.skewness("p").alias("skew"), F.kurtosis("p").alias("kurt")).collect()}
-    base, out = s["A"], []
-    for name, r in sorted(s.items()):
-        normal = special.normality_p(r["n"], r["skew"], r["kurt"] + 3)
-        if name == "A":
-            out.append((name, normal, None, None, None))
-            continue
-        t = two_sample(rows, "sample_id", "p", name, "A").first()
-        z = (r["mean"] - base["mean"]) / math.sqrt(r["var"] / r["n"] + base["var"] / base["n"])
-        out.append((name, normal, 2 * special.normal_sf(abs(z)), special.mann_whitney_p(t["u"], t["n1"], t["n2"]), special.ks_sf(t["ks"], t["n1"], t["n2"])))
-    return spark.createDataFrame(out, "sample_id string, normality_p double, z_p double, mann_whitney_p double, ks_p double")
+    """Probabilities of the two-sample tests of every sample against sample A, from sums, rank counts and histograms."""
+    return compare.intensity_tests(items(spark, d), "sample_id", "p", "A", 900.0, 110000.0)
 
 
 @query("SELECT event_type AS sample_id, count(*) AS n_events, sum(CASE WHEN CAST(value AS FLOAT) >= 100 THEN 1 ELSE 0 END)::BIGINT AS n_high FROM events GROUP BY 1")

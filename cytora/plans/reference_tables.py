@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cytora.functions import exprs as X
 
-from cytora.operators import beads, integrate, ordered, stats, surgery
+from cytora.operators import beads, compare, integrate, ordered, platforms, spectra, stats, surgery
 from cytora.plans.adapters import ITEM_KEY, ITEMS_SQL, KEY_SQL, TIMED_SQL, items, keyed_items, timed
 from cytora.plans.reference import query
 from cytora.session import table
@@ -128,6 +128,11 @@ def cluster_cv(spark, d):
     return sums.select("cluster", r6(F.when(mean == 0, 0.0).otherwise(F.sqrt(variance) / mean)).alias("cv"))
 
 
+def _numbered_items(spark, d) -> DataFrame:
+    """Items with a number of their own; it only has to tell them apart."""
+    return keyed_items(spark, d).select("*", F.xxhash64(*ITEM_KEY).alias("event_idx"))
+
+
 # --- sample surgery --------------------------------------------------------------------------------------------
 
 
@@ -142,9 +147,9 @@ def time_split(spark, d):
 
 @query(f"WITH {TIMED_SQL}, u AS (SELECT * FROM ev WHERE sample_id = 'click' AND value >= 50 UNION ALL SELECT * FROM ev WHERE sample_id = 'purchase' AND value < 200) SELECT 'joined' AS sample_id, count(*) AS n, round(sum(value), 2) AS total, round(min(time), 3) AS first_time FROM u")
 def concat_keep_time(spark, d):
-    rows = timed(spark, d)
-    keep = ((F.col("sample_id") == "click") & X.at_least(F.col("value"), 50.0)) | ((F.col("sample_id") == "purchase") & X.below(F.col("value"), 200.0))
-    return rows.filter(keep).agg(F.lit("joined").alias("sample_id"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.min("time"), 3).alias("first_time"))
+    masks = {"high": X.at_least(F.col("value"), 50.0), "low": X.below(F.col("value"), 200.0)}
+    rows = platforms.concatenated(timed(spark, d), masks, {"click": ["high"], "purchase": ["low"]}, "sample_id", "joined")
+    return rows.agg(F.lit("joined").alias("sample_id"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.min("time"), 3).alias("first_time"))
 
 
 _STEP = "st AS (SELECT sample_id, min(CASE WHEN gap > 0 THEN gap END) AS g FROM (SELECT sample_id, time - lag(time) OVER (PARTITION BY sample_id ORDER BY time) AS gap FROM ev) GROUP BY sample_id), step AS (SELECT sample_id, least(coalesce(g, 1.0), 1.0) AS step FROM st)"
@@ -170,17 +175,17 @@ def stride_sample(spark, d):
 @query(f"WITH {ITEMS_SQL}, s AS (SELECT sample_id, q, p, batch, 0 AS source_id FROM ev WHERE q >= 40 UNION ALL SELECT sample_id, q, p, batch, 1 FROM ev WHERE q < 10), b AS (SELECT batch, dense_rank() OVER (ORDER BY batch) - 1 AS batch_id FROM (SELECT DISTINCT batch FROM s)) SELECT sample_id, CAST(source_id AS INTEGER) AS source_id, CAST(batch_id AS INTEGER) AS batch_id, count(*) AS n, round(sum(p), 2) AS total FROM s JOIN b USING (batch) GROUP BY ALL")
 def platform_input(spark, d):
     """Rows of two populations with their source and batch numbers, features kept."""
-    rows = items(spark, d)
-    source = F.when(X.at_least(F.col("q"), 40.0), 0).when(X.below(F.col("q"), 10.0), 1)
-    chosen = rows.select("sample_id", "batch", "q", "p", source.alias("source_id")).filter("source_id IS NOT NULL")
-    return surgery.batch_ids(chosen, "batch").groupBy("sample_id", "source_id", "batch_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p"), 2).alias("total"))
+    masks = {"high": X.at_least(F.col("q"), 40.0), "low": X.below(F.col("q"), 10.0)}
+    chosen = platforms.platform_input(_numbered_items(spark, d), masks, [platforms.Source("high"), platforms.Source("low")], ["q", "p"], "sample_id", "event_idx", "batch", integration=True)
+    return chosen.groupBy("sample_id", "source_id", "batch_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p"), 2).alias("total"))
 
 
 @query(f"WITH {ITEMS_SQL} SELECT sample_id, count(*) AS overlapping FROM ev WHERE q >= 20 AND q <= 30 GROUP BY sample_id")
 def overlap_check(spark, d):
     """Events that two selected populations (q >= 20 and q <= 30) share."""
-    both = X.at_least(F.col("q"), 20.0).cast("int") + X.at_most(F.col("q"), 30.0).cast("int")
-    return items(spark, d).filter(both > 1).groupBy("sample_id").agg(F.count(F.lit(1)).alias("overlapping"))
+    masks = {"one": X.at_least(F.col("q"), 20.0), "two": X.at_most(F.col("q"), 30.0)}
+    rows = platforms.source_rows(_numbered_items(spark, d), masks, [platforms.Source("one"), platforms.Source("two")], ["q"], "sample_id", "event_idx")
+    return platforms.overlaps(rows, "sample_id", "event_idx").groupBy("sample_id").agg(F.count(F.lit(1)).alias("overlapping"))
 
 
 @query("SELECT DISTINCT c_mktsegment AS label, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS batch_id FROM customer")
@@ -205,8 +210,8 @@ def batch_missing_check(spark, d):
 @query(f"WITH {ITEMS_SQL} SELECT sample_id, CASE WHEN d >= 0.05 THEN 'dear' WHEN q >= 25 THEN 'many' ELSE 'none' END AS population, count(*) AS n FROM ev GROUP BY ALL")
 def population_embedding(spark, d):
     """Label column of a tree: the last population that holds an event gives its label."""
-    label = F.coalesce(*[F.when(X.at_least(F.col(c), v), n) for n, c, v in reversed([("many", "q", 25.0), ("dear", "d", 0.05)])], F.lit("none"))
-    return items(spark, d).groupBy("sample_id", label.alias("population")).agg(F.count(F.lit(1)).alias("n"))
+    masks = {"many": X.at_least(F.col("q"), 25.0), "dear": X.at_least(F.col("d"), 0.05)}
+    return platforms.population_column(items(spark, d), masks, none="none").groupBy("sample_id", "population").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey AS id, round(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice * 2 ELSE o_totalprice END, 2) AS value FROM orders")
@@ -270,9 +275,8 @@ def demux_counts(spark, d):
 
 @query(f"WITH {ITEMS_SQL}, m AS (SELECT DISTINCT sample_id, CAST({_MASK} AS INTEGER) AS mask FROM ev), s AS (SELECT *, 'd=' || CASE WHEN mask & 1 > 0 THEN '+' ELSE '-' END || '|t=' || CASE WHEN mask & 2 > 0 THEN '+' ELSE '-' END || '|q=' || CASE WHEN mask & 4 > 0 THEN '+' ELSE '-' END AS signature FROM m) SELECT sample_id, mask, signature, sha256(sample_id || '/' || signature) AS derived_id FROM s")
 def demux_signature(spark, d):
-    m = items(spark, d).select("sample_id", demux_mask(_CUTOFFS).alias("mask")).filter("mask >= 0").distinct()
-    text = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.when(F.col("mask").bitwiseAND(1 << k) > 0, "+").otherwise("-")) for k, (c, _) in enumerate(_CUTOFFS)])
-    return m.withColumn("signature", text).withColumn("derived_id", F.sha2(F.concat_ws("/", "sample_id", "signature"), 256))
+    _, meta = platforms.demultiplexed(items(spark, d), demux_mask(_CUTOFFS), [c for c, _ in _CUTOFFS], "sample_id")
+    return meta.select(F.col("source_sample").alias("sample_id"), "mask", "signature", "derived_id")
 
 
 def survival(df: DataFrame, group: str, value: str, points: int = 101, cofactor: float = 5.0) -> DataFrame:
@@ -357,7 +361,7 @@ def bead_removal_anti(spark, d):
 _BINS = f"""i AS (SELECT sample_id, time, value, row_number() OVER (PARTITION BY sample_id ORDER BY time, event_id) - 1 AS k, count(*) OVER (PARTITION BY sample_id) AS n FROM ev),
 z AS (SELECT *, ceil(n / least(200, least(greatest(2, CAST(round_even(n / 50.0, 0) AS BIGINT)), greatest(2, floor(n / 10))))) AS size FROM i WHERE n >= 20),
 y AS (SELECT *, floor(k / size) AS b, floor((n - 1) / size) AS last FROM z),
-x AS (SELECT *, CAST(CASE WHEN n - last * size < 25 AND last > 0 AND b = last THEN last - 1 ELSE b END AS INTEGER) AS bin FROM y),
+x AS (SELECT *, CAST(CASE WHEN n - last * size < 25 AND last = 1 THEN CASE WHEN k >= n // 2 THEN 1 ELSE 0 END WHEN n - last * size < 25 AND last > 0 AND b = last THEN last - 1 ELSE b END AS INTEGER) AS bin FROM y),
 tb AS (SELECT sample_id, bin, count(*) AS n, quantile_cont(time, 0.5) AS time, quantile_cont(value, 0.5) AS value FROM x GROUP BY sample_id, bin)"""
 
 
@@ -417,23 +421,19 @@ _PEAK = 7
 _E = f"ev AS (SELECT vec_id, label, CAST(embedding[{_PEAK + 1}] AS DOUBLE) AS v, embedding FROM embeddings), cut AS (SELECT quantile_cont(v, 0.99) AS c FROM ev WHERE label = 0)"
 
 
-def _spectra(spark, d) -> tuple[DataFrame, float]:
-    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[_PEAK].cast("double").alias("v"), "embedding")
-    cut = stats.exact_quantiles(rows.filter("label = 0"), [], ["v"], [0.99]).first()
-    return rows, cut["q"][0] if cut else float("inf")
+def _spectra(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[_PEAK].cast("double").alias("v"), "embedding")
 
 
 @query(f"WITH {_E} SELECT label, count(*) AS n FROM ev, cut WHERE label <> 0 AND v > c GROUP BY label")
 def positive_above_blank(spark, d):
-    rows, cut = _spectra(spark, d)
-    return rows.filter((F.col("label") != 0) & X.above(F.col("v"), cut)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return platforms.above_blank(_spectra(spark, d), "label", 0, "v").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_E}, r AS (SELECT label, vec_id, v, row_number() OVER (PARTITION BY label ORDER BY v DESC, vec_id) AS k FROM ev WHERE label <> 0) SELECT label, vec_id, round(v, 6) AS v FROM r WHERE k <= 20")
+@query(f"WITH {_E}, r AS (SELECT label, vec_id, v, row_number() OVER (PARTITION BY label ORDER BY v DESC, vec_id) AS k FROM ev WHERE label <> 0) SELECT label, vec_id, round(v, 6) AS v FROM r WHERE k <= 3000")
 def topk_positive(spark, d):
-    rows, _ = _spectra(spark, d)
-    w = Window.partitionBy("label").orderBy(F.col("v").desc(), "vec_id")
-    return rows.filter("label <> 0").withColumn("k", F.row_number().over(w)).filter("k <= 20").select("label", "vec_id", r6(F.col("v")).alias("v"))
+    """The 3 000 brightest events of each stained control."""
+    return platforms.brightest(_spectra(spark, d).filter("label <> 0"), "label", "v", "vec_id", spectra.POSITIVES).select("label", "vec_id", r6(F.col("v")).alias("v"))
 
 
 _MEANS = "m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, range(1, 65) t(i) GROUP BY label, i)"
@@ -442,12 +442,8 @@ _MEANS = "m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM emb
 @query(f"WITH {_MEANS}, af AS (SELECT i, v FROM m WHERE label = 0), n AS (SELECT sum(v * v) AS q FROM af), dt AS (SELECT m.label, sum(m.v * af.v) AS dot FROM m JOIN af USING (i) GROUP BY 1), o AS (SELECT m.label, m.i, m.v - dot / q * af.v AS rest FROM m JOIN af USING (i) JOIN dt USING (label), n WHERE m.label <> 0) SELECT label, CAST(arg_min(i, (-rest, i)) - 1 AS INTEGER) AS peak FROM o GROUP BY label")
 def spectral_peak(spark, d):
     """Detector with the largest mean once the blank's direction is taken out."""
-    m = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    blank = m.filter("label = 0").select("i", F.col("v").alias("b"))
-    both = m.filter("label <> 0").join(blank, "i")
-    w = Window.partitionBy("label")
-    rest = F.col("v") - F.sum(F.col("v") * F.col("b")).over(w) / F.sum(F.col("b") * F.col("b")).over(w) * F.col("b")
-    return both.withColumn("rest", rest).groupBy("label").agg(F.min_by("i", F.struct(-F.col("rest"), F.col("i"))).alias("peak"))
+    e = table(spark, d, "embeddings").select("label", "embedding")
+    return spectra.peaks(e.filter("label <> 0"), e.filter("label = 0"), "label", "embedding")
 
 
 @query("WITH m AS (SELECT label, i, greatest(0, quantile_cont(CAST(embedding[i] AS DOUBLE), 0.5)) AS v FROM embeddings, range(1, 65) t(i) GROUP BY label, i) SELECT label, CAST(i - 1 AS INTEGER) AS detector, round(v / max(v) OVER (PARTITION BY label), 6) AS signature FROM m")
@@ -471,30 +467,33 @@ def intensity_table(spark, d):
     return s.select("sample_id", F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), F.round("geomean", 3).alias("geomean"), r6(F.col("mean") / r["mean"]).alias("mean_fold"), r6(F.col("median") / r["median"]).alias("median_fold"), F.round(F.when(F.col("sample_id") != "A", z), 5).alias("z"))
 
 
-def two_sample(df: DataFrame, group: str, value: str, one: str, two: str) -> DataFrame:
-    """(u, ks, n1, n2): Mann-Whitney's U of ``one`` and the Kolmogorov-Smirnov distance, from counts of distinct values."""
-    a, b = F.sum((F.col(group) == one).cast("long")), F.sum((F.col(group) == two).cast("long"))
-    counted = df.filter(X.fin(F.col(value)) & F.col(group).isin(one, two)).groupBy(value).agg(a.alias("a"), b.alias("b"))
-    n = counted.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2")).first()
-    n1, n2 = n["n1"] or 0, n["n2"] or 0
-    rows = ordered.running_sums(counted, [value], {"a": "ua", "b": "ub"})
-    u = F.sum(F.col("a") * (F.col("ub") - F.col("b") + F.col("b") / 2.0))
-    ks = F.max(F.abs(F.col("ua") / float(max(n1, 1)) - F.col("ub") / float(max(n2, 1))))
-    return rows.agg(u.alias("u"), ks.alias("ks"), F.lit(n1).alias("n1"), F.lit(n2).alias("n2"))
-
-
 _RANKED = f"WITH {ITEMS_SQL}, c AS (SELECT p, sum(CASE WHEN sample_id = 'N' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN sample_id = 'A' THEN 1 ELSE 0 END) AS b FROM ev WHERE sample_id IN ('N', 'A') GROUP BY p), r AS (SELECT *, sum(a) OVER (ORDER BY p) AS ua, sum(b) OVER (ORDER BY p) AS ub, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c)"
 
 
 @query(_RANKED + " SELECT round(CAST(sum(a * (ub - b + b / 2.0)) AS DOUBLE), 1) AS u, CAST(any_value(na) AS BIGINT) AS n1, CAST(any_value(nb) AS BIGINT) AS n2 FROM r")
 def mann_whitney_u(spark, d):
-    t = two_sample(items(spark, d), "sample_id", "p", "N", "A")
+    t = compare.rank_statistics(items(spark, d), "sample_id", "p", "A").filter("sample_id = 'N'")
     return t.select(F.round("u", 1).alias("u"), F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"))
 
 
 @query(_RANKED + " SELECT round(max(abs(ua / na - ub / nb)), 9) AS ks FROM r")
 def ks_stat(spark, d):
-    return two_sample(items(spark, d), "sample_id", "p", "N", "A").select(F.round("ks", 9).alias("ks"))
+    return compare.rank_statistics(items(spark, d), "sample_id", "p", "A").filter("sample_id = 'N'").select(F.round("ks", 9).alias("ks"))
+
+
+@query(f"""WITH {ITEMS_SQL}, c AS (SELECT sample_id, p, count(*) AS a FROM ev GROUP BY ALL), v AS (SELECT DISTINCT p FROM c), g AS (SELECT DISTINCT sample_id FROM c WHERE sample_id <> 'A'),
+r AS (SELECT g.sample_id, v.p, coalesce(x.a, 0) AS a, coalesce(y.a, 0) AS b FROM g CROSS JOIN v LEFT JOIN c x ON x.sample_id = g.sample_id AND x.p = v.p LEFT JOIN c y ON y.sample_id = 'A' AND y.p = v.p),
+t AS (SELECT sample_id, sum(CAST(a + b AS DOUBLE) ** 3 - (a + b)) AS ties FROM r GROUP BY 1),
+h AS (SELECT sample_id, CAST(least(floor((p - 900) / 109100.0 * 500), 499) AS INTEGER) AS b, CAST(count(*) AS DOUBLE) AS o FROM ev WHERE p >= 900 AND p <= 110000 GROUP BY ALL),
+e AS (SELECT b, o AS e FROM h WHERE sample_id = 'A'), k AS (SELECT g.sample_id, coalesce(h.o, 0) AS o, coalesce(e.e, 0) + 1e-9 AS e FROM g CROSS JOIN range(500) n(i) LEFT JOIN h ON h.sample_id = g.sample_id AND h.b = n.i LEFT JOIN e ON e.b = n.i WHERE coalesce(h.o, 0) + coalesce(e.e, 0) > 0),
+s AS (SELECT sample_id, greatest(sum(o), 1) AS so, greatest(sum(e), 1) AS se, count(*) AS kept FROM k GROUP BY 1),
+x AS (SELECT sample_id, sum((o - e * so / se) * (o - e * so / se) / (e * so / se)) AS chi2, any_value(kept) - 1 AS dof FROM k JOIN s USING (sample_id) GROUP BY 1)
+SELECT sample_id, round(ties, 1) AS ties, round(chi2, 2) AS chi2, CAST(dof AS INTEGER) AS dof FROM t JOIN x USING (sample_id)""")
+def intensity_statistics(spark, d):
+    """Tied ranks and the chi-square of 500 bins of every sample against a reference sample."""
+    rows = items(spark, d)
+    t = compare.rank_statistics(rows, "sample_id", "p", "A").join(compare.chi_square(rows, "sample_id", "p", "A", 900.0, 110000.0, 500), "sample_id")
+    return t.select("sample_id", F.round("ties", 1).alias("ties"), F.round("chi2", 2).alias("chi2"), "dof")
 
 
 @query(f"WITH {ITEMS_SQL}, g AS (SELECT sample_id, CAST(floor(q / 10) AS INTEGER) AS g, count(*) AS a FROM ev GROUP BY ALL) SELECT sample_id, round(sum(g * a) / sum(a), 6) AS division_index, round(sum(CASE WHEN g >= 1 THEN g * a END) / sum(CASE WHEN g >= 1 THEN a END), 6) AS proliferation_index, round(sum(a) / sum(a / pow(2, g)), 6) AS replication_index FROM g GROUP BY 1")
