@@ -21,19 +21,18 @@ or event_id is left out.
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+from cytora.operators.channels import MARKER_KINDS, kind_column
 from cytora.session import hashed, materialise
 
 #: Events a population has at least, and rows of a group from which it is split into chunks of so many rows.
@@ -55,28 +54,6 @@ _ALONG = 400
 #: Groups whose hot fits run together; what every task is given holds a model for each.
 WAVE = 256
 
-MARKER_KINDS = ("Optical", "Spectrum", "Mass")
-_MASS_NAME = re.compile(r"(?:[A-Z][a-z]?\d{2,3}|\d{2,3}[A-Z][a-z]?)(?:d[id])?", re.I)
-_MODEL_NAME = re.compile(r"width|center|offset|residual|event_?length", re.I)
-
-
-def channel_kind(kind: str | None, name: str | None) -> str:
-    """Kind of a channel; where it is not given, what its name says."""
-    if kind and kind.strip():
-        return kind.strip()
-    text = (name or "").strip()
-    upper = text.upper()
-    if "TIME" in upper:
-        return "Time"
-    if "FSC" in upper or "SSC" in upper:
-        return "Scatter"
-    if upper.startswith("BCKG"):
-        return "Background"
-    if _MODEL_NAME.match(text):
-        return "Model"
-    return "Mass" if _MASS_NAME.fullmatch(text) else "Optical"
-
-
 class Model(NamedTuple):
     """A mixture over the used channels of standardised events: weights, means, covariances, and the background's weight and density."""
 
@@ -475,14 +452,10 @@ def _whole_group(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def channel_cofactors(channels: DataFrame) -> DataFrame:
     """(group_id, cofactors): one entry per channel in channel_idx order, 0 for channels that are no markers."""
-
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            kinds = [channel_kind(k, n) for k, n in zip(pdf["channel_kind"], pdf["channel_name"])]
-            yield pd.DataFrame({"group_id": pdf["group_id"], "channel_idx": pdf["channel_idx"], "cofactor": [(MASS_COFACTOR if k == "Mass" else LIGHT_COFACTOR) if k in MARKER_KINDS else 0.0 for k in kinds]})
-
-    rows = channels.select("group_id", F.col("channel_idx").cast("int").alias("channel_idx"), "channel_name", "channel_kind").filter("group_id IS NOT NULL AND channel_idx IS NOT NULL")
-    flat = rows.mapInPandas(resolve, "group_id string, channel_idx int, cofactor double").groupBy("group_id", "channel_idx").agg(F.max("cofactor").alias("cofactor"))
+    kind = kind_column(F.col("channel_kind"), F.col("channel_name"))
+    cofactor = F.when(kind == "Mass", MASS_COFACTOR).when(kind.isin(*MARKER_KINDS), LIGHT_COFACTOR).otherwise(0.0)
+    rows = channels.select("group_id", F.col("channel_idx").cast("int").alias("channel_idx"), cofactor.alias("cofactor")).filter("group_id IS NOT NULL AND channel_idx IS NOT NULL")
+    flat = rows.groupBy("group_id", "channel_idx").agg(F.max("cofactor").alias("cofactor"))
     listed = F.array_sort(F.collect_list(F.struct("channel_idx", "cofactor")))
     return flat.groupBy("group_id").agg(F.transform(listed, lambda c: c["cofactor"]).alias("cofactors"))
 

@@ -98,7 +98,8 @@ def test_equal_events_form_a_population(spark):
 
 
 def test_kinds():
-    k = clusters.channel_kind
+    from cytora.operators.channels import channel_kind as k
+
     assert [k(None, n) for n in ("Time", "FSC-A", "BCKG190Di", "Width", "Event_length", "Nd142Di", "142Nd", "B525-A")] == ["Time", "Scatter", "Background", "Model", "Model", "Mass", "Mass", "Optical"]
     assert k("Spectrum", "Time") == "Spectrum"
 
