@@ -5,7 +5,7 @@ A parsing expression grammar with ordered alternatives reads a field::
     field     <- value (separator value)* end
     value     <- blank* (quoted / bracketed / bare) blank*
     quoted    <- mark (mark mark / [^mark])* mark &(blank* (separator / end))
-    bracketed <- '[' balanced ']' &(blank* (separator / end))      (only where asked for)
+    bracketed <- '[' balanced ']' &(blank* (separator / end))
     bare      <- (!separator .)*
     separator <- ',' line_break? / ';' / '|' / tab / line_break
 
@@ -59,7 +59,7 @@ def _bracketed(text: str, at: int) -> int:
     return -1
 
 
-def parse(text: str, decimal_comma: bool = False, brackets: bool = False) -> list[tuple[int, str, str | None]]:
+def parse(text: str, decimal_comma: bool = False, brackets: bool = True) -> list[tuple[int, str, str | None]]:
     """(position, value, error flag) of every value of ``text``, by the grammar above."""
     separator = _DECIMAL_SEPARATOR if decimal_comma else _SEPARATOR
     out: list[tuple[int, str, str | None]] = []
@@ -98,7 +98,7 @@ def _fits_matrix(values: list[str]) -> int:
     """2 for n, n names and n * n numbers, 1 for a list cut short, 0 for anything else."""
     while values and not values[-1]:
         values = values[:-1]
-    if not values or not values[0].isdigit() or not 0 < (n := int(values[0])) < 10_000:
+    if not values or not re.fullmatch(r"[0-9]{1,18}", values[0]) or not (n := int(values[0])):
         return 0
     numbers = [v for v in values[n + 1 :] if v]
     if not all(_NUMBER.fullmatch(v) or _NO_NUMBER.fullmatch(v) for v in numbers) or sum(bool(_NUMBER.fullmatch(v)) for v in values[1 : n + 1]):
@@ -127,13 +127,20 @@ def parse_matrix(text: str) -> list[tuple[int, str, str | None]]:
     return decimal if other >= (1 if decimal_first else max(fit, 1)) else plain
 
 
+def parse_entry(keyword: str, text: str) -> list[tuple[int, str, str | None]]:
+    """Values of an entry of an instrument file: a matrix, whose numbers may have a decimal comma, or any list, where commas separate."""
+    if keyword in MATRIX_KEYS:
+        return parse_matrix(text)
+    return parse(text)
+
+
 _RESULT = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("item", T.StringType()), T.StructField("error", T.StringType())]))
 
 
 @F.pandas_udf(_RESULT)
 def _split_lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield pd.Series([None if v is None else [{"pos": p, "item": i, "error": e} for p, i, e in parse(v, brackets=True)] for v in s], dtype=object)
+        yield pd.Series([None if v is None else [{"pos": p, "item": i, "error": e} for p, i, e in parse(v)] for v in s], dtype=object)
 
 
 @F.pandas_udf(_RESULT)
@@ -141,7 +148,7 @@ def _split_entries(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
     for keys, values in batches:
         yield pd.Series(
             [
-                None if v is None else [{"pos": p, "item": i, "error": e} for p, i, e in (parse_matrix(v) if k in MATRIX_KEYS else parse(v))]
+                None if v is None else [{"pos": p, "item": i, "error": e} for p, i, e in parse_entry(k, v)]
                 for k, v in zip(keys, values)
             ],
             dtype=object,

@@ -157,10 +157,11 @@ def signatures(events: DataFrame, control: str, event: str, scatter: str, detect
     return own.unionByName(af)
 
 
-def fit(events: DataFrame, control: str, event: str, scatter: str, detectors: str, blanks: list[str], molecules: dict[str, str], **settings) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def fit(events: DataFrame, control: str, event: str, scatter: str, detectors: str, blanks: list[str], molecules: dict[str, str], lenient: bool = False, **settings) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(names, signatures, similarities, coefficients): the whole pipeline; ``molecules`` names each stained control's molecule.
 
-    Exactly one blank control, distinct names and at least three events everywhere are required.
+    Exactly one blank control, distinct names and at least three events everywhere are required; a control without a signature
+    is an error, or left out if ``lenient``.
     """
     if len(blanks) != 1:
         raise SpectralError("exactly one blank control is needed")
@@ -175,7 +176,10 @@ def fit(events: DataFrame, control: str, event: str, scatter: str, detectors: st
     rows = signatures(known, control, event, scatter, detectors, blanks[0], **settings).toPandas()  # molecules times detectors
     wide = rows.pivot(index=control, columns="detector", values="signature")
     missing = [c for c in [*molecules, "AF"] if c not in wide.index or wide.loc[c].isna().any()]
-    if missing:
+    if lenient and "AF" not in missing:
+        molecules = {c: m for c, m in molecules.items() if c not in missing}
+        names = [m.strip() for m in molecules.values()]
+    elif missing:
         raise SpectralError(f"no signature with a positive maximum for {', '.join(missing)}")
     s = wide.loc[[*molecules, "AF"]].to_numpy(float)
     return [*names, "AF"], s, linalg.similarity_matrix(s), linalg.unmixing_matrix(s)

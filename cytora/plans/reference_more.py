@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytora.functions import exprs as X
-from cytora.operators import beads, hist, ordered, stats, surgery
+from cytora.operators import beads, hist, normalise, ordered, spectra, stats, surgery
 from cytora.plans.adapters import ITEM_KEY, ITEMS_SQL, KEY_SQL, TIMED_SQL, P, Q, items, keyed_items, norm_sql, timed
 from cytora.plans.reference import query
 from cytora.session import table
@@ -119,7 +119,15 @@ def mass_order(spark, d):
     return ordered.row_index(c, ["mass", "element", "name"], "place").select("name", "mass", "element", F.col("place").cast("int").alias("place"))
 
 
-@query()
+def _spill_sql() -> str:
+    rows = []
+    for sample, a in zip(("A", "N", "R"), "qpd"):
+        for b in "qpd":
+            rows.append(f"SELECT '{a}' AS source, '{b}' AS receiver, " + ("1.0" if a == b else f"coalesce((SELECT regr_slope({b}, {a}) FROM ev WHERE sample_id = '{sample}' AND q >= 10), 0.0)") + " AS value")
+    return f"WITH {ITEMS_SQL}, m AS ({' UNION ALL '.join(rows)}) SELECT source, receiver, round(value, 6) AS value FROM m"
+
+
+@query(_spill_sql())
 def spillover_matrix(spark, d):
     """Source x receiver matrix from the slopes of three single-stain controls; registered, not applied."""
     channels = ["q", "p", "d"]
@@ -131,7 +139,7 @@ def spillover_matrix(spark, d):
         for j, receiver in enumerate(channels):
             if receiver != source and sample in sums:
                 m[channels.index(source), j] = sums[sample][f"{source}_{receiver}"] or 0.0
-    return spark.createDataFrame([(a, b, float(m[i, j])) for i, a in enumerate(channels) for j, b in enumerate(channels)], "source string, receiver string, value double")
+    return spark.createDataFrame([(a, b, round(float(m[i, j]), 6)) for i, a in enumerate(channels) for j, b in enumerate(channels)], "source string, receiver string, value double")
 
 
 def normalised_beads(events: DataFrame, sample: str, time: str, value: str, order: list[str], reference: float) -> DataFrame:
@@ -144,7 +152,18 @@ def normalised_beads(events: DataFrame, sample: str, time: str, value: str, orde
     return at.withColumn("normalised", F.when(F.col("_median") > 0, (F.col(value) * reference / F.col("_median")).cast("float")).otherwise(F.col(value).cast("float"))).drop("_median")
 
 
-@query()
+_BEAD_SQL = """win AS (SELECT sample_id, 2 * quantile_cont(value, 0.5) - any_value(high) AS low, any_value(high) AS high FROM ev JOIN (SELECT sample_id, max(value) AS high FROM ev GROUP BY 1) h USING (sample_id) WHERE value >= high / 2 GROUP BY sample_id),
+i AS (SELECT sample_id, time, value, row_number() OVER (PARTITION BY sample_id ORDER BY time, event_id) - 1 AS k, count(*) OVER (PARTITION BY sample_id) AS n FROM ev JOIN win USING (sample_id) WHERE value >= low AND value <= high),
+z AS (SELECT *, ceil(n / least(200, least(greatest(2, CAST(round_even(n / 50.0, 0) AS BIGINT)), greatest(2, floor(n / 10))))) AS size FROM i WHERE n >= 20),
+y AS (SELECT *, floor(k / size) AS b, floor((n - 1) / size) AS last FROM z),
+x AS (SELECT *, CASE WHEN n - last * size < 25 AND last = 1 THEN CASE WHEN k >= n // 2 THEN 1 ELSE 0 END WHEN n - last * size < 25 AND last > 0 AND b = last THEN last - 1 ELSE b END AS bin FROM y),
+tb AS (SELECT * FROM (SELECT sample_id, quantile_cont(time, 0.5) AS t, quantile_cont(value, 0.5) AS v FROM x GROUP BY sample_id, bin) WHERE v > 0),
+sp AS (SELECT sample_id, t AS t0, v AS v0, lead(t) OVER w AS t1, lead(v) OVER w AS v1 FROM tb WINDOW w AS (PARTITION BY sample_id ORDER BY t)),
+en AS (SELECT sample_id, min(t) AS lo, max(t) AS hi, arg_min(v, t) AS vlo, arg_max(v, t) AS vhi FROM tb GROUP BY 1),
+md AS (SELECT ev.sample_id, ev.value, CASE WHEN time <= lo THEN vlo WHEN time >= hi THEN vhi ELSE v0 + (time - t0) * (v1 - v0) / (t1 - t0) END AS m FROM ev LEFT JOIN en ON en.sample_id = ev.sample_id LEFT JOIN sp ON sp.sample_id = ev.sample_id AND time >= t0 AND time < t1 AND time > lo AND time < hi)"""
+
+
+@query(f"WITH {TIMED_SQL}, {_BEAD_SQL} SELECT sample_id, count(*) AS n, round(avg(value), 3) AS before, round(avg(CAST(CAST(CASE WHEN m > 0 THEN value * 400.0 / m ELSE value END AS FLOAT) AS DOUBLE)), 3) AS after FROM md GROUP BY 1")
 def bead_normalisation(spark, d):
     """Means before and after the whole bead pipeline."""
     done = normalised_beads(timed(spark, d), "sample_id", "time", "value", ["event_id"], 400.0)
@@ -156,3 +175,84 @@ def label_text(spark, d):
     """String functions on labels."""
     rows = table(spark, d, "part")
     return rows.groupBy(F.col("p_type").alias("label"), F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("p_name")).alias("longest"))
+
+
+# --- spectral pipeline -----------------------------------------------------------------------------------------
+
+
+def _controls(spark, d) -> DataFrame:
+    """Spectral controls: the first two entries are scatter, the others detectors; label 0 is the blank."""
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("label").cast("string").alias("control"), F.col("vec_id").alias("event"), F.slice("embedding", 1, 2).alias("scatter"), F.slice("embedding", 3, F.size("embedding") - 2).alias("detectors"))
+
+
+_SIGNATURES = """
+e AS (SELECT CAST(label AS VARCHAR) AS control, vec_id AS event, CAST(embedding[1] AS DOUBLE) AS sx, CAST(embedding[2] AS DOUBLE) AS sy, embedding[3:] AS det FROM embeddings),
+nb AS (SELECT *, row_number() OVER (PARTITION BY control ORDER BY event) - 1 AS idx, count(*) OVER (PARTITION BY control) AS n FROM e),
+few AS (SELECT * FROM (SELECT *, ceil(idx * 3000.0 / n) AS k FROM nb WHERE control = '0') WHERE n <= 3000 OR (k < 3000 AND floor(k * n / 3000.0) = idx)),
+pe AS (SELECT * FROM (SELECT *, ceil(idx * 5000.0 / n) AS k FROM nb WHERE control <> '0') WHERE n <= 5000 OR (k < 5000 AND floor(k * n / 5000.0) = idx)),
+bm AS (SELECT i, avg(CAST(det[i] AS DOUBLE)) AS b FROM few, range(1, 63) t(i) GROUP BY i),
+un AS (SELECT i, b / (SELECT sqrt(sum(b * b)) FROM bm) AS u FROM bm),
+sm AS (SELECT control, i, avg(CAST(det[i] AS DOUBLE)) AS v FROM pe, range(1, 63) t(i) GROUP BY control, i),
+dt AS (SELECT control, sum(v * u) AS dot FROM sm JOIN un USING (i) GROUP BY control),
+pk AS (SELECT control, arg_min(i, (-(v - dot * u), i)) AS peak FROM sm JOIN un USING (i) JOIN dt USING (control) GROUP BY control),
+lv AS (SELECT p.peak, quantile_cont(CAST(det[p.peak] AS DOUBLE), 0.99) AS lvl FROM e, (SELECT DISTINCT peak FROM pk) p WHERE control = '0' GROUP BY p.peak),
+po AS (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY control ORDER BY det[peak] DESC, event) AS r FROM e JOIN pk USING (control) JOIN lv USING (peak) WHERE CAST(det[peak] AS DOUBLE) > lvl) WHERE r <= 3000),
+nn AS (SELECT * FROM (SELECT po.control, po.event, few.event AS blank, row_number() OVER (PARTITION BY po.control, po.event ORDER BY (po.sx - few.sx) * (po.sx - few.sx) + (po.sy - few.sy) * (po.sy - few.sy), few.event) AS r FROM po, few) WHERE r <= 2),
+bg AS (SELECT nn.control, nn.event, i, avg(CAST(few.det[i] AS DOUBLE)) AS b FROM nn JOIN few ON few.event = nn.blank, range(1, 63) t(i) GROUP BY ALL),
+co AS (SELECT po.control, i, CAST(CAST(po.det[i] AS DOUBLE) - b AS FLOAT) AS v FROM po JOIN bg ON bg.control = po.control AND bg.event = po.event),
+md AS (SELECT control, i, quantile_cont(CAST(v AS DOUBLE), 0.5) AS v FROM co GROUP BY ALL),
+sg AS (SELECT control, i, greatest(0, v / max(v) OVER (PARTITION BY control)) AS s FROM md UNION ALL SELECT 'AF', i, v / max(v) OVER () FROM (SELECT i, quantile_cont(CAST(det[i] AS DOUBLE), 0.5) AS v FROM few, range(1, 63) t(i) GROUP BY i))"""
+
+
+@query(f"WITH {_SIGNATURES} SELECT control, CAST(i - 1 AS INTEGER) AS detector, round(CAST(s AS FLOAT), 5) AS signature FROM sg WHERE s IS NOT NULL")
+def spectral_pipeline(spark, d):
+    """Signatures of all controls: peaks, positives above the blank, the two nearest blanks taken off, medians over the largest."""
+    s = spectra.signatures(_controls(spark, d), "control", "event", "scatter", "detectors", "0").filter("signature IS NOT NULL")
+    return s.select("control", "detector", F.round("signature", 5).alias("signature"))
+
+
+@query()
+def spectral_fit(spark, d):
+    """Unmixing coefficients of every molecule from the whole pipeline, with the similarity of its signature to the nearest other."""
+    rows = _controls(spark, d)
+    labels = [r["control"] for r in rows.select("control").distinct().collect() if r["control"] != "0"]  # controls only
+    names, _, similar, m = spectra.fit(rows, "control", "event", "scatter", "detectors", ["0"], {c: f"molecule {c}" for c in sorted(labels)}, lenient=True)
+    np.fill_diagonal(similar, -1)
+    out = [(n, int(j), float(m[i, j]), float(similar[i].max())) for i, n in enumerate(names) for j in range(m.shape[1])]
+    return spark.createDataFrame(out, "molecule string, detector int, coefficient double, nearest double")
+
+
+# --- beads of several isotopes ---------------------------------------------------------------------------------
+
+_ISOTOPES = [normalise.Isotope(140, "p", 90000.0), normalise.Isotope(175, "q", 45.0)]
+
+
+def _mass_items(spark, d) -> DataFrame:
+    """Items with a time, two isotopes of a bead (p and q) and another mass channel (d)."""
+    return keyed_items(spark, d).withColumn("time", F.unix_date(F.col("l_shipdate").cast("date")).cast("double"))
+
+
+def _isotope_sql(c: str, m: int) -> str:
+    return f"a{m} AS (SELECT sample_id, max({c}) AS hi FROM ev GROUP BY 1), w{m} AS (SELECT sample_id, 2 * quantile_cont({c}, 0.5) - any_value(hi) AS low{m}, any_value(hi) AS high{m} FROM ev JOIN a{m} USING (sample_id) WHERE {c} >= hi / 2 GROUP BY sample_id)"
+
+
+_FACTOR = "CASE WHEN tm <= lo THEN {c}lo WHEN tm >= hi THEN {c}hi ELSE {c}0 + (tm - t0) * ({c}1 - {c}0) / (t1 - t0) END"
+_BEADS_SQL = f"""{_isotope_sql('p', 140)}, {_isotope_sql('q', 175)},
+mk AS (SELECT ev.*, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS tm, p >= low140 AND p <= high140 AND q >= low175 AND q <= high175 AS is_bead, p >= low140 AND q >= low175 AS is_removed FROM ev JOIN w140 USING (sample_id) JOIN w175 USING (sample_id)),
+i AS (SELECT sample_id, tm, p, q, row_number() OVER (PARTITION BY sample_id ORDER BY tm, {KEY_SQL}) - 1 AS k, count(*) OVER (PARTITION BY sample_id) AS n FROM mk WHERE is_bead),
+z AS (SELECT *, ceil(n / least(200, least(greatest(2, CAST(round_even(n / 50.0, 0) AS BIGINT)), greatest(2, floor(n / 10))))) AS size FROM i WHERE n >= 20),
+y AS (SELECT *, floor(k / size) AS b, floor((n - 1) / size) AS last FROM z),
+x AS (SELECT *, CASE WHEN n - last * size < 25 AND last = 1 THEN CASE WHEN k >= n // 2 THEN 1 ELSE 0 END WHEN n - last * size < 25 AND last > 0 AND b = last THEN last - 1 ELSE b END AS bin FROM y),
+tb AS (SELECT sample_id, quantile_cont(tm, 0.5) AS t, quantile_cont(p, 0.5) AS p, quantile_cont(q, 0.5) AS q FROM x GROUP BY sample_id, bin),
+sp AS (SELECT sample_id, t AS t0, p AS p0, q AS q0, lead(t) OVER w AS t1, lead(p) OVER w AS p1, lead(q) OVER w AS q1 FROM tb WINDOW w AS (PARTITION BY sample_id ORDER BY t)),
+en AS (SELECT sample_id, min(t) AS lo, max(t) AS hi, arg_min(p, t) AS plo, arg_max(p, t) AS phi, arg_min(q, t) AS qlo, arg_max(q, t) AS qhi FROM tb GROUP BY 1),
+md AS (SELECT mk.*, 90000.0 / ({_FACTOR.format(c='p')}) AS f140, 45.0 / ({_FACTOR.format(c='q')}) AS f175 FROM (SELECT mk.sample_id, mk.tm, mk.p AS vp, mk.q AS vq, mk.d AS vd, is_removed, en.* EXCLUDE (sample_id) FROM mk JOIN en USING (sample_id)) mk LEFT JOIN sp ON sp.sample_id = mk.sample_id AND tm >= t0 AND tm < t1 AND tm > lo AND tm < hi)"""
+
+
+@query(f"WITH {ITEMS_SQL}, {_BEADS_SQL} SELECT sample_id, count(*) AS n, round(avg(CAST(vp * f140 AS FLOAT)), 1) AS p, round(avg(CAST(vq * f175 AS FLOAT)), 3) AS q, round(avg(CAST(vd * (f140 + (f175 - f140) * (13.0 / 35.0)) AS FLOAT)), 5) AS d FROM md WHERE NOT is_removed GROUP BY 1")
+def bead_isotopes(spark, d):
+    """Mass channels brought to the references of beads in two isotopes, factors straight in mass, beads left out."""
+    done = normalise.normalised(_mass_items(spark, d), "sample_id", "time", _ISOTOPES, {"p": 140, "q": 175, "d": 153}, ITEM_KEY, remove=True)
+    mean = lambda c, k: F.round(F.avg(F.col(c).cast("double")), k).alias(c)
+    return done.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), mean("p", 1), mean("q", 3), mean("d", 5))

@@ -22,10 +22,20 @@ def test_quotes():
 
 def test_brackets():
     assert values("[a,b];c", brackets=True) == ["[a,b]", "c"]
-    assert values("[a,b];c") == ["[a", "b]", "c"]
+    assert values("[a,b];c", brackets=False) == ["[a", "b]", "c"]
+    assert values("[a,b];c") == ["[a,b]", "c"] and values("CD3 (x,y),z") == ["CD3 (x", "y)", "z"]
     assert packed.parse("(a,b", brackets=True)[0][2] == "malformed_bracket"
 
 
+def test_entries():
+    e = lambda k, t: [v for _, v, _ in packed.parse_entry(k, t)]
+    assert e("laserwavelength", "488; 561,640") == ["488", "561", "640"]
+    assert e("tr", "CD3,500;CD4,200") == ["CD3", "500", "CD4", "200"] and e("spill", "1;A;1,0") == ["1", "A", "1,0"]
+    wide = 101
+    text = ";".join([str(wide), *(f"C{i}" for i in range(wide)), *("0,5" for _ in range(wide * wide))])
+    assert len(e("spillover", text)) == 1 + wide + wide * wide
+
+
 def test_decimal_comma():
     m = lambda t: [v for _, v, _ in packed.parse_matrix(t)]
     assert m("2;A;B;1,0;0,05;0,1;1") == ["2", "A", "B", "1,0", "0,05", "0,1", "1"]
