@@ -89,20 +89,34 @@ def interpolated(knots: list[tuple[float, float]], x: Column) -> Column:
     return F.when(x <= k[0][0], F.lit(float(k[0][1]))).otherwise(out)
 
 
+#: Knots of a piece, within which an event looks for its neighbours.
+PIECE = 64
+
+
+def _place(x: Column, v: Column, most: int) -> Column:
+    """Place of the last entry of a sorted array of at most ``most`` that doesn't exceed ``v``, 0 if all do: by bisection."""
+    jumps = [1 << b for b in reversed(range(max(1, int(most).bit_length())))]
+    return F.aggregate(F.array(*[F.lit(j) for j in jumps]), F.lit(0), lambda p, j: F.when((p + j < F.size(x)) & (v >= F.get(x, p + j)), p + j).otherwise(p))
+
+
 def asof_interpolate(df: DataFrame, knots: DataFrame, keys: list[str], x: str, kx: str, ky: str, out: str) -> DataFrame:
-    """Adds the value interpolated between the neighbouring knots of the same keys, flat beyond the ends.
+    """Adds the value interpolated between the neighbouring knots of the same keys, flat beyond the ends; null without knots.
 
-    Knots become intervals, spread over a grid of the mean interval's width, so that the range condition is an
-    equality join on the grid cell with a filter, whatever the number of knots; a hot key is spread by its cells.
+    Knots are cut into pieces of ``PIECE`` by their rank, so that knots that lie closely fill pieces as others do. An event finds its
+    piece among the first knots of all pieces of its keys, and its neighbours within the piece: two equality joins,
+    whatever the number of knots; a hot key is spread by its pieces.
     """
-    base = knots.select(*keys, F.col(kx).cast("double").alias("_x0"), F.col(ky).cast("double").alias("_y0"))
-    w = Window.partitionBy(*keys).orderBy("_x0")
-    spans = base.withColumns({"_x1": F.lead("_x0").over(w), "_y1": F.lead("_y0").over(w)})
-    ends = base.groupBy(*keys).agg(F.min("_x0").alias("_lo"), F.max("_x0").alias("_hi"), F.min_by("_y0", "_x0").alias("_ylo"), F.max_by("_y0", "_x0").alias("_yhi"), F.count(F.lit(1)).alias("_k"))
-    ends = ends.withColumn("_cell", F.greatest((F.col("_hi") - F.col("_lo")) / F.greatest(F.col("_k") - 1, F.lit(1)), F.lit(1e-12)))
-    grid = lambda v: F.floor((v - F.col("_lo")) / F.col("_cell"))
-    cells = spans.filter("_x1 IS NOT NULL AND _x1 > _x0").join(ends.select(*keys, "_lo", "_cell"), keys).withColumn("_g", F.explode(F.sequence(grid(F.col("_x0")), grid(F.col("_x1"))))).drop("_lo", "_cell")
-    rows = df.join(ends, keys, "left").withColumns({"_v": F.col(x).cast("double")}).withColumn("_g", F.when((F.col("_v") > F.col("_lo")) & (F.col("_v") < F.col("_hi")), grid(F.col("_v"))))
-    hit = rows.join(cells, [*keys, "_g"], "left").filter("_g IS NULL OR _x0 IS NULL OR (_v >= _x0 AND _v < _x1)")
-    value = F.when(F.col("_v") <= F.col("_lo"), F.col("_ylo")).when(F.col("_v") >= F.col("_hi"), F.col("_yhi")).otherwise(F.col("_y0") + (F.col("_v") - F.col("_x0")) * (F.col("_y1") - F.col("_y0")) / (F.col("_x1") - F.col("_x0")))
-    return hit.withColumn(out, value).drop("_lo", "_hi", "_ylo", "_yhi", "_k", "_cell", "_v", "_g", "_x0", "_y0", "_x1", "_y1")
+    base = knots.select(*keys, F.col(kx).cast("double").alias("_x"), F.col(ky).cast("double").alias("_y")).filter(fin(F.col("_x")))
+    w = Window.partitionBy(*keys).orderBy("_x")
+    ranked = base.withColumns({"_piece": F.floor((F.row_number().over(w) - 1) / PIECE).cast("int"), "_nx": F.lead("_x").over(w), "_ny": F.lead("_y").over(w)})
+    pieces = ranked.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_list(F.struct("_x", "_y", "_nx", "_ny"))).alias("_k"))
+    tops = pieces.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_piece", F.get("_k", F.lit(0))["_x"].alias("_x")))), lambda s: s["_x"]).alias("_tops"))
+    most = 1 << 24  # pieces of a key that bisection is prepared for: a thousand million knots
+    rows = df.join(tops, keys, "left").withColumn("_v", F.col(x).cast("double"))
+    rows = rows.withColumn("_piece", F.when(F.col("_v").isNotNull(), _place(F.col("_tops"), F.col("_v"), most)))
+    hit = rows.join(pieces, [*keys, "_piece"], "left")
+    hit = hit.withColumn("_one", F.get("_k", _place(F.transform("_k", lambda k: k["_x"]), F.col("_v"), PIECE)))
+    one = F.col("_one")
+    inner = one["_y"] + (F.col("_v") - one["_x"]) * (one["_ny"] - one["_y"]) / F.nullif(one["_nx"] - one["_x"], F.lit(0.0))
+    value = F.when((F.col("_v") <= one["_x"]) | one["_nx"].isNull(), one["_y"]).otherwise(inner)
+    return hit.withColumn(out, value).drop("_tops", "_v", "_piece", "_k", "_one")

@@ -115,7 +115,7 @@ def nearest_blanks(queries: DataFrame, blank: DataFrame, event: str, scatter: st
                     best = np.argsort(d, axis=1, kind="stable")[:, :k]
                     at = np.repeat(np.arange(len(q)), best.shape[1])
                     columns = [part.column(c).take(pa.array(at)) for c in keep]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[best.ravel()]), pa.array(np.take_along_axis(d, best, axis=1).ravel())], names=names)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[best.ravel()].astype(np.int64)), pa.array(np.take_along_axis(d, best, axis=1).ravel())], names=names)
 
         pairs = spread(asked).mapInArrow(near, schema)
         found = pairs if found is None else found.unionByName(pairs)

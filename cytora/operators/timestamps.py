@@ -87,7 +87,7 @@ def components(text: Column, clock_only: bool = False) -> Column:
     ``clock_only`` says that the text is a time of day, as ``10.44.58`` alone could be a day too.
     """
     out = F.regexp_replace(F.concat(F.lit("\u0003"), text) if clock_only else text, PATTERN, _REPLACEMENT)
-    parts = F.split(F.substring(out, 2, 1_000_000), _SEP)
+    parts = F.split(out.substr(F.lit(2), F.length(out)), _SEP)
     return F.when(text.isNotNull() & out.startswith(_MARK), parts)
 
 

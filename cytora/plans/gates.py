@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cytora.functions import exprs as X
 from cytora.functions.exprs import Axis, Logicle
+from cytora.operators.surgery import unique_name
 
 
 class Kind(str, Enum):
@@ -103,6 +104,56 @@ class GateTree:
     def rename_channel(self, old: str, new: str) -> GateTree:
         return GateTree([Gate(**{**g.__dict__, "x": new if g.x == old else g.x, "y": new if g.y == old else g.y}) for g in self.gates])
 
+    def remove_channel(self, channel: str) -> GateTree:
+        """The tree without gates on a channel, and without what depends on them."""
+        out = self
+        for g in self.gates:
+            if channel in (g.x, g.y) and g.name in {k.name for k in out.gates}:
+                out = out.remove(g.name)
+        return out
+
+    def copied(self, name: str) -> list[Gate]:
+        """A gate, its descendants and the operands their boolean gates need, parents and operands first."""
+        wanted, order = set(), []
+
+        def take(n: str, seen: tuple[str, ...]) -> None:
+            if n in seen:
+                raise GateError(f"{n} depends on itself")
+            if n in wanted:
+                return
+            g = self.get(n)
+            for o in (g.first, g.second):
+                if o is not None:
+                    take(o.gate, (*seen, n))
+            wanted.add(n)
+            order.append(g)
+
+        below = [name]
+        for n in below:
+            below += [g.name for g in self.gates if g.parent == n and g.name not in below]
+        for n in below:
+            take(n, ())
+        return order
+
+    def paste(self, gates: list[Gate], columns: list[str], parent: str | None = None, region: str = "Primary") -> GateTree:
+        """A tree with copies of ``gates`` below ``parent``: names made unique, channels matched without regard to case.
+
+        Gates on channels that don't exist are left out, and so is what depends on them.
+        """
+        known = {c.lower(): c for c in columns}
+        out, names = GateTree(list(self.gates)), {}
+        for g in gates:
+            on = [known.get(c.lower(), "") if c else "" for c in (g.x, g.y)]
+            lost = any(c and not k for c, k in zip((g.x, g.y), on)) or any(o is not None and o.gate not in names for o in (g.first, g.second))
+            inside = g.parent in {k.name for k in gates}
+            if lost or (inside and g.parent not in names):
+                continue
+            names[g.name] = unique_name(g.name, {k.name for k in out.gates}, True)
+            moved = lambda o: None if o is None else Operand(names[o.gate], o.region)
+            at = (names[g.parent], g.parent_region) if inside else (parent, region)
+            out.add(Gate(**{**g.__dict__, "name": names[g.name], "x": on[0], "y": on[1], "parent": at[0], "parent_region": at[1], "first": moved(g.first), "second": moved(g.second)}))
+        return out
+
     def to_json(self) -> str:
         return json.dumps([{k: (v.value if isinstance(v, Kind) else asdict(v) if isinstance(v, Operand) else v) for k, v in g.__dict__.items()} for g in self.gates])
 

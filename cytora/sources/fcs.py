@@ -7,6 +7,7 @@ channels and cytometer, read from the head of the file alone.
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import math
 import os
@@ -126,7 +127,7 @@ def cytometer(keys: dict[str, str]) -> str:
 
 
 _STRUCTURAL = re.compile(r"^(p\d+\w+|par|tot|mode|datatype|byteord|nextdata|begin\w+|end(data|analysis|stext)|spill|spillover|comp|timestep)$")
-# Names shown for standard keywords.
+#: Names that we show for standard keywords; other keywords show their words.
 DISPLAY = {
     "fil": "File name", "date": "Date", "btim": "Begin time", "etim": "End time", "op": "Operator", "inst": "Institution", "src": "Specimen source",
     "smno": "Specimen label", "exp": "Experimenter", "proj": "Project", "cells": "Cells", "com": "Comment", "vol": "Sample volume", "abrt": "Events aborted",
@@ -149,16 +150,29 @@ def metadata(keys: dict[str, str]) -> dict[str, str]:
     return {display_name(k): v.strip() for k, v in keys.items() if v.strip() and not _STRUCTURAL.match(k) and k not in CYTOMETER_KEYS}
 
 
-def read_head(path: str) -> tuple[dict[str, str], dict[str, int | str]]:
-    with open(path, "rb") as f:
+def _open(path: str):
+    """A file of the local disk or, with a scheme (hdfs, s3, gs ...), of the file system the cluster shares."""
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+Head = tuple[dict[str, str], dict[str, int | str]]
+
+
+def read_head(path: str) -> Head:
+    with _open(path) as f:
         header = parse_header(f.read(58))
         f.seek(int(header["text_begin"]))
         return parse_text(f.read(int(header["text_end"]) - int(header["text_begin"]) + 1)), header
 
 
-def read_events(path: str, first: int, count: int) -> np.ndarray:
-    """``count`` events from ``first`` on as single precision."""
-    keys, header = read_head(path)
+def read_events(path: str, first: int, count: int, head: Head | None = None) -> np.ndarray:
+    """``count`` events from ``first`` on as single precision; ``head`` saves reading it again."""
+    keys, header = head or read_head(path)
     begin, kind, total = layout(keys, header)
     width = _positive(keys.get("par"))
     count = max(0, min(count, total - first))
@@ -166,7 +180,7 @@ def read_events(path: str, first: int, count: int) -> np.ndarray:
         return np.zeros((0, width), dtype=np.float32)
     if kind.itemsize == 0:
         return np.zeros((count, width), dtype=np.float32)
-    with open(path, "rb") as f:
+    with _open(path) as f:
         f.seek(begin + first * width * kind.itemsize)
         raw = f.read(count * width * kind.itemsize)
     if len(raw) < count * width * kind.itemsize:
@@ -177,15 +191,33 @@ def read_events(path: str, first: int, count: int) -> np.ndarray:
 
 
 def _paths(pattern: str) -> list[str]:
-    pattern = re.sub(r"^file:(//)?", "", pattern)
     found = []
     for p in pattern.split(","):
+        p = re.sub(r"^file:(//)?", "", p)
+        if "://" in p:
+            found.extend(_remote(p))
+            continue
         hits = [p] if os.path.exists(p) else glob.glob(p)
         for h in hits:
             found.extend(sorted(glob.glob(os.path.join(h, "*.[fF][cC][sS]"))) if os.path.isdir(h) else [h])
     return sorted(set(found))
 
 
+def _remote(pattern: str) -> list[str]:
+    """Instrument files of a folder, or that match a pattern in the last part of a path, on a shared file system."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(pattern.partition("*")[0].rpartition("/")[0] if "*" in pattern else pattern)
+    scheme = pattern.partition("://")[0]
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.File:
+        return [pattern]
+    names = [i.path for i in system.get_file_info(fs.FileSelector(inner)) if i.type == fs.FileType.File]
+    wanted = pattern.rpartition("/")[2] if "*" in pattern else "*.[fF][cC][sS]"
+    host = pattern.partition("://")[2].partition("/")[0] if inner.startswith("/") else ""
+    return [f"{scheme}://{host}{n}" for n in sorted(names) if fnmatch.fnmatch(n.rpartition("/")[2], wanted)]
+
+
 class Piece(InputPartition):
     def __init__(self, path: str, first: int, count: int):
         self.path, self.first, self.count = path, first, count
@@ -220,8 +252,9 @@ class FcsReader(DataSourceReader):
             rows = [tuple(c.values()) for c in channels(keys)]
             yield name, partition.path, keys, cytometer(keys), _positive(keys.get("tot")), rows
             return
+        head = read_head(partition.path)
         for a in range(partition.first, partition.first + partition.count, 16384):
-            x = read_events(partition.path, a, min(16384, partition.first + partition.count - a))
+            x = read_events(partition.path, a, min(16384, partition.first + partition.count - a), head)
             if not len(x):
                 return
             n, w = x.shape
