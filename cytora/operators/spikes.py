@@ -34,7 +34,7 @@ SPIKE_SCATTERS, SUSPECT = 7.0, 0.58
 #: Equal consecutive readings from which a run counts as stuck, and bins an excursion has at most.
 STUCK_RUN, SPIKE_RUN = 8, 3
 #: Forest: trees, rows drawn for each, and their depth; features beyond ``FAR`` scatters are as far as can be.
-TREES, DRAWN, DEPTH, FAR = 32, 128, 7, 15.0
+TREES, DRAWN, DEPTH, FAR = 32, 64, 6, 15.0
 #: Bins on each side that make a level, the longest season looked for, and readings that a series has at least.
 _AROUND, LONGEST, LEAST = 7, 48, 5
 N_FEATURES = 4
