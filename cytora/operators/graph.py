@@ -92,6 +92,40 @@ def connectivities(graph: DataFrame) -> DataFrame:
     return both.select(F.least("vec_id", "other").alias("a"), F.greatest("vec_id", "other").alias("b"), weight.alias("w")).groupBy("a", "b").agg(F.max("w").alias("weight"))
 
 
+def fuzzy_union(graph: DataFrame, k: int) -> DataFrame:
+    """(a, b, weight), a < b: fuzzy union of neighbourhoods (McInnes, Healy and Melville, 2018).
+
+    A neighbour belongs to a vector's neighbourhood by ``exp(-(d - nearest) / width)``, with a width at which memberships add up to the
+    logarithm of ``k``; a pair belongs together by ``u + v - u v`` of its two memberships.
+    """
+    lists = graph.filter("vec_id != other").groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("n"))  # k entries at most
+    rows = lists.select("vec_id", F.transform("n", lambda s: s["distance"]).alias("d"), F.transform("n", lambda s: s["other"]).alias("o"))
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            n = pdf["d"].map(len).to_numpy()
+            d = np.full((len(pdf), n.max()), np.inf)
+            for i, v in enumerate(pdf["d"]):
+                d[i, : len(v)] = v
+            positive = np.where(d > 0, d, np.inf).min(axis=1)
+            over = np.maximum(d - np.where(np.isfinite(positive), positive, 0)[:, None], 0)
+            low, high = np.full(len(pdf), 1e-12), np.full(len(pdf), 1e6)
+            for _ in range(80):  # halving on a logarithmic scale, all vectors at once
+                middle = np.sqrt(low * high)
+                more = np.exp(-over / middle[:, None]).sum(axis=1) > np.log2(k)
+                high, low = np.where(more, middle, high), np.where(more, low, middle)
+            width = np.maximum(np.sqrt(low * high), 1e-3 * np.where(np.isfinite(d), d, 0).sum(axis=1) / n)
+            weight = np.exp(-over / np.maximum(width, 1e-12)[:, None])
+            at = np.repeat(np.arange(len(pdf)), n)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[at], "other": np.concatenate(pdf["o"].to_list()), "w": weight[at, np.concatenate([np.arange(m) for m in n])]})
+
+    each = rows.mapInPandas(members, "vec_id long, other long, w double").select(F.least("vec_id", "other").alias("a"), F.greatest("vec_id", "other").alias("b"), "w")
+    # of one or two memberships: their sum less their product
+    return each.groupBy("a", "b").agg((1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("w"), F.lit(1e-300)))))).alias("weight"))
+
+
 def power_clusters(weights: DataFrame, k: int, iterations: int = 20) -> DataFrame:
     """(vec_id, cluster): power iteration clustering of the weighted graph, a substitute for modularity communities."""
     from pyspark.ml.clustering import PowerIterationClustering
@@ -103,7 +137,7 @@ def power_clusters(weights: DataFrame, k: int, iterations: int = 20) -> DataFram
 def principal_components(vectors: DataFrame, dims: int, k: int = 2) -> DataFrame:
     """(vec_id, c1, c2, ...): projections on the first components, a substitute for a neighbour-preserving layout.
 
-    Sums and products come from one aggregation over partitions; only ``dims`` squared numbers reach the driver.
+    Sums and products of the tasks are added up by Spark, place by place; only ``dims`` squared numbers reach the driver.
     """
     rows = vectors.filter("x IS NOT NULL").filter(F.size("x") == dims)
 
@@ -113,12 +147,14 @@ def principal_components(vectors: DataFrame, dims: int, k: int = 2) -> DataFrame
             if len(pdf):
                 x = _rows(pdf, "as is")
                 n, s, q = n + len(x), s + x.sum(0), q + x.T @ x
-        yield pd.DataFrame({"n": [n], "s": [s], "q": [q.ravel()]})
-
-    parts = rows.select("x").mapInPandas(sums, "n long, s array<double>, q array<double>").toPandas()
-    n = int(parts["n"].sum())
-    mean = np.sum([np.asarray(v) for v in parts["s"]], axis=0) / max(n, 1)
-    cov = np.sum([np.asarray(v) for v in parts["q"]], axis=0).reshape(dims, dims) / max(n, 1) - np.outer(mean, mean)
+        flat = np.concatenate([[n], s, q.ravel()])
+        yield pd.DataFrame({"place": np.arange(len(flat)), "v": flat})
+
+    parts = rows.select("x").mapInPandas(sums, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").toPandas()
+    flat = parts["v"].to_numpy() if len(parts) else np.zeros(1 + dims + dims * dims)
+    n = int(flat[0])
+    mean = flat[1 : 1 + dims] / max(n, 1)
+    cov = flat[1 + dims :].reshape(dims, dims) / max(n, 1) - np.outer(mean, mean)
     values, axes = np.linalg.eigh(cov)
     axes = axes[:, np.argsort(-values)[:k]]
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])

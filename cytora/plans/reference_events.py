@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cytora.functions import exprs as X
 from cytora.functions.exprs import f32
-from cytora.operators import hist, linalg, stats
+from cytora.operators import hist, linalg, platforms, stats
 from cytora.plans import gates as G
 from cytora.plans.adapters import ITEMS_SQL, P_ASINH, P_LOG, D, P, Q, items, norm_sql
 from cytora.plans.gates import Gate, GateTree, Kind, Operand
@@ -231,13 +231,26 @@ def normalized_axis(spark, d):
     return items(spark, d).groupBy("sample_id").agg(*[r4(F.sum(a.normalised(F.col(c)))).alias(n) for n, a, c in (("q", Q, "q"), ("p_log", P_LOG, "p"), ("p_arcsinh", P_ASINH, "p"))])
 
 
-@query(f"WITH {ITEMS_SQL}, m AS (SELECT avg(p) AS mu, stddev_samp(p) AS sd FROM ev) SELECT sample_id, round(avg((p - mu) / sd), 6) AS mean_z, round(max((p - mu) / sd), 6) AS max_z FROM ev, m GROUP BY sample_id")
+def _logicle_sql() -> str:
+    """Forward values by halving the interval in which the closed inverse reaches the value."""
+    k = X.Logicle().constants()
+    inverse = f"({k['a']!r} * exp({k['b']!r} * m) - {k['c']!r} * exp({-k['d']!r} * m) - {k['f']!r})"
+    return f"""WITH RECURSIVE x AS (SELECT c_custkey AS id, CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE) AS v FROM customer),
+s(id, v, lo, hi, step) AS (SELECT id, v, {k['x1']!r}::DOUBLE, 2.0::DOUBLE, 0 FROM x UNION ALL SELECT id, v, CASE WHEN {inverse} < abs(v) THEN m ELSE lo END, CASE WHEN {inverse} < abs(v) THEN hi ELSE m END, step + 1 FROM (SELECT *, (lo + hi) / 2 AS m FROM s) WHERE step < 60)
+SELECT id, round(CASE WHEN v < 0 THEN 2 * {k['x1']!r} - lo ELSE lo END, 9) AS y FROM s WHERE step = 60"""
+
+
+@query(_logicle_sql())
+def scale_logicle(spark, d):
+    """Positions of data values on the biexponential scale."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.round(X.logicle(f32(F.col("c_acctbal")), X.Logicle()), 9).alias("y"))
+
+
+@query(f"WITH {ITEMS_SQL}, m AS (SELECT avg(p) AS mu, stddev_samp(p) AS sd FROM ev) SELECT sample_id, round(avg(CAST(CAST((p - mu) / sd AS FLOAT) AS DOUBLE)), 5) AS mean_z, round(max(CAST(CAST((p - mu) / sd AS FLOAT) AS DOUBLE)), 5) AS max_z FROM ev, m GROUP BY sample_id")
 def zscore_linear(spark, d):
-    rows = items(spark, d)
-    m = rows.agg(F.avg(stats.kept(F.col("p"))).alias("mu"), F.stddev_samp(stats.kept(F.col("p"))).alias("sd")).first()
-    sd = m["sd"] if m["sd"] and m["sd"] > 0 else 1.0
-    z = (F.col("p") - F.lit(m["mu"])) / F.lit(sd)
-    return rows.groupBy("sample_id").agg(r6(F.avg(z)).alias("mean_z"), r6(F.max(z)).alias("max_z"))
+    rows = platforms.scaled(items(spark, d), ["p"])
+    z = F.col("p").cast("double")
+    return rows.groupBy("sample_id").agg(F.round(F.avg(z), 5).alias("mean_z"), F.round(F.max(z), 5).alias("max_z"))
 
 
 @query("SELECT s_suppkey AS id, round(CASE WHEN x <= 0 THEN 0 WHEN x <= 1000 THEN x / 1000 ELSE 1 + log10(x / 1000) END, 6) AS y FROM (SELECT s_suppkey, CAST(CAST(s_acctbal AS FLOAT) AS DOUBLE) AS x FROM supplier)")
@@ -271,15 +284,10 @@ query(_comp_sql("qpdt", _M4), "compensate_4ch")(_comp("qpdt", _M4))
 _COEF = {f"mol{k}": [round(float(np.sin(1 + k + j * (k + 1))), 6) for j in range(64)] for k in range(3)}
 
 
-@query("SELECT vec_id, " + ", ".join(f"round(CAST({' + '.join(f'CAST(embedding[{j + 1}] AS DOUBLE) * {w!r}' for j, w in enumerate(ws))} AS DOUBLE), 4) AS {n}" for n, ws in _COEF.items()) + " FROM embeddings")
+@query("SELECT vec_id, " + ", ".join(f"round(CAST(CAST({' + '.join(f'CAST(embedding[{j + 1}] AS DOUBLE) * {w!r}' for j, w in enumerate(ws))} AS FLOAT) AS DOUBLE), 4) AS {n}" for n, ws in _COEF.items()) + " FROM embeddings")
 def unmix_apply(spark, d):
     rows = table(spark, d, "embeddings")
-    return rows.select("vec_id", *[F.round(c.cast("double"), 4).alias(n) for n, c in ((n, _unmix64(ws)) for n, ws in _COEF.items())])
-
-
-def _unmix64(weights: list[float]) -> Column:
-    products = F.zip_with("embedding", F.array(*[F.lit(w) for w in weights]), lambda a, b: a.cast("double") * b)
-    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+    return rows.select("vec_id", *[F.round(c.cast("double"), 4).alias(n) for n, c in linalg.unmixed("embedding", _COEF).items()])
 
 
 @query("WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, range(1, 65) t(i) GROUP BY label, i) SELECT CAST(a.label AS INTEGER) AS a, CAST(b.label AS INTEGER) AS b, round(sum(a.v * b.v) / sqrt((sum(a.v * a.v) + 1e-9) * (sum(b.v * b.v) + 1e-9)), 6) AS similarity FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY ALL")
@@ -370,14 +378,40 @@ def top_threshold(spark, d):
     return above.filter("above >= 300").groupBy("sample_id").agg(F.max("bin").alias("bin"))
 
 
-@query()
+def _blur_sql(size: int, passes: int) -> str:
+    """Blur of the counts ``g`` (sample_id, xbin, ybin, n) along both axes, taps beyond a border left out."""
+    steps, last = [f"b0 AS (SELECT s.sample_id, x.i AS xbin, y.i AS ybin, coalesce(g.n, 0)::DOUBLE AS v FROM (SELECT DISTINCT sample_id FROM g) s CROSS JOIN range({size}) x(i) CROSS JOIN range({size}) y(i) LEFT JOIN g ON g.sample_id = s.sample_id AND g.xbin = x.i AND g.ybin = y.i)"], "b0"
+    taps = {-2: 1, -1: 4, 0: 6, 1: 4, 2: 1}
+    for k in range(passes):
+        for axis, other in (("ybin", "xbin"), ("xbin", "ybin")):
+            at = lambda o: "v" if o == 0 else f"{'lag' if o < 0 else 'lead'}(v, {abs(o)}) OVER w"  # noqa: B023, E731
+            top = " + ".join(f"{t} * coalesce({at(o)}, 0)" for o, t in taps.items())
+            weight = " + ".join(f"CASE WHEN {axis} + {o} BETWEEN 0 AND {size - 1} THEN {t} ELSE 0 END" for o, t in taps.items())
+            new = f"b{k}{axis[0]}"
+            steps.append(f"{new} AS (SELECT sample_id, xbin, ybin, ({top}) / ({weight}) AS v FROM {last} WINDOW w AS (PARTITION BY sample_id, {other} ORDER BY {axis}))")
+            last = new
+    return ", ".join(steps) + f" SELECT sample_id, CAST(xbin AS INTEGER) AS xbin, CAST(ybin AS INTEGER) AS ybin, round(v, 6) AS density FROM {last} WHERE v > 1e-12"
+
+
+_GRID_300 = f"g AS (SELECT sample_id, floor({norm_sql('q', Q)} * 299) AS xbin, floor({norm_sql('p', P)} * 299) AS ybin, count(*) AS n FROM ev WHERE {norm_sql('q', Q)} BETWEEN 0 AND 1 AND {norm_sql('p', P)} BETWEEN 0 AND 1 GROUP BY ALL)"
+
+
+@query(f"WITH {ITEMS_SQL}, {_GRID_300}, {_blur_sql(300, 2)}")
 def density_smooth(spark, d):
-    """Blurred 64 x 64 density of every sample."""
-    c = _grid(spark, d, 64).groupBy("sample_id", "xbin", "ybin").agg(F.count(F.lit(1)).alias("n"))
-    return hist.smoothed_grid(c, ["sample_id"], 64, 2)
+    """Blurred 300 x 300 density of every sample."""
+    c = _grid(spark, d, 300).groupBy("sample_id", "xbin", "ybin").agg(F.count(F.lit(1)).alias("n"))
+    return hist.smoothed_grid(c, ["sample_id"], 300, 2).withColumn("density", r6(F.col("density")))
+
+
+def _smooth_sql(passes: int) -> str:
+    steps = []
+    for k in range(passes):
+        w = "OVER (PARTITION BY sample_id ORDER BY bin)"
+        steps.append(f"s{k + 1} AS (SELECT sample_id, bin, (2 * v + coalesce(lag(v) {w}, 0) + coalesce(lead(v) {w}, 0)) / (2 + CASE WHEN lag(v) {w} IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(v) {w} IS NULL THEN 0 ELSE 1 END) AS v FROM s{k})")
+    return ", ".join(steps)
 
 
-@query()
+@query(f"WITH {ITEMS_SQL}, h AS (SELECT sample_id, least(floor({norm_sql('q', Q)} * 50), 49) AS bin, count(*) AS n FROM ev WHERE {norm_sql('q', Q)} BETWEEN 0 AND 1 GROUP BY ALL), s0 AS (SELECT s.sample_id, CAST(b.i AS INTEGER) AS bin, coalesce(h.n, 0)::DOUBLE AS v FROM (SELECT DISTINCT sample_id FROM h) s CROSS JOIN range(50) b(i) LEFT JOIN h ON h.sample_id = s.sample_id AND h.bin = b.i), {_smooth_sql(4)} SELECT sample_id, bin, round(v, 6) AS smooth FROM s4")
 def smooth_121(spark, d):
     """Smoothed display histogram of every sample."""
     h = hist.dense(hist.counted(items(spark, d), ["sample_id"], hist.display_bin(Q.normalised(F.col("q")), 50)), ["sample_id"], 50)
@@ -386,4 +420,4 @@ def smooth_121(spark, d):
         pdf = pdf.sort_values("bin")
         return pdf.assign(smooth=hist.smooth_121(pdf["n"].to_numpy(), 4))[["sample_id", "bin", "smooth"]]
 
-    return h.groupBy("sample_id").applyInPandas(run, "sample_id string, bin int, smooth double")
+    return h.groupBy("sample_id").applyInPandas(run, "sample_id string, bin int, smooth double").withColumn("smooth", r6(F.col("smooth")))

@@ -62,8 +62,21 @@ def knn_graph(spark, d):
     return g.filter("rank > 0").select("vec_id", "other", F.col("rank").cast("int").alias("rank"))
 
 
-@query()
+_KNN = "n AS (SELECT vec_id, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings), r AS (SELECT a.vec_id, b.vec_id AS other, 1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (a.norm * b.norm) AS d FROM n a, n b WHERE a.vec_id <> b.vec_id), e AS (SELECT *, d * d AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS k FROM r) WHERE k <= 14)"
+
+
+@query(f"WITH {_KNN}, w AS (SELECT vec_id, quantile_cont(d2, 0.5) AS s FROM e GROUP BY 1), x AS (SELECT least(e.vec_id, other) AS a, greatest(e.vec_id, other) AS b, sqrt(2 * sqrt(p.s * q.s) / greatest(p.s + q.s, 1e-300)) * exp(-d2 / greatest(p.s + q.s, 1e-300)) AS w FROM e JOIN w p ON p.vec_id = e.vec_id JOIN w q ON q.vec_id = other) SELECT a, b, round(max(w), 6) AS weight FROM x GROUP BY a, b")
 def connectivities(spark, d):
+    return _weights(spark, d).withColumn("weight", r6(F.col("weight")))
+
+
+@query()
+def fuzzy_union(spark, d):
+    """Fuzzy union of the neighbourhoods of all vectors."""
+    return graph.fuzzy_union(graph.knn_graph(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x")), 15), 15)
+
+
+def _weights(spark, d) -> DataFrame:
     g = graph.knn_graph(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x")), 15)
     return graph.connectivities(g)
 
@@ -71,7 +84,7 @@ def connectivities(spark, d):
 @query()
 def clustering(spark, d):
     """Communities of the neighbour graph by power iteration, a substitute."""
-    return graph.power_clusters(connectivities(spark, d), 4)
+    return graph.power_clusters(_weights(spark, d), 4)
 
 
 @query()

@@ -227,10 +227,23 @@ def category_encode(spark, d):
     return surgery.categories(rows, "sample", "label", "event_id")
 
 
-@query()
+def _sample_report(sample: DataFrame, whole: DataFrame) -> DataFrame:
+    """Size of a sample, its distinct events, and how many of them the whole holds with the same value."""
+    known = sample.join(whole.select(F.col("event_id").alias("i"), F.col("value").alias("v")), (F.col("event_id") == F.col("i")) & (F.col("value") == F.col("v")), "left_semi")
+    return sample.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events")).join(F.broadcast(known.agg(F.count(F.lit(1)).alias("known"))))  # one row each
+
+
+@query("SELECT least(100000, count(*)) AS n, least(100000, count(*)) AS events, least(100000, count(*)) AS known FROM events")
 def reservoir_cap(spark, d):
-    """A uniform sample of at most 10 000 events."""
-    return surgery.reservoir(timed(spark, d), "event_id", 10_000, 7).select("event_id", "sample_id", "value")
+    """A uniform sample of at most 100 000 events: which ones depends on a hash, how many and that they are the table's own does not."""
+    rows = timed(spark, d).select("event_id", "value")
+    return _sample_report(surgery.reservoir(rows, "event_id", 100_000, 7), rows)
+
+
+@query("SELECT CAST(round(0.1 * count(*)) AS BIGINT) AS n, CAST(round(0.1 * count(*)) AS BIGINT) AS events, CAST(round(0.1 * count(*)) AS BIGINT) AS known FROM events")
+def subsample_rule(spark, d):
+    rows = timed(spark, d).select("event_id", "value")
+    return _sample_report(surgery.reservoir(rows, "event_id", max(1, round(0.1 * rows.count())), 11), rows)
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cytora import api, session
 from cytora.functions import exprs as X
 from cytora.functions.exprs import Axis
-from cytora.operators import beads, channels, compare, linalg, normalise, ordered, platforms, spectra
+from cytora.operators import beads, channels, compare, graph, linalg, normalise, ordered, platforms, spectra
 from cytora.operators.fits import special
 from cytora.plans.gates import Gate, GateError, GateTree, Kind, Operand
 from cytora.sources import demo, fcs
@@ -261,3 +261,19 @@ def test_unmixed_is_the_operator(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0],)], "x array<float>")
     out = df.select(*[c.alias(n) for n, c in linalg.unmixed("x", {"m": [1.0, 0.5, 2.0]}).items()]).first()
     assert out["m"] == 8.0
+
+
+def test_fuzzy_union(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, x array<double>")
+    g = graph.knn_graph(df, 8, "euclidean")
+    w = {(r["a"], r["b"]): r["weight"] for r in graph.fuzzy_union(g, 8).collect()}
+    edges = {}
+    for r in g.filter("rank > 0").collect():
+        edges.setdefault(r["vec_id"], []).append((r["distance"], r["other"]))
+    assert all(a < b and 0 < v <= 1 + 1e-12 for (a, b), v in w.items())
+    for i, e in edges.items():  # the nearest neighbour belongs entirely
+        j = min(e)[1]
+        assert w[min(i, j), max(i, j)] == pytest.approx(1)
+    assert set(w) == {(min(i, j), max(i, j)) for i, e in edges.items() for _, j in e}
