@@ -57,12 +57,12 @@ def goal_medians(spark, d):
     return _exploded(integrate.goal_quantiles(q, "median"), ["channel"], "goal", TENTHS).select("channel", "p", r4(F.col("value")).alias("goal"))
 
 
-@query(f"WITH {ITEMS_SQL}, c AS (SELECT batch, CAST(floor(d * 100) AS INTEGER) AS cluster, unnest({TENTHS}) AS pr, unnest(quantile_cont(p, {TENTHS})) AS value FROM ev GROUP BY batch, 2 HAVING count(*) >= 50) SELECT batch, cluster, CAST(pr AS DOUBLE) AS p, round(value, 4) AS value FROM c")
+@query(f"WITH {ITEMS_SQL}, c AS (SELECT batch, CAST(floor(d * 100) AS INTEGER) AS cluster, unnest({TENTHS}) AS pr, unnest(quantile_cont(p, {TENTHS})) AS value FROM ev GROUP BY batch, 2 HAVING count(*) >= 50) SELECT batch, cluster, CAST(pr AS DOUBLE) AS p, round(value, 1) AS value FROM c")
 def cluster_quantiles(spark, d):
     """Quantiles of a channel in every cluster of every batch."""
     rows = items(spark, d).withColumn("cluster", F.floor(F.col("d") * 100).cast("int"))
     q = integrate.batch_quantiles(rows, "batch", ["p"], TENTHS, "cluster")
-    return _exploded(q, ["batch", "cluster"], "q", TENTHS).select("batch", "cluster", "p", r4(F.col("value")).alias("value"))
+    return _exploded(q, ["batch", "cluster"], "q", TENTHS).select("batch", "cluster", "p", F.round("value", 1).alias("value"))
 
 
 @query(f"WITH {ITEMS_SQL}, m AS (SELECT sample_id, quantile_cont(p, 0.5) AS md FROM ev GROUP BY sample_id) SELECT sample_id, round(1.4826 * quantile_cont(abs(p - md), 0.5), 4) AS mad FROM ev JOIN m USING (sample_id) GROUP BY sample_id")
