@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytora.session import materialise
+
 #: Guaranteed relative error of a percentile, and the percentiles that are reported.
 ACCURACY = 0.01
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -72,11 +74,21 @@ def percentiles(sketches: DataFrame, keys: list[str], probabilities: tuple[float
     return rows.select(*keys, "n_values", F.col("_t.p").alias("p"), "bucket", bucket_value(F.col("bucket"), accuracy).alias("estimate"))
 
 
+#: Repeated keys that may be shared with every task, 16 bytes each.
+SHARED_KEYS = 4_000_000
+
+
+def once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without repeats of ``keys``. Only the keys of all rows and the rows that repeat move; the others stay where they are read."""
+    repeated = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys))
+    known = F.broadcast(repeated) if repeated.count() <= SHARED_KEYS else repeated
+    return rows.join(known, keys, "left_anti").unionByName(rows.join(known, keys, "left_semi").dropDuplicates(keys))
+
+
 def event_readings(events: DataFrame) -> DataFrame:
     """(group_id, channel_idx, day, reading): one row per reading, each event_id once."""
     rows = events.filter("event_id IS NOT NULL AND event_values IS NOT NULL").select("event_id", "group_id", F.to_date("loaded_at").alias("day"), "event_values")
-    once = rows.dropDuplicates(["event_id"])
-    return once.select("group_id", "day", F.posexplode("event_values").alias("channel_idx", "reading"))
+    return once(rows, ["event_id"]).select("group_id", "day", F.posexplode("event_values").alias("channel_idx", "reading"))
 
 
 def event_sketches(events: DataFrame) -> DataFrame:
@@ -87,4 +99,4 @@ def event_sketches(events: DataFrame) -> DataFrame:
 def series_sketches(series: DataFrame) -> DataFrame:
     """Sketches of the raw medians of every cytometer and mass for each day of loading; a bin that repeats counts once."""
     rows = series.filter("series_id IS NOT NULL AND bin_idx IS NOT NULL").select("series_id", "bin_idx", "cytometer", "mass_number", F.to_date("loaded_at").alias("day"), "raw_median")
-    return sketch(rows.dropDuplicates(["series_id", "bin_idx"]), ["cytometer", "mass_number", "day"], "raw_median")
+    return sketch(once(rows, ["series_id", "bin_idx"]), ["cytometer", "mass_number", "day"], "raw_median")
