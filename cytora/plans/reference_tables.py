@@ -72,7 +72,10 @@ def mad_by_group(spark, d):
 
 
 def _distances(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """(a, b, distance): earth mover's distances of all pairs of groups, on counts of bins of one grid per pair."""
+    """(a, b, distance): earth mover's distances of all pairs of groups, on counts of bins of one grid per pair.
+
+    Pairs share few grids; every group is binned once on each of its grids, and only filled bins meet partners.
+    """
     ends = rows.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))
     one = ends.select(F.col(group).alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("n").alias("an"))
     two = ends.select(F.col(group).alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("n").alias("bn"))
@@ -82,10 +85,11 @@ def _distances(rows: DataFrame, group: str, value: str) -> DataFrame:
     pairs = pairs.withColumn("w", F.greatest(F.lit(0.1), 1e-4 * F.pow(F.lit(10.0), F.ceil(F.log10(F.col("hi") - F.col("lo"))))))
     counted = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
     sides = pairs.select("a", "b", "lo", "hi", "w", F.inline(F.array(F.struct(F.col("a").alias("g"), (1.0 / F.col("an")).alias("sign")), F.struct(F.col("b").alias("g"), (-1.0 / F.col("bn")).alias("sign")))))
-    bins = counted.withColumnRenamed(group, "g").join(sides, "g")
+    grids = sides.select("g", "lo", "hi", "w").distinct()
     last = F.ceil((F.col("hi") - F.col("lo") + 2) / F.col("w")) - 1
     at = F.greatest(F.lit(0), F.least(F.floor((F.col(value) - (F.col("lo") - 1)) / F.col("w")), last))
-    net = bins.groupBy("a", "b", "w", at.alias("bin")).agg(F.sum(F.col("c") * F.col("sign")).alias("net"))
+    binned = counted.withColumnRenamed(group, "g").join(grids, "g").groupBy("g", "lo", "hi", "w", at.alias("bin")).agg(F.sum("c").alias("c"))
+    net = binned.join(sides, ["g", "lo", "hi", "w"]).groupBy("a", "b", "w", "bin").agg(F.sum(F.col("c") * F.col("sign")).alias("net"))
     # between two filled bins the running difference stays as it is
     w = Window.partitionBy("a", "b").orderBy("bin")
     flow = net.withColumns({"run": F.sum("net").over(w), "next": F.lead("bin").over(w)})
