@@ -142,6 +142,14 @@ class Axis(NamedTuple):
     cofactor: float = 5.0
     logicle: Logicle = Logicle()
 
+    def same_scale(self, other: Axis) -> bool:
+        """Whether two axes place values alike up to their range: the same kind with the same parameters."""
+        if self.kind != other.kind:
+            return False
+        if self.kind == "arcsinh":
+            return abs(self._cofactor() - other._cofactor()) <= 1e-12
+        return self.kind != "logicle" or self.logicle == other.logicle
+
     def forward(self, c: Column) -> Column:
         if self.kind == "linear":
             return c.cast("double")

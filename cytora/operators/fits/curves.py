@@ -22,6 +22,19 @@ class Curve:
     parts: tuple[tuple[str, float], ...] = ()
 
 
+def log_choose(n: int, k: int) -> float:
+    """Logarithm of the number of ways to choose k of n."""
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) if 0 <= k <= n else -math.inf
+
+
+def hypergeometric(population: int, successes: int, draws: int) -> list[float]:
+    """Chance of 0, 1, ... ``successes`` among the drawn, NaN where the numbers don't allow it; none for impossible parameters."""
+    if population <= 0 or not 0 <= successes <= population or not 0 <= draws <= population:
+        return []
+    possible = lambda k: k <= draws and draws - k <= population - successes
+    return [math.exp(log_choose(successes, k) + log_choose(population - successes, draws - k) - log_choose(population, draws)) if possible(k) else math.nan for k in range(successes + 1)]
+
+
 def curve_column(name: str, curves: dict[str, Curve], x: Column, seen: tuple[str, ...] = ()) -> Column:
     """Value of a curve at ``x``; a sum that contains itself is NaN."""
     if name in seen or name not in curves:
@@ -38,6 +51,24 @@ def curve_column(name: str, curves: dict[str, Curve], x: Column, seen: tuple[str
         k, theta = p["shape"], p["scale"]
         log = (k - 1) * F.ln(x / theta) - x / theta - math.lgamma(k) - math.log(theta)
         return F.when(x > 0, p["amplitude"] * F.exp(log)).otherwise(0.0)
+    nan = F.lit(float("nan"))
+    if c.kind == "gamma_density":
+        k, theta = p["shape"], p["scale"]
+        if k <= 0 or theta <= 0:
+            return nan
+        at_zero = 1 / theta if k == 1 else math.inf if k < 1 else 0.0
+        log = (k - 1) * F.ln(x) - x / theta - math.lgamma(k) - k * math.log(theta)
+        return F.when(x > 0, F.exp(log)).when(x == 0, at_zero).otherwise(nan)
+    if c.kind == "log_logistic":
+        k, top, middle = p["slope"], p["upper"], p["midpoint"]
+        if min(k, top, middle) <= 0:
+            return nan
+        bent = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), k * (F.ln(x) - math.log(middle))))
+        return F.when(x > 0, top / (1 + F.exp(bent))).otherwise(nan)
+    if c.kind == "hypergeometric":
+        chances = hypergeometric(int(p["population"]), int(p["successes"]), int(p["draws"]))
+        near = F.round(x)
+        return F.when(F.abs(x - near) <= 1e-6, F.coalesce(F.get(F.array(*[F.lit(v) for v in chances]), near.cast("int")), nan)).otherwise(nan) if chances else nan
     if c.kind == "polynomial":
         lo, hi = p["minimum"], p["maximum"]
         t = (x - lo) / (hi - lo)

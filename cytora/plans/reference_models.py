@@ -25,6 +25,9 @@ CURVES = {
     "rise": Curve("linear", {"slope": 0.1, "intercept": 0.5}),
     "grow": Curve("exponential", {"rate": 0.05, "intercept": 0.1, "offset": 0.2}),
     "decay": Curve("gamma", {"shape": 2.5, "scale": 4.0, "amplitude": 3.0}),
+    "density": Curve("gamma_density", {"shape": 2.5, "scale": 4.0}),
+    "falling": Curve("log_logistic", {"slope": 4.0, "upper": 0.9, "midpoint": 20.0}),
+    "drawn": Curve("hypergeometric", {"population": 60, "successes": 30, "draws": 25}),
     "s": Curve("polynomial", {"minimum": 5.0, "maximum": 40.0}, (0.1, 2.0, -2.5)),
     "fit": Curve("addition", {"intercept": 0.05}, (), (("g1", 1.0), ("s", 0.5))),
 }
@@ -34,6 +37,9 @@ _CURVE_SQL = {
     "rise": "0.1 * q + 0.5",
     "grow": "0.2 + exp(0.05 * q + 0.1)",
     "decay": f"CASE WHEN q > 0 THEN 3.0 * exp(1.5 * ln(q / 4.0) - q / 4.0 - {math.lgamma(2.5)!r} - ln(4.0)) ELSE 0 END",
+    "density": f"CASE WHEN q > 0 THEN exp(1.5 * ln(q) - q / 4.0 - {math.lgamma(2.5)!r} - 2.5 * ln(4.0)) ELSE 0 END",
+    "falling": "0.9 / (1 + exp(4.0 * (ln(q) - ln(20.0))))",
+    "drawn": "CASE WHEN q <= 25 THEN exp(lgamma(31) - lgamma(q + 1) - lgamma(31 - q) + lgamma(31) - lgamma(26 - q) - lgamma(6 + q) - lgamma(61) + lgamma(26) + lgamma(36)) ELSE 'nan'::DOUBLE END",
     "s": f"CASE WHEN q >= 5 AND q <= 40 THEN greatest(0.1 + 2.0 * {_T} - 2.5 * {_T} * {_T}, 0) ELSE 0 END",
 }
 _CURVE_SQL["fit"] = f"0.05 + ({_CURVE_SQL['g1']}) + 0.5 * ({_CURVE_SQL['s']})"

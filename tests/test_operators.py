@@ -277,3 +277,8 @@ def test_fuzzy_union(spark):
         j = min(e)[1]
         assert w[min(i, j), max(i, j)] == pytest.approx(1)
     assert set(w) == {(min(i, j), max(i, j)) for i, e in edges.items() for _, j in e}
+
+
+def test_scales_alike():
+    assert Axis(0, 1, "arcsinh", 5.0).same_scale(Axis(2, 9, "arcsinh", 5.0 + 1e-13)) and not Axis(0, 1, "arcsinh", 5.0).same_scale(Axis(0, 1, "arcsinh", 6.0))
+    assert Axis(0, 1).same_scale(Axis(0, 5)) and not Axis(0, 1).same_scale(Axis(0, 1, "log")) and not Axis(0, 1, "logicle").same_scale(Axis(0, 1, "logicle", 5.0, X.Logicle(t=1000.0)))
