@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cytora.functions.exprs import arcsinh, fin
 from cytora.operators import ordered, stats
+from cytora.session import materialise
 
 #: Name of a mass channel: element and mass in either order, with an optional suffix.
 MASS_NAME = r"(?i)^(?:([A-Za-z]{1,2})(\d{2,3})|(\d{2,3})([A-Za-z]{1,2}))(?:D[id])?$"
@@ -95,28 +96,33 @@ PIECE = 64
 
 def _place(x: Column, v: Column, most: int) -> Column:
     """Place of the last entry of a sorted array of at most ``most`` that doesn't exceed ``v``, 0 if all do: by bisection."""
-    jumps = [1 << b for b in reversed(range(max(1, int(most).bit_length())))]
-    return F.aggregate(F.array(*[F.lit(j) for j in jumps]), F.lit(0), lambda p, j: F.when((p + j < F.size(x)) & (v >= F.get(x, p + j)), p + j).otherwise(p))
+    jumps = [1 << b for b in reversed(range(max(1, int(most - 1).bit_length())))]
+    found = F.aggregate(F.array(*[F.lit(j) for j in jumps]), F.lit(0), lambda p, j: F.when((p + j < F.size(x)) & (v >= F.get(x, p + j)), p + j).otherwise(p))
+    return F.when(F.size(x) <= 1, 0).otherwise(found)
 
 
-def asof_interpolate(df: DataFrame, knots: DataFrame, keys: list[str], x: str, kx: str, ky: str, out: str) -> DataFrame:
-    """Adds the value interpolated between the neighbouring knots of the same keys, flat beyond the ends; null without knots.
+def asof_interpolate(df: DataFrame, knots: DataFrame, keys: list[str], x: str, kx: str, ky: str | list[str], out: str | list[str]) -> DataFrame:
+    """Adds the values interpolated between the neighbouring knots of the same keys, flat beyond the ends; null without knots.
 
     Knots are cut into pieces of ``PIECE`` by their rank, so that knots that lie closely fill pieces as others do. An event finds its
     piece among the first knots of all pieces of its keys, and its neighbours within the piece: two equality joins,
-    whatever the number of knots; a hot key is spread by its pieces.
+    whatever the number of knots; a hot key is spread by its pieces. Several values at the same knots come from one pass.
     """
-    base = knots.select(*keys, F.col(kx).cast("double").alias("_x"), F.col(ky).cast("double").alias("_y")).filter(fin(F.col("_x")))
+    kys, outs = ([ky], [out]) if isinstance(ky, str) else (ky, out)
+    values = [f"_y{i}" for i in range(len(kys))]
+    base = knots.select(*keys, F.col(kx).cast("double").alias("_x"), *[F.col(c).cast("double").alias(n) for c, n in zip(kys, values)]).filter(fin(F.col("_x")))
     w = Window.partitionBy(*keys).orderBy("_x")
-    ranked = base.withColumns({"_piece": F.floor((F.row_number().over(w) - 1) / PIECE).cast("int"), "_nx": F.lead("_x").over(w), "_ny": F.lead("_y").over(w)})
-    pieces = ranked.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_list(F.struct("_x", "_y", "_nx", "_ny"))).alias("_k"))
-    tops = pieces.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_piece", F.get("_k", F.lit(0))["_x"].alias("_x")))), lambda s: s["_x"]).alias("_tops"))
+    ranked = base.withColumns({"_piece": F.floor((F.row_number().over(w) - 1) / PIECE).cast("int"), **{f"_n{c}": F.lead(c).over(w) for c in ("_x", *values)}})
+    pieces = ranked.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_list(F.struct("_x", *values, *[f"_n{c}" for c in ("_x", *values)]))).alias("_k"))
+    pieces = materialise(pieces.withColumn("_kx", F.transform("_k", lambda k: k["_x"])))  # knots only
+    tops = pieces.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_piece", F.get("_kx", F.lit(0)).alias("_x")))), lambda s: s["_x"]).alias("_tops"))
     most = 1 << 24  # pieces of a key that bisection is prepared for: a thousand million knots
     rows = df.join(tops, keys, "left").withColumn("_v", F.col(x).cast("double"))
     rows = rows.withColumn("_piece", F.when(F.col("_v").isNotNull(), _place(F.col("_tops"), F.col("_v"), most)))
     hit = rows.join(pieces, [*keys, "_piece"], "left")
-    hit = hit.withColumn("_one", F.get("_k", _place(F.transform("_k", lambda k: k["_x"]), F.col("_v"), PIECE)))
+    hit = hit.withColumn("_at", _place(F.col("_kx"), F.col("_v"), PIECE)).withColumn("_one", F.get("_k", F.col("_at")))
     one = F.col("_one")
-    inner = one["_y"] + (F.col("_v") - one["_x"]) * (one["_ny"] - one["_y"]) / F.nullif(one["_nx"] - one["_x"], F.lit(0.0))
-    value = F.when((F.col("_v") <= one["_x"]) | one["_nx"].isNull(), one["_y"]).otherwise(inner)
-    return hit.withColumn(out, value).drop("_tops", "_v", "_piece", "_k", "_one")
+    part = (F.col("_v") - one["_x"]) / F.nullif(one["_n_x"] - one["_x"], F.lit(0.0))
+    flat = (F.col("_v") <= one["_x"]) | one["_n_x"].isNull()
+    added = {o: F.when(flat, one[c]).otherwise(one[c] + (one[f"_n{c}"] - one[c]) * F.col("_part")) for o, c in zip(outs, values)}
+    return hit.withColumn("_part", part).withColumns(added).drop("_tops", "_v", "_piece", "_k", "_kx", "_at", "_one", "_part")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cytora.functions.exprs import at_least, at_most, fin
 from cytora.operators import beads, stats
+from cytora.session import materialise
 
 # Beads a sample has at least, isotopes of a bead at least.
 LEAST_BEADS, LEAST_ISOTOPES = 20, 2
@@ -82,9 +83,9 @@ def gates(isotopes: list[Isotope], dna: str | None = None) -> tuple[Column, Colu
 def annotated(events: DataFrame, sample: str, isotopes: list[Isotope], dna: str | None = None) -> DataFrame:
     """Events with ``is_bead`` and ``is_removed``."""
     isotopes = check(isotopes, events.columns)
-    found = events.join(windows(events, sample, isotopes), sample)
+    found = events.join(materialise(windows(events, sample, isotopes)), sample)  # a row a sample
     if dna is not None:
-        found = found.join(dna_windows(found, sample, dna, isotopes), sample)
+        found = found.join(materialise(dna_windows(found, sample, dna, isotopes)), sample)
     bead, removed = gates(isotopes, dna)
     return found.withColumns({"is_bead": bead, "is_removed": removed}).select(*events.columns, "is_bead", "is_removed")
 
@@ -96,7 +97,7 @@ def time_dynamics(marked: DataFrame, sample: str, time: str, isotopes: list[Isot
     """
     rows = marked.filter("is_bead").filter(fin(F.col(time)))
     channels = [i.channel for i in isotopes]
-    binned = beads.time_bins(rows, sample, time, channels, order)
+    binned = materialise(beads.time_bins(rows, sample, time, channels, order))
     positive = F.lit(True)
     for c in channels:
         positive = positive & (F.col(c) > 0)
@@ -126,11 +127,10 @@ def normalised(events: DataFrame, sample: str, time: str, isotopes: list[Isotope
     """
     isotopes = check(isotopes, events.columns)
     marked = annotated(events, sample, isotopes, dna)
-    medians = time_dynamics(marked, sample, time, isotopes, order)
+    medians = materialise(time_dynamics(marked, sample, time, isotopes, order))  # 200 rows a sample at most
     rows = marked.filter(~F.col("is_removed")) if remove else marked
     knots = medians.select(sample, F.col(time).alias("_kt"), *[F.col(i.channel).alias(f"_k{i.mass}") for i in isotopes])
-    for i in isotopes:
-        rows = beads.asof_interpolate(rows, knots.select(sample, "_kt", f"_k{i.mass}"), [sample], time, "_kt", f"_k{i.mass}", f"_m{i.mass}")
+    rows = beads.asof_interpolate(rows, knots, [sample], time, "_kt", [f"_k{i.mass}" for i in isotopes], [f"_m{i.mass}" for i in isotopes])
     factors = [(i.mass, F.lit(i.reference) / F.col(f"_m{i.mass}")) for i in isotopes]
     each = {f"_f{m}": across_mass(factors, m) for m in sorted(set(masses.values()))}
     rows = rows.withColumns(each)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cytora.functions.exprs import fin
 from cytora.operators import linalg, ordered, stats
-from cytora.session import spread
+from cytora.session import materialise, spread
 
 # Positives and blanks that a signature is made of, events that a peak is looked for in, blank events next
 # in scatter, the quantile of the blank that positives exceed, and events a gate has to hold.
@@ -144,9 +144,9 @@ def signatures(events: DataFrame, control: str, event: str, scatter: str, detect
     in scatter taken off each of them, medians of what is left over the largest of them. Events are those within the controls' gates.
     """
     stained, plain = events.filter(F.col(control) != blank), events.filter(F.col(control) == blank)
-    few = even_sample(plain, control, event, BLANKS)
-    at = peak if peak is not None else peaks(even_sample(stained, control, event, PEAK_EVENTS), few, control, detectors)
-    bright = positives(stained, plain, at, control, event, detectors, ranges=ranges).select(control, event, scatter, detectors)
+    few = materialise(even_sample(plain, control, event, BLANKS))
+    at = peak if peak is not None else materialise(peaks(even_sample(stained, control, event, PEAK_EVENTS), few, control, detectors))
+    bright = materialise(positives(stained, plain, at, control, event, detectors, ranges=ranges).select(control, event, scatter, detectors))
     pairs = nearest_blanks(bright, few, event, scatter, [control, event])
     background = few.select(F.col(event).alias("blank"), F.posexplode(detectors).alias("detector", "b")).filter(fin(F.col("b")))
     mean = pairs.join(background, "blank").groupBy(control, event, "detector").agg(F.avg(F.col("b").cast("double")).alias("b"))
