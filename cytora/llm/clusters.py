@@ -556,7 +556,7 @@ def populations(events: DataFrame, channels: DataFrame, hot_rows: int = HOT_ROWS
     rows = events.select("group_id", F.col("event_id").cast("long").alias("event_id"), F.col("event_values").cast("array<float>").alias("event_values")).filter("group_id IS NOT NULL AND event_id IS NOT NULL AND event_values IS NOT NULL")
     cofactors = channel_cofactors(channels)
     sizes = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
-    hot = sizes.select("group_id", F.ceil(F.col("n") / hot_rows).alias("chunks"))
+    hot = sizes.select("group_id", F.ceil(F.col("n") * 4 / hot_rows).alias("chunks"))  # four tasks for what one would else take
     hot = materialise(hot)  # few rows: at most one for every ``hot_rows`` events
     many = hot.count()
     cold = rows.join(hot.select("group_id"), "group_id", "left_anti") if many else rows
