@@ -16,7 +16,11 @@ Which cells a query looks into:
   nearer than ``SHORTER`` of it. The whole distance would lose nothing; the share loses what lies behind borders that
   near neighbours rarely lie behind, at any number of cells alike.
 
-Cells hold about ``CELL`` vectors in a table of any size: they form a tree of two levels (see ``Tree``) of up to
+With a least similarity and without separate queries, what is moved are the vectors once and their looks across borders, so cells are wide
+(up to ``WIDE`` vectors, see ``wide_cell``) and have few borders; the task of a cell parts it again (see ``Join``) and moves nothing for that. Exact
+products of so few rows cost less than codes there.
+
+Otherwise cells hold about ``CELL`` vectors in a table of any size: they form a tree of two levels (see ``Tree``) of up to
 ``MOST_CELLS`` cells, and a table that needs more is first split into parts, each with the vectors just beyond its borders, that are searched
 one after the other. Hot classes of equal vectors (more than ``HOT_COPIES``) are searched through their first members; the others have
 these as their nearest, as the similarity cannot be exceeded. A cell is split into as many blocks of members as its own size asks for;
@@ -28,7 +32,8 @@ one vector; ties in similarity go to the smaller vec_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,8 @@ FAN, MOST_CELLS = 512, 1 << 20
 BITS, MORE_BITS, PLANES, BOUND = 64, 256, 4, 3.0
 #: Members of a cell that one task compares at once, and equal vectors from which a class is hot.
 BLOCK, HOT_COPIES = 4096, 2000
+#: With a least similarity and every vector asking: most vectors aimed at in a cell, and vectors aimed at in the cells that its task parts it into.
+WIDE, FINE = 250_000, 512
 #: Without a least similarity, share of the distance of the k-th neighbour in the own cell within which borders are looked across.
 SHORTER = 0.4
 _SEED = 20240607
@@ -235,6 +242,8 @@ class Tree:
 
 #: No two points of the unit ball lie further apart; vectors whose leaves are scored at once.
 _WIDEST, _SCORED = 2.0, 2048
+#: Products of unit vectors in single precision are nearer to the exact ones than this.
+_ROUNDING = 1e-6
 
 _ROWS = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("role", pa.int8()), ("vec_id", pa.int64()), ("x", pa.binary())])
 _ROWS_SQL = "cell int, block int, role byte, vec_id long, x binary"
@@ -315,6 +324,160 @@ class Search:
         return self.ids[j], i, s
 
 
+class _Best:
+    """The ``k`` best partners of every vector among all pairs added so far; a pair that comes twice counts once."""
+
+    def __init__(self, k: int):
+        self.k, self.fresh, self.kept = k, 0, 0
+        self.held: list[_Found] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> None:
+        if len(i):
+            self.held.append((i, j, s))
+            self.fresh += len(i)
+            if self.fresh > max(GATHERED, self.kept):
+                self.merged()
+
+    def merged(self) -> _Found:
+        if not self.held:
+            empty = np.zeros(0, dtype=np.int64)
+            return empty, empty, np.zeros(0)
+        i, j, s = (np.concatenate(v) for v in zip(*self.held))
+        if self.fresh:
+            order = np.lexsort((-s, j, i))
+            first = np.r_[True, (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)]
+            i, j, s = i[order][first], j[order][first], s[order][first]
+            best = _top(i, j, s, self.k)
+            i, j, s = i[best], j[best], s[best]
+        self.held, self.fresh, self.kept = [(i, j, s)], 0, len(i)
+        return i, j, s
+
+
+class Join:
+    """Pairs of similarity ``least`` or more among the members of one block, and between them and queries that visit it.
+
+    The block is parted into cells of about ``fine`` members. Members and visitors alike have one of these as home and look
+    from there across borders, as in the whole table: members at members and visitors, visitors at members.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, least: float, fine: int = FINE, many_looks: float = MANY_LOOKS):
+        self.k, self.least, self.many_looks = k, least, many_looks
+        self.radius = np.float32(np.sqrt(max(0.0, 2 - 2 * least)))
+        cells = int(max(1, round(len(ids) / fine)))
+        some = np.random.default_rng(_SEED).choice(len(ids), min(len(ids), PER_LEAF * cells), replace=False)
+        self.centres = centroids(x[some], cells) if cells > 1 else x[:1]
+        self.half = 0.5 * (self.centres * self.centres).sum(axis=1)
+        self.gap = np.stack([np.linalg.norm(self.centres - c, axis=1) for c in self.centres])
+        self.ids, self.x, self.own, self.start = self._arranged(ids, x)
+        self.best = _Best(k)
+        self.done = False
+
+    def _arranged(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, vectors, cells, first of each cell), by cell."""
+        own = np.zeros(len(ids), dtype=np.int64)
+        if len(self.centres) > 1:
+            for a in range(0, len(x), 4 * _SCORED):
+                own[a : a + 4 * _SCORED] = (x[a : a + 4 * _SCORED] @ self.centres.T - self.half).argmax(axis=1)
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        return ids[order], x[order], own, np.searchsorted(own, np.arange(len(self.centres) + 1))
+
+    def _looks(self, x: np.ndarray, own: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the further cells whose border lies within ``limit``."""
+        rows, cells = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
+        for a in range(0, len(x) if len(self.centres) > 1 else 0, _SCORED):
+            b = slice(a, a + _SCORED)
+            score = x[b] @ self.centres.T - self.half
+            at = np.arange(len(score))
+            near = score[at, own[b], None] - score <= limit[b, None] * self.gap[own[b]] + np.float32(1e-5)
+            near[at, own[b]] = False
+            i, c = np.nonzero(near)
+            rows.append((i + a).astype(np.int32))
+            cells.append(c.astype(np.int32))
+        return np.concatenate(rows), np.concatenate(cells)
+
+    def _pairs(self, q: np.ndarray, qids: np.ndarray, row: np.ndarray, cell: np.ndarray, ids: np.ndarray, x: np.ndarray, start: np.ndarray) -> Iterator[_Found]:
+        """(query, partner, similarity) of rows of ``q`` with the vectors of ``x`` at home in cells they look into: all that may be one of the k best of either."""
+        order = np.argsort(cell, kind="stable")
+        key, first = np.unique(cell[order], return_index=True)
+        for c, a, b in zip(key, first, np.r_[first[1:], len(order)]):
+            pieces = [slice(m, min(start[c + 1], m + _SCORED)) for m in range(start[c], start[c + 1], _SCORED)]
+            for lo, piece in itertools.product(range(a, b, 4 * _AT_ONCE), pieces):
+                theirs, their = x[piece], ids[piece]
+                mine = row[order[lo : min(b, lo + 4 * _AT_ONCE)]]
+                part = q[mine]
+                near = part @ theirs.T
+                possible = near >= np.float32(self.least - _ROUNDING)
+                many = int(np.count_nonzero(possible))
+                if not many:
+                    continue
+                if many > 4 * (self.k + 1) * sum(possible.shape):  # one place for a vector itself
+                    for axis in (0, 1):
+                        kk = max(0, near.shape[axis] - self.k - 1)
+                        level = np.expand_dims(np.take(np.partition(near, kk, axis=axis), kk, axis=axis), axis) - np.float32(2 * _ROUNDING)
+                        wanted = near >= level if axis == 0 else wanted | (near >= level)
+                    possible &= wanted
+                i, j = np.nonzero(possible)
+                i, j = (v[qids[mine[i]] != their[j]] for v in (i, j))
+                if len(i) > possible.size // 8:  # most pairs: one product of matrices
+                    exact = (part.astype(np.float64) @ theirs.T.astype(np.float64))[i, j]
+                else:
+                    exact = np.einsum("nd,nd->n", part[i].astype(np.float64), theirs[j].astype(np.float64))
+                good = exact >= self.least - 1e-9
+                yield qids[mine[i[good]]], their[j[good]], exact[good]
+
+    def _reach(self, ids: np.ndarray, best: _Best) -> np.ndarray:
+        """Distance of the k-th neighbour found so far, the radius where there are fewer."""
+        i, _, s = best.merged()
+        reach = np.full(len(ids), self.radius, dtype=np.float32)
+        whose, start, count = np.unique(i, return_index=True, return_counts=True)
+        if len(whose):
+            far = np.sqrt(np.maximum(2 - 2 * np.minimum.reduceat(s, start), 0)) + 1e-6
+            full = count == self.k
+            order = np.argsort(ids, kind="stable")
+            reach[order[np.searchsorted(ids[order], whose[full])]] = np.minimum(self.radius, far[full])
+        return reach
+
+    def run(self) -> _Found:
+        """Every member with its k best of the block."""
+        if not self.done:
+            self.done = True
+            mine = self.ids, self.x, self.start
+            for i, j, s in self._pairs(self.x, self.ids, np.arange(len(self.ids)), self.own, *mine):
+                self.best.add(i, j, s)
+            some = slice(None, None, max(1, len(self.x) // 2000))
+            few = self.x[some]
+            self.dense = len(self._looks(few, self.own[some], np.full(len(few), self.radius / 2, dtype=np.float32))[0]) > self.many_looks * len(few)
+            limit = self._reach(self.ids, self.best) if self.dense else np.full(len(self.x), self.radius / 2, dtype=np.float32)
+            self.look = self._looks(self.x, self.own, limit)
+            for i, j, s in self._pairs(self.x, self.ids, *self.look, *mine):
+                self.best.add(i, j, s)
+                self.best.add(j, i, s)
+        return self.best.merged()
+
+    def visit(self, ids: np.ndarray, x: np.ndarray) -> _Found:
+        """Every visitor with its k best of the block; what the members find among visitors is kept."""
+        self.run()
+        ids, x, own, start = self._arranged(ids, x)
+        found = _Best(self.k)
+        for i, j, s in self._pairs(x, ids, np.arange(len(ids)), own, self.ids, self.x, self.start):
+            found.add(i, j, s)
+            self.best.add(j, i, s)
+        limit = self._reach(ids, found) if self.dense else np.full(len(x), self.radius / 2, dtype=np.float32)
+        for i, j, s in self._pairs(x, ids, *self._looks(x, own, limit), self.ids, self.x, self.start):
+            found.add(i, j, s)
+            self.best.add(j, i, s)
+        for i, j, s in self._pairs(self.x, self.ids, *self.look, ids, x, start):
+            self.best.add(i, j, s)
+            found.add(j, i, s)
+        return found.merged()
+
+
+def wide_cell(total: int, cores: int) -> int:
+    """Vectors aimed at in a wide cell: eight cells a core, of ``CELL`` to ``WIDE`` vectors."""
+    return int(min(WIDE, max(CELL, total / (8 * cores))))
+
+
 def own_blocks(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """Block of each member among the ``blocks`` of its cell; ids are mixed, as they may all be multiples of one number."""
     mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
@@ -424,7 +587,7 @@ def _read(batch: pa.RecordBatch, dims: int) -> np.ndarray:
 _NOTHING = "vec_id long, other long, similarity double, rank int"
 
 
-def neighbours(vectors: DataFrame, k: int, least: float | None = None, queries: DataFrame | None = None, vec_id: str = "vec_id", values: str = "detector_values", copies: int = HOT_COPIES, cell: int = CELL, fan: int = FAN, many_looks: float = MANY_LOOKS, most_cells: int = MOST_CELLS, shorter: float = SHORTER) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int, least: float | None = None, queries: DataFrame | None = None, vec_id: str = "vec_id", values: str = "detector_values", copies: int = HOT_COPIES, cell: int | None = None, fan: int = FAN, many_looks: float = MANY_LOOKS, most_cells: int = MOST_CELLS, shorter: float = SHORTER, fine: int = FINE) -> DataFrame:
     """(vec_id, other, similarity, rank): the k vectors most similar in cosine to every vector, or to every row of ``queries``.
 
     With ``least``, only partners of at least that cosine, and none of them is lost to the choice of cells.
@@ -439,14 +602,20 @@ def neighbours(vectors: DataFrame, k: int, least: float | None = None, queries:
     sample = _sampled(searched, total, dims)
     if not len(sample):
         return spark.createDataFrame([], _NOTHING)
-    settings = {"k": k, "least": least, "cell": cell, "fan": fan, "many_looks": many_looks, "shorter": shorter}
+    joined = least is not None and asked is None
+    block = BLOCK
+    if cell is None:
+        cell = wide_cell(total, spark.sparkContext.defaultParallelism) if joined else CELL
+        block = max(BLOCK, 2 * cell) if joined else BLOCK
+    settings = {"k": k, "least": least, "cell": cell, "block": block, "fan": fan, "fine": fine, "many_looks": many_looks, "shorter": shorter}
     if total / cell > most_cells:
         pairs = _in_parts(searched, asked, sample, total, dims, most_cells, settings)
     else:
         pairs = _search(searched, asked, sample, total, dims, **settings)
     if inside is not None:
         pairs = pairs.unionByName(inside if asked is None else inside.join(asked.select("vec_id"), "vec_id", "left_semi"))
-    best = pairs.groupBy("vec_id", "other").agg(F.max("similarity").alias("similarity"))
+    # dealt by vec_id once, which serves both steps
+    best = pairs.repartition("vec_id").groupBy("vec_id", "other").agg(F.max("similarity").alias("similarity"))
     order = F.struct((-F.col("similarity")).alias("d"), "other")
     listed = best.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("top"))
     flat = listed.select("vec_id", F.posexplode("top").alias("rank", "t"))
@@ -495,7 +664,7 @@ def _in_parts(searched: DataFrame, asked: DataFrame | None, sample: np.ndarray,
     return found
 
 
-def _search(searched: DataFrame, asked: DataFrame | None, sample: np.ndarray, total: int, dims: int, k: int, least: float | None, cell: int, fan: int, many_looks: float, shorter: float) -> DataFrame:
+def _search(searched: DataFrame, asked: DataFrame | None, sample: np.ndarray, total: int, dims: int, k: int, least: float | None, cell: int, block: int, fan: int, fine: int, many_looks: float, shorter: float) -> DataFrame:
     """(vec_id, other, similarity): pairs among which the k best of every query are."""
     spark = searched.sparkSession
     wide = spread(searched)
@@ -516,9 +685,10 @@ def _search(searched: DataFrame, asked: DataFrame | None, sample: np.ndarray, to
     held = np.zeros(len(tree), dtype=np.int64)
     held[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     # every cell by its own size, so that no task holds more than a block of members
-    shared = spark.sparkContext.broadcast((tree, turn, held, np.maximum(-(-held // BLOCK), 1)))
+    shared = spark.sparkContext.broadcast((tree, turn, held, np.maximum(-(-held // block), 1)))
     radius = None if least is None else float(np.sqrt(max(0.0, 2 - 2 * least)))
     all_query = asked is None
+    joined = all_query and least is not None
     some = sample[:5000]
     full = lambda v: np.full(len(some), v, dtype=np.float32)
     measured = not all_query or radius is None or len(tree.looks(some, *tree.home(some), full(radius / 2), full(radius))[0]) > many_looks * len(some)
@@ -580,14 +750,18 @@ def _search(searched: DataFrame, asked: DataFrame | None, sample: np.ndarray, to
                 reach[i] = far[order[enough]] if enough < len(order) else _WIDEST
             yield from looking(ids, x, reach, reach, (node, own), not all_query)
 
-    def split(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Search, pa.RecordBatch | None]]:
-        """The search in a block with each batch of queries that visits it; members come first, as rows are sorted by role."""
+    def split(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Search | Join, pa.Table | None]]:
+        """The search in a block with the queries that visit it, some batches at a time; members come first, as rows are sorted by role."""
         t, turn, _, _ = shared.value
         members: list[pa.RecordBatch] = []
-        found: Search | None = None
+        waiting: list[pa.RecordBatch] = []
+        found: Search | Join | None = None
 
-        def begin() -> Search:
+        def begin() -> Search | Join:
             ids, x = _vectors(pa.Table.from_batches(members, schema=members[0].schema), 0, dims)
+            members.clear()
+            if joined:
+                return Join(ids, x, k, least, fine, many_looks)
             return Search(ids, x, t.centres[key[0].as_py()], turn, k, least, all_query)
 
         for batch in batches:
@@ -595,33 +769,42 @@ def _search(searched: DataFrame, asked: DataFrame | None, sample: np.ndarray, to
             if (role == 0).any():
                 assert found is None, "members come before queries"
                 members.append(batch.filter(pa.array(role == 0)))
-            if (role == 1).any() and members:
+            if (role == 1).any() and (members or found is not None):
                 if found is None:
                     found = begin()
                     yield found, None
-                yield found, batch
+                waiting.append(batch)
+                if not joined or sum(w.num_rows for w in waiting) >= max(len(found.ids), HANDED):
+                    yield found, pa.Table.from_batches(waiting)
+                    waiting = []
         if found is None and members:
             yield begin(), None
+        elif waiting:
+            yield found, pa.Table.from_batches(waiting)
 
     def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = lambda v: pa.RecordBatch.from_arrays([pa.array(v[0]), pa.array(v[1]), pa.array(v[2])], schema=_PAIRS)
-        found: Search | None = None
-        for found, batch in split(key, batches):
-            if batch is not None:
-                yield from map(out, found.run(*_vectors(pa.Table.from_batches([batch]), 1, dims)))
-            elif all_query:
+        found: Search | Join | None = None
+        for found, visitors in split(key, batches):
+            if visitors is not None:
+                queries = _vectors(visitors, 1, dims)
+                yield from map(out, [found.visit(*queries)] if joined else found.run(*queries))
+            elif all_query and not joined:
                 yield from map(out, found.run(found.ids, found.x))
         if found is not None and all_query:
-            yield out(found.back())
+            yield out(found.run() if joined else found.back())
 
     def measure(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries with the distance to look within, from the k nearest in their own block."""
-        for found, batch in split(key, batches):
-            if batch is not None:
-                yield _reached(found, *_vectors(pa.Table.from_batches([batch]), 1, dims), k, radius, shorter)
+        for found, visitors in split(key, batches):
+            if visitors is not None:
+                ids, x = _vectors(visitors, 1, dims)
+                yield _reached(found.run(ids, x), ids, x, k, radius, shorter)
+            elif joined:
+                yield _reached([found.run()], found.ids, found.x, k, radius, shorter)
             elif all_query:
                 found.mutual = False
-                yield _reached(found, found.ids, found.x, k, radius, shorter)
+                yield _reached(found.run(found.ids, found.x), found.ids, found.x, k, radius, shorter)
 
     by_block = lambda df, rows_: hashed(df, "cell", "block", size=rows_ * (dims * 4 + 24)).sortWithinPartitions("cell", "block", "role").groupBy("cell", "block")
     if not measured:
@@ -637,8 +820,8 @@ def _search(searched: DataFrame, asked: DataFrame | None, sample: np.ndarray, to
     return by_block(placed, 6 * total).applyInArrow(search, _PAIRS_SQL)
 
 
-def _reached(found: Search, ids: np.ndarray, x: np.ndarray, k: int, radius: float | None, shorter: float) -> pa.RecordBatch:
-    a, _, s = (np.concatenate(v) for v in zip(*found.run(ids, x)))
+def _reached(found: Iterable[_Found], ids: np.ndarray, x: np.ndarray, k: int, radius: float | None, shorter: float) -> pa.RecordBatch:
+    a, _, s = (np.concatenate(v) for v in zip(*found))
     reach = np.full(len(ids), np.nan if radius is None else radius, dtype=np.float64)
     which, count = np.unique(a, return_counts=True)
     full = np.isin(a, which[count == k])
@@ -646,7 +829,8 @@ def _reached(found: Search, ids: np.ndarray, x: np.ndarray, k: int, radius: floa
         order = np.argsort(a[full], kind="stable")
         whose, start = np.unique(a[full][order], return_index=True)
         far = np.sqrt(np.maximum(2 - 2 * np.minimum.reduceat(s[full][order], start), 0))
-        reach[np.searchsorted(ids, whose)] = shorter * far if radius is None else np.minimum(radius, far + 1e-6)
+        by_id = np.argsort(ids, kind="stable")
+        reach[by_id[np.searchsorted(ids[by_id], whose)]] = shorter * far if radius is None else np.minimum(radius, far + 1e-6)
     return pa.RecordBatch.from_arrays([pa.array(ids), _binary(x), pa.array(reach)], schema=_REACHED)
 
 

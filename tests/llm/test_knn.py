@@ -196,6 +196,39 @@ def test_a_search_keeps_few_pairs():
         assert np.allclose(np.sort(s), want, atol=1e-12)
 
 
+@pytest.mark.parametrize("many_looks", [0, 32])
+def test_members_and_visitors_of_a_block(many_looks):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.lognormal(0, 0.5, (700, 12)), np.ones((300, 12)) + rng.normal(0, 0.01, (300, 12)), np.ones((20, 12))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = rng.permutation(len(x))
+    member = rng.random(len(x)) < 0.6
+    s = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(s, -2)
+    visitors = np.array_split(np.flatnonzero(~member), 3)
+    for least in (0.99, 0.8):
+        join = knn.Join(ids[member], x[member], 5, least, fine=40, many_looks=many_looks)
+        got = {}
+        for found in (*[join.visit(ids[v], x[v]) for v in visitors], join.run()):
+            for i, j, v in zip(*found):
+                assert i != j
+                got.setdefault(int(i), []).append(v)
+        for n, i in enumerate(ids):
+            seen = s[n] if member[n] else s[n][member]
+            best = np.sort(seen[seen >= least])[::-1][:5]
+            assert np.allclose(got.get(int(i), []), best, atol=1e-9)
+
+
+def test_vectors_move_once_and_seldom_look_across_borders(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.1/spectral_events.parquet").select("vec_id", "detector_values").crossJoin(spark.range(8)).selectExpr("vec_id * 8 + id AS vec_id", "detector_values")
+    placed, hashed = [], knn.hashed
+    monkeypatch.setattr(knn, "hashed", lambda d, *keys, **kw: (placed.append(d), hashed(d, *keys, **kw))[1])
+    knn.similar_pairs(df)
+    moved = dict(placed[-1].groupBy("role").count().collect())
+    assert len(placed) == 1 and moved[1] < 1.5 * moved[0]
+    assert knn.wide_cell(10**6, 6) == 10**6 // 48 and knn.wide_cell(10**9, 6) == knn.WIDE and knn.wide_cell(100, 6) == knn.CELL
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 24)).astype(np.float32)
