@@ -419,10 +419,8 @@ class Join:
                     possible &= wanted
                 i, j = np.nonzero(possible)
                 i, j = (v[qids[mine[i]] != their[j]] for v in (i, j))
-                if len(i) > possible.size // 8:  # most pairs: one product of matrices
-                    exact = (part.astype(np.float64) @ theirs.T.astype(np.float64))[i, j]
-                else:
-                    exact = np.einsum("nd,nd->n", part[i].astype(np.float64), theirs[j].astype(np.float64))
+                # never as a product of matrices, whose last digits differ from place to place and would part equal vectors
+                exact = np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", part[i[n : n + HANDED]].astype(np.float64), theirs[j[n : n + HANDED]].astype(np.float64)) for n in range(0, len(i), HANDED))])
                 good = exact >= self.least - 1e-9
                 yield qids[mine[i[good]]], their[j[good]], exact[good]
 

@@ -219,6 +219,16 @@ def test_members_and_visitors_of_a_block(many_looks):
             assert np.allclose(got.get(int(i), []), best, atol=1e-9)
 
 
+def test_ties_of_equal_vectors_go_to_the_smaller_id_in_any_cells():
+    rng = np.random.default_rng(12)
+    x = np.repeat(np.ones((120, 32)) + rng.normal(0, 0.02, (120, 32)), 10, axis=0)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    for fine in (25, 90, 2000):
+        order = rng.permutation(len(x))
+        i, j, _ = knn.Join(order, x[order], 5, 0.99, fine=fine).run()
+        assert all(j[i == n].tolist() == [m for m in range(n - n % 10, n - n % 10 + 10) if m != n][:5] for n in range(len(x)))
+
+
 def test_vectors_move_once_and_seldom_look_across_borders(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.1/spectral_events.parquet").select("vec_id", "detector_values").crossJoin(spark.range(8)).selectExpr("vec_id * 8 + id AS vec_id", "detector_values")
     placed, hashed = [], knn.hashed
